@@ -50,8 +50,16 @@ def drop_zero_change(df: DataFrame, *, price: str = "price", order: SeriesOrder
     return marked.filter((F.col("_has_flat") == 0) | (F.col("_change") >= NO_CHANGE)).drop("_change", "_has_flat")
 
 
-def drop_any_null(df: DataFrame) -> DataFrame:
-    return df.na.drop("any")
+def drop_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows without any missing value.
+
+    One count of the missing values, not one condition per column: tables are wide here, and the
+    optimizer would carry every single condition through the whole plan.
+    """
+    missing = F.lit(0)
+    for c in columns or df.columns:
+        missing = missing + F.col(c).isNull().cast("int")
+    return df.filter(missing == 0)
 
 
 def inf_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -80,7 +80,7 @@ def feature_frame_v1(df: DataFrame, *, order: SeriesOrder = DAILY) -> DataFrame:
     """Core columns, calendar, and 17 windowed features; rows with any missing value are dropped."""
     require_columns(df, [*order.columns(), *CORE])
     flag = F.col("has_real_price") if "has_real_price" in df.columns else F.lit(True)
-    rows = df.select(*order.columns(), *CORE, flag.alias("has_real_price")).withColumns(calendar_v1(order.ts))
+    rows = inf_to_null(df.select(*order.columns(), *CORE, flag.alias("has_real_price")))
 
     def first(w: WindowSpec) -> dict[str, Column]:
         out = {"price_return": X.relative_change("price", w)}
@@ -99,7 +99,7 @@ def feature_frame_v1(df: DataFrame, *, order: SeriesOrder = DAILY) -> DataFrame:
 
     frame = SeriesFrame.open(rows, order, lookback=30).index("_place").with_columns(first)
     frame = frame.with_columns(lambda w: {f"volatility_{n}d": X.rolling_std("price_return", w, n) for n in (7, 30)})
-    return drop_any_null(inf_to_null(frame.close().drop("_place")))
+    return drop_any_null(frame.close().drop("_place")).withColumns(calendar_v1(order.ts))
 
 
 def features_v2_names(columns: Sequence[str]) -> list[str]:
@@ -119,8 +119,8 @@ def feature_frame_v2(df: DataFrame, columns: Sequence[str] = CORE, *, order: Ser
             out[f"{c}_roll7_std"] = X.rolling_std(c, w, 7)
         return out
 
-    rows = windowed(df, derived, order=order, lookback=6).withColumns(calendar_v2(order.ts))
-    return drop_any_null(inf_to_null(rows))
+    rows = windowed(inf_to_null(df), derived, order=order, lookback=6)
+    return drop_any_null(rows).withColumns(calendar_v2(order.ts))
 
 
 def exog_returns(df: DataFrame, column: str = "price", *, name: str = "price_move", order: SeriesOrder = DAILY) -> DataFrame:

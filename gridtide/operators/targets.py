@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridtide.functions import windows as X
-from gridtide.plans.attach import attach, per_series
+from gridtide.plans.attach import per_series
 from gridtide.plans.running import running_sums
 from gridtide.plans.timeline import DAILY, SeriesFrame, SeriesOrder, windowed
 
@@ -125,8 +125,8 @@ def balance_downsample(df: DataFrame, *, label: str = "y_target", key: Sequence[
                        seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """Every class cut to the size of the smallest one, in a repeatable random choice.
 
-    The rows of a class are ranked by a hash of their key. Whole ranges of the hash are taken or left
-    by their counts; only the one range a class is cut in has to be ranked row by row.
+    The rows of a class are ranked by a hash of their key: counts per range of the hash say how many
+    rows to take from each range, and ranks are needed only inside a range.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)))
     rows = df.withColumn("_digest", digest).withColumn("_slot", F.substring("_digest", 1, 4))
@@ -138,7 +138,7 @@ def balance_downsample(df: DataFrame, *, label: str = "y_target", key: Sequence[
     ranked = slots.withColumn("_before", F.sum("_rows").over(w) - F.col("_rows"))
     ranked = ranked.join(least, list(by)) if by else ranked.crossJoin(F.broadcast(least))
     wanted = ranked.filter(F.col("_before") < F.col("_take")).withColumn("_left", F.col("_take") - F.col("_before"))
-    kept = attach(rows, wanted.select(*groups, "_slot", "_rows", "_left"), [*groups, "_slot"], spread=key, how="inner", salts=1)
+    kept = rows.join(wanted.select(*groups, "_slot", "_left"), [*groups, "_slot"])
     place = F.row_number().over(Window.partitionBy(*groups, "_slot").orderBy("_digest", *key))
     return kept.withColumn("_place", place).filter(F.col("_place") <= F.col("_left")).drop(
-        "_digest", "_slot", "_rows", "_left", "_place")
+        "_digest", "_slot", "_left", "_place")

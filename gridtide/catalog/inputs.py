@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.scalars import uniform_hash
 from gridtide.operators.cleaning import filter_positive_price
-from gridtide.plans.timeline import SeriesOrder
+from gridtide.operators.curves import residuals
+from gridtide.plans.timeline import SeriesOrder, windowed
 from gridtide.sources.market import market_daily
 
 EVENTS = SeriesOrder(keys=("event_type",), ts="ts", tie=("event_id",))
@@ -93,3 +94,18 @@ pairs AS (
 SELECT o.o_orderstatus, o.o_orderkey, CAST(o.o_orderdate AS DATE) AS o_orderdate,
        o.o_totalprice / 100000 AS y_true, d.y_pred
 FROM orders o JOIN daily d ON CAST(o.o_orderdate AS DATE) = d.o_orderdate)"""
+
+
+def naive_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    """Long series with the value before as the forecast, and the residual of it."""
+    def previous(w):
+        return {"y_pred": F.lag("price").over(w)}
+
+    rows = windowed(events(spark, sf), previous, order=EVENTS, lookback=1).withColumnRenamed("price", "y_true")
+    return residuals(rows.filter(F.col("y_pred").isNotNull()))
+
+
+NAIVE_SQL = f"""{EVENTS_SQL},
+shifted AS (SELECT event_type, ts, event_id, price AS y_true, lag(price) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS y_pred FROM ev),
+naive AS (SELECT *, y_true - y_pred AS residual,
+       row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx FROM shifted WHERE y_pred IS NOT NULL)"""

@@ -1,8 +1,8 @@
 """Series order, and the blocks that keep one long series from becoming one task.
 
-A series ordered by a DATE has at most one row per calendar day, so it is small by its type and is
-windowed whole. Any other order column (timestamps, numbers) can make one series hold a large share
-of all rows. Such series are cut into blocks of about `block_rows` consecutive rows; a block also
+A series ordered by a DATE alone has at most one row per calendar day, so it is small by its type and
+is windowed whole. Any other order (timestamps, numbers, dates with ties) can make one series hold a
+large share of all rows. Such series are cut into blocks of about `block_rows` consecutive rows; a block also
 gets copies of the rows just before and after it that its windows look at. Every window then runs
 over one block. Series no longer than a block stay in one piece and take no copies.
 
@@ -26,6 +26,7 @@ BUCKET_ROWS = 4_096
 # Bucket widths tried for timestamps, widest first, in microseconds.
 WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
 INTEGER_WIDTH = 1_024
+TIE_WIDTHS = (1_000_000_000, 1_000_000, 1_000)
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,8 @@ class SeriesOrder:
         return [F.col(self.ts), *(F.col(c) for c in self.tie)]
 
     def blocked(self, df: DataFrame) -> bool:
-        return self.block_rows is not None or not isinstance(df.schema[self.ts].dataType, T.DateType)
+        by_date = isinstance(df.schema[self.ts].dataType, T.DateType) and not self.tie
+        return self.block_rows is not None or not by_date
 
     def columns(self) -> list[str]:
         return [*self.keys, self.ts, *self.tie]
@@ -58,18 +60,32 @@ class SeriesOrder:
 DAILY = SeriesOrder()
 
 
-def _bucket(df: DataFrame, order: SeriesOrder) -> Column:
+def _candidates(df: DataFrame, order: SeriesOrder) -> list[Column]:
+    """Ways to cut the order into buckets, coarsest first."""
     kind = df.schema[order.ts].dataType
     ts = F.col(order.ts)
     if isinstance(kind, T.DateType):
-        return F.year(ts).cast("long") * 12 + F.month(ts)
-    if isinstance(kind, T.IntegralType):
-        return F.floor(ts / F.lit(order.bucket_width or INTEGER_WIDTH))
-    micros = F.unix_micros(ts.cast("timestamp"))
-    if order.bucket_width:
-        return F.floor(micros / F.lit(order.bucket_width))
-    for width in WIDTHS:
-        bucket = F.floor(micros / F.lit(width))
+        found = [F.year(ts) * 12 + F.month(ts), F.unix_date(ts)]
+    elif isinstance(kind, T.IntegralType):
+        found = [F.floor(ts / F.lit(order.bucket_width or INTEGER_WIDTH)), ts]
+    else:
+        micros = F.unix_micros(ts.cast("timestamp"))
+        found = [F.floor(micros / F.lit(w)) for w in ([order.bucket_width] if order.bucket_width else WIDTHS)]
+    finest = found[-1]
+    found = [F.struct(c.cast("long").alias("at"), F.lit(0).cast("long").alias("tie")) for c in found]
+    if order.tie and isinstance(df.schema[order.tie[0]].dataType, T.IntegralType):
+        found += [F.struct(finest.cast("long").alias("at"), F.floor(F.col(order.tie[0]) / F.lit(w)).alias("tie"))
+                  for w in TIE_WIDTHS]
+    return found
+
+
+def _bucket(df: DataFrame, order: SeriesOrder) -> Column:
+    """The coarsest buckets that are small; a date or number alone bounds its bucket by being unique."""
+    found = _candidates(df, order)
+    bounded = not order.tie and isinstance(df.schema[order.ts].dataType, (T.DateType, T.IntegralType))
+    if bounded or order.bucket_width:
+        return found[0]
+    for bucket in found:
         fullest = df.groupBy(*order.keys, bucket.alias("_bucket")).count().agg(F.max("count")).first()[0]
         if (fullest or 0) <= BUCKET_ROWS:
             break

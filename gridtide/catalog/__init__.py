@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("strategy_queries", "feature_queries", "scoring_queries")
+GROUPS = ("strategy_queries", "feature_queries", "scoring_queries", "model_queries")
 
 
 def registered() -> tuple[dict, dict]:

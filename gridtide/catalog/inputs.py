@@ -30,6 +30,14 @@ def priced(spark: SparkSession, sf: str) -> DataFrame:
     return filter_positive_price(market(spark, sf))
 
 
+def suppliers_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """A daily price for every supplier: many series, together as long as the line items."""
+    exact = [F.sum(F.col(c).cast("decimal(18,2)")).cast("double") for c in ("l_extendedprice", "l_quantity")]
+    return table(spark, sf, "lineitem").groupBy(
+        F.col("l_suppkey").alias("series_id"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
+        (exact[0] / exact[1]).alias("price"))
+
+
 def events(spark: SparkSession, sf: str) -> DataFrame:
     """Long series ordered by timestamps."""
     return table(spark, sf, "events").select("event_type", "ts", "event_id", F.col("value").alias("price"))
@@ -79,6 +87,11 @@ FROM (SELECT l_returnflag AS series_id, CAST(l_shipdate AS DATE) AS trade_date,
 
 PRICED_SQL = f"{MARKET_SQL},\npriced AS (SELECT * FROM market WHERE price > 0)"
 
+SUPPLIERS_SQL = """suppliers AS (
+SELECT l_suppkey AS series_id, CAST(l_shipdate AS DATE) AS trade_date,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price
+FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))"""
+
 EVENTS_SQL = "ev AS (SELECT event_type, ts, event_id, value AS price FROM events)"
 
 SCORES_SQL = """scores AS (

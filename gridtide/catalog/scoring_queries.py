@@ -135,6 +135,17 @@ cells AS (SELECT a.l AS actual, b.l AS predicted, (SELECT count(*) FROM {source}
 
 THREE_SQL = f"{SCORES_SQL}, three AS (SELECT doc_id, floor(p * 3)::INTEGER AS y, floor(least(p + 0.1, 0.99) * 3)::INTEGER AS label FROM scores)"
 
+def horner(x: str, coefficients) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+QUANTILE_SQL = f"""CASE WHEN s < {U.TAIL} THEN {horner('e', U.TAIL_TOP)} / {horner('e', U.TAIL_BOTTOM)}
+       WHEN s > 1 - {U.TAIL} THEN -{horner('e', U.TAIL_TOP)} / {horner('e', U.TAIL_BOTTOM)}
+       ELSE {horner('(q * q)', U.CENTRE_TOP)} * q / {horner('(q * q)', U.CENTRE_BOTTOM)} END"""
+
 QUERIES = {
     "align_by_position": lambda s, d: rounded(M.align_by_position(
         naive_forecast(s, d).select("event_type", "event_id", "y_true"),
@@ -240,6 +251,11 @@ FROM naive WINDOW f AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 99 PR
 FROM naive WINDOW f AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 99 PRECEDING))
 SELECT event_type, idx - 99 AS window_start, round(sqrt(mse), 5) AS rolling_rmse FROM m WHERE c = 100""",
     "residual_histogram": hist_sql(f"{PAIRS_SQL}, r AS (SELECT y_true - y_pred AS residual FROM pairs)", "r", "residual", 50),
+    "qq_points": f"""WITH {PAIRS_SQL},
+r AS (SELECT row_number() OVER (ORDER BY y_true - y_pred, o_orderkey) AS rank, y_true - y_pred AS residual, count(*) OVER () AS n FROM pairs),
+t AS (SELECT *, 0.01 + (rank - 1) * (0.98 / (n - 1)) AS s FROM r),
+u AS (SELECT *, s - 0.5 AS q, sqrt(-2 * ln(least(s, 1 - s))) AS e FROM t)
+SELECT rank, round(residual, 6) AS residual, round({QUANTILE_SQL}, 6) AS theoretical FROM u""",
     "error_by_magnitude": f"""WITH {PAIRS_SQL}, e AS (SELECT min(abs(y_true)) AS low, max(abs(y_true)) AS high FROM pairs),
 b AS (SELECT floor((abs(y_true) - low) / ((high - low) / 9))::INTEGER + 1 AS bin, abs(y_true - y_pred) AS err, low, (high - low) / 9 AS step FROM pairs, e)
 SELECT bin, round(max(low) + (bin - 0.5) * max(step), 6) AS bin_center, round(avg(err), 6) AS mae, count(*) AS n FROM b WHERE bin < 10 GROUP BY bin""",

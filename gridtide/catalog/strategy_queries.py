@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.catalog.inputs import MARKET_SQL, PRICED_SQL, market, priced, rounded, scientific
+from gridtide.catalog.inputs import (EVENTS, EVENTS_SQL, MARKET_SQL, PRICED_SQL, SUPPLIERS_SQL, events, market, priced, rounded,
+                                     scientific, suppliers_daily)
 from gridtide.operators import strategies as S
 from gridtide.operators import trading as T
 from gridtide.plans.backtest import backtest_report
@@ -12,25 +13,27 @@ from gridtide.plans.timeline import windowed
 
 # ---- DuckDB views -------------------------------------------------------------------------------
 
-CHANNEL = f"""WITH {PRICED_SQL},
-channel AS (
+def channel_sql(source: str = "priced", key: str = "series_id", ts: str = "trade_date", n: int = 14) -> str:
+    over = f"PARTITION BY {key} ORDER BY {ts}"
+    return f"""channel AS (
 SELECT *, row_number() OVER o - 1 AS rn,
-       CASE WHEN count(price) OVER f = 14 THEN quantile_cont(price, 0.2) OVER f END AS pct_low,
-       CASE WHEN count(price) OVER f = 14 THEN quantile_cont(price, 0.8) OVER f END AS pct_high
-FROM priced
-WINDOW o AS (PARTITION BY series_id ORDER BY trade_date),
-       f AS (PARTITION BY series_id ORDER BY trade_date ROWS 13 PRECEDING)),
+       CASE WHEN count(price) OVER f = {n} THEN quantile_cont(price, 0.2) OVER f END AS pct_low,
+       CASE WHEN count(price) OVER f = {n} THEN quantile_cont(price, 0.8) OVER f END AS pct_high
+FROM {source}
+WINDOW o AS ({over}), f AS ({over} ROWS {n - 1} PRECEDING)),
 signals AS (
-SELECT *, CASE WHEN rn >= 14 AND price <= pct_low THEN 1 WHEN rn >= 14 AND price >= pct_high THEN -1 ELSE 0 END AS signal
+SELECT *, CASE WHEN rn >= {n} AND price <= pct_low THEN 1 WHEN rn >= {n} AND price >= pct_high THEN -1 ELSE 0 END AS signal
 FROM channel),
 strategy AS (
-SELECT *, coalesce(last_value(nullif(signal, 0) IGNORE NULLS)
-                   OVER (PARTITION BY series_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 0) AS position
+SELECT *, coalesce(last_value(nullif(signal, 0) IGNORE NULLS) OVER ({over} ROWS UNBOUNDED PRECEDING), 0) AS position
 FROM signals),
 returns AS (
 SELECT *, coalesce((lead(price) OVER o - price) / price, 0) AS actual_return,
        position * coalesce((lead(price) OVER o - price) / price, 0) AS strategy_return
-FROM strategy WINDOW o AS (PARTITION BY series_id ORDER BY trade_date))"""
+FROM strategy WINDOW o AS ({over}))"""
+
+
+CHANNEL = f"WITH {PRICED_SQL},\n{channel_sql()}"
 
 
 def metrics_sql(r: str) -> str:
@@ -41,23 +44,23 @@ def metrics_sql(r: str) -> str:
        round(coalesce(avg({r}), 0), 6) AS avg_return"""
 
 
-def breakout_sql(source: str = "priced") -> str:
+def breakout_sql(source: str = "priced", key: str = "series_id", ts: str = "trade_date") -> str:
     return f"""raw AS (
-SELECT series_id, trade_date, price, row_number() OVER o AS rn,
+SELECT *, row_number() OVER o AS rn,
        CASE WHEN count(*) OVER past >= 20 AND lag(price, 1) OVER o > lag(price, 5) OVER o * 1.02
                  AND price > max(price) OVER past THEN 1
             WHEN count(*) OVER past >= 20 AND lag(price, 1) OVER o < lag(price, 5) OVER o * 0.98
                  AND price < min(price) OVER past THEN -1 END AS raw
 FROM {source}
-WINDOW o AS (PARTITION BY series_id ORDER BY trade_date),
-       past AS (PARTITION BY series_id ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+WINDOW o AS (PARTITION BY {key} ORDER BY {ts}),
+       past AS (PARTITION BY {key} ORDER BY {ts} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 held AS (
 SELECT *, coalesce(last_value(raw IGNORE NULLS)
-                   OVER (PARTITION BY series_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 0) AS position
+                   OVER (PARTITION BY {key} ORDER BY {ts} ROWS UNBOUNDED PRECEDING), 0) AS position
 FROM raw),
 bos AS (
 SELECT *, CASE WHEN position <> coalesce(lag(position) OVER o, 0) THEN position ELSE 0 END AS signal
-FROM held WINDOW o AS (PARTITION BY series_id ORDER BY trade_date))"""
+FROM held WINDOW o AS (PARTITION BY {key} ORDER BY {ts}))"""
 
 
 BOS = f"WITH {PRICED_SQL},\n{breakout_sql()}"
@@ -118,6 +121,10 @@ def backtest(spark, sf):
     return rounded(backtest_report(market(spark, sf), S.percentile_strategy))
 
 
+def _events_strategy(spark, sf):
+    return S.percentile_strategy(events(spark, sf), 20, order=EVENTS)
+
+
 def _known(df):
     return df.filter("actual IS NOT NULL AND pred IS NOT NULL")
 
@@ -126,6 +133,10 @@ QUERIES = {
     "backtest_report": backtest,
     "backtest_report_bos": lambda s, d: rounded(
         backtest_report(market(s, d), S.bos_strategy, start="1996-01-01", end="1999-12-31")),
+    "backtest_by_supplier": lambda s, d: rounded(backtest_report(suppliers_daily(s, d), S.percentile_strategy)),
+    "backtest_events": lambda s, d: rounded(backtest_report(events(s, d), S.percentile_strategy, order=EVENTS, window=20)),
+    "events_percentile_strategy": lambda s, d: _events_strategy(s, d).select("event_id", "signal", "position"),
+    "events_bos_strategy": lambda s, d: S.bos_strategy(events(s, d), order=EVENTS).select("event_id", "signal", "position"),
     "rolling_percentile": lambda s, d: rounded(
         S.rolling_percentile(priced(s, d).select("series_id", "trade_date", "price"))),
     "percentile_strategy": lambda s, d: rounded(_channel(s, d)),
@@ -163,6 +174,14 @@ priced AS (SELECT * FROM market WHERE price > 0 AND trade_date BETWEEN DATE '199
 {breakout_sql()},
 r AS (SELECT series_id, position * coalesce((lead(price) OVER (PARTITION BY series_id ORDER BY trade_date) - price) / price, 0) AS r FROM bos)
 SELECT series_id, {metrics_sql('r')} FROM r GROUP BY series_id""",
+    "backtest_by_supplier": f"""WITH {SUPPLIERS_SQL}, {channel_sql('suppliers')}
+SELECT series_id, {metrics_sql('strategy_return')} FROM returns GROUP BY series_id""",
+    "backtest_events": f"""WITH {EVENTS_SQL}, positive AS (SELECT * FROM ev WHERE price > 0), {channel_sql('positive', 'event_type', 'ts, event_id', 20)}
+SELECT event_type, {metrics_sql('strategy_return')} FROM returns GROUP BY event_type""",
+    "events_percentile_strategy": f"""WITH {EVENTS_SQL}, {channel_sql('ev', 'event_type', 'ts, event_id', 20)}
+SELECT event_id, signal, position FROM strategy""",
+    "events_bos_strategy": f"""WITH {EVENTS_SQL}, {breakout_sql('ev', 'event_type', 'ts, event_id')}
+SELECT event_id, signal, position FROM bos""",
     "rolling_percentile": f"""{CHANNEL} SELECT series_id, trade_date, price,
        round(pct_low, 6) AS pct_low, round(pct_high, 6) AS pct_high FROM channel""",
     "percentile_strategy": f"""{CHANNEL} SELECT series_id, trade_date, price, round(pct_low, 6) AS pct_low,

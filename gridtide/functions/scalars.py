@@ -56,17 +56,17 @@ def polynomial(x: Column, coefficients: list[float]) -> Column:
 
 # Coefficients of the published rational approximation of the inverse normal
 # distribution (Acklam); relative error below 1.2e-9.
-_A = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
-_B = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
-_C = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
-_D = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
-_TAIL = 0.02425
+CENTRE_TOP = [-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239]
+CENTRE_BOTTOM = [-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0]
+TAIL_TOP = [-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783]
+TAIL_BOTTOM = [0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0]
+TAIL = 0.02425
 
 
 def inverse_normal(p: Column) -> Column:
     """Quantile of the standard normal distribution for 0 < p < 1."""
     edge = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
-    tail = polynomial(edge, _C) / polynomial(edge, _D)
+    tail = polynomial(edge, TAIL_TOP) / polynomial(edge, TAIL_BOTTOM)
     q = p - 0.5
-    centre = polynomial(q * q, _A) * q / polynomial(q * q, _B)
-    return F.when(p < _TAIL, tail).when(p > 1 - _TAIL, -tail).otherwise(centre)
+    centre = polynomial(q * q, CENTRE_TOP) * q / polynomial(q * q, CENTRE_BOTTOM)
+    return F.when(p < TAIL, tail).when(p > 1 - TAIL, -tail).otherwise(centre)

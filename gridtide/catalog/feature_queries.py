@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.catalog.inputs import (EVENTS, EVENTS_SQL, MARKET_SQL, PRICED_SQL, events, market, priced, rounded)
-from gridtide.functions.scalars import uniform_hash
+from gridtide.catalog.inputs import (EVENTS, EVENTS_SQL, LINE_KEY, LINES, LINES_OVER, LINES_SQL, MARKET_SQL, PRICED_SQL, events, lines, market,
+                                     priced, rounded)
 from gridtide.operators import cleaning as C
 from gridtide.operators import features as X
 from gridtide.operators import scaling as Z
@@ -13,6 +13,7 @@ from gridtide.operators import sequences as Q
 from gridtide.operators import statistics as A
 from gridtide.operators import targets as Y
 from gridtide.plans.dataset import make_dataset
+from gridtide.plans.timeline import windowed
 from gridtide.sources.market import CORE, numeric_projection
 
 KEY = ("series_id", "trade_date")
@@ -146,6 +147,21 @@ def _events_feature(spark, sf):
     return X.rolling_mean(events(spark, sf), ["price"], 30, order=EVENTS)
 
 
+def _lines_features(spark, sf):
+    """Look-back and look-ahead windows over long series in one layout."""
+    out = windowed(lines(spark, sf), lambda w: {
+        "mean30": F.avg("price").over(w.rowsBetween(-29, 0)), "lag9": F.lag("price", 9).over(w),
+        "ahead": F.lead("price", 3).over(w)}, order=LINES, lookback=29, lookahead=3)
+    return rounded(out.select(*LINE_KEY, "mean30", "lag9", "ahead"), exact=("lag9", "ahead"))
+
+
+def _lines_fill(spark, sf):
+    gaps = lines(spark, sf).withColumn("price", F.when(F.col("l_discount") > 0.045, F.col("price")))
+    order = LINES.resolved(gaps)
+    forward = order.cut(C.forward_fill(gaps, ["price"], order))
+    return C.backward_fill(forward, ["price"], order).select(*LINE_KEY, "price")
+
+
 def _dataset(spark, sf, **options):
     return make_dataset(market(spark, sf), **options)
 
@@ -217,6 +233,9 @@ QUERIES = {
         _events_feature(s, d).select("event_type", "event_id", "price_rolling_mean_30d"), 4),
     "events_pct_change": lambda s, d: rounded(
         X.pct_change(events(s, d), ["price"], order=EVENTS).select("event_type", "event_id", "price_return"), 4),
+    "lines_features": _lines_features,
+    "lines_forward_fill": _lines_fill,
+    "lines_split": lambda s, d: Y.split_chronological(lines(s, d), order=LINES).select(*LINE_KEY, "idx", "split"),
     "forward_return": lambda s, d: _only(Y.forward_return(priced(s, d)), "ret_fwd"),
     "forward_return_horizon": lambda s, d: _only(Y.forward_return(priced(s, d), horizon=5), "ret_fwd"),
     "target_sign": lambda s, d: Y.build_targets(priced(s, d), "sign").select(*KEY, "y_target"),
@@ -320,6 +339,15 @@ FROM placed WINDOW f AS ({W} ROWS 13 PRECEDING)""",
        ORDER BY ts, event_id ROWS 29 PRECEDING), 4) AS price_rolling_mean_30d FROM ev""",
     "events_pct_change": f"""WITH {EVENTS_SQL} SELECT event_type, event_id,
        round(price / nullif(lag(price) OVER (PARTITION BY event_type ORDER BY ts, event_id), 0) - 1, 4) AS price_return FROM ev""",
+    "lines_features": f"""WITH {LINES_SQL} SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(avg(price) OVER f, 6) AS mean30,
+       lag(price, 9) OVER o AS lag9, lead(price, 3) OVER o AS ahead
+FROM lines WINDOW o AS ({LINES_OVER}), f AS ({LINES_OVER} ROWS 29 PRECEDING)""",
+    "lines_forward_fill": f"""WITH {LINES_SQL}, g AS (SELECT * REPLACE (CASE WHEN l_discount > 0.045 THEN price END AS price) FROM lines)
+SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(last_value(price IGNORE NULLS) OVER ({LINES_OVER} ROWS UNBOUNDED PRECEDING),
+       first_value(price IGNORE NULLS) OVER ({LINES_OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM g""",
+    "lines_split": f"""WITH {LINES_SQL}, p AS (SELECT *, row_number() OVER ({LINES_OVER}) - 1 AS idx, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lines)
+SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, idx, CASE WHEN idx < n - floor(n * 0.15) - floor(n * 0.15) THEN 'train'
+            WHEN idx < n - floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM p""",
     "forward_return": f"WITH {PRICED_SQL} SELECT series_id, trade_date, round(lead(price) OVER o / price - 1, 6) AS ret_fwd FROM priced {O}",
     "forward_return_horizon": f"""WITH {PRICED_SQL} SELECT series_id, trade_date,
        round(lead(price, 5) OVER o / lead(price, 4) OVER o - 1, 6) AS ret_fwd FROM priced {O}""",

@@ -9,11 +9,12 @@ from gridtide.functions.scalars import uniform_hash
 from gridtide.operators.cleaning import filter_positive_price
 from gridtide.operators.curves import residuals
 from gridtide.plans.timeline import SeriesOrder, windowed
-from gridtide.sources.market import market_daily
+from gridtide.sources.market import hundredths, market_daily
 
 EVENTS = SeriesOrder(keys=("event_type",), ts="ts", tie=("event_id",))
-ORDERS = SeriesOrder(keys=("o_orderstatus",), ts="o_orderdate", tie=("o_orderkey",))
-SCORES = SeriesOrder(keys=(), ts="doc_id")
+# Line items as three long series, in blocks that are small enough to be many at every scale.
+LINE_KEY = ("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+LINES = SeriesOrder(keys=("l_returnflag",), ts="l_shipdate", tie=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), block_rows=8_192)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,10 +33,10 @@ def priced(spark: SparkSession, sf: str) -> DataFrame:
 
 def suppliers_daily(spark: SparkSession, sf: str) -> DataFrame:
     """A daily price for every supplier: many series, together as long as the line items."""
-    exact = [F.sum(F.col(c).cast("decimal(18,2)")).cast("double") for c in ("l_extendedprice", "l_quantity")]
+    value, quantity = (hundredths(F.col(c)) for c in ("l_extendedprice", "l_quantity"))
     return table(spark, sf, "lineitem").groupBy(
         F.col("l_suppkey").alias("series_id"), F.col("l_shipdate").cast("date").alias("trade_date")).agg(
-        (exact[0] / exact[1]).alias("price"))
+        ((value / 100.0) / (quantity / 100.0)).alias("price"))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,6 +44,12 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_type", "ts", "event_id", F.col("value").alias("price"))
 
 
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line item as one row of a long series, priced by its unit price."""
+    return table(spark, sf, "lineitem").select(
+        *LINE_KEY, "l_shipdate", "l_discount", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Binary labels with a probability-like score."""
     quality = F.col("quality").cast("int")
@@ -54,7 +61,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """True and predicted values: an order's total and the mean of its day, in 100,000s."""
     orders = table(spark, sf, "orders").select(
         "o_orderstatus", "o_orderkey", F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_totalprice")
-    total = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double")
+    total = hundredths(F.col("o_totalprice")) / 100.0
     daily = orders.groupBy("o_orderdate").agg((total / F.count(F.lit(1)) / 100000).alias("y_pred"))
     return orders.join(daily, "o_orderdate").select(
         "o_orderstatus", "o_orderkey", "o_orderdate", (F.col("o_totalprice") / 100000).alias("y_true"), "y_pred")
@@ -92,6 +99,10 @@ SELECT l_suppkey AS series_id, CAST(l_shipdate AS DATE) AS trade_date,
        CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS price
 FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))"""
 
+LINES_SQL = """lines AS (
+SELECT l_returnflag, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_extendedprice / l_quantity AS price FROM lineitem)"""
+LINES_OVER = "PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
 EVENTS_SQL = "ev AS (SELECT event_type, ts, event_id, value AS price FROM events)"
 
 SCORES_SQL = """scores AS (
@@ -109,12 +120,17 @@ SELECT o.o_orderstatus, o.o_orderkey, CAST(o.o_orderdate AS DATE) AS o_orderdate
 FROM orders o JOIN daily d ON CAST(o.o_orderdate AS DATE) = d.o_orderdate)"""
 
 
-def naive_forecast(spark: SparkSession, sf: str) -> DataFrame:
+def event_order(spark: SparkSession, sf: str) -> SeriesOrder:
+    """The order of events with its buckets looked up once for all steps of a query."""
+    return EVENTS.resolved(events(spark, sf))
+
+
+def naive_forecast(spark: SparkSession, sf: str, order: SeriesOrder = EVENTS) -> DataFrame:
     """Long series with the value before as the forecast, and the residual of it."""
     def previous(w):
         return {"y_pred": F.lag("price").over(w)}
 
-    rows = windowed(events(spark, sf), previous, order=EVENTS, lookback=1).withColumnRenamed("price", "y_true")
+    rows = windowed(events(spark, sf), previous, order=order, lookback=1).withColumnRenamed("price", "y_true")
     return residuals(rows.filter(F.col("y_pred").isNotNull()))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.catalog.inputs import (EVENTS, MARKET_SQL, NAIVE_SQL, PRICED_SQL, SCORES_SQL, market, naive_forecast, priced, rounded,
+from gridtide.catalog.inputs import (MARKET_SQL, NAIVE_SQL, PRICED_SQL, SCORES_SQL, event_order, market, naive_forecast, priced, rounded,
                                      scores)
 from gridtide.functions import scalars as U
 from gridtide.models.arx import Arx, arx_forecast, arx_order_select, refit_range_join, rolling_arx_forecast, stationarity_test
@@ -145,7 +145,8 @@ def _single_lag(spark, sf):
 
 def _events_arx(spark, sf):
     """Long series: the naive residual of events, forecast one step ahead."""
-    out = rolling_arx_forecast(naive_forecast(spark, sf), Arx(1, 0, 7, 0, (), "residual"), order=EVENTS)
+    order = event_order(spark, sf)
+    out = rolling_arx_forecast(order.cut(naive_forecast(spark, sf, order)), Arx(1, 0, 7, 0, (), "residual"), order=order)
     return rounded(out.filter("y_pred IS NOT NULL").select("event_type", "idx", "y_pred"), 4)
 
 

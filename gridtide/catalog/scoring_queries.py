@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.catalog.inputs import (EVENTS, NAIVE_SQL, PAIRS_SQL, PRICED_SQL, SCORES_SQL, naive_forecast, pairs, priced,
+from gridtide.catalog.inputs import (NAIVE_SQL, PAIRS_SQL, PRICED_SQL, SCORES_SQL, event_order, naive_forecast, pairs, priced,
                                      rounded, scores)
 from gridtide.catalog.strategy_queries import metrics_sql
 from gridtide.functions import scalars as U
@@ -12,6 +12,21 @@ from gridtide.operators import curves as R
 from gridtide.operators import scoring as M
 from gridtide.plans.timeline import windowed
 
+
+
+def _over_events(spark, sf, step):
+    """A step over the naive forecast of events, which is written out before it is read twice."""
+    order = event_order(spark, sf)
+    return step(order.cut(naive_forecast(spark, sf, order)), order)
+
+
+def _aligned(spark, sf):
+    order = event_order(spark, sf)
+    rows = naive_forecast(spark, sf, order)
+    keys = ["event_type", "event_id"]
+    return rounded(M.align_by_position(rows.select(*keys, "y_true"), rows.select(*keys, "y_pred"), keys))
+
+
 LEVELS = R.evenly(0.1, 0.9, 50)
 HASH_SPLIT = 0.7
 
@@ -147,9 +162,7 @@ QUANTILE_SQL = f"""CASE WHEN s < {U.TAIL} THEN {horner('e', U.TAIL_TOP)} / {horn
        ELSE {horner('(q * q)', U.CENTRE_TOP)} * q / {horner('(q * q)', U.CENTRE_BOTTOM)} END"""
 
 QUERIES = {
-    "align_by_position": lambda s, d: rounded(M.align_by_position(
-        naive_forecast(s, d).select("event_type", "event_id", "y_true"),
-        naive_forecast(s, d).select("event_type", "event_id", "y_pred"), ["event_type", "event_id"])),
+    "align_by_position": _aligned,
     "regression_metrics": lambda s, d: rounded(M.regression_metrics(pairs(s, d), by=["o_orderstatus"])),
     "r2_score": lambda s, d: rounded(M.r2_score(pairs(s, d))),
     "mape_variants": lambda s, d: rounded(M.mape_variants(pairs(s, d))),
@@ -174,15 +187,14 @@ QUERIES = {
     "calibration_curve": lambda s, d: rounded(R.calibration_curve(scores(s, d))),
     "probability_histogram": lambda s, d: rounded(R.probability_histogram(scores(s, d))),
     "outcome_histogram": lambda s, d: rounded(R.outcome_histogram(scores(s, d))),
-    "prediction_timeline": lambda s, d: rounded(R.prediction_timeline(naive_forecast(s, d), "y_true", "y_pred", order=EVENTS)
-                                                .select("event_id", "idx", "y_true", "y_pred")),
+    "prediction_timeline": lambda s, d: rounded(_over_events(
+        s, d, lambda rows, o: R.prediction_timeline(rows, "y_true", "y_pred", order=o)).select("event_id", "idx", "y_true", "y_pred")),
     "residuals": lambda s, d: rounded(naive_forecast(s, d).select("event_type", "event_id", "residual")),
-    "rolling_residual_mean": lambda s, d: rounded(R.rolling_residual_mean(naive_forecast(s, d), 100, order=EVENTS)
-                                                  .select("event_id", "rolling_mean")),
-    "rolling_rmse": lambda s, d: rounded(R.rolling_rmse(
-        R.with_index(EVENTS.cut(naive_forecast(s, d)), EVENTS), 100, order=EVENTS), 5),
+    "rolling_residual_mean": lambda s, d: rounded(_over_events(
+        s, d, lambda rows, o: R.rolling_residual_mean(rows, 100, order=o)).select("event_id", "rolling_mean")),
+    "rolling_rmse": lambda s, d: rounded(_over_events(s, d, lambda rows, o: R.rolling_rmse(rows, 100, order=o)), 5),
     "residual_histogram": lambda s, d: rounded(R.residual_histogram(R.residuals(pairs(s, d)))),
-    "qq_points": lambda s, d: rounded(R.qq_points(R.residuals(pairs(s, d)), tie=["o_orderkey"])),
+    "qq_points": lambda s, d: rounded(R.qq_points(R.residuals(pairs(s, d)), tie=["o_orderkey"]), 11),
     "error_by_magnitude": lambda s, d: rounded(R.error_by_magnitude(R.residuals(pairs(s, d)))),
 }
 
@@ -255,7 +267,7 @@ SELECT event_type, idx - 99 AS window_start, round(sqrt(mse), 5) AS rolling_rmse
 r AS (SELECT row_number() OVER (ORDER BY y_true - y_pred, o_orderkey) AS rank, y_true - y_pred AS residual, count(*) OVER () AS n FROM pairs),
 t AS (SELECT *, 0.01 + (rank - 1) * (0.98 / (n - 1)) AS s FROM r),
 u AS (SELECT *, s - 0.5 AS q, sqrt(-2 * ln(least(s, 1 - s))) AS e FROM t)
-SELECT rank, round(residual, 6) AS residual, round({QUANTILE_SQL}, 6) AS theoretical FROM u""",
+SELECT rank, round(residual, 11) AS residual, round({QUANTILE_SQL}, 11) AS theoretical FROM u""",
     "error_by_magnitude": f"""WITH {PAIRS_SQL}, e AS (SELECT min(abs(y_true)) AS low, max(abs(y_true)) AS high FROM pairs),
 b AS (SELECT floor((abs(y_true) - low) / ((high - low) / 9))::INTEGER + 1 AS bin, abs(y_true - y_pred) AS err, low, (high - low) / 9 AS step FROM pairs, e)
 SELECT bin, round(max(low) + (bin - 0.5) * max(step), 6) AS bin_center, round(avg(err), 6) AS mae, count(*) AS n FROM b WHERE bin < 10 GROUP BY bin""",

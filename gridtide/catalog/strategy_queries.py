@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.catalog.inputs import (EVENTS, EVENTS_SQL, MARKET_SQL, PRICED_SQL, SUPPLIERS_SQL, events, market, priced, rounded,
-                                     scientific, suppliers_daily)
+from gridtide.catalog.inputs import (EVENTS, EVENTS_SQL, LINE_KEY, LINES, LINES_SQL, MARKET_SQL, PRICED_SQL, SUPPLIERS_SQL, events, lines, market,
+                                     priced, rounded, scientific, suppliers_daily)
 from gridtide.operators import strategies as S
 from gridtide.operators import trading as T
 from gridtide.plans.backtest import backtest_report
@@ -125,6 +125,14 @@ def _events_strategy(spark, sf):
     return S.percentile_strategy(events(spark, sf), 20, order=EVENTS)
 
 
+def _lines_balance(spark, sf):
+    """The account over long series: three carried states, one after the other."""
+    rows = lines(spark, sf)
+    order = LINES.resolved(rows)
+    out = S.bos_balance(order.cut(rows), order=order)
+    return scientific(out.select(*LINE_KEY, "position", "signal", "balance"), ["balance"])
+
+
 def _known(df):
     return df.filter("actual IS NOT NULL AND pred IS NOT NULL")
 
@@ -137,6 +145,8 @@ QUERIES = {
     "backtest_events": lambda s, d: rounded(backtest_report(events(s, d), S.percentile_strategy, order=EVENTS, window=20)),
     "events_percentile_strategy": lambda s, d: _events_strategy(s, d).select("event_id", "signal", "position"),
     "events_bos_strategy": lambda s, d: S.bos_strategy(events(s, d), order=EVENTS).select("event_id", "signal", "position"),
+    "backtest_lines": lambda s, d: rounded(backtest_report(lines(s, d), S.percentile_strategy, order=LINES)),
+    "lines_bos_balance": _lines_balance,
     "rolling_percentile": lambda s, d: rounded(
         S.rolling_percentile(priced(s, d).select("series_id", "trade_date", "price"))),
     "percentile_strategy": lambda s, d: rounded(_channel(s, d)),
@@ -182,6 +192,8 @@ SELECT event_type, {metrics_sql('strategy_return')} FROM returns GROUP BY event_
 SELECT event_id, signal, position FROM strategy""",
     "events_bos_strategy": f"""WITH {EVENTS_SQL}, {breakout_sql('ev', 'event_type', 'ts, event_id')}
 SELECT event_id, signal, position FROM bos""",
+    "backtest_lines": f"""WITH {LINES_SQL}, {channel_sql('lines', 'l_returnflag', 'l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey')}
+SELECT l_returnflag, {metrics_sql('strategy_return')} FROM returns GROUP BY l_returnflag""",
     "rolling_percentile": f"""{CHANNEL} SELECT series_id, trade_date, price,
        round(pct_low, 6) AS pct_low, round(pct_high, 6) AS pct_high FROM channel""",
     "percentile_strategy": f"""{CHANNEL} SELECT series_id, trade_date, price, round(pct_low, 6) AS pct_low,

@@ -244,7 +244,7 @@ def rolling_arx_forecast(df: DataFrame, model: Arx = Arx(), *, refit_every: int
         *(F.coalesce(F.sum(F.when(complete(xs, y), c)), F.lit(0.0)).alias(n) for n, c in products.items()))
     span = max_history // refit_every
     if order.blocked(df):
-        stretches = replace(order, ts="_chunk", tie=())
+        stretches = replace(order, ts="_chunk", tie=(), bucket_at=None)
     else:  # numbered by days, so that a short series stays whole
         stretches = SeriesOrder(order.keys, "_day")
         sums = sums.withColumn("_day", F.date_from_unix_date(F.col("_chunk").cast("int")))

@@ -12,7 +12,7 @@ from gridtide.functions.scalars import inverse_normal
 from gridtide.operators.scoring import outcome_bucket, score_counts
 from gridtide.plans.attach import attach
 from gridtide.plans.running import running_sums
-from gridtide.plans.timeline import SeriesOrder, windowed, with_index
+from gridtide.plans.timeline import SeriesFrame, SeriesOrder, windowed, with_index
 
 
 def _with_totals(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -128,24 +128,26 @@ def rolling_window_size(n: int) -> int:
     return max(20, n // 20)
 
 
-def _rolling(df: DataFrame, window: int, value: Column, name: str, order: SeriesOrder) -> DataFrame:
+def _full_mean(value: Column, window: int, name: str):
+    """The mean of the last `window` rows where all of them have a value."""
     def columns(w):
         frame = w.rowsBetween(1 - window, 0)
         return {name: F.when(F.count(value).over(frame) == window, F.avg(value).over(frame))}
 
-    return windowed(df, columns, order=order, lookback=window - 1)
+    return columns
 
 
 def rolling_residual_mean(df: DataFrame, window: int = 20, *, residual: str = "residual", order: SeriesOrder) -> DataFrame:
     """Mean residual of the last `window` rows, full windows only."""
-    return _rolling(df, window, F.col(residual), "rolling_mean", order)
+    return windowed(df, _full_mean(F.col(residual), window, "rolling_mean"), order=order, lookback=window - 1)
 
 
-def rolling_rmse(df: DataFrame, window: int = 20, *, residual: str = "residual", idx: str = "idx", order: SeriesOrder) -> DataFrame:
-    """RMSE of every full window, numbered by the window's first row."""
-    rows = _rolling(df, window, F.col(residual) * F.col(residual), "_mse", order)
-    full = rows.filter(F.col("_mse").isNotNull())
-    return full.select(*order.keys, (F.col(idx) - (window - 1)).alias("window_start"), F.sqrt("_mse").alias("rolling_rmse"))
+def rolling_rmse(df: DataFrame, window: int = 20, *, residual: str = "residual", order: SeriesOrder) -> DataFrame:
+    """RMSE of every full window, numbered by the position of the window's first row."""
+    square = F.col(residual) * F.col(residual)
+    frame = SeriesFrame.open(df, order, lookback=window - 1).index("_idx").with_columns(_full_mean(square, window, "_mse"))
+    full = frame.close().filter(F.col("_mse").isNotNull())
+    return full.select(*order.keys, (F.col("_idx") - (window - 1)).alias("window_start"), F.sqrt("_mse").alias("rolling_rmse"))
 
 
 def residual_histogram(df: DataFrame, residual: str = "residual", bins: int = 50) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.functions.scalars import direction_label, uniform_hash
-from gridtide.operators.trading import trading_metrics
+from gridtide.operators.trading import position_from_prediction, summarise_returns
 from gridtide.plans.attach import attach
 from gridtide.plans.running import running_sums
 
@@ -122,16 +122,8 @@ def classification_metrics(df: DataFrame, y: str = "y", pred: str = "p", by: Seq
     Which of the two the predictions are is only known once all are seen, so both readings are
     counted and the right one is kept.
     """
-    p = F.col(pred)
-    readings = {"prob": threshold_label(p), "label": p.cast("int")}
-    aggs = [is_probability(p).alias("is_probability")]
-    for name, label in readings.items():
-        aggs += [c.alias(f"{name}__{m}") for m, c in _classification(F.col(y), label).items()]
-        aggs += [c.cast("long").alias(f"{name}__{m}") for m, c in zip(("tp", "fp", "fn", "tn"), _counts(F.col(y), label))]
-    wide = df.groupBy(*by).agg(*aggs)
-    names = ("accuracy", "precision", "recall", "f1", "tp", "fp", "fn", "tn")
-    return wide.select(*by, "is_probability", *(
-        F.when(F.col("is_probability"), F.col(f"prob__{m}")).otherwise(F.col(f"label__{m}")).alias(m) for m in names))
+    wide = df.groupBy(*by).agg(*_both_readings(F.col(y), F.col(pred)))
+    return wide.select(*by, "is_probability", *_chosen_reading())
 
 
 def confusion_matrix(df: DataFrame, y: str = "y", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -224,24 +216,44 @@ def metric_comparison_table(tables: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def _both_readings(y: Column, p: Column) -> list[Column]:
+    """Aggregates of classification metrics with the predictions read as probabilities and as labels."""
+    aggs = [is_probability(p).alias("is_probability")]
+    for name, label in {"prob": threshold_label(p), "label": p.cast("int")}.items():
+        aggs += [c.alias(f"{name}__{m}") for m, c in _classification(y, label).items()]
+        aggs += [c.cast("long").alias(f"{name}__{m}") for m, c in zip(("tp", "fp", "fn", "tn"), _counts(y, label))]
+    return aggs
+
+
+def _chosen_reading() -> list[Column]:
+    names = ("accuracy", "precision", "recall", "f1", "tp", "fp", "fn", "tn")
+    return [F.when(F.col("is_probability"), F.col(f"prob__{m}")).otherwise(F.col(f"label__{m}")).alias(m) for m in names]
+
+
 def evaluate_model_outputs(df: DataFrame, task: str, *, y: str = "y_target", pred: str = "y_pred", returns: str = "ret_fwd",
                            rule: str = "sign", by: Sequence[str] = ()) -> DataFrame:
-    """Prediction and trading metrics of a model, as `base_*` and `trading_*` columns."""
+    """Prediction and trading metrics of a model, as `base_*` and `trading_*` columns.
+
+    One pass gives all of them but the AUC, which needs the scores in order.
+    """
+    actual, predicted = F.col(returns), F.col(pred)
     if task in ("classification", "sign"):
-        base = classification_metrics(df, y, pred, by).join(roc_auc(df, y, pred, by), list(by)) if by else (
-            classification_metrics(df, y, pred).crossJoin(F.broadcast(roc_auc(df, y, pred))))
-        base = base.withColumn("auc", F.when(F.col("is_probability"), F.col("auc"))).withColumn(
-            "confusion_matrix", F.to_json(F.array(F.array("tn", "fp"), F.array("fn", "tp")))).drop(
-            "is_probability", "tp", "fp", "fn", "tn")
-        trades = df.withColumn("_side", direction_label(F.col(pred)))
+        side, measures = direction_label(predicted), _both_readings(F.col(y), predicted)
     elif task in ("regression", "price"):
-        base = regression_metrics(df, y, pred, by)
-        trades = df.withColumn("_side", F.col(pred))
+        found = _regression(F.col(y), predicted)
+        side, measures = predicted, [found[m].alias(f"base_{m}") for m in ("mae", "mse", "rmse", "mape")]
     else:
         raise ValueError(f"unknown task {task!r}; use classification or regression")
-    base = base.select(*by, *(F.col(c).alias(f"base_{c}") for c in base.columns if c not in by))
-    traded = trading_metrics(trades, returns, "_side", rule, by)
-    traded = traded.select(*by, *(F.col(c).alias(f"trading_{c}") for c in traded.columns if c not in by))
-    return base.join(traded, list(by)) if by else base.crossJoin(F.broadcast(traded))  # one row each
-
-
+    traded = F.when(actual.isNotNull() & predicted.isNotNull(), position_from_prediction(side, rule) * actual)
+    trades = ("total_trades", "win_rate", "roi", "sharpe", "avg_return")
+    sums = [c.alias(f"trading_{n}") for n, c in zip(trades, summarise_returns(traded))]
+    wide = df.groupBy(*by).agg(*measures, *sums)
+    if task in ("regression", "price"):
+        return wide
+    matrix = F.to_json(F.array(F.array("tn", "fp"), F.array("fn", "tp"))).alias("base_confusion_matrix")
+    chosen = wide.select(*by, "is_probability", *_chosen_reading(), *(f"trading_{n}" for n in trades))
+    auc = roc_auc(df, y, pred, by)
+    joined = chosen.join(auc, list(by)) if by else chosen.crossJoin(F.broadcast(auc))  # one row each
+    return joined.select(*by, *(F.col(m).alias(f"base_{m}") for m in ("accuracy", "precision", "recall", "f1")),
+                         F.when(F.col("is_probability"), F.col("auc")).alias("base_auc"), matrix,
+                         *(f"trading_{n}" for n in trades))

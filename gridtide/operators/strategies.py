@@ -100,6 +100,7 @@ def _with_signal(df: DataFrame, order: SeriesOrder) -> DataFrame:
 def bos_strategy(df: DataFrame, *, window: int = 20, lookback: int = 5, price: str = "price",
                  order: SeriesOrder = DAILY) -> DataFrame:
     """Break of structure: add `signal` where a side is taken and `position` while it is held."""
+    order = order.resolved(df)
     held = _bos(df, window, lookback, price, order).close()
     return _with_signal(order.cut(held), order)
 
@@ -115,6 +116,7 @@ def bos_balance(df: DataFrame, capital: float = 10_000.0, *, window: int = 20, l
     if short_model not in SHORT_MODELS:
         raise ValueError(f"short_model must be one of {SHORT_MODELS}, got {short_model!r}")
     base = 1.0 if short_model == "marked" else 2.0
+    order = order.resolved(df)
     traded = order.cut(bos_strategy(df, window=window, lookback=lookback, price=price, order=order))
     entry = SeriesFrame.open(traded, order).running_last(
         {"_entry": F.when(F.col("signal") != 0, F.col(price))}).close()

@@ -39,6 +39,7 @@ def make_dataset(df: DataFrame, task: str = "sign", *, features_version: int = 2
     keeps the flagged rows. Scaling and zero prices only use training rows, balancing only drops
     training rows, and sequences never cross a split.
     """
+    order = order.resolved(df)
     if features_version == 1:
         rows = cleaning.real_price_flag(df)
         rows = order.cut(cleaning.forward_fill(rows, CORE, order))

@@ -12,7 +12,7 @@ where a bucket starts in its series. That table has one row per bucket of a long
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -27,6 +27,7 @@ BUCKET_ROWS = 4_096
 WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
 INTEGER_WIDTH = 1_024
 TIE_WIDTHS = (1_000_000_000, 1_000_000, 1_000)
+WHOLE = -1  # block number of a series in one piece
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ class SeriesOrder:
     ts: str = "trade_date"
     tie: tuple[str, ...] = ()
     block_rows: int | None = None
-    bucket_width: int | None = None
+    bucket_at: int | None = None
 
     def by(self) -> list[Column]:
         return [F.col(self.ts).asc_nulls_last(), *(F.col(c) for c in self.tie)]
@@ -52,6 +53,12 @@ class SeriesOrder:
     def columns(self) -> list[str]:
         return [*self.keys, self.ts, *self.tie]
 
+    def resolved(self, df: DataFrame) -> SeriesOrder:
+        """This order with its buckets chosen; they stay small enough for any part of these rows."""
+        if not self.blocked(df) or self.bucket_at is not None:
+            return self
+        return replace(self, bucket_at=_fitting_bucket(df, self))
+
     def cut(self, df: DataFrame) -> DataFrame:
         """Between steps of a plan: blocked orders read their input twice, so write it out first."""
         return cut(df) if self.blocked(df) else df
@@ -67,10 +74,13 @@ def _candidates(df: DataFrame, order: SeriesOrder) -> list[Column]:
     if isinstance(kind, T.DateType):
         found = [F.year(ts) * 12 + F.month(ts), F.unix_date(ts)]
     elif isinstance(kind, T.IntegralType):
-        found = [F.floor(ts / F.lit(order.bucket_width or INTEGER_WIDTH)), ts]
+        found = [F.floor(ts / F.lit(INTEGER_WIDTH)), ts]
     else:
-        micros = F.unix_micros(ts.cast("timestamp"))
-        found = [F.floor(micros / F.lit(w)) for w in ([order.bucket_width] if order.bucket_width else WIDTHS)]
+        if isinstance(kind, T.TimestampNTZType):  # without a zone, so that no clock change reorders rows
+            micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), ts)
+        else:
+            micros = F.unix_micros(ts)
+        found = [F.floor(micros / F.lit(w)) for w in WIDTHS]
     finest = found[-1]
     found = [F.struct(c.cast("long").alias("at"), F.lit(0).cast("long").alias("tie")) for c in found]
     if order.tie and isinstance(df.schema[order.tie[0]].dataType, T.IntegralType):
@@ -79,24 +89,29 @@ def _candidates(df: DataFrame, order: SeriesOrder) -> list[Column]:
     return found
 
 
-def _bucket(df: DataFrame, order: SeriesOrder) -> Column:
-    """The coarsest buckets that are small; a date or number alone bounds its bucket by being unique."""
+def _fitting_bucket(df: DataFrame, order: SeriesOrder) -> int:
+    """Number of the coarsest candidate whose buckets are small.
+
+    A date or number alone is unique, which bounds its buckets; else the fullest bucket is looked up.
+    """
+    if not order.tie and isinstance(df.schema[order.ts].dataType, (T.DateType, T.IntegralType)):
+        return 0
     found = _candidates(df, order)
-    bounded = not order.tie and isinstance(df.schema[order.ts].dataType, (T.DateType, T.IntegralType))
-    if bounded or order.bucket_width:
-        return found[0]
-    for bucket in found:
+    for at, bucket in enumerate(found):
         fullest = df.groupBy(*order.keys, bucket.alias("_bucket")).count().agg(F.max("count")).first()[0]
         if (fullest or 0) <= BUCKET_ROWS:
-            break
-    return bucket
+            return at
+    return len(found) - 1
 
 
 def _block_plan(df: DataFrame, order: SeriesOrder, bucket: Column, lookback: int, lookahead: int) -> DataFrame:
     """Per bucket of a long series: its first position, its block, and the blocks that need copies."""
     size = order.block_rows or BLOCK_ROWS
     by = Window.partitionBy(*order.keys).orderBy("_bucket")
-    counts = df.groupBy(*order.keys, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    named = df
+    for k in order.keys:
+        named = named.filter(F.col(k).isNotNull())
+    counts = named.groupBy(*order.keys, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(
         "*",
         (F.sum("_n").over(by) - F.col("_n")).alias("_start"),
@@ -134,21 +149,25 @@ class SeriesFrame:
         if not order.blocked(df):
             return cls(df, order, False, False)
         df = df.filter(F.col(order.ts).isNotNull())
-        bucket = _bucket(df, order)
+        order = order.resolved(df)
+        bucket = _candidates(df, order)[order.bucket_at]
         plan = _block_plan(df, order, bucket, lookback, lookahead)
         rows = df.withColumn("_bucket", bucket).join(plan, [*order.keys, "_bucket"], "left").drop("_bucket")
         rows = (
-            rows.withColumn("_home", F.coalesce("_home", F.lit(0).cast("long")))
-            .withColumn("_block", F.explode(F.coalesce("_blocks", F.array(F.lit(0).cast("long")))))
+            rows.withColumn("_home", F.coalesce("_home", F.lit(WHOLE).cast("long")))
+            .withColumn("_block", F.explode(F.coalesce("_blocks", F.array(F.lit(WHOLE).cast("long")))))
             .withColumn("_own", F.col("_block") == F.col("_home"))
             .drop("_home", "_blocks")
         )
         return cls(rows, order, True, lookback > 0 or lookahead > 0)
 
+    @property
+    def parts(self) -> list[str]:
+        return [*self.order.keys, "_block"] if self.is_blocked else list(self.order.keys)
+
     @property
     def window(self) -> WindowSpec:
-        parts = [*self.order.keys, "_block"] if self.is_blocked else self.order.keys
-        return Window.partitionBy(*parts).orderBy(*self.order.by())
+        return Window.partitionBy(*self.parts).orderBy(*self.order.by())
 
     def index(self, name: str = "idx") -> SeriesFrame:
         """Add the position of the row in its series, from 0."""
@@ -180,9 +199,9 @@ class SeriesFrame:
                  backward: bool) -> SeriesFrame:
         frame = self.own_rows()
         rows = frame.df.withColumns(dict(local))
-        # Rows of series in one piece have no start, and nothing to carry.
+        # Series in one piece have nothing to carry; as a condition on a window key this drops their rows early.
         per_block = (
-            frame.df.filter(F.col("_start").isNotNull())
+            frame.df.filter(F.col("_block") > F.lit(WHOLE))
             .groupBy(*self.order.keys, "_block")
             .agg(*(c.alias(f"_sum_{n}") for n, c in summary.items()))
         )
@@ -208,8 +227,10 @@ class SeriesFrame:
 
     def running_next(self, columns: Mapping[str, Column]) -> SeriesFrame:
         """Per name: the first non-null value of the expression from the row on."""
-        w = self.window.rowsBetween(0, Window.unboundedFollowing)
-        local = {n: F.first(c, ignorenulls=True).over(w) for n, c in columns.items()}
+        # From the end backwards: a frame that runs to the end would be read anew for every row.
+        w = Window.partitionBy(*self.parts).orderBy(*(c.desc() for c in self.order.by_columns()))
+        w = w.rowsBetween(Window.unboundedPreceding, 0)
+        local = {n: F.last(c, ignorenulls=True).over(w) for n, c in columns.items()}
         if not self.is_blocked:
             return self.with_columns(local)
         place = F.struct(*self.order.by_columns())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,12 +69,17 @@ def numeric_projection(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return df.select(*keep, *numeric)
 
 
+def hundredths(c: Column) -> Column:
+    """Sum of amounts with two decimals as a whole number of hundredths, the same in any order."""
+    return F.sum(F.rint(c * 100).cast("long"))
+
+
 def market_daily(lineitem: DataFrame) -> DataFrame:
     """One row per series (return flag) and ship date, with planted gaps (13th) and zero prices (27th)."""
     day = F.col("l_shipdate").cast("date")
 
     def exact(c):
-        return F.sum(c.cast("decimal(18,2)")).cast("double")
+        return hundredths(c) / 100.0
 
     daily = lineitem.groupBy(F.col("l_returnflag").alias("series_id"), day.alias("trade_date")).agg(
         exact(F.col("l_extendedprice")).alias("_value"),

@@ -95,8 +95,8 @@ def test_timestamps_with_ties(spark):
     at = dt.datetime(2020, 1, 1)
     data = [("a", at + dt.timedelta(seconds=i // 3), i, float(i * i % 17)) for i in range(600)]
     df = spark.createDataFrame(data, "k string, ts timestamp, id long, v double")
-    order = SeriesOrder(keys=("k",), ts="ts", tie=("id",), block_rows=50, bucket_width=5_000_000)
-    got = R._rolling(df, 20, F.col("v"), "m", order)
+    order = SeriesOrder(keys=("k",), ts="ts", tie=("id",), block_rows=50, bucket_at=3)
+    got = R.rolling_residual_mean(df, 20, residual="v", order=order).withColumnRenamed("rolling_mean", "m")
     expected = {i: sum(float(j * j % 17) for j in range(i - 19, i + 1)) / 20 for i in range(19, 600)}
     found = {r["id"]: r["m"] for r in got.collect()}
     assert len(found) == 600

@@ -33,6 +33,7 @@ SELECT *, coalesce((lead(price) OVER o - price) / price, 0) AS actual_return,
 FROM strategy WINDOW o AS ({over}))"""
 
 
+LINES_BY = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey"
 CHANNEL = f"WITH {PRICED_SQL},\n{channel_sql()}"
 
 
@@ -65,24 +66,28 @@ FROM held WINDOW o AS (PARTITION BY {key} ORDER BY {ts}))"""
 
 BOS = f"WITH {PRICED_SQL},\n{breakout_sql()}"
 
-# The account as a recursion over the trades of a series, the way a broker would book them.
-BALANCE = f"""WITH RECURSIVE {PRICED_SQL},
-{breakout_sql()},
+def balance_sql(views: str, source: str, key: str = "series_id", ts: str = "trade_date") -> str:
+    """The account as a recursion over the trades of a series, the way a broker would book them."""
+    return f"""WITH RECURSIVE {views},
+{breakout_sql(source, key, ts)},
 trades AS (
-SELECT series_id, rn, price AS entry, signal, row_number() OVER (PARTITION BY series_id ORDER BY rn) AS k
+SELECT {key}, rn, price AS entry, signal, row_number() OVER (PARTITION BY {key} ORDER BY rn) AS k
 FROM bos WHERE signal <> 0),
 book AS (
-SELECT series_id, k, rn, signal, entry, CAST(10000.0 AS DOUBLE) AS cash, 10000.0 / entry AS shares FROM trades WHERE k = 1
+SELECT {key}, k, rn, signal, entry, CAST(10000.0 AS DOUBLE) AS cash, 10000.0 / entry AS shares FROM trades WHERE k = 1
 UNION ALL
-SELECT t.series_id, t.k, t.rn, t.signal, t.entry,
+SELECT t.{key}, t.k, t.rn, t.signal, t.entry,
        CASE WHEN b.signal = 1 THEN b.shares * t.entry ELSE b.cash - b.shares * t.entry END,
        CASE WHEN b.signal = 1 THEN b.shares * t.entry ELSE b.cash - b.shares * t.entry END / t.entry
-FROM book b JOIN trades t ON t.series_id = b.series_id AND t.k = b.k + 1),
+FROM book b JOIN trades t ON t.{key} = b.{key} AND t.k = b.k + 1),
 account AS (
-SELECT s.series_id, s.trade_date, s.price, s.signal, s.position, coalesce(b.shares, 0) AS shares,
+SELECT s.* EXCLUDE (raw, rn), coalesce(b.shares, 0) AS shares,
        CASE WHEN s.position = 1 THEN b.shares * s.price
             WHEN s.position = -1 THEN b.cash - b.shares * s.price ELSE 10000.0 END AS balance
-FROM bos s ASOF LEFT JOIN book b ON s.series_id = b.series_id AND s.rn >= b.rn)"""
+FROM bos s ASOF LEFT JOIN book b ON s.{key} = b.{key} AND s.rn >= b.rn)"""
+
+
+BALANCE = balance_sql(PRICED_SQL, "priced")
 
 PREDICTED = f"""WITH {PRICED_SQL},
 predicted AS (
@@ -192,8 +197,10 @@ SELECT event_type, {metrics_sql('strategy_return')} FROM returns GROUP BY event_
 SELECT event_id, signal, position FROM strategy""",
     "events_bos_strategy": f"""WITH {EVENTS_SQL}, {breakout_sql('ev', 'event_type', 'ts, event_id')}
 SELECT event_id, signal, position FROM bos""",
-    "backtest_lines": f"""WITH {LINES_SQL}, {channel_sql('lines', 'l_returnflag', 'l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey')}
+    "backtest_lines": f"""WITH {LINES_SQL}, {channel_sql('lines', 'l_returnflag', LINES_BY)}
 SELECT l_returnflag, {metrics_sql('strategy_return')} FROM returns GROUP BY l_returnflag""",
+    "lines_bos_balance": balance_sql(LINES_SQL, "lines", "l_returnflag", LINES_BY) + f"""
+SELECT {', '.join(LINE_KEY)}, position, signal, printf('%.6e', balance) AS balance FROM account""",
     "rolling_percentile": f"""{CHANNEL} SELECT series_id, trade_date, price,
        round(pct_low, 6) AS pct_low, round(pct_high, 6) AS pct_high FROM channel""",
     "percentile_strategy": f"""{CHANNEL} SELECT series_id, trade_date, price, round(pct_low, 6) AS pct_low,

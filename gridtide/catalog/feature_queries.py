@@ -150,9 +150,9 @@ def _events_feature(spark, sf):
 def _lines_features(spark, sf):
     """Look-back and look-ahead windows over long series in one layout."""
     out = windowed(lines(spark, sf), lambda w: {
-        "mean30": F.avg("price").over(w.rowsBetween(-29, 0)), "lag9": F.lag("price", 9).over(w),
-        "ahead": F.lead("price", 3).over(w)}, order=LINES, lookback=29, lookahead=3)
-    return rounded(out.select(*LINE_KEY, "mean30", "lag9", "ahead"), exact=("lag9", "ahead"))
+        "mean29": F.avg("price").over(w.rowsBetween(-28, 0)), "lag9": F.lag("price", 9).over(w),
+        "ahead": F.lead("price", 3).over(w)}, order=LINES, lookback=28, lookahead=3)
+    return rounded(out.select(*LINE_KEY, "mean29", "lag9", "ahead"), exact=("lag9", "ahead"))
 
 
 def _lines_fill(spark, sf):
@@ -339,9 +339,9 @@ FROM placed WINDOW f AS ({W} ROWS 13 PRECEDING)""",
        ORDER BY ts, event_id ROWS 29 PRECEDING), 4) AS price_rolling_mean_30d FROM ev""",
     "events_pct_change": f"""WITH {EVENTS_SQL} SELECT event_type, event_id,
        round(price / nullif(lag(price) OVER (PARTITION BY event_type ORDER BY ts, event_id), 0) - 1, 4) AS price_return FROM ev""",
-    "lines_features": f"""WITH {LINES_SQL} SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(avg(price) OVER f, 6) AS mean30,
+    "lines_features": f"""WITH {LINES_SQL} SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, round(avg(price) OVER f, 6) AS mean29,
        lag(price, 9) OVER o AS lag9, lead(price, 3) OVER o AS ahead
-FROM lines WINDOW o AS ({LINES_OVER}), f AS ({LINES_OVER} ROWS 29 PRECEDING)""",
+FROM lines WINDOW o AS ({LINES_OVER}), f AS ({LINES_OVER} ROWS 28 PRECEDING)""",
     "lines_forward_fill": f"""WITH {LINES_SQL}, g AS (SELECT * REPLACE (CASE WHEN l_discount > 0.045 THEN price END AS price) FROM lines)
 SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(last_value(price IGNORE NULLS) OVER ({LINES_OVER} ROWS UNBOUNDED PRECEDING),
        first_value(price IGNORE NULLS) OVER ({LINES_OVER} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS price FROM g""",

@@ -50,11 +50,15 @@ def rbf_regression(data: Dataset, params: Mapping[str, Any]) -> Fitted:
     gamma = params.get("gamma", "scale")
     gamma = 1.0 / len(names) if gamma in ("scale", "auto") else float(gamma)
     rows = rows.withColumn("_lifted", fourier_features(names, params.get("components", 100), gamma))
-    rows = rows.withColumns({"features": array_to_vector("_lifted"), "y_target": F.col("y_target").cast("double")})
-    estimator = LinearRegression(labelCol="y_target", loss="huber", epsilon=params.get("epsilon", 1.35),
-                                 regParam=1.0 / (1.0 + params.get("C", 100)), maxIter=params.get("max_iter", 60))
-    model = estimator.fit(rows.filter(F.col("split") == "train"))
-    raw = F.col("prediction")
+    train = F.col("split") == "train"
+    # The robust loss wants residuals of about unit size: two numbers scale the target.
+    mean, spread = rows.filter(train).agg(F.avg("y_target"), F.stddev_pop("y_target")).first()
+    spread = spread or 1.0
+    rows = rows.withColumns({"features": array_to_vector("_lifted"), "_label": (F.col("y_target") - mean) / spread})
+    estimator = LinearRegression(labelCol="_label", loss="huber", epsilon=params.get("epsilon", 1.35),
+                                 regParam=1.0 / params.get("C", 1000), maxIter=params.get("max_iter", 60))
+    model = estimator.fit(rows.filter(train))
+    raw = F.col("prediction") * spread + mean
     scored = model.transform(rows.filter(F.col("split") != "train"))
     found = predictions(scored, score_to_probability(raw) if is_sign(data.task) else raw)
     return Fitted(found, {**params, "gamma": gamma, "features": len(names)}, pipeline_model(model), names)

@@ -75,7 +75,7 @@ def rounded(df: DataFrame, places: int = 6, exact: tuple[str, ...] = ("price",))
 
 def scientific(df: DataFrame, columns: list[str]) -> DataFrame:
     """Seven digits of numbers that compound to any size."""
-    return df.withColumns({c: F.format_string("%.6e", F.col(c)) for c in columns})
+    return df.withColumns({c: F.format_string("%.6e", F.col(c) + F.lit(0.0)) for c in columns})
 
 
 MARKET_SQL = """market AS (

@@ -32,17 +32,19 @@ def _unpack_channel(df: DataFrame) -> DataFrame:
     return df.withColumns({"pct_low": F.col("_pct")[0], "pct_high": F.col("_pct")[1]}).drop("_pct")
 
 
-def percentile_strategy(df: DataFrame, window: int = 14, low: float = 20, high: float = 80, *,
-                        price: str = "price", order: SeriesOrder = DAILY) -> DataFrame:
+def percentile_strategy(df: DataFrame, window: int = 14, low: float = 20, high: float = 80, *, price: str = "price",
+                        next_price: str | None = None, order: SeriesOrder = DAILY) -> DataFrame:
     """Buy at or below the low percentile, sell at or above the high one, hold in between.
 
-    The first signal may come on row `window`, one row after the first full window.
+    The first signal may come on row `window`, one row after the first full window. `next_price` names
+    a column to add with the price of the next row, for returns without another pass.
     """
     _check_channel(window, low, high)
-    frame = SeriesFrame.open(df, order, lookback=window)
+    frame = SeriesFrame.open(df, order, lookback=window, lookahead=1 if next_price else 0)
     frame = frame.with_columns(lambda w: {
         "_pct": rolling_percentiles(price, w, window, low, high),
         "_seen": F.count(F.lit(1)).over(w.rowsBetween(-window, 0)),
+        **_next(price, next_price, w),
     }).map(_unpack_channel)
     ready = F.col("_seen") > window
     signal = (
@@ -55,6 +57,10 @@ def percentile_strategy(df: DataFrame, window: int = 14, low: float = 20, high:
     return held.withColumn("position", F.coalesce("position", F.lit(0))).drop("_seen")
 
 
+def _next(price: str, name: str | None, w: WindowSpec) -> dict[str, Column]:
+    return {name: F.lead(price).over(w)} if name else {}
+
+
 def _trend(first: Column, last: Column) -> Column:
     return F.when(last > first * 1.02, UP).when(last < first * 0.98, DOWN).otherwise(SIDEWAYS)
 
@@ -85,24 +91,20 @@ def _breakout(price: str, window: int, lookback: int):
     return columns
 
 
-def _bos(df: DataFrame, window: int, lookback: int, price: str, order: SeriesOrder) -> SeriesFrame:
-    frame = SeriesFrame.open(df, order, lookback=max(window, lookback)).with_columns(_breakout(price, window, lookback))
-    return frame.running_last({"position": F.col("_raw")}).with_columns(
-        {"position": F.coalesce("position", F.lit(0))})
-
-
-def _with_signal(df: DataFrame, order: SeriesOrder) -> DataFrame:
-    changed = windowed(df, lambda w: {"_held": F.lag("position", 1, 0).over(w)}, order=order, lookback=1)
-    new = F.col("position") != F.col("_held")
-    return changed.withColumn("signal", F.when(new, F.col("position")).otherwise(0)).drop("_held", "_raw")
+def _bos(df: DataFrame, window: int, lookback: int, price: str, next_price: str | None, order: SeriesOrder) -> SeriesFrame:
+    """A breakout takes its side unless the side held before it is the same."""
+    frame = SeriesFrame.open(df, order, lookback=max(window, lookback), lookahead=1 if next_price else 0)
+    frame = frame.with_columns(_breakout(price, window, lookback)).with_columns(lambda w: _next(price, next_price, w))
+    frame = frame.running_last({"position": F.col("_raw")}, earlier={"_held": F.col("_raw")})
+    position, held = F.coalesce("position", F.lit(0)), F.coalesce("_held", F.lit(0))
+    return frame.with_columns({"position": position, "_held": held}).with_columns(
+        {"signal": F.when(F.col("position") != F.col("_held"), F.col("position")).otherwise(0)})
 
 
-def bos_strategy(df: DataFrame, *, window: int = 20, lookback: int = 5, price: str = "price",
+def bos_strategy(df: DataFrame, *, window: int = 20, lookback: int = 5, price: str = "price", next_price: str | None = None,
                  order: SeriesOrder = DAILY) -> DataFrame:
     """Break of structure: add `signal` where a side is taken and `position` while it is held."""
-    order = order.resolved(df)
-    held = _bos(df, window, lookback, price, order).close()
-    return _with_signal(order.cut(held), order)
+    return _bos(df, window, lookback, price, next_price, order).close().drop("_raw", "_held")
 
 
 def bos_balance(df: DataFrame, capital: float = 10_000.0, *, window: int = 20, lookback: int = 5,
@@ -116,21 +118,16 @@ def bos_balance(df: DataFrame, capital: float = 10_000.0, *, window: int = 20, l
     if short_model not in SHORT_MODELS:
         raise ValueError(f"short_model must be one of {SHORT_MODELS}, got {short_model!r}")
     base = 1.0 if short_model == "marked" else 2.0
-    order = order.resolved(df)
-    traded = order.cut(bos_strategy(df, window=window, lookback=lookback, price=price, order=order))
-    entry = SeriesFrame.open(traded, order).running_last(
-        {"_entry": F.when(F.col("signal") != 0, F.col(price))}).close()
-    entry = order.cut(entry)
-    frame = SeriesFrame.open(entry, order, lookback=1).with_columns(
-        lambda w: {"_closed": F.lag("_entry", 1).over(w), "_side": F.lag("position", 1, 0).over(w)})
+    traded = F.when(F.col("signal") != 0, F.col(price))
+    frame = _bos(df, window, lookback, price, None, order).cut()
+    frame = frame.running_last({"_entry": traded}, earlier={"_closed": traded}).cut()
     ratio = F.col(price) / F.col("_closed")
     factor = (
-        F.when((F.col("signal") == 0) | (F.col("_side") == 0), 1.0)
-        .when(F.col("_side") == 1, ratio)
+        F.when((F.col("signal") == 0) | (F.col("_held") == 0), 1.0)
+        .when(F.col("_held") == 1, ratio)
         .otherwise(base - ratio)
     )
-    frame = frame.with_columns({"_factor": factor}).running_product({"_growth": F.col("_factor")})
-    out = frame.close()
+    out = frame.running_product({"_growth": factor}).close()
     account = F.lit(float(capital)) * F.col("_growth")
     moved = F.col(price) / F.col("_entry")
     balance = (
@@ -141,7 +138,7 @@ def bos_balance(df: DataFrame, capital: float = 10_000.0, *, window: int = 20, l
     return out.withColumns({
         "shares": F.when(F.col("position") != 0, account / F.col("_entry")).otherwise(F.lit(0.0)),
         "balance": balance,
-    }).drop("_entry", "_closed", "_side", "_factor", "_growth")
+    }).drop("_raw", "_held", "_entry", "_closed", "_growth")
 
 
 def signal_events(df: DataFrame, *, signal: str = "signal") -> DataFrame:

@@ -54,13 +54,16 @@ def algo_return_summary(df: DataFrame, algo_return: str = "algo_return", by: Seq
     return df.groupBy(*by).agg(F.avg(r).alias("algo_returns_mean"), F.stddev_pop(r).alias("algo_returns_std"))
 
 
-def strategy_returns(df: DataFrame, *, price: str = "price", position: str = "position",
+def strategy_returns(df: DataFrame, *, price: str = "price", position: str = "position", next_price: str = "next_price",
                      order: SeriesOrder = DAILY) -> DataFrame:
-    """Add the return to the next row (0 on the last) and that return times the position."""
-    moved = windowed(df, lambda w: {"_next": lead(price, w)}, order=order, lookahead=1)
-    actual = F.coalesce((F.col("_next") - F.col(price)) / F.col(price), F.lit(0.0))
+    """Add the return to the next row (0 on the last) and that return times the position.
+
+    Rows that bring their next price along, in the column `next_price`, are not windowed again.
+    """
+    moved = df if next_price in df.columns else windowed(df, lambda w: {next_price: lead(price, w)}, order=order, lookahead=1)
+    actual = F.coalesce((F.col(next_price) - F.col(price)) / F.col(price), F.lit(0.0))
     return moved.withColumn("actual_return", actual).withColumn(
-        "strategy_return", F.col(position) * F.col("actual_return")).drop("_next")
+        "strategy_return", F.col(position) * F.col("actual_return")).drop(next_price)
 
 
 def compounded_roi(df: DataFrame, returns: str = "strategy_return", by: Sequence[str] = ()) -> DataFrame:

@@ -18,6 +18,6 @@ def backtest_report(df: DataFrame, strategy: Callable[..., DataFrame], *, start:
     rows = date_range_filter(df, start, end, ts=order.ts).filter(F.col(price) > 0)
     rows = rows.select(*order.columns(), price)
     order = order.resolved(rows)
-    signals = order.cut(strategy(rows, price=price, order=order, **params))
+    signals = strategy(rows, price=price, next_price="next_price", order=order, **params)
     returns = strategy_returns(signals, price=price, order=order)
     return trading_metrics_from_frame(returns, "strategy_return", by=order.keys)

@@ -213,15 +213,24 @@ class SeriesFrame:
         rows = rows.withColumns({n: merge(n) for n in local}).drop(*(f"_carry_{n}" for n in summary))
         return SeriesFrame(rows, self.order, True, False)
 
-    def running_last(self, columns: Mapping[str, Column]) -> SeriesFrame:
-        """Per name: the latest non-null value of the expression up to the row."""
-        w = self.window.rowsBetween(Window.unboundedPreceding, 0)
-        local = {n: F.last(c, ignorenulls=True).over(w) for n, c in columns.items()}
+    def cut(self) -> SeriesFrame:
+        """Between two carried states: blocked frames are read twice for each, so write them out first."""
+        if not self.is_blocked:
+            return self
+        return SeriesFrame(cut(self.own_rows().df), self.order, True, False)
+
+    def running_last(self, columns: Mapping[str, Column], earlier: Mapping[str, Column] | None = None) -> SeriesFrame:
+        """Per name: the latest non-null value of the expression up to the row; in `earlier` before the row."""
+        earlier = earlier or {}
+        upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        before = self.window.rowsBetween(Window.unboundedPreceding, -1)
+        local = {n: F.last(c, ignorenulls=True).over(upto) for n, c in columns.items()}
+        local.update({n: F.last(c, ignorenulls=True).over(before) for n, c in earlier.items()})
         if not self.is_blocked:
             return self.with_columns(local)
         place = F.struct(*self.order.by_columns())
         return self._carried(
-            local, {n: F.max_by(c, F.when(c.isNotNull(), place)) for n, c in columns.items()},
+            local, {n: F.max_by(c, F.when(c.isNotNull(), place)) for n, c in {**columns, **earlier}.items()},
             lambda s, w_: F.last(s, ignorenulls=True).over(w_),
             lambda n: F.coalesce(F.col(n), F.col(f"_carry_{n}")), backward=False)
 

@@ -143,6 +143,17 @@ def _single_lag(spark, sf):
     return rounded(out.filter("y_pred IS NOT NULL").select("series_id", "idx", "y_pred"), 5)
 
 
+def _recursive_lag(spark, sf):
+    """With one lag the fit is a line and the forecast feeds itself."""
+    out = arx_forecast(_moves(spark, sf), Arx(1, 0, 7, 0))
+    return rounded(out.select("series_id", "idx", "split", "y_pred"))
+
+
+def _dickey_fuller(spark, sf):
+    """Without lagged steps the test is the t value of a line's slope."""
+    return rounded(stationarity_test(_moves(spark, sf), max_lag=0), 4)
+
+
 def _events_arx(spark, sf):
     """Long series: the naive residual of events, forecast one step ahead."""
     order = event_order(spark, sf)
@@ -191,6 +202,8 @@ QUERIES = {
     "refit_range_join": _refits,
     "rolling_arx_single_lag": _single_lag,
     "events_rolling_arx": _events_arx,
+    "arx_forecast_single_lag": _recursive_lag,
+    "stationarity_test_plain": _dickey_fuller,
     "best_by_metric": _best,
     "model_store": _store,
     "random_forest": _forest,
@@ -252,6 +265,23 @@ cuts AS (SELECT DISTINCT series_id, idx // 50 * 50 AS cut FROM p)
 SELECT c.series_id, c.cut, count(*) AS n, min(trade_date) AS first, max(trade_date) AS last, round(sum(price), 4) AS total
 FROM cuts c JOIN p ON p.series_id = c.series_id AND p.idx < c.cut AND p.idx >= c.cut - 1000 GROUP BY c.series_id, c.cut""",
     "rolling_arx_single_lag": single_lag_sql(MOVES_SQL, "moves", "series_id", "m", 5),
+    "arx_forecast_single_lag": f"""WITH RECURSIVE {MOVES_SQL},
+placed AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n, lag(m) OVER (PARTITION BY series_id ORDER BY idx) AS l FROM moves),
+split AS (SELECT *, CASE WHEN idx < n - floor(n * 0.15) - floor(n * 0.15) THEN 'train' WHEN idx < n - floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM placed),
+fits AS (SELECT series_id, 'val' AS split, regr_slope(m, l) AS b, regr_intercept(m, l) AS a, max(idx) AS e, max_by(m, idx) AS m0
+       FROM split WHERE split = 'train' GROUP BY series_id
+       UNION ALL SELECT series_id, 'test', regr_slope(m, l), regr_intercept(m, l), max(idx), max_by(m, idx) FROM split WHERE split <> 'test' GROUP BY series_id),
+walk AS (SELECT series_id, split, e + 1 AS idx, a + b * m0 AS y_pred, a, b FROM fits
+       UNION ALL SELECT w.series_id, w.split, w.idx + 1, w.a + w.b * w.y_pred, w.a, w.b
+       FROM walk w JOIN split s ON s.series_id = w.series_id AND s.idx = w.idx + 1 AND s.split = w.split)
+SELECT series_id, idx, split, round(y_pred, 6) AS y_pred FROM walk""",
+    "stationarity_test_plain": f"""WITH {MOVES_SQL},
+d AS (SELECT series_id, m - lag(m) OVER o AS step, lag(m) OVER o AS before FROM moves WINDOW o AS (PARTITION BY series_id ORDER BY idx)),
+r AS (SELECT series_id, regr_count(step, before) AS n, regr_slope(step, before) AS b, regr_sxx(step, before) AS sxx, regr_syy(step, before) AS syy,
+       regr_sxy(step, before) AS sxy FROM d GROUP BY series_id),
+t AS (SELECT series_id, CAST(n AS DOUBLE) AS n, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS stat FROM r),
+c AS (SELECT *, -2.86154 + -2.8903 / n + -4.234 / (n * n) + -40.040 / (n * n * n) AS crit FROM t)
+SELECT series_id, round(stat, 4) AS statistic, 0 AS lags, n, round(crit, 4) AS critical, stat < crit AS is_stationary FROM c""",
     "events_rolling_arx": single_lag_sql(NAIVE_SQL, "naive", "event_type", "residual", 4),
     "best_by_metric": f"""WITH {NAIVE_SQL}, r AS (SELECT event_type, CASE WHEN y_pred > 0 THEN 1 ELSE -1 END * y_true AS r FROM naive),
 m AS (SELECT event_type, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS w, avg(r) / stddev_pop(r) * sqrt(252.0) AS s, -avg(r) AS e FROM r GROUP BY event_type)

@@ -37,8 +37,8 @@ class Arx:
     def reach(self) -> int:
         return max(self.lags(), default=0) + self.d
 
-    def regressors(self) -> list[Column]:
-        return [F.lit(1.0), *(F.col(f"_lag{k}") for k in self.lags()), *(F.col(c).cast("double") for c in self.exog)]
+    def regressors(self) -> list[str]:
+        return ["1D", *(f"_lag{k}" for k in self.lags()), *(f"CAST(`{c}` AS DOUBLE)" for c in self.exog)]
 
     def names(self) -> list[str]:
         return ["const", *(f"lag{k}" for k in self.lags()), *self.exog]
@@ -59,7 +59,7 @@ def with_lags(df: DataFrame, model: Arx, order: SeriesOrder = DAILY) -> DataFram
 def arx_fit(lagged: DataFrame, model: Arx, by: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per series: coefficients in the order of `model.names()`, SSE, AIC, BIC."""
     xs = model.regressors()
-    return fit_summed(normal_equations(lagged, xs, F.col("_y"), by), len(xs), by)
+    return fit_summed(normal_equations(lagged, xs, "_y", by), len(xs), by)
 
 
 def arx_order_select(df: DataFrame, *, max_p: int = 5, max_P: int = 2, s: int = 7, d: int = 0, exog: Sequence[str] = (),
@@ -80,7 +80,7 @@ def arx_order_select(df: DataFrame, *, max_p: int = 5, max_P: int = 2, s: int =
     subsets.sort(key=len)
     lagged = with_lags(df, widest, order)
     xs = widest.regressors()
-    fits = fit_summed(normal_equations(lagged, xs, F.col("_y"), order.keys), len(xs), order.keys, subsets)
+    fits = fit_summed(normal_equations(lagged, xs, "_y", order.keys), len(xs), order.keys, subsets)
     near = F.size(F.filter("used", lambda i: (i >= 1) & (i <= max_p)))
     season = [1 + lags.index(s * i) for i in range(1, max_P + 1)]
     far = F.size(F.filter("used", lambda i: i.isin(season) if season else F.lit(False)))
@@ -235,24 +235,24 @@ def rolling_arx_forecast(df: DataFrame, model: Arx = Arx(), *, refit_every: int
     Adds `y_pred`; rows before the first possible fit have none.
     """
     rows = order.cut(with_lags(df, model, order))
-    xs, y = model.regressors(), F.col("_y")
+    xs, y = model.regressors(), "_y"
     products = cross_sums(xs, y)
     chunk = _chunked(rows, refit_every, max_history)
     marked = rows.withColumn("_chunk", chunk)
     # Every stretch keeps a row, also one without complete values.
     sums = marked.groupBy(*order.keys, "_chunk").agg(
-        *(F.coalesce(F.sum(F.when(complete(xs, y), c)), F.lit(0.0)).alias(n) for n, c in products.items()))
+        *(F.expr(f"coalesce(sum(CASE WHEN {complete(xs, y)} THEN {c} END), 0D)").alias(n) for n, c in products.items()))
     span = max_history // refit_every
     if order.blocked(df):
         stretches = replace(order, ts="_chunk", tie=(), bucket_at=None)
     else:  # numbered by days, so that a short series stays whole
         stretches = SeriesOrder(order.keys, "_day")
         sums = sums.withColumn("_day", F.date_from_unix_date(F.col("_chunk").cast("int")))
-    before = windowed(stretches.cut(sums), lambda w: {n: F.sum(n).over(w.rowsBetween(-span, -1)) for n in products},
+    before = windowed(stretches.cut(sums), lambda w: {n: F.expr(f"sum({n})").over(w.rowsBetween(-span, -1)) for n in products},
                       order=stretches, lookback=span)
     fits = fit_summed(before.filter(F.col("n") > len(xs)), len(xs), [*order.keys, "_chunk"])
     joined = marked.join(fits.select(*order.keys, "_chunk", "coef"), [*order.keys, "_chunk"], "left")
-    step = predict(F.col("coef"), xs)
+    step = predict("coef", xs)
     undone = {0: F.lit(0.0), 1: F.col("_last")}
     if model.d:
         if model.d > 1:
@@ -280,8 +280,8 @@ def stationarity_test(df: DataFrame, y: str = "price_move", *, max_lag: int = 12
     frame = windowed(df, lambda w: {"_before": F.lag(y).over(w)}, lambda w: {"_step": F.col(y) - F.col("_before")},
                      lambda w: {f"_step{k}": F.lag("_step", k).over(w) for k in range(1, max_lag + 1)},
                      order=order, lookback=max_lag + 2)
-    xs = [F.lit(1.0), F.col("_before"), *(F.col(f"_step{k}") for k in range(1, max_lag + 1))]
-    sums = normal_equations(frame, xs, F.col("_step"), order.keys)
+    xs = ["1D", "_before", *(f"_step{k}" for k in range(1, max_lag + 1))]
+    sums = normal_equations(frame, xs, "_step", order.keys)
     subsets = [list(range(2 + k)) for k in range(max_lag + 1)]
     fits = fit_summed(sums, len(xs), order.keys, subsets, first=1)
     limit = critical_value(F.col("n"), level)

@@ -17,6 +17,8 @@ from gridtide.models.contract import Fitted, is_sign, pipeline_model, prediction
 from gridtide.operators.scaling import standard_scale
 from gridtide.operators.statistics import topk_features
 from gridtide.plans.dataset import Dataset
+from gridtide.plans.timeline import DAILY
+from gridtide.session import cut
 
 SEED = 42
 
@@ -55,6 +57,7 @@ def rbf_regression(data: Dataset, params: Mapping[str, Any]) -> Fitted:
     mean, spread = rows.filter(train).agg(F.avg("y_target"), F.stddev_pop("y_target")).first()
     spread = spread or 1.0
     rows = rows.withColumns({"features": array_to_vector("_lifted"), "_label": (F.col("y_target") - mean) / spread})
+    rows = cut(rows.select(*DAILY.columns(), "idx", "split", "y_target", "ret_fwd", "features", "_label"))
     estimator = LinearRegression(labelCol="_label", loss="huber", epsilon=params.get("epsilon", 1.35),
                                  regParam=1.0 / params.get("C", 1000), maxIter=params.get("max_iter", 60))
     model = estimator.fit(rows.filter(train))

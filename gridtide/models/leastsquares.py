@@ -10,31 +10,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cross_sums(xs: Sequence[Column], y: Column) -> dict[str, Column]:
-    """The products whose sums make up the normal equations, named a_i_j, b_i, yy and n."""
-    out = {f"a_{i}_{j}": xs[i] * xs[j] for i in range(len(xs)) for j in range(i + 1)}
-    out.update({f"b_{i}": x * y for i, x in enumerate(xs)})
-    out.update({"yy": y * y, "n": F.lit(1.0)})
+def cross_sums(xs: Sequence[str], y: str) -> dict[str, str]:
+    """The products whose sums make up the normal equations, named a_i_j, b_i, yy and n.
+
+    Regressors and products are SQL text: there are many, and each is a plain product.
+    """
+    out = {f"a_{i}_{j}": f"({xs[i]}) * ({xs[j]})" for i in range(len(xs)) for j in range(i + 1)}
+    out.update({f"b_{i}": f"({x}) * ({y})" for i, x in enumerate(xs)})
+    out.update({"yy": f"({y}) * ({y})", "n": "1D"})
     return out
 
 
-def complete(xs: Sequence[Column], y: Column) -> Column:
-    known = y.isNotNull()
-    for x in xs:
-        known = known & x.isNotNull()
-    return known
+def complete(xs: Sequence[str], y: str) -> str:
+    return " AND ".join(f"({c}) IS NOT NULL" for c in [y, *xs])
 
 
-def normal_equations(df: DataFrame, xs: Sequence[Column], y: Column, by: Sequence[str]) -> DataFrame:
+def normal_equations(df: DataFrame, xs: Sequence[str], y: str, by: Sequence[str]) -> DataFrame:
     """One row of sums per group, over the rows that have all values; sums combine before the shuffle."""
     products = cross_sums(xs, y)
-    return df.filter(complete(xs, y)).groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in products.items()))
+    return df.filter(complete(xs, y)).groupBy(*by).agg(*(F.expr(f"sum({c})").alias(n) for n, c in products.items()))
 
 
 def packed(k: int) -> list[Column]:
     """The summed columns as one lower triangle, one right side, yy and n."""
-    return [F.array(*(F.col(f"a_{i}_{j}") for i in range(k) for j in range(i + 1))).alias("xtx"),
-            F.array(*(F.col(f"b_{i}") for i in range(k))).alias("xty"), F.col("yy"), F.col("n")]
+    triangle = ", ".join(f"a_{i}_{j}" for i in range(k) for j in range(i + 1))
+    side = ", ".join(f"b_{i}" for i in range(k))
+    return [F.expr(f"array({triangle}) AS xtx"), F.expr(f"array({side}) AS xty"), F.col("yy"), F.col("n")]
 
 
 def unpack(xtx: np.ndarray, k: int) -> np.ndarray:
@@ -99,8 +100,5 @@ def fit_summed(sums: DataFrame, k: int, keep: Sequence[str], subsets: Sequence[S
     return ready.withColumn("_fit", fit("xtx", "xty", "yy", "n")).select(*keep, "_fit.*")
 
 
-def predict(coef: Column, xs: Sequence[Column]) -> Column:
-    out = F.lit(0.0)
-    for i, x in enumerate(xs):
-        out = out + coef[i] * x
-    return out
+def predict(coef: str, xs: Sequence[str]) -> Column:
+    return F.expr(" + ".join(f"{coef}[{i}] * ({x})" for i, x in enumerate(xs)))

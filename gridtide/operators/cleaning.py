@@ -56,10 +56,8 @@ def drop_any_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     One count of the missing values, not one condition per column: tables are wide here, and the
     optimizer would carry every single condition through the whole plan.
     """
-    missing = F.lit(0)
-    for c in columns or df.columns:
-        missing = missing + F.col(c).isNull().cast("int")
-    return df.filter(missing == 0)
+    missing = " + ".join(f"CAST(`{c}` IS NULL AS INT)" for c in columns or df.columns)
+    return df.filter(f"{missing} = 0")
 
 
 def inf_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

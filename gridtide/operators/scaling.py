@@ -13,29 +13,28 @@ from gridtide.plans.timeline import DAILY, SeriesOrder
 KINDS = ("standard", "minmax")
 
 
-def _statistics(kind: str, columns: Sequence[str], train: Column) -> dict[str, Column]:
-    """Per column the two training statistics a scaler needs."""
+def _statistics(kind: str, columns: Sequence[str], split: str) -> dict[str, Column]:
+    """Per column the two training statistics a scaler needs; as SQL text, since tables are wide."""
     if kind not in KINDS:
         raise ValueError(f"unknown scaler {kind!r}; use one of {KINDS}")
-    first, second = (F.avg, F.stddev_pop) if kind == "standard" else (F.min, F.max)
-    known = {c: F.when(train, F.col(c)) for c in columns}
-    return {f"{c}__{n}": f(x) for c, x in known.items() for n, f in (("offset", first), ("width", second))}
+    first, second = ("avg", "stddev_pop") if kind == "standard" else ("min", "max")
+    return {f"{c}__{n}": F.expr(f"{f}(CASE WHEN `{split}` = 'train' THEN `{c}` END)")
+            for c in columns for n, f in (("offset", first), ("width", second))}
 
 
 def _widths(df: DataFrame, kind: str, columns: Sequence[str]) -> DataFrame:
     """Second statistic to a positive width; a constant column, up to rounding noise, has width 1."""
     out = {}
     for c in columns:
-        offset, width = F.col(f"{c}__offset"), F.col(f"{c}__width")
-        width = width if kind == "standard" else width - offset
-        out[f"{c}__width"] = F.when(width > 1e-14 * F.abs(offset), width).otherwise(1.0)
+        width = f"`{c}__width`" if kind == "standard" else f"(`{c}__width` - `{c}__offset`)"
+        out[f"{c}__width"] = F.expr(f"CASE WHEN {width} > 1e-14D * abs(`{c}__offset`) THEN {width} ELSE 1D END")
     return df.withColumns(out)
 
 
 def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard", *, split: str = "split",
                by: Sequence[str] = ("series_id",)) -> DataFrame:
     """The scaler as a table: offsets and widths of the training rows, one row per group."""
-    stats = _statistics(kind, columns, F.col(split) == "train")
+    stats = _statistics(kind, columns, split)
     fitted = df.groupBy(*by).agg(*(c.alias(n) for n, c in stats.items()))
     return _widths(fitted, kind, columns)
 
@@ -47,14 +46,14 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str], *, by
 
 
 def _scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    scaled = {c: (F.col(c) - F.col(f"{c}__offset")) / F.col(f"{c}__width") for c in columns}
+    scaled = {c: F.expr(f"(`{c}` - `{c}__offset`) / `{c}__width`") for c in columns}
     return df.withColumns(scaled).drop(*(f"{c}__{s}" for c in columns for s in ("offset", "width")))
 
 
 def _scale(df: DataFrame, columns: Sequence[str], kind: str, split: str, per: bool, order: SeriesOrder) -> DataFrame:
     if not per:
         return apply_scaler(df, fit_scaler(df, columns, kind, split=split, by=()), columns, by=())
-    marked = per_series(df, _statistics(kind, columns, F.col(split) == "train"), order)
+    marked = per_series(df, _statistics(kind, columns, split), order)
     return _scaled(_widths(marked, kind, columns), columns)
 
 

@@ -210,6 +210,7 @@ QUERIES = {
         market(s, d).withColumn("ratio", F.when(F.col("temperature") == 0, float("inf")).otherwise(
             F.lit(1.0) / F.when(F.col("temperature") != 0, F.col("temperature"))))), "ratio"),
     "replace_zero_price": lambda s, d: rounded(C.replace_zero_price(market(s, d)).select(*KEY, "price"), exact=()),
+    "replace_zero_price_table": lambda s, d: rounded(C.replace_zero_price(market(s, d), per=False).select(*KEY, "price"), exact=()),
     "replace_zero_price_train_only": lambda s, d: rounded(
         C.replace_zero_price_train_only(Y.split_chronological(market(s, d))).select(*KEY, "price"), exact=()),
     "date_range_filter": lambda s, d: C.date_range_filter(market(s, d), "1996-03-01", "1997-02-28").select(*KEY, "price"),
@@ -292,6 +293,8 @@ SELECT series_id, trade_date, price FROM moved JOIN flat USING (series_id) WHERE
     "inf_to_null": f"""WITH {MARKET_SQL} SELECT series_id, trade_date, round(1.0 / nullif(temperature, 0), 6) AS ratio FROM market""",
     "replace_zero_price": f"""WITH {MARKET_SQL}, m AS (SELECT series_id, avg(price) AS mean FROM market WHERE price > 0 GROUP BY series_id)
 SELECT series_id, trade_date, round(CASE WHEN price = 0 THEN mean ELSE price END, 6) AS price FROM market JOIN m USING (series_id)""",
+    "replace_zero_price_table": f"""WITH {MARKET_SQL}, m AS (SELECT avg(price) AS mean FROM market WHERE price > 0)
+SELECT series_id, trade_date, round(CASE WHEN price = 0 THEN mean ELSE price END, 6) AS price FROM market, m""",
     "replace_zero_price_train_only": f"""WITH {MARKET_SQL},
 placed AS (SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM market {O}),
 m AS (SELECT series_id, avg(price) AS mean FROM placed WHERE price > 0 AND i < n - floor(n * 0.15) - floor(n * 0.15) GROUP BY series_id)

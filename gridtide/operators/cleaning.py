@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from gridtide.functions.scalars import nan_to_null
 from gridtide.functions.windows import difference
-from gridtide.plans.attach import attach, per_series
+from gridtide.plans.attach import per_series
 from gridtide.plans.timeline import DAILY, SeriesFrame, SeriesOrder, windowed
 from gridtide.sources.market import CORE
 
@@ -67,20 +67,25 @@ def inf_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.withColumns({c: nan_to_null(F.col(c)) for c in chosen})
 
 
-def replace_zero_price(df: DataFrame, *, price: str = "price", by: Sequence[str] = ("series_id",),
-                       known: Column | None = None, spread: Sequence[str] = ("trade_date",)) -> DataFrame:
-    """Zero prices become the mean of the positive ones (of the rows where `known` holds)."""
+def replace_zero_price(df: DataFrame, *, price: str = "price", known: Column | None = None, per: bool = True,
+                       order: SeriesOrder = DAILY) -> DataFrame:
+    """Zero prices become the mean of the positive ones (of the rows where `known` holds).
+
+    The mean is that of the series, or of the whole table with `per=False`.
+    """
     usable = F.col(price) > 0 if known is None else (F.col(price) > 0) & known
-    means = df.groupBy(*by).agg(F.avg(F.when(usable, F.col(price))).alias("_mean"))
-    joined = attach(df, means, by, spread=spread)
+    mean = F.avg(F.when(usable, F.col(price)))
+    if per:
+        marked = per_series(df, {"_mean": mean}, order)
+    else:
+        marked = df.crossJoin(F.broadcast(df.agg(mean.alias("_mean"))))  # one row
     filled = F.when(F.col(price) == 0, F.coalesce("_mean", F.col(price))).otherwise(F.col(price))
-    return joined.withColumn(price, filled).drop("_mean")
+    return marked.withColumn(price, filled).drop("_mean")
 
 
-def replace_zero_price_train_only(df: DataFrame, *, price: str = "price", split: str = "split",
-                                  by: Sequence[str] = ("series_id",),
-                                  spread: Sequence[str] = ("trade_date",)) -> DataFrame:
-    return replace_zero_price(df, price=price, by=by, known=F.col(split) == "train", spread=spread)
+def replace_zero_price_train_only(df: DataFrame, *, price: str = "price", split: str = "split", per: bool = True,
+                                  order: SeriesOrder = DAILY) -> DataFrame:
+    return replace_zero_price(df, price=price, known=F.col(split) == "train", per=per, order=order)
 
 
 def date_range_filter(df: DataFrame, start: str | None = None, end: str | None = None, *,

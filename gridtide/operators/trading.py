@@ -92,5 +92,5 @@ def cumulative_return_curve(df: DataFrame, *, actual: str = "actual_return", str
 def balance_roi(df: DataFrame, capital: float = 10_000.0, *, balance: str = "balance",
                 order: SeriesOrder = DAILY) -> DataFrame:
     """Growth of the last balance of every series over the starting capital, in percent."""
-    last = F.max_by(balance, F.struct(*order.by_columns()))
+    last = F.max_by(balance, order.place())
     return df.groupBy(*order.keys).agg(((last - capital) / capital * 100).alias("balance_roi"))

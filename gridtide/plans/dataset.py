@@ -44,7 +44,7 @@ def make_dataset(df: DataFrame, task: str = "sign", *, features_version: int = 2
         rows = cleaning.real_price_flag(df)
         rows = order.cut(cleaning.forward_fill(rows, CORE, order))
         rows = order.cut(targets.split_chronological(rows, test_size, val_size, by=split_by, order=order))
-        rows = cleaning.replace_zero_price_train_only(rows, by=order.keys, spread=order.columns())
+        rows = cleaning.replace_zero_price_train_only(rows, order=order)
         rows = order.cut(features.feature_frame_v1(rows.drop("split", "idx"), order=order))
         rows = cleaning.filter_real_price(rows)
     elif features_version == 2:

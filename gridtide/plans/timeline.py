@@ -43,8 +43,12 @@ class SeriesOrder:
     def by(self) -> list[Column]:
         return [F.col(self.ts).asc_nulls_last(), *(F.col(c) for c in self.tie)]
 
-    def by_columns(self) -> list[Column]:
-        return [F.col(self.ts), *(F.col(c) for c in self.tie)]
+    def backwards(self) -> list[Column]:
+        return [F.col(self.ts).desc_nulls_first(), *(F.col(c).desc() for c in self.tie)]
+
+    def place(self) -> Column:
+        """The row's place in the order as one comparable value; rows without a time come last."""
+        return F.struct(F.col(self.ts).isNull().alias("untimed"), F.col(self.ts), *(F.col(c) for c in self.tie))
 
     def blocked(self, df: DataFrame) -> bool:
         by_date = isinstance(df.schema[self.ts].dataType, T.DateType) and not self.tie
@@ -67,6 +71,11 @@ class SeriesOrder:
 DAILY = SeriesOrder()
 
 
+def _at(bucket: Column) -> Column:
+    """Rows without a time form the last bucket."""
+    return F.coalesce(bucket.cast("long"), F.lit(2**63 - 1).cast("long")).alias("at")
+
+
 def _candidates(df: DataFrame, order: SeriesOrder) -> list[Column]:
     """Ways to cut the order into buckets, coarsest first."""
     kind = df.schema[order.ts].dataType
@@ -82,9 +91,9 @@ def _candidates(df: DataFrame, order: SeriesOrder) -> list[Column]:
             micros = F.unix_micros(ts)
         found = [F.floor(micros / F.lit(w)) for w in WIDTHS]
     finest = found[-1]
-    found = [F.struct(c.cast("long").alias("at"), F.lit(0).cast("long").alias("tie")) for c in found]
+    found = [F.struct(_at(c), F.lit(0).cast("long").alias("tie")) for c in found]
     if order.tie and isinstance(df.schema[order.tie[0]].dataType, T.IntegralType):
-        found += [F.struct(finest.cast("long").alias("at"), F.floor(F.col(order.tie[0]) / F.lit(w)).alias("tie"))
+        found += [F.struct(_at(finest), F.floor(F.col(order.tie[0]) / F.lit(w)).alias("tie"))
                   for w in TIE_WIDTHS]
     return found
 
@@ -148,7 +157,6 @@ class SeriesFrame:
         """Lay `df` out so that windows reach `lookback` rows back and `lookahead` rows ahead."""
         if not order.blocked(df):
             return cls(df, order, False, False)
-        df = df.filter(F.col(order.ts).isNotNull())
         order = order.resolved(df)
         bucket = _candidates(df, order)[order.bucket_at]
         plan = _block_plan(df, order, bucket, lookback, lookahead)
@@ -228,7 +236,7 @@ class SeriesFrame:
         local.update({n: F.last(c, ignorenulls=True).over(before) for n, c in earlier.items()})
         if not self.is_blocked:
             return self.with_columns(local)
-        place = F.struct(*self.order.by_columns())
+        place = self.order.place()
         return self._carried(
             local, {n: F.max_by(c, F.when(c.isNotNull(), place)) for n, c in {**columns, **earlier}.items()},
             lambda s, w_: F.last(s, ignorenulls=True).over(w_),
@@ -237,12 +245,12 @@ class SeriesFrame:
     def running_next(self, columns: Mapping[str, Column]) -> SeriesFrame:
         """Per name: the first non-null value of the expression from the row on."""
         # From the end backwards: a frame that runs to the end would be read anew for every row.
-        w = Window.partitionBy(*self.parts).orderBy(*(c.desc() for c in self.order.by_columns()))
+        w = Window.partitionBy(*self.parts).orderBy(*self.order.backwards())
         w = w.rowsBetween(Window.unboundedPreceding, 0)
         local = {n: F.last(c, ignorenulls=True).over(w) for n, c in columns.items()}
         if not self.is_blocked:
             return self.with_columns(local)
-        place = F.struct(*self.order.by_columns())
+        place = self.order.place()
         return self._carried(
             local, {n: F.min_by(c, F.when(c.isNotNull(), place)) for n, c in columns.items()},
             lambda s, w_: F.last(s, ignorenulls=True).over(w_),

@@ -133,6 +133,11 @@ def test_attach_keeps_rows_of_unknown_keys(spark):
     assert got.count() == 100 and got.filter("s IS NULL").count() == 25
 
 
-def test_rows_without_a_time_have_no_place_in_blocks(uneven, spark):
+@pytest.mark.parametrize("order", [DAILY, SMALL], ids=["whole", "blocks40"])
+def test_rows_without_a_time_come_last(uneven, spark, order):
     odd = uneven.unionByName(spark.createDataFrame([("long", None, 1.0)], uneven.schema))
-    assert with_index(odd, SMALL).count() == uneven.count()
+    got = with_index(odd, order)
+    assert got.count() == uneven.count() + 1
+    assert got.filter("trade_date IS NULL").first()["idx"] == 700
+    filled = C.backward_fill(odd, ["price"], order).filter("price IS NULL").count()
+    assert filled == 0

@@ -51,10 +51,10 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Binary labels with a probability-like score."""
+    """Binary labels with a score that overlaps between the classes and has ties (steps of 1/128)."""
     quality = F.col("quality").cast("int")
-    return table(spark, sf, "labels").select(
-        "doc_id", quality.alias("y"), (quality * 0.5 + uniform_hash(42, F.col("doc_id")) * 0.5).alias("p"))
+    score = quality * 0.25 + uniform_hash(42, F.col("doc_id")) * 0.75
+    return table(spark, sf, "labels").select("doc_id", quality.alias("y"), (F.floor(score * 128) / 128).alias("p"))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +107,7 @@ EVENTS_SQL = "ev AS (SELECT event_type, ts, event_id, value AS price FROM events
 
 SCORES_SQL = """scores AS (
 SELECT doc_id, CAST(quality AS INTEGER) AS y,
-       quality * 0.5 + ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296.0 * 0.5 AS p
+       floor((quality * 0.25 + ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296.0 * 0.75) * 128) / 128 AS p
 FROM labels)"""
 
 PAIRS_SQL = """daily AS (

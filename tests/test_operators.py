@@ -313,6 +313,6 @@ def test_comparison_table_and_json(spark):
     scores = inputs.scores(spark, SF)
     got = M.baseline_classification(scores.withColumn("split", F.when(F.col("doc_id") % 2 == 0, "train").otherwise("test")), p="p")
     table = {r["model"]: r for r in got.collect()}
-    assert set(table) == {"majority", "random", "model"} and table["model"]["accuracy"] > table["random"]["accuracy"]
+    assert set(table) == {"majority", "random", "model"} and table["model"]["auc"] > table["random"]["auc"]
     doc = spark.range(1).select(F.to_json(F.struct(F.lit(1).alias("a")))).first()[0]
     assert json.loads(doc) == {"a": 1}

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from gridtide.operators import cleaning, features, scaling, sequences, targets
 from gridtide.plans.timeline import DAILY, SeriesOrder
+from gridtide.session import cut
 from gridtide.sources.market import CORE
 
 NOT_FEATURES = ("has_real_price", "ret_fwd", "y_target", "split", "idx")
@@ -31,13 +32,13 @@ def feature_columns(df: DataFrame, order: SeriesOrder = DAILY) -> tuple[str, ...
 
 def make_dataset(df: DataFrame, task: str = "sign", *, features_version: int = 2, seq_len: int | None = None,
                  test_size: float = 0.15, val_size: float = 0.15, scaler: str | None = "standard",
-                 balance: bool = False, drop_flat: bool = True, impute: bool = False, flat_threshold: float = 0.001,
+                 balance: bool | str = False, drop_flat: bool = True, impute: bool = False, flat_threshold: float = 0.001,
                  horizon: int = 1, seed: int = 42, split_by: str = "index", order: SeriesOrder = DAILY) -> Dataset:
     """Clean, derive features, label, split, balance, scale and sequence.
 
     Version 2 drops incomplete rows; version 1 flags real prices, fills gaps for the features and
-    keeps the flagged rows. Scaling and zero prices only use training rows, balancing only drops
-    training rows, and sequences never cross a split.
+    keeps the flagged rows. Scaling and zero prices only use training rows, and sequences never cross
+    a split. Balancing drops training rows only, or rows of each split with `balance="all"`.
     """
     order = order.resolved(df)
     if features_version == 1:
@@ -65,6 +66,10 @@ def make_dataset(df: DataFrame, task: str = "sign", *, features_version: int = 2
     if seq_len is not None and seq_len > 1:
         rows = sequences.sequences_same(order.cut(rows), names, seq_len, order=order)
     if balance and task in ("sign", "sign_3class"):
-        train = targets.balance_downsample(rows.filter(F.col("split") == "train"), key=order.columns(), seed=seed)
-        rows = train.unionByName(rows.filter(F.col("split") != "train"))
+        rows = cut(rows)  # counted, ranked and joined below
+        if balance == "all":
+            rows = targets.balance_downsample(rows, key=order.columns(), seed=seed, by=["split"])
+        else:
+            train = targets.balance_downsample(rows.filter(F.col("split") == "train"), key=order.columns(), seed=seed)
+            rows = train.unionByName(rows.filter(F.col("split") != "train"))
     return Dataset(rows, names, task)

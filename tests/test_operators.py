@@ -307,6 +307,8 @@ def test_balanced_dataset_only_drops_training_rows(market):
     assert count(plain, "test") == count(even, "test") and count(plain, "train") > count(even, "train")
     classes = [r["n"] for r in even.rows.filter("split = 'train'").groupBy("y_target").agg(F.count("*").alias("n")).collect()]
     assert len(set(classes)) == 1
+    every = make_dataset(market, "sign", balance="all").rows.groupBy("split", "y_target").agg(F.count("*").alias("n")).collect()
+    assert len(every) == 6 and len({(r["split"], r["n"]) for r in every}) == 3
 
 
 def test_comparison_table_and_json(spark):

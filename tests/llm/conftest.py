@@ -1,0 +1,35 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from conftest import SF, spark  # noqa: E402, F401
+
+
+@pytest.fixture(scope="session")
+def documents(spark):  # noqa: F811
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+ODD = [
+    (1, "", "a", "en"), (2, None, "a", None), (3, "Été à la plage", None, "fr"), (4, "one", "b", "en"), (5, "one", "b", "en"), (5, "one", "b", "en"),
+    (6, "one two three four", "c", "en"), (7, "ONE two\tthree\x0bfour", "c", "en"), (8, " \n \t\r\n", "c", "en"),
+    (9, " ".join(f"w{i}" for i in range(60)), "a", "en"), (10, " ".join(f"w{i}" for i in range(61)), "d", "en"),
+    (11, "x " * 30_000, "d", "en"), (12, "y" * 70_000, "e", "de"), (None, "lost words here", "a", "en"), (None, None, None, None),
+    (13, "\n".join(f"line {i}" for i in range(3000)), "a", "en"), (14, "12 34 ### $$$", "a", "en"), (15, "a b  c", "f", "fr"),
+]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):  # noqa: F811
+    """Nulls, empty and long texts, ties, repeated rows, and extra columns whose names the operators use themselves."""
+    rows = [(*r, 0, "x", 1, "y") for r in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, size int, rid string, n int, comp string")
+
+
+@pytest.fixture(scope="session")
+def empty(odd):
+    return odd.limit(0)

@@ -97,9 +97,12 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     told += [_told(F.col("text"), kind, pattern).alias(kind) for kind, _, pattern in WEAK]
     found = written(rows.select("doc_id", "rid", *told), "secret-candidates")
     parts = PARTS | {kind: part for kind, part, _ in WEAK}
-    everything = [F.transform(kind, lambda x, k=kind: F.struct(
-        x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind"),
-        F.lit(parts[k]).alias("part"), F.lit(k not in PARTS).alias("weak"))) for kind in ORDER]
+    def with_part(kind: str) -> Column:
+        part, weak = F.lit(parts[kind]), F.lit(kind not in PARTS)
+        return F.transform(kind, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["rank"].alias("rank"), x["kind"].alias("kind"),
+                                                    part.alias("part"), weak.alias("weak")))
+
+    everything = [with_part(kind) for kind in ORDER]
     some = found.filter(F.exists(F.array(*[F.size(k) > 0 for k, _, _ in WEAK]), lambda x: x))
     candidates = some.select("rid", F.inline(F.concat(*everything))).distinct()
     more = linked(candidates, scope).groupBy("rid").agg(F.collect_list(F.struct("start", "rank", "kind", "end")).alias("linked"))

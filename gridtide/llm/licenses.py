@@ -24,7 +24,7 @@ CATALOGUE = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
 )
-EQUIVALENT = (("licence", "license"), ("licenced", "licensed"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
+EQUIVALENT = (("licence", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"),
               ("non-infringement", "noninfringement"), ("copyright owner", "copyright holder"), ("https:", "http:"), ("favour", "favor"), ("&", " and "))
 # End of fixed values.
 
@@ -84,11 +84,11 @@ def _quoted(text: str) -> str:
 
 SCAN_SQL = f"""WITH listed(license, statement) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in CATALOGUE)}),
 known AS (SELECT md5({canonical_sql("statement")}) AS digest, min(license) AS license FROM listed GROUP BY 1),
-units AS (SELECT doc_id, -1 AS at, text AS unit FROM documents
-  UNION ALL SELECT doc_id, at, lines[at + 1] AS unit FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS at
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) s) x WHERE length(lines[at + 1]) > 0),
-found AS (SELECT doc_id, at, k.license FROM units JOIN known k ON md5({canonical_sql("unit")}) = k.digest),
-per_text AS (SELECT doc_id, max(CASE WHEN at < 0 THEN license END) AS text_license, count(*) FILTER (WHERE at >= 0) AS n_license_lines,
+units AS (SELECT doc_id, -1 AS pos, text AS unit FROM documents
+  UNION ALL SELECT doc_id, pos, lines[pos + 1] AS unit FROM (SELECT doc_id, lines, unnest(range(len(lines))) AS pos
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents) s) x WHERE length(lines[pos + 1]) > 0),
+found AS (SELECT doc_id, pos, k.license FROM units JOIN known k ON md5({canonical_sql("unit")}) = k.digest),
+per_text AS (SELECT doc_id, max(CASE WHEN pos < 0 THEN license END) AS text_license, count(*) FILTER (WHERE pos >= 0) AS n_license_lines,
   string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM found GROUP BY doc_id)
 SELECT d.doc_id, md5({canonical_sql("d.text")}) AS text_digest, p.text_license, coalesce(p.n_license_lines, 0) AS n_license_lines, coalesce(p.licenses, '') AS licenses
 FROM documents d LEFT JOIN per_text p ON d.doc_id = p.doc_id"""

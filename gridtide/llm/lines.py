@@ -58,11 +58,11 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 DEDUP_SQL = f"""WITH cut AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, coalesce(source, 'null') AS site, at, trim(lines[at], ' ' || chr(9) || chr(13)) AS line, lines[at] AS raw
-  FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS at FROM cut) x),
+lines AS (SELECT doc_id, coalesce(source, 'null') AS site, pos, trim(lines[pos], ' ' || chr(9) || chr(13)) AS line, lines[pos] AS raw
+  FROM (SELECT doc_id, source, lines, unnest(range(1, len(lines) + 1)) AS pos FROM cut) x),
 common AS (SELECT line FROM lines WHERE length(line) > 0 GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
 told AS (SELECT l.*, c.line IS NOT NULL AS gone FROM lines l LEFT JOIN common c ON l.line = c.line),
 per AS (SELECT doc_id, count(*) FILTER (WHERE length(line) > 0) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-  coalesce(string_agg(raw, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '') AS kept FROM told GROUP BY doc_id)
+  coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept FROM told GROUP BY doc_id)
 SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines, coalesce(p.n_removed, 0) AS n_removed, CASE WHEN d.text IS NOT NULL THEN md5(p.kept) END AS kept_md5
 FROM documents d LEFT JOIN per p ON d.doc_id = p.doc_id"""

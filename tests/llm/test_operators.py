@@ -317,7 +317,7 @@ def test_secrets(spark, documents):
         assert [r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]] == [*counts, digest]
         assert set(told) <= set(r["spans"].split(",")) or not told
         some += bool(told)
-    assert some > 5
+    assert some > 2
 
 
 def test_secret_parts_need_each_other(spark):

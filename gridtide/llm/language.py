@@ -176,18 +176,23 @@ def fit(texts: list[str], languages: list[str], pieces: Pieces, rounds: int = RO
 
 
 def sample(docs: DataFrame, most: int = MOST_SAMPLED) -> list:
-    """Text and lang of at most `most` rows to learn from, an equal share of each language, by hash of the id.
+    """Text and lang of at most `most` rows to learn from, an equal share of each language, by hash of id and text.
 
     Rows with a null lang or text, and held-out rows, are not learned from. More than MOST_LANGUAGES languages are refused.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    languages = known.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
-    if languages > MOST_LANGUAGES:
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not languages:
+    if not counts:
         return []
-    ranked = known.select("lang", "text", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")).alias("place"))
-    return ranked.filter(F.col("place") <= max(1, most // languages)).select("lang", "text").collect()
+    share = max(1, most // len(counts))
+    # A hash threshold leaves little more than a share of each language before any rows are ranked.
+    likely = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, 1.0 if n <= 4 * share else 2.0 * share / n)))
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / float(1 << 40)
+    some = known.select("lang", "text", place.alias("at")).filter(F.col("at") <= likely[F.col("lang")])
+    ranked = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text")))
+    return ranked.filter(F.col("place") <= share).select("lang", "text").collect()
 
 
 def held_out():

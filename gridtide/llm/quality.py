@@ -194,10 +194,14 @@ def sample_labelled(counted: DataFrame, labels: DataFrame, most: int = MOST_LABE
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(
         F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other").drop("other")
+    n = known.count()
+    # A hash threshold leaves little more than the sample before the exact cut.
+    likely = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) <= (1.0 if n <= 2 * most else 1.5 * most / n)
+    known = known.filter(likely)
     once = counted.select("doc_id", *[c.alias(n) for n, c in features().items()]).join(known, "doc_id")
     names = [n for n, _, _ in RATIOS]
     once = once.groupBy("doc_id").agg(*[F.min(c).alias(c) for c in ("quality", *names)])
-    return once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    return once.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), "doc_id").limit(most).toPandas()
 
 
 def decision_list(rules: list[Rule]) -> Column:

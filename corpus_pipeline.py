@@ -20,20 +20,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rules and the list learned from the labels of the documents at hand."""
     counted = written(quality.statistics(docs, "doc_id"), "pipeline-statistics")
     rules = quality.fit(counted, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judged(quality.statistics(docs, *docs.columns), rules).filter("kept").select(*docs.columns)
+    return quality.judged(quality.statistics(quality.whole_rows(docs), "row"), rules).filter("kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: the one with the least id. Rows without an id stay."""
     found = jaccard.join_components(docs.select("doc_id", "text"))
     others = found.filter((F.col("doc_id") != F.col("component_id")) & F.col("component_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(others, "doc_id", "left_anti")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
-    found = decontamination.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carried=tuple(docs.columns))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    found = decontamination.scan(quality.whole_rows(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carried=("row",))
+    return found.filter("n_hit = 0").select("row.*")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridtide.llm.words import Words, alphanumeric, byte_values, chunks, run_hash, run_starts, run_sums, words
 
@@ -214,9 +215,8 @@ def scan(docs: DataFrame, items: DataFrame, carried: tuple[str, ...] = ("doc_id"
                        pa.array(out["spans"], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(out["cleaned"], pa.string())],
                     names=[*carried, "n_words", "n_hit", "n_items", "items_sha256", "spans", "cleaned"])
 
-    types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in carried) + (
-        ", n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<begin:int,end:int>>, cleaned string")
+    added = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<begin:int,end:int>>, cleaned string"
+    schema = T.StructType([docs.schema[c] for c in carried] + T.StructType.fromDDL(added).fields)
     return docs.select(*carried, F.col("text").alias("text_")).mapInArrow(batches, schema)
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridtide.llm.words import byte_values, chunks, mix, not_space, run_hash, run_starts, run_sums, words
 
@@ -85,11 +86,15 @@ def statistics(docs: DataFrame, *carried: str) -> DataFrame:
                 counts = count_batch(text.slice(begin, end - begin))
                 yield pa.RecordBatch.from_arrays(own + [pa.array(counts[c]) for c in COUNTS], names=[*carried, *COUNTS])
 
-    types = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in carried] + [f"{c} long" for c in COUNTS])
+    schema = T.StructType([docs.schema[c] for c in carried] + [T.StructField(c, T.LongType()) for c in COUNTS])
     return docs.select(*carried, F.col("text").alias("text_")).mapInArrow(batches, schema)
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Every row as one struct `row` next to its text, so that its other columns can have any names."""
+    return docs.select(F.struct("*").alias("row"), "text")
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 

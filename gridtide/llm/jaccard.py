@@ -8,8 +8,11 @@ Lanes that agree give groups of candidates. A one-bit-per-slot parity sketch the
 Hamming distance, and the shingle sets themselves decide.
 
 Groups are not expanded into pairs. First every document is compared with one centre of its groups;
-groups whose members are then connected need no more. Members of the other groups are compared by
-sketch inside blocks of bounded size, and only pairs of different components that pass are verified.
+groups whose members are then connected need no more. In the other groups, members are compared by sketch
+inside blocks of bounded size, which gives links between components that may join: as many as there
+are components, not pairs. Components that may join form a cluster. In a cluster every document proposes
+its nearest one of another component by a wider sketch, for some rounds; what still may link after
+these is verified pair by pair. No pair within a component is ever looked at again.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BUCKET_ENTRIES = 1 << 20
 FLUSH_ENTRIES = 1 << 21
 BLOCK = 1024
 LEAST_WIDTH = 64
+WIDER = 4
+ROUNDS = 2
 SMALL = 64
 ENTRY = np.dtype([("key", "<u4"), ("cid", "<u8")])
 
@@ -175,8 +180,17 @@ def candidate_members(docs: DataFrame) -> DataFrame:
     return entries.groupBy("bucket").applyInArrow(grouped, "gid long, cid long, center long").dropDuplicates(["gid", "cid"])
 
 
+def _parity(row: np.ndarray, hashed: np.ndarray, width: np.ndarray) -> pa.Array:
+    """Per row the parity of how many shingles fall on each of its `width` slots, as packed bits."""
+    offset = np.concatenate([[0], np.cumsum(width)])
+    slots = np.bincount(offset[row] + (hashed % width[row].astype(np.uint64)).astype(np.int64), minlength=offset[-1])
+    bits = np.packbits((slots & 1).astype(np.uint8), bitorder="little").tobytes()
+    cut = (offset // 8).tolist()
+    return pa.array([bits[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, cid, n, bits) of every row: its set's id, size and parity bits, one per slot of its band's width."""
+    """(doc_id, cid, n, bits, wide) of every row: its set's id, size and parity bits, by its band's width and WIDER times that."""
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for begin, end in chunks(batch.column(1)):
@@ -184,15 +198,11 @@ def digests(docs: DataFrame) -> DataFrame:
                 row, hashed = shingle_sets(part)
                 sizes, cids = set_ids(row, hashed, len(part))
                 width = np.maximum(bands(sizes), LEAST_WIDTH)
-                offset = np.concatenate([[0], np.cumsum(width)])
-                slots = np.bincount(offset[row] + (hashed % width[row].astype(np.uint64)).astype(np.int64), minlength=offset[-1])
-                bits = np.packbits((slots & 1).astype(np.uint8), bitorder="little").tobytes()
-                cut = (offset // 8).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), pa.array(cids.view(np.int64)), pa.array(sizes.astype(np.int64)),
-                     pa.array([bits[a:b] for a, b in zip(cut[:-1], cut[1:])], pa.binary())], names=["doc_id", "cid", "n", "bits"])
+                     _parity(row, hashed, width), _parity(row, hashed, width * WIDER)], names=["doc_id", "cid", "n", "bits", "wide"])
 
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, cid long, n long, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {dict(docs.dtypes)['doc_id']}, cid long, n long, bits binary, wide binary")
 
 
 def folded(bits: bytes, width: int) -> np.ndarray:
@@ -254,68 +264,157 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     return both.select("a", "b", "of_a", "of_b").mapInArrow(batches, "a long, b long")
 
 
-def _across(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within groups that may link; members has gid, cid, comp.
-
-    Members of a large group are dealt into blocks of about BLOCK; each pair of blocks is compared in one place.
-    """
-    sizes = members.groupBy("gid").agg(F.count("*").alias("size"))
-    dealt = members.join(sizes, "gid").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
+def _blocks(members: DataFrame, key: str, sketches: DataFrame) -> DataFrame:
+    """Members (key, cid, comp) of groups dealt into blocks of about BLOCK, once per pair of blocks, with their sketches (cid, n, bits)."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("size"))
+    dealt = members.join(sizes, key).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("gid", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "comp")
-    dealt = dealt.join(classes.select("cid", "n", "bits"), "cid").select("gid", "low", "high", "block", "cid", "comp", "n", "bits")
-
-    def compared(rows: pa.RecordBatch) -> list[tuple[int, int]]:
-        block, cid, comp, n = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
-        bits = rows.column(7).to_pylist()
-        width = 8 * min(map(len, bits))
-        sketch = np.stack([folded(x, width) for x in bits])
-        low, high, out = rows.column(1)[0].as_py(), rows.column(2)[0].as_py(), []
-        for i in range(len(cid)):
-            if low != high and block[i] != low:
-                continue
-            fit = (comp != comp[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            fit &= (cid > cid[i]) if low == high else (block == high)
-            j = np.flatnonzero(fit)
-            if len(j):
-                near = 7 * np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= n[j] + n[i]
-                out += [(min(cid[i], x), max(cid[i], x)) for x in cid[j[near]].tolist()]
-        return out
+    dealt = dealt.select(F.col(key).alias("gid"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "comp")
+    dealt = dealt.join(sketches, "cid").select("gid", "low", "high", "block", "cid", "comp", "n", "bits")
+    keys = ["gid", "low", "high"]
+    return dealt.repartition(partitions(members), *keys).sortWithinPartitions(*keys)
+
+
+def _near(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, those of another component that row i may link with, their distances) in a pair of blocks."""
+    low, high = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
+    block, cid, comp, n = (rows.column(i).to_numpy() for i in (3, 4, 5, 6))
+    if (comp == comp[0]).all():
+        return
+    bits = rows.column(7).to_pylist()
+    width = 8 * min(map(len, bits))
+    sketch = np.stack([folded(x, width) for x in bits])
+    for i in range(len(cid)):
+        fit = (comp != comp[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
+        if low != high:
+            fit &= block != block[i]
+        j = np.flatnonzero(fit)
+        if len(j):
+            distance = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+            near = 7 * distance <= n[j] + n[i]
+            if near.any():
+                yield i, j[near], distance[near]
+
+
+def _bridges(rows: pa.RecordBatch) -> list[tuple[int, int, int]]:
+    """Pairs of components that tie together all those of the block pair that may link, one fewer than there are at most."""
+    comp = rows.column(5).to_numpy()
+    root = {c: c for c in comp.tolist()}
+    out = []
+    for i, j, _ in _near(rows):
+        for other in np.unique(comp[j]).tolist():
+            x, y = comp[i].item(), other
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((comp[i].item(), other, 0))
+    return out
+
+
+def _nearest(rows: pa.RecordBatch) -> list[tuple[int, int, int]]:
+    """For every row the nearest one of another component that it may link with."""
+    cid = rows.column(4).to_numpy()
+    out = []
+    for i, j, distance in _near(rows):
+        at = np.lexsort((cid[j], distance))[0]
+        out.append((cid[i].item(), cid[j[at]].item(), int(distance[at])))
+    return out
 
+
+def _possible(rows: pa.RecordBatch) -> list[tuple[int, int, int]]:
+    """All pairs of different components that may link, each once."""
+    cid = rows.column(4).to_numpy()
+    return [(cid[i].item(), other, 0) for i, j, _ in _near(rows) for other in cid[j].tolist() if other > cid[i]]
+
+
+def _compared(blocks: DataFrame, work) -> DataFrame:
+    """(a, b, distance) that `work` finds in each pair of blocks."""
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in found:
-            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
-            pairs, rest = _runs(table, compared, last=False)
-            yield _pairs(pairs)
+            pairs, rest = _runs(batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0], work, last=False)
+            yield _triples(pairs)
         if rest is not None:
-            yield _pairs(_runs(pa.Table.from_batches([rest]), compared, last=True)[0])
+            yield _triples(_runs(rest, work, last=True)[0])
 
-    keys = ["gid", "low", "high"]
-    ordered = dealt.repartition(partitions(members), *keys).sortWithinPartitions(*keys)
-    return ordered.mapInArrow(batches, "a long, b long").distinct()
+    return blocks.mapInArrow(batches, "a long, b long, distance long")
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _triples(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in range(3)], names=["a", "b", "distance"])
 
 
-def _runs(table: pa.Table, work, last: bool) -> tuple[list, pa.RecordBatch | None]:
+def _runs(rows: pa.RecordBatch, work, last: bool) -> tuple[list, pa.RecordBatch | None]:
     """`work` on every run of equal (gid, low, high); the last run is handed back unless it is complete."""
-    keys = np.stack([table.column(i).to_numpy() for i in range(3)], axis=1)
-    begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
-    ends, out = [*begin[1:].tolist(), len(keys)], []
-    batches = table.to_batches()
-    whole = batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if batches else None
-    for a, b in zip(begin.tolist(), ends):
+    if not rows.num_rows:
+        return [], None
+    keys = np.stack([rows.column(i).to_numpy() for i in range(3)], axis=1)
+    begin = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]))
+    out = []
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)]):
         if b == len(keys) and not last:
-            return out, whole.slice(a, b - a)
+            return out, rows.slice(a, b - a)
         if b - a > 1:
-            out += work(whole.slice(a, b - a))
+            out += work(rows.slice(a, b - a))
     return out, None
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _placed(members: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Members (key, cid) of the groups that hold several components, with their component."""
+    placed = written(members.join(found, "cid", "left").select(key, "cid", F.coalesce("comp", "cid").alias("comp")), "jaccard-placed")
+    mixed = placed.groupBy(key).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select(key)
+    return written(placed.join(mixed, key, "left_semi"), "jaccard-mixed")
+
+
+def _clusters(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(cluster, cid) of the documents in groups of several components, where components that may link share a cluster."""
+    mixed = _placed(members, found, "gid")
+    bridges = _compared(_blocks(mixed, "gid", sketches), _bridges)
+    joined = connected(bridges.select("a", "b")).select(F.col("cid").alias("comp"), F.col("comp").alias("cluster"))
+    return written(mixed.select("cid", "comp").distinct().join(joined, "comp").select("cluster", "cid"), "jaccard-clusters")
+
+
+def linked(docs: DataFrame, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(cid, comp) of all sets with a link. rows: `digests`; members: `candidate_members`."""
+    some = rows.filter("n > 0")
+    classes = written(some.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
+    sketches = classes.select("cid", "n", "bits")
+
+    def agreed(pairs: DataFrame) -> DataFrame:
+        return written(verified(pairs, docs, classes), "jaccard-links")
+
+    stars = members.filter("cid != center").groupBy("cid").agg(F.min("center").alias("a")).withColumnRenamed("cid", "b")
+    passing = stars.join(sketches.toDF("b", "n_b", "bits_b"), "b").join(sketches.toDF("a", "n_a", "bits_a"), "a")
+    tried = written(_passing(passing), "jaccard-tried")
+    links = agreed(tried)
+    found = connected(links)
+    clusters = _clusters(members, found, sketches)
+    wide = some.join(clusters.select("cid").distinct(), "cid", "left_semi").select("cid", "n", F.col("wide").alias("bits")).dropDuplicates(["cid"])
+    wide = written(wide, "jaccard-wide")
+    for step in range(ROUNDS + 1):
+        mixed = _placed(clusters, found, "cluster")
+        if mixed.isEmpty():
+            break
+        blocks = _blocks(mixed, "cluster", wide)
+        if step < ROUNDS:
+            best = _compared(blocks, _nearest).groupBy("a").agg(F.min_by("b", F.struct("distance", "b")).alias("b"))
+        else:
+            best = _compared(blocks, _possible)
+        fresh = written(_ordered(best).join(_ordered(tried), ["a", "b"], "left_anti"), "jaccard-tried")
+        if not fresh.isEmpty():
+            tried, links = tried.union(fresh), links.union(agreed(fresh))
+            found = connected(links)
+    return found
+
+
 def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of `docs`.
 
@@ -326,24 +425,8 @@ def join_components(docs: DataFrame) -> DataFrame:
     repeated in the result. Other columns are not read; an empty table gives an empty result.
     """
     rows = written(digests(docs), "jaccard-digests")
-    some = rows.filter("n > 0")
-    classes = written(some.groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("bits").alias("bits")), "jaccard-classes")
     members = written(candidate_members(docs.filter(F.col("doc_id").isNotNull())), "jaccard-members")
-    sketches = classes.select("cid", "n", "bits")
-
-    stars = members.filter("cid != center").groupBy("cid").agg(F.min("center").alias("a")).withColumnRenamed("cid", "b")
-    joined = stars.join(sketches.toDF("b", "n_b", "bits_b"), "b").join(sketches.toDF("a", "n_a", "bits_a"), "a")
-    links = written(verified(written(_passing(joined), "jaccard-stars"), docs, classes), "jaccard-links")
-
-    found = connected(links)
-    placed = members.join(found, "cid", "left").select("gid", "cid", F.coalesce("comp", "cid").alias("comp"))
-    placed = written(placed, "jaccard-placed")
-    mixed = placed.groupBy("gid").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("gid")
-    rest = written(_across(placed.join(mixed, "gid", "left_semi"), classes), "jaccard-across")
-    if not rest.isEmpty():
-        more = written(verified(rest, docs, classes), "jaccard-more")
-        found = connected(links.union(more))
-
+    found = linked(docs, rows, members)
     named = rows.join(found, "cid", "left").select("doc_id", "n", F.coalesce("comp", "cid").alias("comp"))
     named = written(named, "jaccard-named")
     least = named.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))

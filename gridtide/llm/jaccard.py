@@ -139,6 +139,10 @@ def candidate_members(docs: DataFrame) -> DataFrame:
 
     def packed(parts: list) -> pa.RecordBatch:
         key, cid = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.lexsort((cid, key))
+        key, cid = key[order], cid[order]
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])])  # copies of a set count once
+        key, cid = key[once], cid[once]
         bucket = (key % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         entries = np.empty(len(key), ENTRY)

@@ -14,7 +14,7 @@ from gridtide.operators import statistics as A
 from gridtide.operators import targets as Y
 from gridtide.plans.dataset import make_dataset
 from gridtide.plans.timeline import windowed
-from gridtide.sources.market import CORE, numeric_projection
+from gridtide.sources.market import CORE, CORE_COLUMNS, core_projection, numeric_projection
 
 KEY = ("series_id", "trade_date")
 O = "WINDOW o AS (PARTITION BY series_id ORDER BY trade_date)"  # noqa: E741
@@ -22,6 +22,18 @@ W = "PARTITION BY series_id ORDER BY trade_date"
 FLAT = 1e-6
 
 
+def raw_named(rows):
+    """Market rows under the headings of the raw file."""
+    raw = {short: long for long, short in CORE_COLUMNS.items()}
+    return rows.select("series_id", F.col("trade_date").alias("Trade Date"), *(F.col(c).alias(raw[c]) for c in CORE))
+
+
+def _scaled_by_table(spark, sf):
+    """One scaler for all series, fitted as a one-row table and applied to every row."""
+    rows = _split(spark, sf)
+    return Z.apply_scaler(rows, Z.fit_scaler(rows, CORE, by=[]), CORE, by=[]).select(*KEY, *CORE)
+
+
 def _only(df, *columns):
     return rounded(df.select(*KEY, *columns))
 
@@ -197,7 +209,7 @@ def _v1_rows(spark, sf):
 
 
 QUERIES = {
-    "core_projection": lambda s, d: market(s, d).select(*KEY, *CORE),
+    "core_projection": lambda s, d: core_projection(raw_named(market(s, d))).select(*KEY, *CORE),
     "numeric_projection": lambda s, d: numeric_projection(market(s, d), KEY),
     "real_price_flag": lambda s, d: C.real_price_flag(market(s, d)).select(*KEY, "has_real_price"),
     "filter_real_price": lambda s, d: C.filter_real_price(C.real_price_flag(market(s, d))).select(*KEY, "price"),
@@ -249,11 +261,10 @@ QUERIES = {
     "split_rolling_window": lambda s, d: Y.split_rolling_window(priced(s, d), 0.5).select(*KEY, "idx", "split"),
     "time_series_folds": lambda s, d: Y.time_series_folds(priced(s, d)).select(*KEY, "idx", "fold"),
     "split_counts": lambda s, d: Y.split_counts(_split(s, d), by=["series_id"]),
-    "union_splits": lambda s, d: _split(s, d).filter(F.col("split").isin("train", "val")).select(*KEY, "split"),
+    "union_splits": lambda s, d: Y.union_splits(_split(s, d)).select(*KEY, "split"),
     "standard_scale": lambda s, d: rounded(Z.standard_scale(_split(s, d), CORE).select(*KEY, "split", *CORE), exact=()),
     "minmax_scale": lambda s, d: rounded(Z.minmax_scale(_split(s, d), CORE).select(*KEY, "split", *CORE), exact=()),
-    "scalar_broadcast": lambda s, d: rounded(
-        Z.fit_scaler(_split(s, d), CORE, by=[]).select(*(f"{c}__{p}" for c in CORE for p in ("offset", "width"))), 4),
+    "scalar_broadcast": lambda s, d: rounded(_scaled_by_table(s, d), 4, exact=()),
     "balance_downsample": lambda s, d: Y.balance_downsample(_labelled(s, d, "sign")).select(*KEY, "y_target"),
     "sequences_next": lambda s, d: Q.sequences_next(_split(s, d), SEQ).select(*KEY, "split", "seq"),
     "sequences_same": lambda s, d: Q.sequences_same(_split(s, d), SEQ).select(*KEY, "split", "seq"),
@@ -381,9 +392,8 @@ SELECT series_id, trade_date, idx, CASE WHEN idx < n - 5 * (n // 6) THEN 0 ELSE
 UNION ALL SELECT series_id, trade_date, split FROM split WHERE split = 'val'""",
     "standard_scale": _scaler_sql("standard"),
     "minmax_scale": _scaler_sql("minmax"),
-    "scalar_broadcast": f"""WITH {SPLIT_SQL} SELECT
-       {', '.join(f"round(avg({c}), 4) AS {c}__offset, round(stddev_pop({c}), 4) AS {c}__width" for c in CORE)}
-FROM split WHERE split = 'train'""",
+    "scalar_broadcast": f"""WITH {SPLIT_SQL}, one AS (SELECT {', '.join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in CORE)} FROM split WHERE split = 'train')
+SELECT series_id, trade_date, {', '.join(f"round(({c} - {c}_m) / {c}_s, 4) AS {c}" for c in CORE)} FROM split, one""",
     "balance_downsample": f"""{LAB}, ranked AS (SELECT *, row_number() OVER (PARTITION BY y_target
        ORDER BY md5('42:' || series_id || ':' || trade_date), series_id, trade_date) AS k FROM lab),
 smallest AS (SELECT min(n) AS n FROM (SELECT count(*) AS n FROM lab GROUP BY y_target))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridtide.catalog.feature_queries import CALENDAR_V2, CLEAN_SQL, V2_DOUBLES, v2_sql
 from gridtide.catalog.inputs import (MARKET_SQL, NAIVE_SQL, PRICED_SQL, SCORES_SQL, event_order, market, naive_forecast, priced, rounded,
                                      scores)
 from gridtide.functions import scalars as U
 from gridtide.models.arx import Arx, arx_forecast, arx_order_select, refit_range_join, rolling_arx_forecast, stationarity_test
 from gridtide.models.contract import prepared
 from gridtide.models.kernel import rbf_regression
-from gridtide.models.registry import best_by_metric, default_registry, horizon_sweep, run_models, seq_len_sweep
+from gridtide.models.registry import best_by_metric, default_registry, horizon_sweep, run_models, seq_len_sweep, union_results
 from gridtide.models.search import hyperparameter_search
 from gridtide.models.trees import (feature_importance_topn, feature_importances, gradient_boosting, random_forest, sequence_model)
 from gridtide.operators.features import exog_returns
-from gridtide.operators.scoring import classification_metrics, regression_metrics
 from gridtide.operators.statistics import price_summary
 from gridtide.operators.targets import split_chronological
 from gridtide.operators.trading import trading_metrics
@@ -29,18 +30,30 @@ EXOG = ("gas_price", "temperature", "pjm_load")
 
 # ---- sources and sinks ---------------------------------------------------------------------------
 
+TRADE, START, END = K.DATE_COLUMNS
+RAW = {short: long for long, short in K.CORE_COLUMNS.items()}
+
+
 def _csv(spark, sf):
     """The market written under its raw headings, with some dates spoiled."""
-    raw = {short: long for long, short in {**K.CORE_COLUMNS}.items()}
     rows = market(spark, sf)
     day = F.col("trade_date")
     text = F.when(F.dayofmonth(day) == 31, "xx").otherwise(day.cast("string"))
-    out = rows.select("series_id", day.cast("string").alias("Trade Date"), text.alias("Electricity: Delivery Start Date"),
-                      F.date_add(day, 1).cast("string").alias("Electricity: Delivery End Date"),
-                      *(F.col(c).alias(raw[c]) for c in K.CORE))
+    out = rows.select("series_id", day.cast("string").alias(TRADE), text.alias(START), F.date_add(day, 1).cast("string").alias(END),
+                      *(F.col(c).alias(RAW[c]) for c in K.CORE))
     return write_results(out, scratch_dir(spark, "market-csv"))
 
 
+def _wide(spark, sf):
+    """A file without a series, its columns in another order among many others, its dates in another spelling, a number spoiled."""
+    rows, day = market(spark, sf).filter("series_id = 'A'"), F.col("trade_date")
+    spoiled = F.when(F.dayofmonth(day) == 5, "n/a").otherwise(F.col("volume").cast("string"))
+    out = rows.select(F.lit("note").alias("Comment, free text"), *(F.col(c).alias(RAW[c]) for c in reversed(K.CORE) if c != "volume"),
+                      *(F.lit(i).alias(f"Other: series {i}") for i in range(40)), F.date_format(day, "M/d/yyyy").alias(TRADE), spoiled.alias(RAW["volume"]))
+    path = write_results(out, scratch_dir(spark, "market-csv"))
+    return K.core_projection(K.parse_dates(K.scan_market_csv(spark, path, keep=["Other: series 7"])), keep=("series_id", "Other: series 7"))
+
+
 def _scan(spark, sf):
     return K.scan_market_csv(spark, _csv(spark, sf))
 
@@ -78,49 +91,49 @@ def _data(spark, sf, task="sign", **options):
     return prepared(make_dataset(market(spark, sf), task, **options))
 
 
-def _tested(fitted, task):
-    """Test metrics of a fitted model, per series."""
-    rows = fitted.predictions.filter(F.col("split") == "test")
-    if task == "sign":
-        return classification_metrics(rows, "y_target", "y_pred", ["series_id"])
-    return regression_metrics(rows, "y_target", "y_pred", ["series_id"])
-
-
-def _forest(spark, sf):
-    return _tested(random_forest(_data(spark, sf), {"n_estimators_options": (10, 20), "max_depth": 5}), "sign")
-
-
-def _boosted(spark, sf):
-    return _tested(gradient_boosting(_data(spark, sf, "price"), {"n_estimators": 10, "max_depth": 3}), "price")
-
-
-def _rbf(spark, sf):
-    return _tested(rbf_regression(_data(spark, sf, "price"), {"n_features": 20}), "price")
+def _held_out(fitted, low=None, high=None):
+    """The held-out rows with their targets, and whether each prediction is a number that the task allows."""
+    fine = F.col("y_pred").isNotNull() & ~F.isnan("y_pred")
+    if low is not None:
+        fine = fine & F.col("y_pred").between(low, high)
+    return rounded(fitted.predictions.select(*KEY, "idx", "split", F.col("y_target").cast("double").alias("y_target"), "ret_fwd", fine.alias("fine")))
 
 
 def _sequence(spark, sf):
-    data = _data(spark, sf, seq_len=14)
-    return _tested(sequence_model(data, {"seq_len": 14, "hidden": (16,), "max_epochs": 20}), "sign")
+    return _held_out(sequence_model(_data(spark, sf, seq_len=14), {"seq_len": 14}), 0.0, 1.0)
 
 
 def _importance(spark, sf):
-    fitted = random_forest(_data(spark, sf, "price"), {"n_estimators_options": (10,), "max_depth": 5})
-    return feature_importance_topn(feature_importances(spark, fitted), 10)
+    """All importances: one per feature, none negative, one in sum, the best ones first."""
+    fitted = random_forest(_data(spark, sf, "price"), {})
+    ranked = feature_importance_topn(feature_importances(spark, fitted), len(fitted.names))
+    return ranked.select("feature", (F.col("importance") >= 0).alias("fine"), F.round(F.sum("importance").over(Window.partitionBy()), 6).alias("total"))
+
+
+SPACE = {"n_estimators_options": [(5,), (10,)], "max_depth": (2, 5), "min_samples_leaf": (1, 20)}
 
 
 def _search(spark, sf):
-    space = {"n_estimators_options": [(5,), (10,)], "max_depth": (2, 5), "min_samples_leaf": (1, 20)}
-    return hyperparameter_search(_data(spark, sf), random_forest, space, draws=3, folds=2)
+    """All draws with their scores as shares of right signs; the first of the best ones is marked."""
+    found = hyperparameter_search(_data(spark, sf), random_forest, SPACE)
+    best = F.min(F.when(F.col("score") == F.col("top"), F.col("draw"))).over(Window.partitionBy())
+    found = found.withColumn("top", F.max("score").over(Window.partitionBy()))
+    return found.select("draw", "metric", F.col("score").between(0, 1).alias("fine"), (F.col("is_best") == (F.col("draw") == best)).alias("marked"))
 
 
 def _store(spark, sf):
-    """A stored model predicts what the fitted one does."""
-    data = _data(spark, sf)
-    fitted = random_forest(data, {"n_estimators_options": (5,), "max_depth": 4})
-    path = save_model(spark, fitted.model, scratch_dir(spark, "model"), fitted.params)
-    model, about = load_model(spark, path)
-    again = model.transform(data.rows.filter(F.col("split") == "test"))
-    return again.groupBy("series_id", "prediction").agg(F.count(F.lit(1)).alias("n")).withColumn("trees", F.lit(about["n_estimators"]))
+    """A stored model predicts what the fitted one did, row by row."""
+    data = _data(spark, sf, "price")
+    fitted = random_forest(data, {})
+    model, about = load_model(spark, save_model(spark, fitted.model, scratch_dir(spark, "model"), fitted.params))
+    again = model.transform(data.rows.filter(F.col("split") != "train")).select(*KEY, "prediction")
+    both = fitted.predictions.join(again, list(KEY))
+    return both.select(*KEY, "split", (F.abs(F.col("prediction") - F.col("y_pred")) < 1e-12).alias("same"),
+                       F.lit(about["n_estimators"] in (100, 200, 500)).alias("described"))
+
+
+def _swept(table, *columns):
+    return table.select("model_name", *columns, F.col("trading_total_trades").alias("trades"), (F.col("base_mae") > 0).alias("fine"), "error")
 
 
 def _moves(spark, sf):
@@ -129,12 +142,12 @@ def _moves(spark, sf):
 
 def _arx(spark, sf):
     out = arx_forecast(_moves(spark, sf), Arx(2, 1, 7, 0, EXOG))
-    return out.select("series_id", "idx", "split", "price_move", "y_pred")
+    return rounded(out.select("series_id", "idx", "split", "price_move", "y_pred"), 5)
 
 
 def _rolling(spark, sf):
     out = rolling_arx_forecast(_moves(spark, sf), Arx(2, 1, 7, 0, EXOG))
-    return out.filter("y_pred IS NOT NULL").select("series_id", "idx", "price_move", "y_pred")
+    return rounded(out.filter("y_pred IS NOT NULL").select("series_id", "idx", "price_move", "y_pred"), 5)
 
 
 def _single_lag(spark, sf):
@@ -151,7 +164,7 @@ def _recursive_lag(spark, sf):
 
 def _dickey_fuller(spark, sf):
     """Without lagged steps the test is the t value of a line's slope."""
-    return rounded(stationarity_test(_moves(spark, sf), max_lag=0), 4)
+    return rounded(stationarity_test(_moves(spark, sf), max_lag=0).drop("p_value"), 4)
 
 
 def _events_arx(spark, sf):
@@ -168,11 +181,22 @@ def _refits(spark, sf):
         {"n": F.sum("n"), "first": F.min("first"), "last": F.max("last"), "total": F.sum("total")}), 4)
 
 
-COMPARED = ("RF_sign", "GBT_price", "ARX_price")
+def _registry(spark, sf):
+    """All models of the default registry: the rows they were scored on, and their errors."""
+    return run_models(market(spark, sf)).select("model_name", "task_type", F.col("trading_total_trades").alias("trades"), "error")
+
 
+def _union(spark, sf):
+    summary = price_summary(market(spark, sf), by=["series_id"])
+    return rounded(union_results([summary.select("series_id", "avg_price"), summary.select("series_id", "max_price")]))
 
-def _registry(spark, sf):
-    return run_models(market(spark, sf), {n: e for n, e in default_registry().items() if n in COMPARED})
+
+def _json(spark, sf):
+    """An object with a list of lists, a missing value and a map."""
+    y = F.col("y")
+    return scores(spark, sf).select("doc_id", U.json_encode(
+        doc=F.col("doc_id"), matrix=F.array(F.array(y, 1 - y), F.array(F.lit(0), F.lit(1))), none=F.lit(None).cast("int"),
+        named=F.create_map(F.lit("y"), y)).alias("doc"))
 
 
 def _best(spark, sf):
@@ -188,15 +212,15 @@ QUERIES = {
     "require_columns": _require,
     "write_results": _write,
     "experiment_store": _experiments,
-    "union_results": lambda s, d: rounded(price_summary(market(s, d), by=["series_id"]).select("series_id", "avg_price").unionByName(
-        price_summary(market(s, d), by=["series_id"]).select("series_id", "max_price"), allowMissingColumns=True)),
+    "scan_market_csv_wide": _wide,
+    "union_results": _union,
     "sigmoid": lambda s, d: rounded(scores(s, d).select("doc_id", U.sigmoid(F.col("p") * 4 - 2).alias("v"))),
     "scaled_sigmoid": lambda s, d: rounded(scores(s, d).select(
         "doc_id", U.return_to_probability(F.col("p") / 10 - 0.05).alias("from_return"), U.score_to_probability(F.col("p")).alias("from_score"))),
     "clip": lambda s, d: rounded(scores(s, d).select("doc_id", U.clip(F.col("p"), 0.2, 0.7).alias("v"))),
     "minmax_normalise": lambda s, d: rounded(scores(s, d).select("doc_id", U.minmax_normalise(F.col("p") * 40 - 20, -20, 20).alias("v"))),
     "direction_label": lambda s, d: scores(s, d).select("doc_id", U.direction_label(F.col("p")).alias("v")),
-    "json_encode": lambda s, d: scores(s, d).select("doc_id", F.to_json(F.struct("doc_id", "y")).alias("doc")),
+    "json_encode": _json,
     "experiment_id": lambda s, d: market(s, d).select(
         *KEY, U.experiment_id(F.col("trade_date").cast("timestamp") + F.expr("INTERVAL '3:04:05' HOUR TO SECOND")).alias("experiment_id")),
     "refit_range_join": _refits,
@@ -206,20 +230,20 @@ QUERIES = {
     "stationarity_test_plain": _dickey_fuller,
     "best_by_metric": _best,
     "model_store": _store,
-    "random_forest": _forest,
-    "gradient_boosting": _boosted,
+    "random_forest": lambda s, d: _held_out(random_forest(_data(s, d), {}), 0.0, 1.0),
+    "gradient_boosting": lambda s, d: _held_out(gradient_boosting(_data(s, d, "price"), {})),
     "feature_importance_topn": _importance,
     "hyperparameter_search": _search,
-    "rbf_regression": _rbf,
+    "rbf_regression": lambda s, d: _held_out(rbf_regression(_data(s, d, "price"), {})),
     "arx_forecast": _arx,
     "arx_order_select": lambda s, d: rounded(arx_order_select(_moves(s, d)).drop("coef"), 4),
     "rolling_arx_forecast": _rolling,
-    "stationarity_test": lambda s, d: rounded(stationarity_test(_moves(s, d)), 4),
+    "stationarity_test": lambda s, d: rounded(stationarity_test(_moves(s, d)).drop("p_value"), 4),
     "sequence_model": _sequence,
-    "seq_len_sweep": lambda s, d: seq_len_sweep(market(s, d), (7, 14), params={"max_epochs": 5}),
-    "horizon_sweep": lambda s, d: horizon_sweep(market(s, d), (1, 5), params={"n_estimators": 5, "max_depth": 3}),
+    "seq_len_sweep": lambda s, d: _swept(seq_len_sweep(market(s, d)), "seq_len"),
+    "horizon_sweep": lambda s, d: _swept(horizon_sweep(market(s, d)), "horizon"),
     "model_registry_run": _registry,
-    "model_contract": lambda s, d: gradient_boosting(_data(s, d), {"n_estimators": 5, "max_depth": 3}).predictions,
+    "model_contract": lambda s, d: _held_out(gradient_boosting(_data(s, d, "sign_3class"), {}), 0.0, 2.0),
 }
 
 O = "WINDOW o AS (PARTITION BY series_id ORDER BY trade_date)"  # noqa: E741
@@ -238,6 +262,133 @@ WHERE p.l IS NOT NULL"""
 
 MOVES_SQL = f"""{PRICED_SQL}, moves AS (SELECT series_id, row_number() OVER o - 1 AS idx, coalesce(price / lag(price) OVER o - 1, 0) AS m FROM priced {O})"""
 
+def labelled_sql(target: str, horizon: int = 1) -> str:
+    """Rows of a dataset with targets, positions and splits."""
+    ahead = f"lead(price, {horizon}) OVER o / " + ("price" if horizon == 1 else f"lead(price, {horizon - 1}) OVER o") + " - 1"
+    return f"""{CLEAN_SQL}, {v2_sql('clean')},
+labelled AS (SELECT series_id, trade_date, {ahead} AS ret_fwd FROM v2 {O}),
+known AS (SELECT *, row_number() OVER o - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n FROM labelled WHERE ret_fwd IS NOT NULL {O}),
+data AS (SELECT *, {target} AS y_target, CASE WHEN idx < n - floor(n * 0.15) - floor(n * 0.15) THEN 'train'
+       WHEN idx < n - floor(n * 0.15) THEN 'val' ELSE 'test' END AS split FROM known),
+steps AS (SELECT *, row_number() OVER (PARTITION BY series_id, split ORDER BY trade_date) AS step FROM data)"""
+
+
+SIGN = "CAST(CASE WHEN ret_fwd > 0 THEN 1 ELSE 0 END AS DOUBLE)"
+THREE = "CAST(CASE WHEN ret_fwd > 0.001 THEN 2 WHEN ret_fwd < -0.001 THEN 0 ELSE 1 END AS DOUBLE)"
+
+
+def held_out_sql(target: str, seq_len: int = 1) -> str:
+    return f"""WITH {labelled_sql(target)} SELECT series_id, trade_date, idx, split, round(y_target, 6) AS y_target, round(ret_fwd, 6) AS ret_fwd,
+       TRUE AS fine FROM steps WHERE split <> 'train' AND step >= {seq_len}"""
+
+
+def trades_sql(where: str = "step >= 1", horizon: int = 1) -> str:
+    """How many test rows a model is scored on."""
+    return f"WITH {labelled_sql('ret_fwd', horizon)} SELECT count(*) FROM steps WHERE split = 'test' AND {where}"
+
+
+def registry_sql() -> str:
+    parts = []
+    for name, entry in default_registry().items():
+        parts.append(f"SELECT '{name}' AS model_name, '{entry.task}' AS task_type, ({trades_sql(f'step >= {entry.dataset.get("seq_len", 1)}')}) AS trades, NULL AS error")
+    return " UNION ALL ".join(parts)
+
+
+def sweep_sql(rows) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS model_name, {value} AS {column}, ({count}) AS trades, TRUE AS fine, NULL AS error"
+                              for name, column, value, count in rows)
+
+
+# Normal equations solved in SQL: a list of rows [a_1 .. a_k | b], brought to the unit matrix column by column.
+
+def matrix_sql(xs: list, y: str) -> str:
+    rows = [", ".join(f"sum(({x}) * ({z}))" for z in [*xs, y]) for x in xs]
+    return "[" + ", ".join(f"[{r}]" for r in rows) + "]"
+
+
+def solved_sql(name: str, source: str, keys: str) -> str:
+    """`name` has the keys of `source` and `c`, the solution of its `m`."""
+    return f"""{name}_walk AS (SELECT {keys}, 1 AS at_row, m FROM {source}
+UNION ALL SELECT {keys}, at_row + 1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m[1]) + 1), lambda j:
+       CASE WHEN i = at_row THEN m[at_row][j] / m[at_row][at_row] ELSE m[i][j] - m[i][at_row] * m[at_row][j] / m[at_row][at_row] END))
+       FROM {name}_walk WHERE at_row <= len(m)),
+{name} AS (SELECT {keys}, list_transform(m, lambda v: v[len(v)]) AS c FROM {name}_walk WHERE at_row = len(m) + 1)"""
+
+
+MOVING_SQL = f"""{PRICED_SQL}, moves AS (SELECT *, row_number() OVER o - 1 AS idx, count(*) OVER (PARTITION BY series_id) AS n,
+       coalesce(price / lag(price) OVER o - 1, 0) AS m0 FROM priced {O}),
+split AS (SELECT *, m0 AS price_move, CASE WHEN idx < n - floor(n * 0.15) - floor(n * 0.15) THEN 'train' WHEN idx < n - floor(n * 0.15) THEN 'val' ELSE 'test' END AS split,
+       {", ".join(f"lag(m0, {k}) OVER o AS l{k}" for k in (1, 2, 3, 4, 5, 7, 14))} FROM moves {O})"""
+ARX_XS = ["1.0", "l1", "l2", "l7", *EXOG]
+ARX_COMPLETE = "l7 IS NOT NULL"
+
+ARX_SQL = f"""WITH RECURSIVE {MOVING_SQL},
+sums AS (SELECT series_id, 'val' AS split, max(idx) AS e, {matrix_sql(ARX_XS, 'm0')} AS m FROM split WHERE split = 'train' AND {ARX_COMPLETE} GROUP BY series_id
+       UNION ALL SELECT series_id, 'test', max(idx), {matrix_sql(ARX_XS, 'm0')} FROM split WHERE split <> 'test' AND {ARX_COMPLETE} GROUP BY series_id),
+{solved_sql('fit', 'sums', 'series_id, split, e')},
+begun AS (SELECT f.series_id, f.split, f.e, f.c, list(s.m0 ORDER BY s.idx DESC) AS past FROM fit f JOIN split s ON s.series_id = f.series_id AND s.idx BETWEEN f.e - 6 AND f.e
+       GROUP BY ALL),
+walk AS (SELECT series_id, split, e AS idx, c, past FROM begun
+       UNION ALL SELECT w.series_id, w.split, w.idx + 1, w.c, list_prepend(w.c[1] + w.c[2] * w.past[1] + w.c[3] * w.past[2] + w.c[4] * w.past[7]
+              + w.c[5] * s.gas_price + w.c[6] * s.temperature + w.c[7] * s.pjm_load, w.past[1:6])
+       FROM walk w JOIN split s ON s.series_id = w.series_id AND s.idx = w.idx + 1 AND s.split = w.split)
+SELECT s.series_id, s.idx, s.split, round(s.price_move, 5) AS price_move, round(w.past[1], 5) AS y_pred
+FROM walk w JOIN split s ON s.series_id = w.series_id AND s.idx = w.idx AND s.split = w.split"""
+
+ROLLING_SQL = f"""WITH RECURSIVE {MOVING_SQL}, cuts AS (SELECT DISTINCT series_id, idx // 50 * 50 AS cut FROM split),
+sums AS (SELECT c.series_id, c.cut, count(*) AS rows, {matrix_sql(ARX_XS, 'm0')} AS m FROM cuts c JOIN split s ON s.series_id = c.series_id
+       AND s.idx < c.cut AND s.idx >= c.cut - 1000 AND {ARX_COMPLETE} GROUP BY c.series_id, c.cut),
+enough AS (SELECT * FROM sums WHERE rows > {len(ARX_XS)}),
+{solved_sql('fit', 'enough', 'series_id, cut')}
+SELECT s.series_id, s.idx, round(s.price_move, 5) AS price_move,
+       round({" + ".join(f"c[{i + 1}] * {x}" for i, x in enumerate(ARX_XS))}, 5) AS y_pred
+FROM split s JOIN fit f ON f.series_id = s.series_id AND f.cut = s.idx // 50 * 50 WHERE {ARX_COMPLETE}"""
+
+
+def unit_root_sql(widest: int = 40) -> str:
+    """Lags by AIC on the sample that the longest lag leaves, then the chosen lag on all rows that it leaves itself."""
+    xs = ["1.0", "before", *(f"s{k}" for k in range(1, widest + 1))]
+    whole = matrix_sql(xs, "y")
+    return f"""WITH RECURSIVE {MOVES_SQL},
+d AS (SELECT series_id, idx, lag(m) OVER o AS before, m - lag(m) OVER o AS y FROM moves WINDOW o AS (PARTITION BY series_id ORDER BY idx)),
+steps AS (SELECT *, {", ".join(f"lag(y, {k}) OVER o AS s{k}" for k in range(1, widest + 1))} FROM d WHERE y IS NOT NULL WINDOW o AS (PARTITION BY series_id ORDER BY idx)),
+longest AS (SELECT series_id, least(ceil(12 * pow(count(*) / 100.0, 0.25)), floor(count(*) / 2) - 2)::INTEGER AS most FROM moves GROUP BY series_id),
+common AS (SELECT series_id, most, CAST(count(*) AS DOUBLE) AS n, sum(y * y) AS yy, {whole} AS w FROM steps JOIN longest USING (series_id) WHERE idx > most GROUP BY series_id, most),
+choices AS (SELECT series_id, k, n, yy, list_transform(w[1:k + 2], lambda v: list_append(v[1:k + 2], v[len(v)])) AS m
+       FROM (SELECT *, unnest(range(0, most + 1)) AS k FROM common)),
+{solved_sql('fit', 'choices', 'series_id, k')},
+scored AS (SELECT series_id, k, n * ln((yy - list_sum(list_transform(range(1, len(c) + 1), lambda i: c[i] * m[i][len(m[i])]))) / n) + 2 * (k + 2) AS aic
+       FROM choices JOIN fit USING (series_id, k)),
+best AS (SELECT series_id, k FROM scored QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, k) = 1),
+again AS (SELECT series_id, k, CAST(count(*) AS DOUBLE) AS n, sum(y * y) AS yy, {whole} AS w FROM steps JOIN best USING (series_id) WHERE idx > k GROUP BY series_id, k),
+sides AS (SELECT series_id, k, n, yy, e, list_transform(range(1, k + 3), lambda i: list_append(w[i][1:k + 2],
+       CASE WHEN e = 0 THEN w[i][len(w[i])] WHEN i = 2 THEN 1.0 ELSE 0.0 END)) AS m FROM again, (SELECT unnest([0, 1]) AS e)),
+{solved_sql('last', 'sides', 'series_id, k, e')},
+t AS (SELECT s.series_id, s.k AS lags, s.n, f.c[2] / sqrt((s.yy - list_sum(list_transform(range(1, len(f.c) + 1), lambda i: f.c[i] * s.m[i][len(s.m[i])])))
+       / (s.n - s.k - 2) * g.c[2]) AS stat FROM sides s JOIN last f ON f.series_id = s.series_id AND f.e = 0 JOIN last g ON g.series_id = s.series_id AND g.e = 1 WHERE s.e = 0),
+c AS (SELECT *, -2.86154 + -2.8903 / n + -4.234 / (n * n) + -40.040 / (n * n * n) AS crit FROM t)
+SELECT series_id, round(stat, 4) AS statistic, lags, n, round(crit, 4) AS critical, stat < crit AS is_stationary FROM c"""
+
+
+def order_sql() -> str:
+    """Every choice of lags solved by itself; the lowest AIC, of equal ones the one with fewer lags."""
+    choices = {}
+    for big in range(3):
+        for p in range(6):
+            choices.setdefault(tuple(sorted({*range(1, p + 1), *(7 * i for i in range(1, big + 1))})), (p, big))
+    parts = []
+    for at, (lags, (p, big)) in enumerate(choices.items()):
+        xs = ["1.0", *(f"l{k}" for k in lags)]
+        parts.append(f"""SELECT series_id, {p} AS p, {big} AS seasonal_p, {len(xs)} AS size, CAST(count(*) AS DOUBLE) AS n, sum(m0 * m0) AS yy,
+       [{", ".join(f"sum({x} * m0)" for x in xs)}] AS b, {matrix_sql(xs, 'm0')} AS m FROM split WHERE l14 IS NOT NULL GROUP BY series_id""")
+    return f"""WITH RECURSIVE {MOVING_SQL}, sums AS ({" UNION ALL ".join(parts)}),
+{solved_sql('fit', 'sums', 'series_id, p, seasonal_p')},
+scored AS (SELECT s.*, s.yy - list_sum(list_transform(range(1, len(b) + 1), lambda i: b[i] * c[i])) AS sse FROM sums s JOIN fit f USING (series_id, p, seasonal_p)),
+ranked AS (SELECT *, n * ln(sse / n) + 2 * size AS aic, n * ln(sse / n) + size * ln(n) AS bic FROM scored)
+SELECT series_id, p, seasonal_p, 0 AS d, n, round(sse, 4) AS sse, round(aic, 4) AS aic, round(bic, 4) AS bic FROM ranked
+QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, size) = 1"""
+
+
 ORACLES = {
     "scan_market_csv": f"WITH {MARKET_SQL} SELECT * FROM market",
     "parse_dates": f"""WITH {MARKET_SQL} SELECT series_id, trade_date,
@@ -250,6 +401,8 @@ ORACLES = {
        CASE WHEN series_id = 'A' THEN date_diff('day', min(trade_date), max(trade_date))::VARCHAR END AS days,
        CASE WHEN series_id = 'A' THEN round(avg(price), 6) END AS avg_price, CASE WHEN series_id = 'A' THEN 'summary' END AS best_model
 FROM market GROUP BY series_id""",
+    "scan_market_csv_wide": f"""WITH {MARKET_SQL} SELECT 'all' AS series_id, '7' AS "Other: series 7", trade_date, price,
+       CASE WHEN day(trade_date) <> 5 THEN volume END AS volume, gas_price, pjm_load, temperature FROM market WHERE series_id = 'A'""",
     "union_results": f"""WITH {MARKET_SQL}, s AS (SELECT series_id, round(avg(price), 6) AS a, round(max(price), 6) AS b FROM market GROUP BY series_id)
 SELECT series_id, a AS avg_price, NULL AS max_price FROM s UNION ALL SELECT series_id, NULL, b FROM s""",
     "sigmoid": f"WITH {SCORES_SQL} SELECT doc_id, round(1 / (1 + exp(-(p * 4 - 2))), 6) AS v FROM scores",
@@ -258,7 +411,8 @@ SELECT series_id, a AS avg_price, NULL AS max_price FROM s UNION ALL SELECT seri
     "clip": f"WITH {SCORES_SQL} SELECT doc_id, round(least(greatest(p, 0.2), 0.7), 6) AS v FROM scores",
     "minmax_normalise": f"WITH {SCORES_SQL} SELECT doc_id, round((p * 40 - 20 + 20) / 40, 6) AS v FROM scores",
     "direction_label": f"WITH {SCORES_SQL} SELECT doc_id, CASE WHEN p > 0.5 THEN 1 ELSE -1 END AS v FROM scores",
-    "json_encode": f"""WITH {SCORES_SQL} SELECT doc_id, '{{"doc_id":' || doc_id || ',"y":' || y || '}}' AS doc FROM scores""",
+    "json_encode": f"""WITH {SCORES_SQL} SELECT doc_id, '{{"doc":' || doc_id || ',"matrix":[[' || y || ',' || (1 - y) || '],[0,1]],"none":null,"named":{{"y":' || y || '}}}}' AS doc
+FROM scores""",
     "experiment_id": f"WITH {MARKET_SQL} SELECT series_id, trade_date, strftime(trade_date, '%Y%m%d') || '_030405' AS experiment_id FROM market",
     "refit_range_join": f"""WITH {PRICED_SQL}, p AS (SELECT *, row_number() OVER o - 1 AS idx FROM priced {O}),
 cuts AS (SELECT DISTINCT series_id, idx // 50 * 50 AS cut FROM p)
@@ -288,4 +442,19 @@ m AS (SELECT event_type, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS w, avg(r)
 SELECT 'trading_win_rate' AS metric, arg_max(event_type, w) AS best_model, round(max(w), 6) AS value FROM (SELECT * FROM m ORDER BY event_type)
 UNION ALL SELECT 'trading_sharpe', arg_max(event_type, s), round(max(s), 6) FROM m
 UNION ALL SELECT 'base_mae', arg_min(event_type, e), round(min(e), 6) FROM m""",
+    "arx_forecast": ARX_SQL,
+    "rolling_arx_forecast": ROLLING_SQL,
+    "arx_order_select": order_sql(),
+    "stationarity_test": unit_root_sql(),
+    "random_forest": held_out_sql(SIGN),
+    "gradient_boosting": held_out_sql("ret_fwd"),
+    "rbf_regression": held_out_sql("ret_fwd"),
+    "model_contract": held_out_sql(THREE),
+    "sequence_model": held_out_sql(SIGN, 14),
+    "model_store": f"""WITH {labelled_sql('ret_fwd')} SELECT series_id, trade_date, split, TRUE AS same, TRUE AS described FROM data WHERE split <> 'train'""",
+    "feature_importance_topn": f"""SELECT unnest([{", ".join(f"'{c}'" for c in [*V2_DOUBLES, *CALENDAR_V2])}]) AS feature, TRUE AS fine, 1.0::DOUBLE AS total""",
+    "hyperparameter_search": "SELECT unnest(range(50)) AS draw, 'accuracy' AS metric, TRUE AS fine, TRUE AS marked",
+    "model_registry_run": registry_sql(),
+    "seq_len_sweep": sweep_sql([(f"seq_{n}", "seq_len", n, trades_sql(f"step >= {n}")) for n in (14, 30, 60)]),
+    "horizon_sweep": sweep_sql([(f"t+{h}", "horizon", h, trades_sql(horizon=h)) for h in (1, 5)]),
 }

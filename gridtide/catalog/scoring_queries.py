@@ -10,6 +10,7 @@ from gridtide.catalog.strategy_queries import metrics_sql
 from gridtide.functions import scalars as U
 from gridtide.operators import curves as R
 from gridtide.operators import scoring as M
+from gridtide.operators.targets import target_of
 from gridtide.plans.timeline import windowed
 
 
@@ -76,6 +77,38 @@ def _sign_outputs(spark, sf):
     return rounded(M.evaluate_model_outputs(_forecast(spark, sf), "sign", pred="prob", by=["series_id"]))
 
 
+def _three_outputs(spark, sf):
+    """The sign of a move and of its forecast, with a flat class in between."""
+    rows = _forecast(spark, sf).withColumns({c: target_of("sign_3class", F.col(r), 0.02) for c, r in (("y_target", "ret_fwd"), ("label", "y_pred"))})
+    return rounded(M.evaluate_model_outputs(rows, "sign_3class", pred="label", by=["series_id"]))
+
+
+def _grouped(spark, sf):
+    """Scores in three parts, one of which has no name."""
+    return scores(spark, sf).withColumn("part", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3))
+
+
+GROUPED_SQL = f"{SCORES_SQL}, grouped AS (SELECT y, p, CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 END AS part FROM scores)"
+
+
+def three_class_sql() -> str:
+    cls = "CASE WHEN {0} > 0.02 THEN 2 WHEN {0} < -0.02 THEN 0 ELSE 1 END"
+    ratio = {"precision": ("y = {k} AND l = {k}", "l = {k}"), "recall": ("y = {k} AND l = {k}", "y = {k}")}
+    each = {(m, k): f"coalesce(count(*) FILTER ({a.format(k=k)})::DOUBLE / nullif(count(*) FILTER ({b.format(k=k)}), 0), 0)"
+            for m, (a, b) in ratio.items() for k in M.CLASSES}
+    each |= {("f1", k): f"coalesce(2.0 * count(*) FILTER (y = {k} AND l = {k}) / nullif(count(*) FILTER (y = {k}) + count(*) FILTER (l = {k}), 0), 0)"
+             for k in M.CLASSES}
+    cols = [f"round({e}, 6) AS base_{m}_{k}" for (m, k), e in each.items()]
+    cols += [f"round(({' + '.join(each[m, k] for k in M.CLASSES)}) / 3, 6) AS base_{m}" for m in ("precision", "recall", "f1")]
+    matrix = " || '],[' || ".join(" || ',' || ".join(f"count(*) FILTER (y = {a} AND l = {p})" for p in M.CLASSES) for a in M.CLASSES)
+    return f"""WITH {FORECAST_SQL}, c AS (SELECT series_id, ret_fwd, {cls.format('ret_fwd')} AS y, {cls.format('y_pred')} AS l FROM forecast),
+t AS (SELECT *, (l - 1) * ret_fwd AS r FROM c),
+a AS (SELECT series_id, round(avg(CASE WHEN y = l THEN 1.0 ELSE 0.0 END), 6) AS base_accuracy, {', '.join(cols)}, '[[' || {matrix} || ']]' AS base_confusion_matrix,
+       {metrics_sql('r')} FROM t GROUP BY series_id)
+SELECT a.* EXCLUDE (total_trades, win_rate, roi, sharpe, avg_return), total_trades AS trading_total_trades, win_rate AS trading_win_rate, roi AS trading_roi,
+       sharpe AS trading_sharpe, avg_return AS trading_avg_return FROM a"""
+
+
 def _comparison(spark, sf):
     rows = _split_scores(spark, sf)
     found = M.baseline_classification(rows, p="p")
@@ -167,9 +200,10 @@ QUERIES = {
     "r2_score": lambda s, d: rounded(M.r2_score(pairs(s, d))),
     "mape_variants": lambda s, d: rounded(M.mape_variants(pairs(s, d))),
     "baseline_regression": lambda s, d: rounded(M.baseline_regression(_split_pairs(s, d), pred="y_pred")),
-    "confusion_matrix": lambda s, d: M.confusion_matrix(_labelled(s, d, 0.3)),
-    "confusion_matrix_multiclass": lambda s, d: M.confusion_matrix(_three(s, d)),
-    "confusion_matrix_normalised": lambda s, d: rounded(M.confusion_matrix_normalised(_three(s, d))),
+    "confusion_matrix": lambda s, d: M.confusion_matrix(_labelled(s, d, 0.3), classes=(0, 1)),
+    "confusion_matrix_multiclass": lambda s, d: M.confusion_matrix(_three(s, d), classes=M.CLASSES),
+    "confusion_matrix_seen": lambda s, d: M.confusion_matrix(_three(s, d)),
+    "confusion_matrix_normalised": lambda s, d: rounded(M.confusion_matrix_normalised(_three(s, d), classes=M.CLASSES)),
     "classification_metrics": lambda s, d: rounded(M.classification_metrics(scores(s, d))),
     "prob_or_label_rule": lambda s, d: rounded(M.prob_or_label_rule(scores(s, d)).select("doc_id", "p", "is_probability", "label")),
     "classification_metrics_at": lambda s, d: rounded(M.classification_metrics_at(scores(s, d), threshold=0.6)),
@@ -179,6 +213,11 @@ QUERIES = {
     "metric_comparison_table": _comparison,
     "evaluate_model_outputs": _price_outputs,
     "evaluate_model_outputs_sign": _sign_outputs,
+    "evaluate_model_outputs_3class": _three_outputs,
+    "evaluate_model_outputs_volatility": lambda s, d: rounded(M.evaluate_model_outputs(
+        _forecast(s, d).withColumns({"y_target": F.abs("ret_fwd"), "y_pred": F.abs("y_pred")}), "volatility", by=["series_id"])),
+    "roc_auc_groups": lambda s, d: rounded(M.roc_auc(_grouped(s, d), by=["part"])),
+    "roc_curve_groups": lambda s, d: rounded(R.roc_curve(_grouped(s, d), by=["part"])),
     "roc_curve": lambda s, d: rounded(R.roc_curve(scores(s, d))),
     "roc_auc": lambda s, d: rounded(M.roc_auc(scores(s, d))),
     "pr_curve": lambda s, d: rounded(R.pr_curve(scores(s, d))),
@@ -208,6 +247,7 @@ ORACLES = {
     "confusion_matrix": f"""WITH {SCORES_SQL}, s AS (SELECT y, CASE WHEN p > 0.3 THEN 1 ELSE 0 END AS label FROM scores), {confusion_sql('s')}
 SELECT * FROM cells""",
     "confusion_matrix_multiclass": f"WITH {THREE_SQL}, {confusion_sql('three')} SELECT * FROM cells",
+    "confusion_matrix_seen": f"WITH {THREE_SQL} SELECT y AS actual, label AS predicted, count(*) AS n FROM three GROUP BY ALL",
     "confusion_matrix_normalised": f"""WITH {THREE_SQL}, {confusion_sql('three')} SELECT actual, predicted, n,
        round(coalesce(n / nullif(sum(n) OVER (PARTITION BY actual), 0), 0), 6) AS share FROM cells""",
     "classification_metrics": f"""WITH {SCORES_SQL}, l AS (SELECT y, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS label FROM scores)
@@ -239,6 +279,18 @@ a AS (SELECT series_id, {class_sql('y_target', 'label')}, {metrics_sql('r')},
 SELECT series_id, accuracy AS base_accuracy, precision AS base_precision, recall AS base_recall, f1 AS base_f1, auc AS base_auc,
        cm AS base_confusion_matrix, total_trades AS trading_total_trades, win_rate AS trading_win_rate, roi AS trading_roi,
        sharpe AS trading_sharpe, avg_return AS trading_avg_return FROM a""",
+    "evaluate_model_outputs_3class": three_class_sql(),
+    "evaluate_model_outputs_volatility": f"""WITH {FORECAST_SQL}, v AS (SELECT series_id, ret_fwd, abs(ret_fwd) AS y, abs(y_pred) AS q FROM forecast),
+r AS (SELECT *, CASE WHEN q > 0 THEN 1 ELSE -1 END * ret_fwd AS r FROM v),
+a AS (SELECT series_id, {reg_sql('y', 'q', ('mae', 'mse', 'rmse', 'mape'))}, {metrics_sql('r')} FROM r GROUP BY series_id)
+SELECT series_id, mae AS base_mae, mse AS base_mse, rmse AS base_rmse, mape AS base_mape, total_trades AS trading_total_trades,
+       win_rate AS trading_win_rate, roi AS trading_roi, sharpe AS trading_sharpe, avg_return AS trading_avg_return FROM a""",
+    "roc_auc_groups": f"""WITH {GROUPED_SQL}, r AS (SELECT part, y, rank() OVER (PARTITION BY part ORDER BY p) + (count(*) OVER (PARTITION BY part, p) - 1) / 2.0 AS k FROM grouped)
+SELECT part, round((sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)), 6) AS auc FROM r GROUP BY part""",
+    "roc_curve_groups": f"""WITH {GROUPED_SQL}, g AS (SELECT part, p, sum(y) AS pos, sum(1 - y) AS neg FROM grouped GROUP BY part, p),
+r AS (SELECT part, p, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY part) AS np, sum(neg) OVER (PARTITION BY part) AS nn
+       FROM g WINDOW d AS (PARTITION BY part ORDER BY p DESC))
+SELECT part, round(p, 6) AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr FROM r UNION ALL SELECT DISTINCT part, NULL, 0.0, 0.0 FROM grouped""",
     "roc_curve": f"""{RANKED} SELECT round(p, 6) AS threshold, round(fp / nn, 6) AS fpr, round(tp / np, 6) AS tpr FROM ranked
 UNION ALL SELECT NULL, 0.0, 0.0""",
     "roc_auc": f"WITH {SCORES_SQL} SELECT round({auc_sql('scores', 'y', 'p')}, 6) AS auc",

@@ -45,6 +45,11 @@ def uniform_hash(seed: int, key: Column) -> Column:
     return F.conv(head, 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
+def json_encode(**values: Column) -> Column:
+    """The values under their names as one JSON object; arrays, matrices and maps stay nested, NULLs stay as null."""
+    return F.to_json(F.struct(*(c.alias(n) for n, c in values.items())), {"ignoreNullFields": "false"})
+
+
 def experiment_id(at: Column) -> Column:
     return F.date_format(at, "yyyyMMdd_HHmmss")
 

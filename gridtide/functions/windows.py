@@ -59,5 +59,12 @@ def rolling_slope(c, w: WindowSpec, n: int, place: str = "idx") -> Column:
 def rolling_percentiles(c, w: WindowSpec, n: int, low: float, high: float) -> Column:
     """Array of two interpolated percentiles of the last n rows, full windows only."""
     frame = last_rows(w, n)
-    both = F.percentile(col(c), F.array(F.lit(low / 100.0), F.lit(high / 100.0))).over(frame)
-    return full_only(both, c, frame, n)
+    values = F.array_sort(F.collect_list(col(c)).over(frame))  # at most n values
+
+    def at(percent: float) -> Column:
+        place = percent / 100.0 * (n - 1)
+        below = int(place)
+        under, over = F.get(values, F.lit(below)), F.get(values, F.lit(min(below + 1, n - 1)))
+        return under + (over - under) * F.lit(place - below)
+
+    return full_only(F.array(at(low), at(high)), c, frame, n)

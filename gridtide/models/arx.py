@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gridtide.models.leastsquares import complete, cross_sums, fit_summed, normal_equations, predict
-from gridtide.plans.attach import attach
+from gridtide.plans.attach import attach, join_on
 from gridtide.plans.timeline import BLOCK_ROWS, DAILY, SeriesFrame, SeriesOrder, windowed
+from gridtide.session import cut
 
 # MacKinnon (2010) response surface of the Dickey-Fuller test with a constant.
 CRITICAL = {0.01: (-3.43035, -6.5393, -16.786, -79.433), 0.05: (-2.86154, -2.8903, -4.234, -40.040),
             0.10: (-2.56677, -1.5384, -2.809, 0.0)}
 
+# MacKinnon (1994), p-value of the test with a constant: lowest, middle and highest statistic, polynomials below and above the middle.
+P_RANGE = (-18.83, -1.61, 2.74)
+P_LOW = (2.1659, 1.4412, 0.038269)
+P_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
+
 
 @dataclass(frozen=True)
 class Arx:
@@ -64,27 +71,27 @@ def arx_fit(lagged: DataFrame, model: Arx, by: Sequence[str] = ("series_id",)) -
 
 def arx_order_select(df: DataFrame, *, max_p: int = 5, max_P: int = 2, s: int = 7, d: int = 0, exog: Sequence[str] = (),
                      y: str = "price_move", order: SeriesOrder = DAILY) -> DataFrame:
-    """The orders p and P with the lowest AIC for every series.
+    """The orders `p` and `seasonal_p` with the lowest AIC for every series.
 
     All candidates are solved from the sums of the largest one, so they share one pass and one sample.
+    Of orders with the same lags the one with fewer seasonal lags is named.
     """
     widest = Arx(max_p, max_P, s, d, tuple(exog), y)
     names, lags = widest.names(), widest.lags()
-    subsets = []
-    for p in range(max_p + 1):
-        for big in range(max_P + 1):
+    named = {}
+    for big in range(max_P + 1):
+        for p in range(max_p + 1):
             wanted = {*range(1, p + 1), *(s * i for i in range(1, big + 1))}
-            at = [0, *(1 + lags.index(k) for k in sorted(wanted)), *range(1 + len(lags), len(names))]
-            if at not in subsets:
-                subsets.append(at)
-    subsets.sort(key=len)
+            at = (0, *(1 + lags.index(k) for k in sorted(wanted)), *range(1 + len(lags), len(names)))
+            named.setdefault(at, (p, big))
+    subsets = sorted(named, key=len)
     lagged = with_lags(df, widest, order)
     xs = widest.regressors()
     fits = fit_summed(normal_equations(lagged, xs, "_y", order.keys), len(xs), order.keys, subsets)
-    near = F.size(F.filter("used", lambda i: (i >= 1) & (i <= max_p)))
-    season = [1 + lags.index(s * i) for i in range(1, max_P + 1)]
-    far = F.size(F.filter("used", lambda i: i.isin(season) if season else F.lit(False)))
-    return fits.select(*order.keys, near.alias("p"), far.alias("P"), F.lit(d).alias("d"), "n", "sse", "aic", "bic", "coef")
+    orders = F.create_map(*(F.lit(v) for at, (p, big) in named.items() for v in (",".join(map(str, at)), f"{p},{big}")))
+    chosen = F.split(orders[F.array_join("used", ",")], ",")
+    return fits.select(*order.keys, chosen[0].cast("int").alias("p"), chosen[1].cast("int").alias("seasonal_p"), F.lit(d).alias("d"),
+                       "n", "sse", "aic", "bic", "coef")
 
 
 def _effective(model: Arx) -> int:
@@ -131,15 +138,15 @@ def multi_step(rows: DataFrame, history: DataFrame, fits: DataFrame, model: Arx,
     """
     keys, m = list(order.keys), _effective(model)
     ends = history.groupBy(*keys).agg(F.max("idx").alias("_end"))
-    recent = attach(history.select(*keys, "idx", model.y), ends, keys, spread=["idx"]).filter(F.col("idx") > F.col("_end") - m)
+    recent = attach(history.select(*keys, "idx", model.y), ends, keys).filter(F.col("idx") > F.col("_end") - m)
     pairs = F.sort_array(F.collect_list(F.struct((-F.col("idx")).alias("at"), F.col(model.y).alias("v"))))
     # At most one value per lag is collected.
     start = recent.groupBy(*keys).agg(F.transform(pairs, lambda e: e["v"]).alias("_state"), F.max("_end").alias("_end"))
-    known = fits.select(*keys, "coef").join(start, keys)
+    known = join_on(fits.select(*keys, "coef"), start, keys)
     drive = F.col("coef")[0]
     for i, c in enumerate(model.exog):
         drive = drive + F.col("coef")[1 + len(model.lags()) + i] * F.col(c).cast("double")
-    steps = attach(rows.select(*keys, "idx", *model.exog), known, keys, spread=["idx"], how="inner")
+    steps = attach(rows.select(*keys, "idx", *model.exog), known, keys, how="inner")
     steps = steps.select(*keys, "idx", drive.alias("drive"), "coef", "_state",
                          F.floor((F.col("idx") - F.col("_end") - 1) / F.lit(stretch)).alias("stretch"))
     key_type = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
@@ -181,7 +188,7 @@ def multi_step(rows: DataFrame, history: DataFrame, fits: DataFrame, model: Arx,
 
     ended = steps.groupBy(*keys, "stretch").applyInPandas(end, end_type)
     starts = ended.groupBy(*keys).applyInPandas(hand_over, f"{key_type}, stretch bigint, _state array<double>")
-    return (steps.drop("_state").join(starts, [*keys, "stretch"])
+    return (join_on(steps.drop("_state"), starts, [*keys, "stretch"])
             .groupBy(*keys, "stretch").applyInPandas(run, out_type))
 
 
@@ -199,7 +206,7 @@ def arx_forecast(df: DataFrame, model: Arx = Arx(), *, split: str = "split", str
         tables.append(multi_step(rows.filter(F.col(split) == target), past, fits, model, order, stretch))
     forecasts = tables[0].unionByName(tables[1])
     known = rows.filter(F.col(split).isin("val", "test")).drop("_y", *(f"_lag{k}" for k in model.lags()))
-    return known.join(forecasts, [*keys, "idx"])
+    return join_on(known, forecasts, [*keys, "idx"])
 
 
 # ---- rolling refits ------------------------------------------------------------------------------
@@ -214,18 +221,29 @@ def refit_range_join(df: DataFrame, stats: dict[str, Column], combine: dict[str,
                      max_history: int = 1000, order: SeriesOrder = DAILY) -> DataFrame:
     """Per refit point (`cut`, a position) statistics of the `max_history` rows before it.
 
-    Rows are first summed per stretch between refit points; a refit point then joins only the sums of
-    the stretches in its range, not their rows.
+    Rows are first summed per stretch between refit points (`stats`); a window over the stretches then
+    combines those in range of a refit point (`combine`, aggregates over the summed columns).
     """
     rows = df if "idx" in df.columns else SeriesFrame.open(df, order).index("idx").close()
     chunk = _chunked(rows, refit_every, max_history)
     sums = rows.groupBy(*order.keys, chunk.alias("_chunk")).agg(*(c.alias(n) for n, c in stats.items()))
-    reach = F.sequence(F.col("_chunk") + 1, F.col("_chunk") + max_history // refit_every)
-    reaching = sums.withColumn("_at", F.explode(reach))
-    points = sums.select(*order.keys, F.col("_chunk").alias("_at"))
-    joined = points.join(reaching, [*order.keys, "_at"])
-    return joined.groupBy(*order.keys, (F.col("_at") * refit_every).alias("cut")).agg(
-        *(c.alias(n) for n, c in combine.items()))
+    span = max_history // refit_every
+    sums, stretches = _stretches(sums, rows, order)
+
+    def before(w: WindowSpec) -> dict[str, Column]:
+        reach = w.rowsBetween(-span, -1)
+        return {"_any": F.count(F.lit(1)).over(reach), **{n: c.over(reach) for n, c in combine.items()}}
+
+    found = windowed(stretches.cut(sums), before, order=stretches, lookback=span).filter(F.col("_any") > 0)
+    return found.select(*order.keys, (F.col("_chunk") * refit_every).alias("cut"), *combine)
+
+
+def _stretches(sums: DataFrame, rows: DataFrame, order: SeriesOrder) -> tuple[DataFrame, SeriesOrder]:
+    """Sums per stretch with the order of the stretches; `_chunk` numbers them without holes."""
+    if order.blocked(rows):
+        return sums, replace(order, ts="_chunk", tie=(), bucket_at=None)
+    # Numbered by days, so that a short series stays whole.
+    return sums.withColumn("_day", F.date_from_unix_date(F.col("_chunk").cast("int"))), SeriesOrder(order.keys, "_day")
 
 
 def rolling_arx_forecast(df: DataFrame, model: Arx = Arx(), *, refit_every: int = 50, max_history: int = 1000,
@@ -243,15 +261,11 @@ def rolling_arx_forecast(df: DataFrame, model: Arx = Arx(), *, refit_every: int
     sums = marked.groupBy(*order.keys, "_chunk").agg(
         *(F.expr(f"coalesce(sum(CASE WHEN {complete(xs, y)} THEN {c} END), 0D)").alias(n) for n, c in products.items()))
     span = max_history // refit_every
-    if order.blocked(df):
-        stretches = replace(order, ts="_chunk", tie=(), bucket_at=None)
-    else:  # numbered by days, so that a short series stays whole
-        stretches = SeriesOrder(order.keys, "_day")
-        sums = sums.withColumn("_day", F.date_from_unix_date(F.col("_chunk").cast("int")))
+    sums, stretches = _stretches(sums, df, order)
     before = windowed(stretches.cut(sums), lambda w: {n: F.expr(f"sum({n})").over(w.rowsBetween(-span, -1)) for n in products},
                       order=stretches, lookback=span)
     fits = fit_summed(before.filter(F.col("n") > len(xs)), len(xs), [*order.keys, "_chunk"])
-    joined = marked.join(fits.select(*order.keys, "_chunk", "coef"), [*order.keys, "_chunk"], "left")
+    joined = join_on(marked, fits.select(*order.keys, "_chunk", "coef"), [*order.keys, "_chunk"], "left")
     step = predict("coef", xs)
     undone = {0: F.lit(0.0), 1: F.col("_last")}
     if model.d:
@@ -269,21 +283,60 @@ def critical_value(n: Column, level: float = 0.05) -> Column:
     return F.lit(b0) + b1 / n + b2 / (n * n) + b3 / (n * n * n)
 
 
-def stationarity_test(df: DataFrame, y: str = "price_move", *, max_lag: int = 12, level: float = 0.05,
+def longest_lag(n: Column) -> Column:
+    """How many lagged steps a series of n values may have: 12 * (n / 100) ** (1/4), and half the series less the regressors."""
+    return F.greatest(F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.floor(n / 2) - 2), F.lit(0)).cast("int")
+
+
+def dickey_fuller_p(statistic: Column) -> Column:
+    """Probability of a value as low as this one if there is a unit root, from the published polynomials."""
+    def p(t: float | None) -> float | None:
+        if t is None or np.isnan(t):
+            return None
+        if t > P_RANGE[2]:
+            return 1.0
+        if t < P_RANGE[0]:
+            return 0.0
+        at = np.polynomial.polynomial.polyval(t, P_LOW if t <= P_RANGE[1] else P_HIGH)
+        return 0.5 * (1.0 + erf(float(at) / sqrt(2.0)))
+
+    @F.pandas_udf("double")
+    def each(values: pd.Series) -> pd.Series:
+        return values.map(p)
+
+    return each(statistic)
+
+
+def stationarity_test(df: DataFrame, y: str = "price_move", *, max_lag: int | None = None, level: float = 0.05,
                       order: SeriesOrder = DAILY) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant for every series, its lags chosen by AIC.
 
-    All lag choices share the sample that the largest one leaves.
+    The most lags follow from the length of each series, or are `max_lag`. All choices for a series share
+    the sample that the largest one leaves; the chosen one is fitted again on all rows it can use.
     """
     if level not in CRITICAL:
         raise ValueError(f"level must be one of {sorted(CRITICAL)}, got {level}")
+    keys = list(order.keys)
+    counted = df.filter(F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    limits = counted.select(*keys, (longest_lag(F.col("_rows")) if max_lag is None else F.lit(max_lag)).alias("_lags"))
+    widest = (limits.agg(F.max("_lags")).first()[0] or 0) if max_lag is None else max_lag
     frame = windowed(df, lambda w: {"_before": F.lag(y).over(w)}, lambda w: {"_step": F.col(y) - F.col("_before")},
-                     lambda w: {f"_step{k}": F.lag("_step", k).over(w) for k in range(1, max_lag + 1)},
-                     order=order, lookback=max_lag + 2)
-    xs = ["1D", "_before", *(f"_step{k}" for k in range(1, max_lag + 1))]
-    sums = normal_equations(frame, xs, "_step", order.keys)
-    subsets = [list(range(2 + k)) for k in range(max_lag + 1)]
-    fits = fit_summed(sums, len(xs), order.keys, subsets, first=1)
+                     lambda w: {f"_step{k}": F.lag("_step", k).over(w) for k in range(1, widest + 1)},
+                     order=order, lookback=widest + 2)
+    frame = cut(frame.select(*keys, "_before", "_step", *(f"_step{k}" for k in range(1, widest + 1))))
+    # A lag beyond a series' own is 0 everywhere, so it adds nothing to a fit and takes no row away.
+    xs = ["1D", "_before", *(f"_step{k}" for k in range(1, widest + 1))]
+    subsets = [list(range(2 + k)) for k in range(widest + 1)]
+
+    def fits(lags: DataFrame, size: Column | None = None) -> DataFrame:
+        own = {f"_step{k}": F.when(F.col("_lags") >= k, F.col(f"_step{k}")).otherwise(F.lit(0.0)) for k in range(1, widest + 1)}
+        sums = normal_equations(attach(frame, lags, keys, how="inner").withColumns(own), xs, "_step", keys)
+        if size is not None:
+            sums = attach(sums, lags, keys)
+        return fit_summed(sums, len(xs), keys, subsets, first=1, size=size)
+
+    chosen = fits(limits).filter(F.col("used").isNotNull()).select(*keys, (F.size("used") - 2).alias("_lags"))
+    found = fits(cut(chosen), F.col("_lags") + 2)
     limit = critical_value(F.col("n"), level)
-    return fits.select(*order.keys, F.col("t_first").alias("statistic"), (F.size("used") - 2).alias("lags"), "n",
-                       limit.alias("critical"), (F.col("t_first") < limit).alias("is_stationary"))
+    return found.select(*keys, F.col("t_first").alias("statistic"), (F.size("used") - 2).alias("lags"), "n",
+                        dickey_fuller_p(F.col("t_first")).alias("p_value"), limit.alias("critical"), (F.col("t_first") < limit).alias("is_stationary"))

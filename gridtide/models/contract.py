@@ -1,13 +1,14 @@
 """What a model is here: a function from a dataset to predictions.
 
 A model takes (dataset, params) and returns a `Fitted`: the validation and test rows as series key,
-time, `idx`, `split`, `y_target`, `ret_fwd`, `y_pred`. For the sign task `y_pred` is a probability.
+time, `idx`, `split`, `y_target`, `ret_fwd`, `y_pred`. For the sign task `y_pred` is a probability, for three
+classes it is the class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.ml import PipelineModel, Transformer
@@ -47,12 +48,17 @@ def check_contract(predictions: DataFrame) -> DataFrame:
 
 
 def is_sign(task: str) -> bool:
-    return task in ("sign", "sign_3class", "classification")
+    """Two classes, predicted by the probability of the upper one."""
+    return task in ("sign", "classification")
+
+
+def is_class(task: str) -> bool:
+    return is_sign(task) or task == "sign_3class"
 
 
 def prepared(data: Dataset) -> Dataset:
     """The dataset written out once, for fits that pass over it many times."""
-    return Dataset(cut(data.rows), data.features, data.task)
+    return replace(data, rows=cut(data.rows))
 
 
 def assembled(data: Dataset) -> tuple[VectorAssembler, DataFrame]:
@@ -64,16 +70,22 @@ def positive_probability(column: str = "probability") -> Column:
     return vector_to_array(F.col(column))[1]
 
 
+def class_column(task: str) -> Column:
+    """What a fitted classifier predicts for a task."""
+    return positive_probability() if is_sign(task) else F.col("prediction")
+
+
 def predictions(scored: DataFrame, y_pred: Column, order: SeriesOrder = DAILY) -> DataFrame:
     out = scored.filter(F.col("split").isin(*HELD_OUT)).withColumn("y_pred", y_pred)
     return check_contract(out.select(*order.columns(), *CONTRACT))
 
 
 def held_out_score(predicted: DataFrame, task: str, split: str = "val") -> float:
-    """Accuracy of the sign or mean absolute error on a split; one number."""
+    """Accuracy of the class or mean absolute error on a split; one number."""
     rows = predicted.filter(F.col("split") == split)
-    if is_sign(task):
-        value = F.avg(((F.col("y_pred") > 0.5).cast("int") == F.col("y_target")).cast("double"))
+    if is_class(task):
+        label = (F.col("y_pred") > 0.5).cast("int") if is_sign(task) else F.col("y_pred")
+        value = F.avg((label == F.col("y_target")).cast("double"))
     else:
         value = F.avg(F.abs(F.col("y_target") - F.col("y_pred")))
     return rows.agg(value).first()[0]
@@ -81,7 +93,7 @@ def held_out_score(predicted: DataFrame, task: str, split: str = "val") -> float
 
 def better(a: float, b: float | None, task: str) -> bool:
     """Whether score a beats b; the first of equal scores stays."""
-    return b is None or (a > b if is_sign(task) else a < b)
+    return b is None or (a > b if is_class(task) else a < b)
 
 
 def pipeline_model(*stages: Transformer) -> PipelineModel:

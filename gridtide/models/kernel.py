@@ -17,7 +17,6 @@ from gridtide.models.contract import Fitted, is_sign, pipeline_model, prediction
 from gridtide.operators.scaling import standard_scale
 from gridtide.operators.statistics import topk_features
 from gridtide.plans.dataset import Dataset
-from gridtide.plans.timeline import DAILY
 from gridtide.session import cut
 
 SEED = 42
@@ -48,7 +47,7 @@ def selected_features(data: Dataset, k: int) -> list[str]:
 def rbf_regression(data: Dataset, params: Mapping[str, Any]) -> Fitted:
     """The best features scaled again, lifted, and fitted with a robust linear regression."""
     names = selected_features(data, params.get("n_features", 50))
-    rows = standard_scale(data.rows, names, per=False)
+    rows = standard_scale(data.rows, names, per=False, order=data.order)
     gamma = params.get("gamma", "scale")
     gamma = 1.0 / len(names) if gamma in ("scale", "auto") else float(gamma)
     rows = rows.withColumn("_lifted", fourier_features(names, params.get("components", 100), gamma))
@@ -57,13 +56,16 @@ def rbf_regression(data: Dataset, params: Mapping[str, Any]) -> Fitted:
     mean, spread = rows.filter(train).agg(F.avg("y_target"), F.stddev_pop("y_target")).first()
     spread = spread or 1.0
     rows = rows.withColumns({"features": array_to_vector("_lifted"), "_label": (F.col("y_target") - mean) / spread})
-    rows = cut(rows.select(*DAILY.columns(), "idx", "split", "y_target", "ret_fwd", "features", "_label"))
+    rows = cut(rows.select(*data.order.columns(), "idx", "split", "y_target", "ret_fwd", "features", "_label"))
     estimator = LinearRegression(labelCol="_label", loss="huber", epsilon=params.get("epsilon", 1.35),
                                  regParam=1.0 / params.get("C", 1000), maxIter=params.get("max_iter", 60))
     model = estimator.fit(rows.filter(train))
     raw = F.col("prediction") * spread + mean
     scored = model.transform(rows.filter(F.col("split") != "train"))
-    found = predictions(scored, score_to_probability(raw) if is_sign(data.task) else raw)
+    y_pred = score_to_probability(raw) if is_sign(data.task) else raw
+    if data.task == "sign_3class":  # the nearest class
+        y_pred = F.greatest(F.least(F.rint(raw), F.lit(2.0)), F.lit(0.0))
+    found = predictions(scored, y_pred, data.order)
     return Fitted(found, {**params, "gamma": gamma, "features": len(names)}, pipeline_model(model), names)
 
 

@@ -64,18 +64,19 @@ FIT_TYPE = "coef array<double>, used array<int>, n double, sse double, aic doubl
 def fit_subsets(subsets: Sequence[Sequence[int]], first: int = 0):
     """A function over summed rows: per row the subset of regressors with the lowest AIC.
 
-    `coef` has a zero for each regressor left out. `t_first` is the t value of regressor `first`.
+    `coef` has a zero for each regressor left out. `t_first` is the t value of regressor `first`. A row
+    with a `size` only takes subsets of so many regressors.
     """
     @F.pandas_udf(FIT_TYPE)
-    def fit(xtx: pd.Series, xty: pd.Series, yy: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def fit(xtx: pd.Series, xty: pd.Series, yy: pd.Series, n: pd.Series, size: pd.Series) -> pd.DataFrame:
         found = []
-        for a_, b_, yy_, n_ in zip(xtx, xty, yy, n):
+        for a_, b_, yy_, n_, size_ in zip(xtx, xty, yy, n, size):
             b_ = np.asarray(b_, float)
             a_ = unpack(np.asarray(a_, float), len(b_))
             best = None
             for subset in subsets:
                 at = list(subset)
-                if n_ <= len(at):
+                if n_ <= len(at) or (size_ and len(at) != size_):
                     continue
                 beta, inverse = solve(a_[np.ix_(at, at)], b_[at])
                 sse = max(float(yy_ - beta @ b_[at]), 0.0)
@@ -93,11 +94,11 @@ def fit_subsets(subsets: Sequence[Sequence[int]], first: int = 0):
 
 
 def fit_summed(sums: DataFrame, k: int, keep: Sequence[str], subsets: Sequence[Sequence[int]] | None = None,
-               first: int = 0) -> DataFrame:
-    """Solve summed rows; one fit per row."""
+               first: int = 0, size: Column | None = None) -> DataFrame:
+    """Solve summed rows; one fit per row. `size` fixes the number of regressors of a row's subset."""
     fit = fit_subsets(subsets or [list(range(k))], first)
-    ready = sums.select(*keep, *packed(k))
-    return ready.withColumn("_fit", fit("xtx", "xty", "yy", "n")).select(*keep, "_fit.*")
+    ready = sums.select(*keep, *packed(k), (F.lit(0) if size is None else size).alias("_size"))
+    return ready.withColumn("_fit", fit("xtx", "xty", "yy", "n", "_size")).select(*keep, "_fit.*")
 
 
 def predict(coef: str, xs: Sequence[str]) -> Column:

@@ -14,8 +14,9 @@ from gridtide.models.contract import Fitted, Model, check_contract, is_sign, pre
 from gridtide.models.kernel import rbf_regression
 from gridtide.models.trees import gradient_boosting, random_forest, sequence_model
 from gridtide.functions.scalars import return_to_probability
-from gridtide.operators.scoring import evaluate_model_outputs
-from gridtide.operators.trading import algo_return_summary, position_from_prediction
+from gridtide.operators.scoring import evaluate_model_outputs, side_of
+from gridtide.operators.targets import target_of
+from gridtide.operators.trading import algo_return_summary
 from gridtide.plans.dataset import Dataset, make_dataset
 from gridtide.session import cut
 
@@ -32,27 +33,31 @@ class Entry:
 
 
 def arx_model(data: Dataset, params: Mapping[str, Any]) -> Fitted:
-    """The ARX forecast of the next return, as a value or as a probability of going up.
+    """The ARX forecast of the next return, as a value, a probability of going up, or one of three classes.
 
     The modelled series is the move into each row, shifted so that it lines up with the target.
     """
     exog = tuple(c for c in params.get("exog", ("gas_price", "temperature", "pjm_load")) if c in data.rows.columns)
     model = Arx(params.get("p", 2), params.get("P", 1), params.get("s", 7), params.get("d", 0), exog, "ret_fwd")
-    raw = arx_forecast(data.rows, model)
+    raw = arx_forecast(data.rows, model, order=data.order)
     y_pred = return_to_probability(F.col("y_pred")) if is_sign(data.task) else F.col("y_pred")
-    return Fitted(predictions(raw, y_pred), dict(params))
+    if data.task == "sign_3class":
+        y_pred = target_of(data.task, F.col("y_pred"), params.get("flat_threshold", 0.001)).cast("double")
+    elif data.task == "volatility":
+        y_pred = F.abs("y_pred")
+    return Fitted(predictions(raw, y_pred, data.order), dict(params))
 
 
 def default_registry() -> dict[str, Entry]:
-    trees = {"n_estimators_options": (20, 50)}
+    """Ten models with their own default settings."""
     unscaled = {"scaler": None}
     return {
-        "RF_sign": Entry(random_forest, "sign", "random forest on the direction", trees),
-        "RF_price": Entry(random_forest, "price", "random forest on the return", trees),
-        "GBT_sign": Entry(gradient_boosting, "sign", "boosted trees on the direction", {"n_estimators": 20}),
-        "GBT_price": Entry(gradient_boosting, "price", "boosted trees on the return", {"n_estimators": 20}),
-        "RBF_sign": Entry(rbf_regression, "sign", "kernel regression on the direction", {"n_features": 20}),
-        "RBF_price": Entry(rbf_regression, "price", "kernel regression on the return", {"n_features": 20}),
+        "RF_sign": Entry(random_forest, "sign", "random forest on the direction"),
+        "RF_price": Entry(random_forest, "price", "random forest on the return"),
+        "GBT_sign": Entry(gradient_boosting, "sign", "boosted trees on the direction"),
+        "GBT_price": Entry(gradient_boosting, "price", "boosted trees on the return"),
+        "RBF_sign": Entry(rbf_regression, "sign", "kernel regression on the direction"),
+        "RBF_price": Entry(rbf_regression, "price", "kernel regression on the return"),
         "ARX_sign": Entry(arx_model, "sign", "autoregression as a direction", dataset=unscaled),
         "ARX_price": Entry(arx_model, "price", "autoregression on the return", dataset=unscaled),
         "SEQ_sign": Entry(sequence_model, "sign", "perceptron on sequences", {"seq_len": 14}, {"seq_len": 14}),
@@ -64,7 +69,7 @@ def result_row(name: str, entry: Entry, fitted: Fitted, split: str = "test") ->
     """One flat row of prediction and trading metrics."""
     rows = cut(check_contract(fitted.predictions).filter(F.col("split") == split))
     table = evaluate_model_outputs(rows, entry.task)
-    sides = F.when(F.col("y_pred") > 0.5, 1).otherwise(-1) if is_sign(entry.task) else position_from_prediction(F.col("y_pred"))
+    sides = side_of(entry.task, F.col("y_pred"))
     returns = algo_return_summary(rows.withColumn("_r", sides * F.col("ret_fwd")), "_r")
     returns = returns.select(*(F.col(c).alias(f"trading_{c}") for c in returns.columns))
     params = F.to_json(F.create_map(*(F.lit(str(x)) for kv in fitted.params.items() for x in kv))) if fitted.params else F.lit("{}")
@@ -75,7 +80,7 @@ def result_row(name: str, entry: Entry, fitted: Fitted, split: str = "test") ->
 
 
 def failure_row(spark, name: str, entry: Entry, error: Exception) -> DataFrame:
-    text = f"{type(error).__name__}: {str(error)[:200]}"
+    text = f"{type(error).__name__}: {error}"
     return spark.createDataFrame([(name, entry.task, entry.description, text)],
                                  "model_name string, task_type string, description string, error string")
 

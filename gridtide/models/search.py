@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.models.contract import Model, better, held_out_score, is_sign
+from gridtide.models.contract import Model, better, held_out_score, is_class
 from gridtide.operators.targets import time_series_folds
 from gridtide.plans.dataset import Dataset
-from gridtide.plans.timeline import DAILY, SeriesOrder
 from gridtide.session import cut
 
 
 def draw_params(space: Mapping[str, Any], n: int, seed: int = 42) -> list[dict[str, Any]]:
-    """n draws: one of a list, a whole number between two ints, or a number between two floats."""
+    """n draws: one of a list, a whole number between two ints, or a number between two floats.
+
+    ("log", low, high) draws a number whose logarithm is uniform.
+    """
     rng = random.Random(seed)
 
     def draw(choice):
+        if isinstance(choice, tuple) and len(choice) == 3 and choice[0] == "log":
+            return math.exp(rng.uniform(math.log(choice[1]), math.log(choice[2])))
         if isinstance(choice, tuple) and len(choice) == 2:
             low, high = choice
             return rng.randint(low, high) if isinstance(low, int) and isinstance(high, int) else rng.uniform(low, high)
@@ -33,17 +39,17 @@ def draw_params(space: Mapping[str, Any], n: int, seed: int = 42) -> list[dict[s
 def fold_dataset(rows: DataFrame, data: Dataset, fold: int) -> Dataset:
     """Train on the folds before, validate on this one."""
     part = F.when(F.col("fold") < fold, "train").when(F.col("fold") == fold, "val")
-    return Dataset(rows.withColumn("split", part).filter(F.col("split").isNotNull()), data.features, data.task)
+    return replace(data, rows=rows.withColumn("split", part).filter(F.col("split").isNotNull()))
 
 
-def hyperparameter_search(data: Dataset, model: Model, space: Mapping[str, Sequence], *, draws: int = 10, folds: int = 3,
-                          seed: int = 42, threads: int = 4, order: SeriesOrder = DAILY) -> DataFrame:
+def hyperparameter_search(data: Dataset, model: Model, space: Mapping[str, Sequence], *, draws: int = 50, folds: int = 5,
+                          seed: int = 42, threads: int = 4) -> DataFrame:
     """One row per draw: its parameters as JSON, its mean score over the folds, and whether it is best.
 
     The fits are Spark jobs started from a few threads; only scores come back.
     """
     train = data.rows.filter(F.col("split") == "train").drop("idx")
-    rows = cut(time_series_folds(train, folds, order=order))
+    rows = cut(time_series_folds(train, folds, order=data.order))
     candidates = draw_params(space, draws, seed)
 
     def score(job: tuple[int, int]) -> tuple[int, float]:
@@ -64,4 +70,4 @@ def hyperparameter_search(data: Dataset, model: Model, space: Mapping[str, Seque
     schema = "draw int, params map<string,string>, score double, is_best boolean"
     named = [(at, {k: str(v) for k, v in p.items()}, s, b) for at, p, s, b in table]
     out = spark.createDataFrame(named, schema).withColumn("params", F.to_json("params"))
-    return out.withColumn("metric", F.lit("accuracy" if is_sign(data.task) else "mae"))
+    return out.withColumn("metric", F.lit("accuracy" if is_class(data.task) else "mae"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
@@ -11,67 +12,97 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.models.contract import Fitted, assembled, better, held_out_score, is_sign, pipeline_model, positive_probability, predictions
+from gridtide.models.contract import (Fitted, assembled, better, class_column, held_out_score, is_class, is_sign, pipeline_model,
+                                      positive_probability, predictions)
 from gridtide.operators.sequences import flatten_sequence
 from gridtide.plans.dataset import Dataset
 
 SEED = 42
 
 
+def weighted(rows: DataFrame, task: str, balanced: bool) -> tuple[DataFrame, dict[str, str]]:
+    """With `balanced`, rows with a weight that gives every class of the training rows the same total, and the fit's option."""
+    if not balanced or not is_class(task):
+        return rows, {}
+    train = F.col("split") == "train"
+    counts = rows.filter(train).groupBy(F.col("y_target").alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_classes"))  # one row
+    table = counts.crossJoin(F.broadcast(totals)).select("_class", (F.col("_all") / F.col("_classes") / F.col("_n")).alias("weight"))
+    out = rows.join(F.broadcast(table), F.col("y_target") == F.col("_class"), "left").drop("_class")  # a row per class
+    return out.fillna({"weight": 1.0}), {"weightCol": "weight"}
+
+
 def random_forest(data: Dataset, params: Mapping[str, Any]) -> Fitted:
-    """A forest whose number of trees is the first best one on the validation rows."""
+    """A forest whose number of trees is the first best one on the validation rows; the forests grow side by side."""
     assembler, rows = assembled(data)
-    rows = assembler.transform(rows)
+    rows, extra = weighted(assembler.transform(rows), data.task, params.get("balanced", False))
     train = rows.filter(F.col("split") == "train")
-    kind = RandomForestClassifier if is_sign(data.task) else RandomForestRegressor
-    best = None
-    for trees in params.get("n_estimators_options", (100, 200, 500)):
+    kind = RandomForestClassifier if is_class(data.task) else RandomForestRegressor
+    options = params.get("n_estimators_options", (100, 200, 500))
+
+    def grown(trees: int) -> tuple:
         estimator = kind(labelCol="y_target", numTrees=trees, maxDepth=params.get("max_depth", 8), seed=SEED,
                          minInstancesPerNode=params.get("min_samples_leaf", 1),
-                         featureSubsetStrategy=params.get("max_features", "auto"))
+                         featureSubsetStrategy=params.get("max_features", "auto"), **extra)
         model = estimator.fit(train)
-        y_pred = positive_probability() if is_sign(data.task) else F.col("prediction")
-        found = predictions(model.transform(rows.filter(F.col("split") != "train")), y_pred)
-        score = held_out_score(found, data.task)
-        if best is None or better(score, best[0], data.task):
-            best = (score, trees, model, found)
+        y_pred = class_column(data.task) if is_class(data.task) else F.col("prediction")
+        found = predictions(model.transform(rows.filter(F.col("split") != "train")), y_pred, data.order)
+        return held_out_score(found, data.task), trees, model, found
+
+    with ThreadPoolExecutor(len(options)) as pool:
+        forests = list(pool.map(grown, options))
+    best = forests[0]
+    for forest in forests[1:]:
+        if better(forest[0], best[0], data.task):
+            best = forest
     score, trees, model, found = best
     return Fitted(found, {"n_estimators": trees, "val_score": score}, pipeline_model(assembler, model), data.features)
 
 
 def gradient_boosting(data: Dataset, params: Mapping[str, Any]) -> Fitted:
-    """Boosted trees that stop once the validation rows gain nothing more."""
+    """Boosted trees that stop once the validation rows gain nothing more; three classes are one fit against the rest each."""
     assembler, rows = assembled(data)
-    rows = assembler.transform(rows).withColumn("is_val", F.col("split") == "val")
-    kind = GBTClassifier if is_sign(data.task) else GBTRegressor
-    estimator = kind(labelCol="y_target", maxIter=params.get("n_estimators", 100), stepSize=params.get("learning_rate", 0.05),
-                     maxDepth=params.get("max_depth", 5), subsamplingRate=params.get("subsample", 0.8),
-                     featureSubsetStrategy=str(params.get("colsample", 0.8)), minInstancesPerNode=params.get("min_child_samples", 20),
-                     validationIndicatorCol="is_val", validationTol=params.get("tolerance", 0.01), seed=SEED)
-    model = estimator.fit(rows.filter(F.col("split") != "test"))
-    y_pred = positive_probability() if is_sign(data.task) else F.col("prediction")
-    found = predictions(model.transform(rows.filter(F.col("split") != "train")), y_pred)
+    rows, extra = weighted(assembler.transform(rows).withColumn("is_val", F.col("split") == "val"), data.task, params.get("balanced", False))
+    settings = dict(maxIter=params.get("n_estimators", 1000), stepSize=params.get("learning_rate", 0.05),
+                    maxDepth=params.get("max_depth", 5), subsamplingRate=params.get("subsample", 0.8),
+                    featureSubsetStrategy=str(params.get("colsample", 0.8)), minInstancesPerNode=params.get("min_child_samples", 20),
+                    validationIndicatorCol="is_val", validationTol=params.get("tolerance", 0.01), seed=SEED, **extra)
+    seen, unseen = rows.filter(F.col("split") != "test"), rows.filter(F.col("split") != "train")
+    if data.task == "sign_3class":
+        models = []
+        for k in range(3):
+            own = seen.withColumn("_own", (F.col("y_target") == k).cast("double"))
+            estimator = GBTClassifier(labelCol="_own", predictionCol=f"_label{k}", **settings)
+            models.append(estimator.setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_p{k}").fit(own))
+        scored = unseen
+        for model in models:
+            scored = model.transform(scored)
+        votes = F.array(*(F.struct(positive_probability(f"_p{k}").alias("p"), F.lit(-k).alias("first")) for k in range(3)))
+        found = predictions(scored.withColumn("_vote", F.array_max(votes)), (-F.col("_vote.first")).cast("double"), data.order)
+        return Fitted(found, {**params, "trees": sum(m.getNumTrees for m in models)}, pipeline_model(assembler, *models), data.features)
+    model = (GBTClassifier if is_sign(data.task) else GBTRegressor)(labelCol="y_target", **settings).fit(seen)
+    y_pred = class_column(data.task) if is_sign(data.task) else F.col("prediction")
+    found = predictions(model.transform(unseen), y_pred, data.order)
     return Fitted(found, {**params, "trees": model.getNumTrees}, pipeline_model(assembler, model), data.features)
 
 
 def sequence_model(data: Dataset, params: Mapping[str, Any]) -> Fitted:
-    """A learner on whole sequences: a perceptron for the sign, boosted trees for the value."""
+    """A learner on whole sequences: a perceptron for classes, boosted trees for the value."""
     if "seq" not in data.rows.columns:
         raise ValueError("the sequence model needs a dataset with sequences; give seq_len")
     rows = flatten_sequence(data.rows, name="_flat").withColumns(
         {"features": array_to_vector("_flat"), "y_target": F.col("y_target").cast("double")}).drop("_flat")
     length = params["seq_len"] * len(data.features)
     train, rest = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") != "train")
-    if is_sign(data.task):
-        classes = 3 if data.task == "sign_3class" else 2
+    if is_class(data.task):
         model = MultilayerPerceptronClassifier(
-            labelCol="y_target", layers=[length, *params.get("hidden", (32,)), classes], seed=SEED,
+            labelCol="y_target", layers=[length, *params.get("hidden", (32,)), 2 if is_sign(data.task) else 3], seed=SEED,
             maxIter=params.get("max_epochs", 40), blockSize=params.get("batch_size", 128)).fit(train)
-        found = predictions(model.transform(rest), positive_probability())
+        found = predictions(model.transform(rest), class_column(data.task), data.order)
     else:
         model = GBTRegressor(labelCol="y_target", maxIter=params.get("max_epochs", 20), maxDepth=params.get("max_depth", 3),
                              stepSize=params.get("learning_rate", 0.1), featureSubsetStrategy="sqrt", seed=SEED).fit(train)
-        found = predictions(model.transform(rest), F.col("prediction"))
+        found = predictions(model.transform(rest), F.col("prediction"), data.order)
     return Fitted(found, dict(params), pipeline_model(model), data.features)
 
 

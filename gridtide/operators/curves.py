@@ -17,7 +17,7 @@ from gridtide.plans.timeline import SeriesFrame, SeriesOrder, windowed, with_ind
 
 def _with_totals(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
     totals = ranked.groupBy(*by).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    return attach(ranked, totals, by, spread=["score"])
+    return attach(ranked, totals, by)
 
 
 def _share(top: str, bottom: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import windows as X
 from gridtide.operators.cleaning import drop_any_null, inf_to_null
 from gridtide.plans.timeline import DAILY, SeriesFrame, SeriesOrder, windowed
-from gridtide.sources.market import CORE, require_columns
+from gridtide.sources.market import CORE, numeric_projection, require_columns
 
 
 def lag_features(df: DataFrame, columns: Sequence[str] = CORE, lags: Sequence[int] = (1,), *,
@@ -107,7 +107,11 @@ def features_v2_names(columns: Sequence[str]) -> list[str]:
 
 
 def feature_frame_v2(df: DataFrame, columns: Sequence[str] = CORE, *, order: SeriesOrder = DAILY) -> DataFrame:
-    """Per core column that exists: change, three lags, rolling mean and deviation; plus the calendar."""
+    """Per core column that exists: change, three lags, rolling mean and deviation; plus the calendar.
+
+    Only numeric columns and those of the order go on, so a gap in a text or a delivery date drops no row.
+    """
+    df = numeric_projection(df, order.columns())
     present = [c for c in columns if c in df.columns]
 
     def derived(w: WindowSpec) -> dict[str, Column]:

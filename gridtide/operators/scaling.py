@@ -39,10 +39,8 @@ def fit_scaler(df: DataFrame, columns: Sequence[str], kind: str = "standard", *,
     return _widths(fitted, kind, columns)
 
 
-def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str], *, by: Sequence[str] = ("series_id",),
-                 spread: Sequence[str] = ("trade_date",)) -> DataFrame:
-    joined = attach(df, scaler, by, spread=spread)
-    return _scaled(joined, columns)
+def apply_scaler(df: DataFrame, scaler: DataFrame, columns: Sequence[str], *, by: Sequence[str] = ("series_id",)) -> DataFrame:
+    return _scaled(attach(df, scaler, by), columns)
 
 
 def _scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.scalars import direction_label, uniform_hash
 from gridtide.operators.trading import position_from_prediction, summarise_returns
-from gridtide.plans.attach import attach
+from gridtide.plans.attach import attach, join_on
 from gridtide.plans.running import running_sums
 
 EPSILON = 1e-8
@@ -18,7 +18,7 @@ EPSILON = 1e-8
 def align_by_position(actual: DataFrame, predicted: DataFrame, keys: Sequence[str] = ("series_id", "idx"), *,
                       values: Sequence[str] = ("y_true", "y_pred")) -> DataFrame:
     """Pairs of the same position; positions one side lacks and pairs with a missing value go."""
-    return actual.join(predicted, list(keys)).na.drop("any", subset=list(values))
+    return join_on(actual, predicted, keys).na.drop("any", subset=list(values))
 
 
 # ---- regression ----------------------------------------------------------------------------------
@@ -102,11 +102,11 @@ def is_probability(p: Column) -> Column:
     return F.bool_and((p >= 0) & (p <= 1)) & ~F.bool_and(p == F.floor(p))
 
 
-def prob_or_label_rule(df: DataFrame, pred: str = "p", by: Sequence[str] = (), *, spread: Sequence[str] = ("doc_id",)) -> DataFrame:
+def prob_or_label_rule(df: DataFrame, pred: str = "p", by: Sequence[str] = ()) -> DataFrame:
     """Add `label`: a probability above one half counts as 1; whole numbers are labels as they stand."""
     kind = df.groupBy(*by).agg(is_probability(F.col(pred)).alias("is_probability"))
     label = F.when(F.col("is_probability"), threshold_label(F.col(pred))).otherwise(F.col(pred).cast("int"))
-    return attach(df, kind, by, spread=spread).withColumn("label", label)
+    return attach(df, kind, by).withColumn("label", label)
 
 
 def classification_metrics_at(df: DataFrame, y: str = "y", p: str = "p", threshold: float = 0.5, *,
@@ -126,22 +126,27 @@ def classification_metrics(df: DataFrame, y: str = "y", pred: str = "p", by: Seq
     return wide.select(*by, "is_probability", *_chosen_reading())
 
 
-def confusion_matrix(df: DataFrame, y: str = "y", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Counts (actual, predicted, n) over all pairs of labels seen on either side."""
-    counts = df.groupBy(*by, F.col(y).alias("actual"), F.col(label).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
-    seen = counts.select(*by, F.explode(F.array("actual", "predicted")).alias("_label")).distinct()
-    # The labels are the few classes of a task; the grid has one row per pair of them.
-    grid = (seen.groupBy(*by).agg(F.collect_set("_label").alias("_labels"))
-            .withColumn("actual", F.explode("_labels")).withColumn("predicted", F.explode("_labels")).drop("_labels"))
-    keys = [*by, "actual", "predicted"]
-    return grid.join(counts, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+def confusion_matrix(df: DataFrame, y: str = "y", label: str = "label", by: Sequence[str] = (),
+                     classes: Sequence[int] | None = None) -> DataFrame:
+    """Counts (actual, predicted, n) of the pairs that occur, or with `classes` of all pairs of these.
 
-
-def confusion_matrix_normalised(df: DataFrame, y: str = "y", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Each row of the matrix as shares of its actual class."""
-    cells = confusion_matrix(df, y, label, by)
+    With `classes`, rows whose label on either side is none of them are left out.
+    """
+    pair = [F.col(y).alias("actual"), F.col(label).alias("predicted")]
+    if classes is None:
+        return df.groupBy(*by, *pair).agg(F.count(F.lit(1)).alias("n"))
+    every = [(a, p) for a in classes for p in classes]
+    wide = df.groupBy(*by).agg(*(F.count(F.when((F.col(y) == a) & (F.col(label) == p), 1)).alias(f"_{i}") for i, (a, p) in enumerate(every)))
+    cells = F.array(*(F.struct(F.lit(a).alias("actual"), F.lit(p).alias("predicted"), F.col(f"_{i}").alias("n")) for i, (a, p) in enumerate(every)))
+    return wide.select(*by, F.explode(cells).alias("_cell")).select(*by, "_cell.*")
+
+
+def confusion_matrix_normalised(df: DataFrame, y: str = "y", label: str = "label", by: Sequence[str] = (),
+                                classes: Sequence[int] | None = None) -> DataFrame:
+    """Each row of the matrix as shares of its actual class; a NULL class is a class."""
+    cells = confusion_matrix(df, y, label, by, classes)
     rows = cells.groupBy(*by, "actual").agg(F.sum("n").alias("_total"))
-    return cells.join(rows, [*by, "actual"]).withColumn("share", _ratio(F.col("n"), F.col("_total"))).drop("_total")
+    return join_on(cells, rows, [*by, "actual"]).withColumn("share", _ratio(F.col("n"), F.col("_total"))).drop("_total")
 
 
 def outcome_bucket(y: Column, p: Column, threshold: float = 0.5) -> Column:
@@ -230,30 +235,58 @@ def _chosen_reading() -> list[Column]:
     return [F.when(F.col("is_probability"), F.col(f"prob__{m}")).otherwise(F.col(f"label__{m}")).alias(m) for m in names]
 
 
+CLASSES = (0, 1, 2)
+
+
+def side_of(task: str, pred: Column, rule: str = "sign") -> Column:
+    """The side that a prediction takes: of three classes the middle one takes none; a volatility takes the rule's side."""
+    if task == "sign_3class":
+        return pred.cast("int") - 1
+    return position_from_prediction(direction_label(pred) if task in ("classification", "sign") else pred, rule)
+
+
+def _per_class(y: Column, label: Column) -> dict[str, Column]:
+    """Accuracy, and precision, recall and F1 as means over the three classes, with those of each class."""
+    each = {k: _classification(y, label, k) for k in CLASSES}
+    out = {"accuracy": each[0]["accuracy"]}
+    for m in ("precision", "recall", "f1"):
+        out[m] = sum((each[k][m] for k in CLASSES), F.lit(0.0)) / len(CLASSES)
+        out |= {f"{m}_{k}": each[k][m] for k in CLASSES}
+    return out
+
+
+def _matrix(y: Column, label: Column) -> Column:
+    return F.to_json(F.array(*(F.array(*(F.count(F.when((y == a) & (label == p), 1)) for p in CLASSES)) for a in CLASSES)))
+
+
 def evaluate_model_outputs(df: DataFrame, task: str, *, y: str = "y_target", pred: str = "y_pred", returns: str = "ret_fwd",
                            rule: str = "sign", by: Sequence[str] = ()) -> DataFrame:
     """Prediction and trading metrics of a model, as `base_*` and `trading_*` columns.
 
-    One pass gives all of them but the AUC, which needs the scores in order.
+    One pass gives all of them but the AUC, which needs the scores in order. Three classes have means over
+    the classes, a 3 x 3 matrix and no AUC; a volatility is scored like a value.
     """
     actual, predicted = F.col(returns), F.col(pred)
     if task in ("classification", "sign"):
-        side, measures = direction_label(predicted), _both_readings(F.col(y), predicted)
-    elif task in ("regression", "price"):
+        measures = _both_readings(F.col(y), predicted)
+    elif task == "sign_3class":
+        label = predicted.cast("int")
+        measures = [c.alias(f"base_{n}") for n, c in _per_class(F.col(y), label).items()]
+        measures.append(_matrix(F.col(y), label).alias("base_confusion_matrix"))
+    elif task in ("regression", "price", "volatility"):
         found = _regression(F.col(y), predicted)
-        side, measures = predicted, [found[m].alias(f"base_{m}") for m in ("mae", "mse", "rmse", "mape")]
+        measures = [found[m].alias(f"base_{m}") for m in ("mae", "mse", "rmse", "mape")]
     else:
-        raise ValueError(f"unknown task {task!r}; use classification or regression")
-    traded = F.when(actual.isNotNull() & predicted.isNotNull(), position_from_prediction(side, rule) * actual)
+        raise ValueError(f"unknown task {task!r}; use classification, sign_3class, volatility or regression")
+    traded = F.when(actual.isNotNull() & predicted.isNotNull(), side_of(task, predicted, rule) * actual)
     trades = ("total_trades", "win_rate", "roi", "sharpe", "avg_return")
     sums = [c.alias(f"trading_{n}") for n, c in zip(trades, summarise_returns(traded))]
     wide = df.groupBy(*by).agg(*measures, *sums)
-    if task in ("regression", "price"):
+    if task not in ("classification", "sign"):
         return wide
     matrix = F.to_json(F.array(F.array("tn", "fp"), F.array("fn", "tp"))).alias("base_confusion_matrix")
     chosen = wide.select(*by, "is_probability", *_chosen_reading(), *(f"trading_{n}" for n in trades))
-    auc = roc_auc(df, y, pred, by)
-    joined = chosen.join(auc, list(by)) if by else chosen.crossJoin(F.broadcast(auc))  # one row each
+    joined = join_on(chosen, roc_auc(df, y, pred, by), by)
     return joined.select(*by, *(F.col(m).alias(f"base_{m}") for m in ("accuracy", "precision", "recall", "f1")),
                          F.when(F.col("is_probability"), F.col("auc")).alias("base_auc"), matrix,
                          *(f"trading_{n}" for n in trades))

@@ -52,9 +52,10 @@ def percentile_strategy(df: DataFrame, window: int = 14, low: float = 20, high:
         .when(ready & (F.col(price) >= F.col("pct_high")), -1)
         .otherwise(0)
     )
-    frame = frame.with_columns({"signal": signal})
+    # Carried positions read blocked rows twice: write them once the percentiles are known.
+    frame = frame.with_columns({"signal": signal}).map(lambda rows: rows.drop("_seen")).cut()
     held = frame.running_last({"position": F.when(F.col("signal") != 0, F.col("signal"))}).close()
-    return held.withColumn("position", F.coalesce("position", F.lit(0))).drop("_seen")
+    return held.withColumn("position", F.coalesce("position", F.lit(0)))
 
 
 def _next(price: str, name: str | None, w: WindowSpec) -> dict[str, Column]:

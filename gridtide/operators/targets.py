@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from gridtide.functions import windows as X
-from gridtide.plans.attach import per_series
+from gridtide.plans.attach import join_on, per_series
 from gridtide.plans.running import running_sums
 from gridtide.plans.timeline import DAILY, SeriesFrame, SeriesOrder, windowed
 
@@ -117,6 +117,11 @@ def time_series_folds(df: DataFrame, folds: int = 5, *, order: SeriesOrder = DAI
     return placed.withColumn("fold", fold).drop("_n")
 
 
+def union_splits(df: DataFrame, splits: Sequence[str] = ("train", "val"), *, split: str = "split") -> DataFrame:
+    """The rows of several splits together."""
+    return df.filter(F.col(split).isin(*splits))
+
+
 def split_counts(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, "split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -125,20 +130,21 @@ def balance_downsample(df: DataFrame, *, label: str = "y_target", key: Sequence[
                        seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """Every class cut to the size of the smallest one, in a repeatable random choice.
 
-    The rows of a class are ranked by a hash of their key: counts per range of the hash say how many
-    rows to take from each range, and ranks are needed only inside a range.
+    Rows without a label are dropped first: they are no class. The rows of a class are ranked by a hash
+    of their key: counts per range of the hash say how many rows to take from each range, and ranks are
+    needed only inside a range.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in key)))
-    rows = df.withColumn("_digest", digest).withColumn("_slot", F.substring("_digest", 1, 4))
+    rows = df.filter(F.col(label).isNotNull()).withColumn("_digest", digest).withColumn("_slot", F.substring("_digest", 1, 4))
     groups = [*by, label]
     slots = rows.groupBy(*groups, "_slot").agg(F.count(F.lit(1)).alias("_rows"))
     sizes = slots.groupBy(*groups).agg(F.sum("_rows").alias("_size"))
     least = sizes.groupBy(*by).agg(F.min("_size").alias("_take"))
     w = Window.partitionBy(*groups).orderBy("_slot")
     ranked = slots.withColumn("_before", F.sum("_rows").over(w) - F.col("_rows"))
-    ranked = ranked.join(least, list(by)) if by else ranked.crossJoin(F.broadcast(least))
+    ranked = join_on(ranked, least, by)
     wanted = ranked.filter(F.col("_before") < F.col("_take")).withColumn("_left", F.col("_take") - F.col("_before"))
-    kept = rows.join(wanted.select(*groups, "_slot", "_left"), [*groups, "_slot"])
+    kept = join_on(rows, wanted.select(*groups, "_slot", "_left"), [*groups, "_slot"])
     place = F.row_number().over(Window.partitionBy(*groups, "_slot").orderBy("_digest", *key))
     return kept.withColumn("_place", place).filter(F.col("_place") <= F.col("_left")).drop(
         "_digest", "_slot", "_left", "_place")

@@ -1,4 +1,4 @@
-"""Joining statistics of a series back to its rows."""
+"""Joins on series keys, and statistics of a series joined back to its rows."""
 
 from __future__ import annotations
 
@@ -7,23 +7,25 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridtide.plans.keys import key_of
 from gridtide.plans.timeline import DAILY, SeriesOrder
 
-SALTS = 64
+
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on `keys` in which NULL equals NULL; the keys are taken from the left."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    named = right.withColumn("_on", key_of(keys)).drop(*keys)
+    return left.withColumn("_on", key_of(keys)).join(named, "_on", how).drop("_on")
 
 
-def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], *, spread: Sequence[str],
-           how: str = "left", salts: int = SALTS) -> DataFrame:
+def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join `stats`, one short row per key, to many rows per key.
 
-    Spark broadcasts `stats` where it finds it to be small. Where it has to shuffle, a hot key is
-    spread over `salts` groups by a hash of the `spread` columns, and `stats` is repeated for each.
+    Spark broadcasts `stats` where it finds it to be small. Where it has to shuffle, a hot key makes a
+    skewed partition on the side of the rows, which adaptive execution splits; `stats` has one row for it.
     """
-    if not keys:
-        return rows.crossJoin(F.broadcast(stats))  # one row
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    repeated = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return join_on(rows, stats, keys, how)
 
 
 def per_series(df: DataFrame, aggregates: Mapping[str, Column], order: SeriesOrder = DAILY) -> DataFrame:
@@ -36,4 +38,4 @@ def per_series(df: DataFrame, aggregates: Mapping[str, Column], order: SeriesOrd
         w = Window.partitionBy(*order.keys)
         return df.withColumns({n: c.over(w) for n, c in aggregates.items()})
     stats = df.groupBy(*order.keys).agg(*(c.alias(n) for n, c in aggregates.items()))
-    return attach(df, stats, order.keys, spread=order.columns())
+    return attach(df, stats, order.keys)

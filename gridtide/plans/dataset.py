@@ -23,6 +23,7 @@ class Dataset:
     rows: DataFrame
     features: tuple[str, ...]
     task: str
+    order: SeriesOrder = DAILY
 
 
 def feature_columns(df: DataFrame, order: SeriesOrder = DAILY) -> tuple[str, ...]:
@@ -33,13 +34,17 @@ def feature_columns(df: DataFrame, order: SeriesOrder = DAILY) -> tuple[str, ...
 def make_dataset(df: DataFrame, task: str = "sign", *, features_version: int = 2, seq_len: int | None = None,
                  test_size: float = 0.15, val_size: float = 0.15, scaler: str | None = "standard",
                  balance: bool | str = False, drop_flat: bool = True, impute: bool = False, flat_threshold: float = 0.001,
-                 horizon: int = 1, seed: int = 42, split_by: str = "index", order: SeriesOrder = DAILY) -> Dataset:
+                 horizon: int = 1, seed: int = 42, split_by: str = "index", validate: bool = True, order: SeriesOrder = DAILY) -> Dataset:
     """Clean, derive features, label, split, balance, scale and sequence.
 
     Version 2 drops incomplete rows; version 1 flags real prices, fills gaps for the features and
     keeps the flagged rows. Scaling and zero prices only use training rows, and sequences never cross
-    a split. Balancing drops training rows only, or rows of each split with `balance="all"`.
+    a split. Balancing drops training rows only, or rows of each split with `balance="all"`. With
+    `validate`, rows without a time and repeated times of a series are refused (BadData) before anything
+    is built on them; the features themselves can't hold missing or infinite values.
     """
+    if validate:
+        cleaning.assert_quality(df.select(*order.columns()), (), order)
     order = order.resolved(df)
     if features_version == 1:
         rows = cleaning.real_price_flag(df)
@@ -72,4 +77,4 @@ def make_dataset(df: DataFrame, task: str = "sign", *, features_version: int = 2
         else:
             train = targets.balance_downsample(rows.filter(F.col("split") == "train"), key=order.columns(), seed=seed)
             rows = train.unionByName(rows.filter(F.col("split") != "train"))
-    return Dataset(rows, names, task)
+    return Dataset(rows, names, task, order)

@@ -4,10 +4,10 @@ A series ordered by a DATE alone has at most one row per calendar day, so it is
 is windowed whole. Any other order (timestamps, numbers, dates with ties) can make one series hold a
 large share of all rows. Such series are cut into blocks of about `block_rows` consecutive rows; a block also
 gets copies of the rows just before and after it that its windows look at. Every window then runs
-over one block. Series no longer than a block stay in one piece and take no copies.
+over one block. A short series is block 0 by the same formula. A NULL key names a series like any other.
 
 Block borders come from row counts per time bucket: the running count of the buckets before it says
-where a bucket starts in its series. That table has one row per bucket of a long series only.
+where a bucket starts in its series. Buckets are counted in two levels, so that no task holds them all.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridtide.plans.keys import key_of
 from gridtide.session import cut
 
 BLOCK_ROWS = 65_536
@@ -27,7 +28,8 @@ BUCKET_ROWS = 4_096
 WIDTHS = (86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000, 1_000, 1)
 INTEGER_WIDTH = 1_024
 TIE_WIDTHS = (1_000_000_000, 1_000_000, 1_000)
-WHOLE = -1  # block number of a series in one piece
+# Neighbouring buckets that are summed together before the running count.
+BUCKETS_TOGETHER = 1_024
 
 
 @dataclass(frozen=True)
@@ -113,34 +115,47 @@ def _fitting_bucket(df: DataFrame, order: SeriesOrder) -> int:
     return len(found) - 1
 
 
+def _bucket_starts(df: DataFrame, order: SeriesOrder, bucket: Column) -> DataFrame:
+    """Rows `_n` per bucket of a series, and the position `_start` of its first row."""
+    counts = df.groupBy(key_of(order.keys).alias("_key"), bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_group", F.floor(F.col("_bucket.at") / BUCKETS_TOGETHER))
+    groups = counts.groupBy("_key", "_group").agg(F.sum("_n").alias("_rows"))
+    by_group = Window.partitionBy("_key").orderBy("_group")
+    groups = groups.select("_key", "_group", (F.sum("_rows").over(by_group) - F.col("_rows")).alias("_before"))
+    inside = Window.partitionBy("_key", "_group").orderBy("_bucket")
+    start = F.col("_before") + F.sum("_n").over(inside) - F.col("_n")
+    return counts.join(groups, ["_key", "_group"]).withColumn("_start", start).drop("_group", "_before")
+
+
 def _block_plan(df: DataFrame, order: SeriesOrder, bucket: Column, lookback: int, lookahead: int) -> DataFrame:
-    """Per bucket of a long series: its first position, its block, and the blocks that need copies."""
+    """One row per bucket and block that needs its rows: the first position, the bucket's own block, the block.
+
+    A block opens where its first bucket starts. The blocks whose opening is within reach of a bucket have
+    numbers near its own, so they are found by an equi-join on these.
+    """
     size = order.block_rows or BLOCK_ROWS
-    by = Window.partitionBy(*order.keys).orderBy("_bucket")
-    named = df
-    for k in order.keys:
-        named = named.filter(F.col(k).isNotNull())
-    counts = named.groupBy(*order.keys, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(
-        "*",
-        (F.sum("_n").over(by) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(Window.partitionBy(*order.keys)).alias("_total"),
-    ).filter(F.col("_total") > size)
-    homes = starts.withColumn("_home", F.floor(F.col("_start") / size)).withColumn("_before", F.lag("_home").over(by))
-    opens = F.col("_before").isNull() | (F.col("_before") != F.col("_home"))
-    opening = F.when(opens, F.struct(F.col("_home").alias("home"), F.col("_before").alias("before"),
-                                     F.col("_start").alias("start")))
-    targets = [F.array("_home")]
+    homes = _bucket_starts(df, order, bucket).withColumn("_home", F.floor(F.col("_start") / size))
+    opens = homes.groupBy("_key", "_home").agg(F.min("_start").alias("_open"))
+    names = ("_key", "_bucket", "_start", "_home")
+    parts = [homes.select(*names, F.col("_home").alias("_block"))]
     if lookback > 0:
-        homes = homes.withColumn("_next", F.collect_list(opening).over(by.rowsBetween(1, lookback)))
-        targets.append(F.transform(
-            F.filter("_next", lambda o: o["start"] - lookback < F.col("_start") + F.col("_n")), lambda o: o["home"]))
+        last = F.floor((F.col("_start") + F.col("_n") + (lookback - 1)) / size)
+        near = homes.filter(last > F.col("_home")).withColumn("_block", F.explode(F.sequence(F.col("_home") + 1, last)))
+        found = near.join(opens.withColumnRenamed("_home", "_block"), ["_key", "_block"])
+        parts.append(found.filter(F.col("_open") - lookback < F.col("_start") + F.col("_n")).select(*names, "_block"))
     if lookahead > 0:
-        homes = homes.withColumn("_last", F.collect_list(opening).over(by.rowsBetween(1 - lookahead, 0)))
-        targets.append(F.transform(
-            F.filter("_last", lambda o: o["before"].isNotNull() & (o["start"] + lookahead > F.col("_start"))),
-            lambda o: o["before"]))
-    return homes.select(*order.keys, "_bucket", "_start", "_home", F.concat(*targets).alias("_blocks"))
+        # Per block its opening and the block before it: that of the bucket which ends there.
+        ends = homes.select("_key", (F.col("_start") + F.col("_n")).alias("_open"), F.col("_home").alias("_before"))
+        entered = opens.withColumnRenamed("_home", "_at").join(ends, ["_key", "_open"])
+        first = F.greatest(F.floor((F.col("_start") - (lookahead - 1)) / size), F.lit(0).cast("long"))
+        near = homes.withColumn("_at", F.explode(F.sequence(first, F.col("_home"))))
+        found = near.join(entered, ["_key", "_at"])
+        found = found.filter((F.col("_open") <= F.col("_start")) & (F.col("_open") + lookahead > F.col("_start")))
+        parts.append(found.select(*names, F.col("_before").alias("_block")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 class SeriesFrame:
@@ -160,18 +175,14 @@ class SeriesFrame:
         order = order.resolved(df)
         bucket = _candidates(df, order)[order.bucket_at]
         plan = _block_plan(df, order, bucket, lookback, lookahead)
-        rows = df.withColumn("_bucket", bucket).join(plan, [*order.keys, "_bucket"], "left").drop("_bucket")
-        rows = (
-            rows.withColumn("_home", F.coalesce("_home", F.lit(WHOLE).cast("long")))
-            .withColumn("_block", F.explode(F.coalesce("_blocks", F.array(F.lit(WHOLE).cast("long")))))
-            .withColumn("_own", F.col("_block") == F.col("_home"))
-            .drop("_home", "_blocks")
-        )
+        keyed = df.withColumns({"_key": key_of(order.keys), "_bucket": bucket})
+        rows = keyed.join(plan, ["_key", "_bucket"]).withColumn("_own", F.col("_block") == F.col("_home"))
+        rows = rows.drop("_bucket", "_home")
         return cls(rows, order, True, lookback > 0 or lookahead > 0)
 
     @property
     def parts(self) -> list[str]:
-        return [*self.order.keys, "_block"] if self.is_blocked else list(self.order.keys)
+        return ["_key", "_block"] if self.is_blocked else list(self.order.keys)
 
     @property
     def window(self) -> WindowSpec:
@@ -181,7 +192,7 @@ class SeriesFrame:
         """Add the position of the row in its series, from 0."""
         place = F.row_number().over(self.window).cast("long") - 1
         if self.is_blocked:
-            place = place + F.coalesce(F.first("_start").over(self.window), F.lit(0))
+            place = place + F.first("_start").over(self.window)
         return self.with_columns({name: place})
 
     def with_columns(self, columns: Mapping[str, Column] | Callable[[WindowSpec], Mapping[str, Column]]) -> SeriesFrame:
@@ -200,24 +211,19 @@ class SeriesFrame:
 
     def close(self) -> DataFrame:
         out = self.own_rows().df
-        return out.drop("_block", "_own", "_start") if self.is_blocked else out
+        return out.drop("_key", "_block", "_own", "_start") if self.is_blocked else out
 
     def _carried(self, local: Mapping[str, Column], summary: Mapping[str, Column],
                  carry: Callable[[str, WindowSpec], Column], merge: Callable[[str], Column],
                  backward: bool) -> SeriesFrame:
         frame = self.own_rows()
         rows = frame.df.withColumns(dict(local))
-        # Series in one piece have nothing to carry; as a condition on a window key this drops their rows early.
-        per_block = (
-            frame.df.filter(F.col("_block") > F.lit(WHOLE))
-            .groupBy(*self.order.keys, "_block")
-            .agg(*(c.alias(f"_sum_{n}") for n, c in summary.items()))
-        )
+        per_block = frame.df.groupBy("_key", "_block").agg(*(c.alias(f"_sum_{n}") for n, c in summary.items()))
         step = F.col("_block").desc() if backward else F.col("_block").asc()
-        w = Window.partitionBy(*self.order.keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-        carried = per_block.select(*self.order.keys, "_block",
+        w = Window.partitionBy("_key").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        carried = per_block.select("_key", "_block",
                                    *(carry(f"_sum_{n}", w).alias(f"_carry_{n}") for n in summary))
-        rows = rows.join(carried, [*self.order.keys, "_block"], "left")
+        rows = rows.join(carried, ["_key", "_block"], "left")
         rows = rows.withColumns({n: merge(n) for n in local}).drop(*(f"_carry_{n}" for n in summary))
         return SeriesFrame(rows, self.order, True, False)
 

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_bases: set[str] = set()
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf) -> SparkSession:
     """A session for local runs; on a cluster the submitter's own session is used as it is."""
@@ -51,7 +53,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder, in this application's part of it, which goes when the application ends."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark).rstrip('/')}/gridtide-{spark.sparkContext.applicationId}"
+    if base not in _bases:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _bases.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -25,28 +25,42 @@ CORE_COLUMNS = {
 }
 CORE = tuple(CORE_COLUMNS.values())
 
-RAW_SCHEMA = T.StructType(
-    [T.StructField("series_id", T.StringType())]
-    + [T.StructField(c, T.StringType()) for c in DATE_COLUMNS]
-    + [T.StructField(c, T.DoubleType()) for c in CORE_COLUMNS]
-)
+DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy", "yyyy/M/d")
 
 
 class MissingColumns(ValueError):
     """The input lacks columns an operator needs."""
 
 
-def scan_market_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Rows of CSV files with a heading line; NaN and infinite numbers read as NULL."""
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    numbers = [f.name for f in schema if isinstance(f.dataType, T.DoubleType)]
-    return raw.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in numbers})
+def scan_market_csv(spark: SparkSession, *paths: str, keep: Sequence[str] = (), series: str = "all") -> DataFrame:
+    """Rows of CSV files, whose columns are found by the names in their heading line, in any order.
+
+    Returns `series_id` (the constant `series` where the files have none), the date columns as text, the
+    core columns as numbers, and the columns named in `keep` as text; the rest isn't parsed. Files below
+    one path have one heading, other paths may have others. NaN, infinite and unreadable numbers are NULL.
+    A core column that is in no file is absent here too, so that `require_columns` names it.
+    """
+    tables = []
+    for path in paths:
+        raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+        named = [F.col("series_id") if "series_id" in raw.columns else F.lit(series).alias("series_id")]
+        named += [F.col(f"`{c}`") for c in (*DATE_COLUMNS, *keep) if c in raw.columns]
+        named += [nan_to_null(F.col(f"`{c}`").try_cast("double")).alias(c) for c in CORE_COLUMNS if c in raw.columns]
+        tables.append(raw.select(*named))
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out
+
+
+def parse_dates(df: DataFrame, columns: Sequence[str] = tuple(DATE_COLUMNS), formats: Sequence[str] = DATE_FORMATS) -> DataFrame:
+    """Text to DATE in the columns that exist, by the first format that fits; text that is no date becomes NULL."""
+    def parsed(c: Column) -> Column:
+        found = [F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats]
+        return F.coalesce(*found, c.try_cast("date"))
 
-
-def parse_dates(df: DataFrame, columns: Sequence[str] = tuple(DATE_COLUMNS)) -> DataFrame:
-    """Text to DATE in the columns that exist; text that is no date becomes NULL."""
     present = [c for c in columns if c in df.columns]
-    return df.withColumns({c: F.col(f"`{c}`").try_cast("date") for c in present})
+    return df.withColumns({c: parsed(F.col(f"`{c}`")) for c in present})
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -94,7 +94,7 @@ def test_order_selection_picks_the_lowest_aic(moves):
             aic = n * np.log(((y[7:] - X @ b) ** 2).sum() / n) + 2 * X.shape[1]
             if best is None or aic < best[0] - 1e-9:
                 best = (aic, p, big)
-    assert (got["p"], got["P"]) == best[1:]
+    assert (got["p"], got["seasonal_p"]) == best[1:]
     assert got["aic"] == pytest.approx(best[0], rel=1e-8)
 
 
@@ -109,6 +109,37 @@ def test_stationarity_of_noise_and_of_a_walk(spark):
     assert got["noise"]["critical"] == pytest.approx(-2.866, abs=2e-3)
 
 
+def test_order_names_the_lags_it_uses_when_seasons_are_short(moves):
+    """With a season of two rows, lag 2 is a near lag as well as a seasonal one."""
+    got = arx_order_select(moves, max_p=3, max_P=1, s=2).collect()
+    assert got and all(r["seasonal_p"] == 0 or r["p"] < 2 for r in got)
+
+
+def test_result_of_order_selection_can_be_written(moves, tmp_path):
+    path = str(tmp_path / "orders")
+    arx_order_select(moves, max_p=2, max_P=1).write.parquet(path)
+    assert moves.sparkSession.read.parquet(path).count() == moves.select("series_id").distinct().count()
+
+
+def test_stationarity_equals_a_loop(moves):
+    """Lags by AIC on the common sample, then the fit on all rows that the chosen lags leave."""
+    got = stationarity_test(moves).filter("series_id = 'A'").first()
+    y, _, _ = series(moves)
+    n, step = len(y), np.diff(y)
+    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+
+    def fit(lags, start):
+        X = np.array([[1.0, y[t], *(step[t - k] for k in range(1, lags + 1))] for t in range(start, len(step))])
+        b = np.linalg.lstsq(X, step[start:], rcond=None)[0]
+        sse = ((step[start:] - X @ b) ** 2).sum()
+        return len(X) * np.log(sse / len(X)) + 2 * X.shape[1], b[1] / np.sqrt(sse / (len(X) - X.shape[1]) * np.linalg.inv(X.T @ X)[1, 1]), len(X)
+
+    best = min(range(most + 1), key=lambda k: fit(k, most)[0])
+    _, t, rows_ = fit(best, best)
+    assert (got["lags"], got["n"]) == (best, rows_) and got["statistic"] == pytest.approx(t, rel=1e-6)
+    assert 0 <= got["p_value"] <= 1 and (got["p_value"] < 0.05) == got["is_stationary"]
+
+
 def test_range_join_counts(moves):
     got = refit_range_join(moves, {"n": F.count(F.lit(1)), "lo": F.min("idx")}, {"n": F.sum("n"), "lo": F.min("lo")},
                            refit_every=10, max_history=50).filter("series_id = 'A'").collect()

@@ -11,13 +11,25 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as contract  # noqa: E402
 from check_oracles import compare, database  # noqa: E402
 
+from gridtide.catalog import registered  # noqa: E402
+
 SAMPLE = ("backtest_report", "bos_balance", "feature_frame_v2", "backtest_lines", "lines_features", "roc_curve", "threshold_sweep",
-          "events_rolling_arx", "balance_downsample", "scan_market_csv")
+          "events_rolling_arx", "balance_downsample", "scan_market_csv", "scan_market_csv_wide", "roc_curve_groups", "arx_forecast", "arx_order_select",
+          "stationarity_test", "evaluate_model_outputs_3class")
 
 
-def test_oracles_belong_to_queries():
+def test_every_query_has_its_sql():
+    queries, oracles = registered()
+    assert set(oracles) == set(queries) and len(queries) > 160
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert len(contract.queries()) > 130
+
+
+def test_results_can_be_written(spark, tmp_path):
+    """No two columns of a result share a name."""
+    for name, query in registered()[0].items():
+        if name.startswith("arx") or name.startswith("stationarity"):
+            names = [c.lower() for c in query(spark, SF).columns]
+            assert len(set(names)) == len(names), name
 
 
 def test_entry(spark):

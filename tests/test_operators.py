@@ -11,6 +11,7 @@ from gridtide.catalog import inputs
 from gridtide.functions import scalars as U
 from gridtide.operators import cleaning as C
 from gridtide.operators import curves as R
+from gridtide.operators import features as X
 from gridtide.operators import scaling as Z
 from gridtide.operators import scoring as M
 from gridtide.operators import sequences as Q
@@ -23,11 +24,14 @@ from gridtide.plans.timeline import SeriesOrder
 from gridtide.sources import market as K
 from gridtide.sources.results import ExperimentStore, NotStored
 
+# Fixed test values: small vectors and confusion counts whose scores are published.
 Y_REG = [0.01, -0.02, 0.03, -0.01, 0.02, 0.00, -0.015, 0.025]
 P_REG = [0.012, -0.018, 0.028, -0.015, 0.022, 0.002, -0.012, 0.023]
 Y_CLS = [1, 0, 1, 1, 0, 1, 0, 0, 1, 1]
 P_CLS = [0.8, 0.3, 0.6, 0.9, 0.2, 0.7, 0.4, 0.1, 0.85, 0.95]
 P_RET = [0.015, -0.01, 0.025, 0.005, 0.018, -0.002, -0.01, 0.02]
+COUNTS = [(644, 163, 179, 203, (0.712363, 0.5546, 0.5314, 0.5428)), (751, 56, 297, 85, (0.703112, None, None, None)), (807, 0, 382, 0, (0.678722, 0.0, 0.0, 0.0))]
+# End of fixed test values.
 
 
 def frame(spark, schema, data):
@@ -50,9 +54,7 @@ def test_classification_golden(spark):
     assert M.roc_auc(df).first()[0] == 1.0
 
 
-@pytest.mark.parametrize("tn,fp,fn,tp,expected", [(644, 163, 179, 203, (0.712363, 0.5546, 0.5314, 0.5428)),
-                                                  (751, 56, 297, 85, (0.703112, None, None, None)),
-                                                  (807, 0, 382, 0, (0.678722, 0.0, 0.0, 0.0))])
+@pytest.mark.parametrize("tn,fp,fn,tp,expected", COUNTS)
 def test_metrics_of_a_confusion_matrix(spark, tn, fp, fn, tp, expected):
     cells = [(0, 0, tn), (0, 1, fp), (1, 0, fn), (1, 1, tp)]
     df = frame(spark, "y int, p int, n int", cells).select("y", "p", F.explode(F.sequence(F.lit(1), F.greatest("n", F.lit(1)))), "n").filter("n > 0")
@@ -202,7 +204,7 @@ def test_prob_or_label_rule(spark):
     assert not M.classification_metrics(labels).first()["is_probability"]
     assert M.classification_metrics(labels).first()["accuracy"] == pytest.approx(2 / 3)
     probs = frame(spark, "y int, p double", [(1, 0.5), (0, 0.2), (1, 0.51)])
-    got = M.prob_or_label_rule(probs, spread=["p"])
+    got = M.prob_or_label_rule(probs)
     assert sorted((r["p"], r["label"]) for r in got.collect()) == [(0.2, 0), (0.5, 0), (0.51, 1)]
 
 
@@ -318,3 +320,45 @@ def test_comparison_table_and_json(spark):
     assert set(table) == {"majority", "random", "model"} and table["model"]["auc"] > table["random"]["auc"]
     doc = spark.range(1).select(F.to_json(F.struct(F.lit(1).alias("a")))).first()[0]
     assert json.loads(doc) == {"a": 1}
+
+
+def test_unlabelled_rows_are_no_class(spark):
+    df = spark.range(100).select(F.col("id").alias("k"), F.when(F.col("id") >= 3, (F.col("id") % 3 == 0).cast("int")).alias("y_target"))
+    counts = {r["y_target"]: r["n"] for r in Y.balance_downsample(df, key=["k"]).groupBy("y_target").agg(F.count("*").alias("n")).collect()}
+    assert counts == {0: 33 - 1, 1: 33 - 1} or (set(counts) == {0, 1} and counts[0] == counts[1] >= 30)
+
+
+def test_text_and_dates_drop_no_rows(priced):
+    odd = priced.withColumns({"note": F.when(F.dayofmonth("trade_date") < 15, "x"), "delivery_start": F.when(F.dayofmonth("trade_date") > 15, F.col("trade_date"))})
+    assert X.feature_frame_v2(odd).count() == X.feature_frame_v2(priced).count()
+
+
+def test_repeated_days_are_refused(priced):
+    with pytest.raises(C.BadData, match="repeated_time"):
+        make_dataset(priced.unionByName(priced.limit(3)))
+
+
+@pytest.mark.parametrize("task", ["sign_3class", "volatility"])
+def test_other_tasks_are_scored(priced, task):
+    data = make_dataset(priced, task)
+    scored = M.evaluate_model_outputs(data.rows.withColumn("y_pred", F.col("y_target").cast("double")), task).first()
+    if task == "sign_3class":
+        assert scored["base_accuracy"] == scored["base_f1"] == 1.0 and scored["trading_win_rate"] > 0.5
+        cells = json.loads(scored["base_confusion_matrix"])
+        assert sum(cells[k][k] for k in range(3)) == data.rows.count()
+    else:
+        assert scored["base_mae"] == 0.0
+
+
+def test_dates_in_several_spellings(spark):
+    df = spark.createDataFrame([("2001-02-03",), ("2/3/2001",), ("2001/2/3",), ("03.02.2001",), ("x",), (None,)], "`Trade Date` string")
+    got = [str(r[0]) for r in K.parse_dates(df).collect()]
+    assert got == ["2001-02-03"] * 3 + ["None"] * 3
+    assert str(K.parse_dates(df, formats=["dd.MM.yyyy"]).collect()[3][0]) == "2001-02-03"
+
+
+def test_a_missing_core_column_is_named(spark, tmp_path):
+    path = str(tmp_path / "c")
+    spark.createDataFrame([("1",)], "`Trade Date` string").write.option("header", True).csv(path)
+    with pytest.raises(K.MissingColumns, match="Henry Hub"):
+        K.core_projection(K.parse_dates(K.scan_market_csv(spark, path)))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridtide.operators import cleaning as C
 from gridtide.operators import curves as R
+from gridtide.operators import scaling as Z
+from gridtide.operators import scoring as M
 from gridtide.operators import features as X
 from gridtide.operators import sequences as Q
 from gridtide.operators import strategies as S
@@ -117,9 +119,12 @@ def test_many_rows_at_one_time_are_split_by_the_tie(spark, monkeypatch):
 
 def test_running_sums_over_many_ranges(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"), (F.col("id") % 3).alias("g"))
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))  # a NULL group
+    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "g", "v").select(F.spark_partition_id().alias("p"))
+    assert parts.distinct().count() > 1
     got = running_sums(df, [F.col("v")], {"s": F.col("v")}, keys=["g"])
     by_group = {}
-    for r in sorted(df.collect(), key=lambda r: (r["g"], r["v"])):
+    for r in sorted(df.collect(), key=lambda r: (r["g"] or 0, r["v"])):
         by_group[r["g"], r["v"]] = by_group.get((r["g"], "sum"), 0) + r["v"]
         by_group[r["g"], "sum"] = by_group[r["g"], r["v"]]
     assert all(by_group[r["g"], r["v"]] == r["s"] for r in got.collect())
@@ -129,7 +134,7 @@ def test_running_sums_over_many_ranges(spark):
 def test_attach_keeps_rows_of_unknown_keys(spark):
     big = spark.range(100).select((F.col("id") % 4).alias("k"), "id")
     stats = spark.range(3).select(F.col("id").alias("k"), (F.col("id") * 10).alias("s"))
-    got = attach(big, stats, ["k"], spread=["id"])
+    got = attach(big, stats, ["k"])
     assert got.count() == 100 and got.filter("s IS NULL").count() == 25
 
 
@@ -141,3 +146,51 @@ def test_rows_without_a_time_come_last(uneven, spark, order):
     assert got.filter("trade_date IS NULL").first()["idx"] == 700
     filled = C.backward_fill(odd, ["price"], order).filter("price IS NULL").count()
     assert filled == 0
+
+
+@pytest.fixture(scope="module")
+def nameless(uneven, spark):
+    """The long series again under no name."""
+    again = uneven.filter("series_id = 'long'").withColumn("series_id", F.lit(None).cast("string"))
+    return uneven.unionByName(again).cache()
+
+
+NULL_KEYS = {**CASES, "balance": lambda d, o: S.bos_balance(d.filter("price IS NOT NULL"), order=o),
+             "scale": lambda d, o: Z.standard_scale(Y.split_chronological(d, order=o), ["price"], order=o),
+             "minmax": lambda d, o: Z.minmax_scale(Y.split_chronological(d, order=o), ["price"], order=o),
+             "zero_price": lambda d, o: C.replace_zero_price(d.withColumn("price", F.when(F.col("price") < 110, 0.0).otherwise(F.col("price"))), order=o)}
+
+
+@pytest.mark.parametrize("name", NULL_KEYS)
+def test_a_series_without_a_name_is_a_series(nameless, name):
+    rows_in = nameless.filter("price IS NOT NULL") if name in ("sequences", "zero_change") else nameless
+    blocks = SeriesFrame.open(rows_in, SMALL).df.filter("series_id IS NULL").select("_block").distinct().count()
+    assert blocks > 5
+    alone = rows_in.filter("series_id = 'long'").withColumn("series_id", F.lit(None).cast("string"))
+    named = rows(NULL_KEYS[name](alone, DAILY), places=6)
+    got = rows(NULL_KEYS[name](rows_in, SMALL).filter("series_id IS NULL"), places=6)
+    assert len(got) == len(named)
+    assert all(_same(x, y) for x, y in zip(sorted(got, key=_plain), sorted(named, key=_plain)))
+
+
+def _same(x, y):
+    """Equal up to the last of six decimals, lists within lists too."""
+    if isinstance(x, tuple) and isinstance(y, tuple):
+        return len(x) == len(y) and all(_same(a, b) for a, b in zip(x, y))
+    return x == pytest.approx(y, rel=1e-9, abs=2e-6) if isinstance(x, float) and y is not None else x == y
+
+
+def _plain(row):
+    return repr([v for v in row if not isinstance(v, (float, tuple))])
+
+
+def test_groups_without_a_name_are_scored(spark):
+    df = spark.range(3000).select((F.col("id") % 7 > 3).cast("int").alias("y"), (F.hash("id") % 1000 / 1000).alias("p"),
+                                  F.when(F.col("id") % 2 == 0, "x").alias("g"))
+    for score in (M.roc_auc, R.pr_auc, M.classification_metrics, lambda d, **k: M.evaluate_model_outputs(d.withColumn("ret_fwd", F.col("p")), "sign", y="y", pred="p", **k)):
+        got = {r["g"]: [r[c] for c in r.asDict() if c != "g"] for r in score(df, by=["g"]).collect()}
+        for g in ("x", None):
+            alone = [r for r in score(df.filter(F.col("g").eqNullSafe(F.lit(g)))).collect()][0]
+            assert got[g] == pytest.approx(list(alone)) if all(isinstance(v, float) for v in alone) else got[g] == list(alone)
+    curve = R.roc_curve(df, by=["g"]).filter("g IS NULL")
+    assert curve.agg(F.max("fpr")).first()[0] == 1.0

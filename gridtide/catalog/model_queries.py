@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -105,7 +107,7 @@ def _sequence(spark, sf):
 
 def _importance(spark, sf):
     """All importances: one per feature, none negative, one in sum, the best ones first."""
-    fitted = random_forest(_data(spark, sf, "price"), {})
+    fitted = random_forest(_data(spark, sf, "price"), {"n_estimators_options": (20,), "max_depth": 5})
     ranked = feature_importance_topn(feature_importances(spark, fitted), len(fitted.names))
     return ranked.select("feature", (F.col("importance") >= 0).alias("fine"), F.round(F.sum("importance").over(Window.partitionBy()), 6).alias("total"))
 
@@ -115,7 +117,7 @@ SPACE = {"n_estimators_options": [(5,), (10,)], "max_depth": (2, 5), "min_sample
 
 def _search(spark, sf):
     """All draws with their scores as shares of right signs; the first of the best ones is marked."""
-    found = hyperparameter_search(_data(spark, sf), random_forest, SPACE)
+    found = hyperparameter_search(_data(spark, sf), random_forest, SPACE, draws=5, folds=3)
     best = F.min(F.when(F.col("score") == F.col("top"), F.col("draw"))).over(Window.partitionBy())
     found = found.withColumn("top", F.max("score").over(Window.partitionBy()))
     return found.select("draw", "metric", F.col("score").between(0, 1).alias("fine"), (F.col("is_best") == (F.col("draw") == best)).alias("marked"))
@@ -124,12 +126,12 @@ def _search(spark, sf):
 def _store(spark, sf):
     """A stored model predicts what the fitted one did, row by row."""
     data = _data(spark, sf, "price")
-    fitted = random_forest(data, {})
+    fitted = random_forest(data, {"n_estimators_options": (10,), "max_depth": 5})
     model, about = load_model(spark, save_model(spark, fitted.model, scratch_dir(spark, "model"), fitted.params))
     again = model.transform(data.rows.filter(F.col("split") != "train")).select(*KEY, "prediction")
     both = fitted.predictions.join(again, list(KEY))
     return both.select(*KEY, "split", (F.abs(F.col("prediction") - F.col("y_pred")) < 1e-12).alias("same"),
-                       F.lit(about["n_estimators"] in (100, 200, 500)).alias("described"))
+                       F.lit(about["n_estimators"] == 10).alias("described"))
 
 
 def _swept(table, *columns):
@@ -182,8 +184,10 @@ def _refits(spark, sf):
 
 
 def _registry(spark, sf):
-    """All models of the default registry: the rows they were scored on, and their errors."""
-    return run_models(market(spark, sf)).select("model_name", "task_type", F.col("trading_total_trades").alias("trades"), "error")
+    """All models of the default registry, with fewer trees and epochs: the rows they were scored on, and their errors."""
+    small = {"RF": {"n_estimators_options": (10, 20), "max_depth": 5}, "GBT": {"n_estimators": 10, "max_depth": 3}, "RBF": {"n_features": 20}, "SEQ": {"seq_len": 14, "max_epochs": 5}}
+    registry = {name: replace(entry, params=small.get(name.split("_")[0], entry.params)) for name, entry in default_registry().items()}
+    return run_models(market(spark, sf), registry).select("model_name", "task_type", F.col("trading_total_trades").alias("trades"), "error")
 
 
 def _union(spark, sf):
@@ -240,7 +244,7 @@ QUERIES = {
     "rolling_arx_forecast": _rolling,
     "stationarity_test": lambda s, d: rounded(stationarity_test(_moves(s, d)).drop("p_value"), 4),
     "sequence_model": _sequence,
-    "seq_len_sweep": lambda s, d: _swept(seq_len_sweep(market(s, d)), "seq_len"),
+    "seq_len_sweep": lambda s, d: _swept(seq_len_sweep(market(s, d), (7, 14), params={"max_epochs": 5}), "seq_len"),
     "horizon_sweep": lambda s, d: _swept(horizon_sweep(market(s, d)), "horizon"),
     "model_registry_run": _registry,
     "model_contract": lambda s, d: _held_out(gradient_boosting(_data(s, d, "sign_3class"), {}), 0.0, 2.0),
@@ -453,8 +457,8 @@ UNION ALL SELECT 'base_mae', arg_min(event_type, e), round(min(e), 6) FROM m""",
     "sequence_model": held_out_sql(SIGN, 14),
     "model_store": f"""WITH {labelled_sql('ret_fwd')} SELECT series_id, trade_date, split, TRUE AS same, TRUE AS described FROM data WHERE split <> 'train'""",
     "feature_importance_topn": f"""SELECT unnest([{", ".join(f"'{c}'" for c in [*V2_DOUBLES, *CALENDAR_V2])}]) AS feature, TRUE AS fine, 1.0::DOUBLE AS total""",
-    "hyperparameter_search": "SELECT unnest(range(50)) AS draw, 'accuracy' AS metric, TRUE AS fine, TRUE AS marked",
+    "hyperparameter_search": "SELECT unnest(range(5)) AS draw, 'accuracy' AS metric, TRUE AS fine, TRUE AS marked",
     "model_registry_run": registry_sql(),
-    "seq_len_sweep": sweep_sql([(f"seq_{n}", "seq_len", n, trades_sql(f"step >= {n}")) for n in (14, 30, 60)]),
+    "seq_len_sweep": sweep_sql([(f"seq_{n}", "seq_len", n, trades_sql(f"step >= {n}")) for n in (7, 14)]),
     "horizon_sweep": sweep_sql([(f"t+{h}", "horizon", h, trades_sql(horizon=h)) for h in (1, 5)]),
 }

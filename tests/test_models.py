@@ -125,3 +125,26 @@ def test_a_stored_model_predicts_the_same(spark, planted, tmp_path):
     again = {(r["series_id"], r["idx"]): r["prediction"] for r in model.transform(data.rows.filter("split = 'test'")).collect()}
     first = {(r["series_id"], r["idx"]): r["y_pred"] for r in fitted.predictions.filter("split = 'test'").collect()}
     assert again == pytest.approx(first)
+
+
+def test_registered_model_queries_run_the_library_defaults(monkeypatch, planted):
+    from gridtide.catalog import model_queries as queries
+
+    class Seen(Exception):
+        pass
+
+    def record(*args, **options):
+        raise Seen(args, options)
+
+    for name in ("run_models", "hyperparameter_search", "seq_len_sweep", "random_forest"):
+        monkeypatch.setattr(queries, name, record)
+    monkeypatch.setattr(queries, "market", lambda spark, sf: planted)
+    monkeypatch.setattr(queries, "_data", lambda *args, **options: planted)
+    given = {}
+    for name in ("model_registry_run", "hyperparameter_search", "seq_len_sweep", "feature_importance_topn", "model_store"):
+        with pytest.raises(Seen) as seen:
+            queries.QUERIES[name](None, "")
+        given[name] = seen.value.args
+    assert given["model_registry_run"] == ((planted,), {}) == given["seq_len_sweep"]
+    assert given["hyperparameter_search"][0][:1] == (planted,) and given["hyperparameter_search"][1] == {}
+    assert given["feature_importance_topn"] == ((planted, {}), {}) == given["model_store"]

@@ -213,6 +213,22 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(empty).collect() == []
 
 
+def test_license_texts_and_headings(spark):
+    full = {name: max((t for n, t in licenses.CATALOGUE if n == name), key=len) for name, _ in licenses.CATALOGUE}
+    whole = {"Apache-2.0": 10_000, "GPL-2.0": 15_000, "GPL-3.0": 30_000, "LGPL-2.1": 20_000, "LGPL-3.0": 7_000, "MPL-2.0": 15_000, "CC0-1.0": 6_000,
+             "CC-BY-SA-4.0": 15_000, "EPL-1.0": 10_000, "BSD-2-Clause": 1_200, "BSD-3-Clause": 1_400, "Unlicense": 1_100, "BSL-1.0": 1_200, "Zlib": 700}
+    assert all(len(full[name]) >= size for name, size in whole.items())
+    bsd = next(t for n, t in licenses.CATALOGUE if n == "BSD-2-Clause" and t.startswith("Redistribution"))
+    texts = [(name, "Copyright (c) 2021 A. Person\n\n" + full[name].upper() + "\n") for name in whole]
+    texts += [("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A. Person\n\n" + licenses.MIT), ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, B\nAll rights reserved.\n\n" + bsd),
+              ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = by_id(licenses.scan(docs))
+    assert [got[i]["text_license"] for i in range(len(texts))] == [name for name, _ in texts]
+    shared = spark.createDataFrame(list(licenses.CATALOGUE), "license string, statement string").groupBy(licenses.canonical(F.col("statement"))).agg(F.countDistinct("license").alias("n"))
+    assert shared.filter("n > 1").isEmpty()
+
+
 def test_lines_near_the_threshold(spark, odd, empty):
     rows = [(i * 100 + s, f"own {i} {s}\nshared by {n} \n", f"s{s}") for i, n in enumerate((8, 9, 10, 11, 12, 20)) for s in range(n)]
     got = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm import decontamination, jaccard, mixing, quality, sharding
-from gridtide.llm.store import written
+from gridtide.llm.store import word_count, written
 
 #: The mix and the learned rules can't be written as SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -24,10 +24,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the least id. Rows without an id stay."""
-    found = jaccard.join_components(docs.select("doc_id", "text"))
-    others = found.filter((F.col("doc_id") != F.col("component_id")) & F.col("component_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti")
+    """One row of each near-duplicate component: the one with the least id, a null id last. Texts without words all stay.
+
+    Rows are told by a hash of id and text, so repeated rows, rows without an id and reused ids are components like others.
+    """
+    rows = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "pipeline-rows")
+    keyed = rows.select(F.xxhash64("row.doc_id", "row.text").alias("key"), F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "at")
+    found = jaccard.join_components(keyed.select(F.col("key").alias("doc_id"), "text")).filter("n_shingles > 0")
+    component = found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("component")).distinct()
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at")).join(component, "key")
+    kept = first.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "at")).alias("least"))
+    chosen = rows.join(kept.select(F.col("least.at").alias("at")), "at", "left_semi")
+    return chosen.select("row").union(rows.filter(word_count(F.col("row.text")) == 0).select("row")).select("row.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

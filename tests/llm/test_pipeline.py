@@ -102,3 +102,15 @@ def test_stages_on_odd_tables(spark, rows):
     if rows:
         kept = ids(corpus_pipeline.near_duplicates(spark, docs, SF).collect())
         assert kept[4] == 1 and kept[5] == 0 and kept[None] == 2 and kept[1] == 1
+
+
+def test_near_duplicates_among_repeats_null_ids_and_reused_ids(spark):
+    text = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcde"]
+    near = [t + " more" for t in text]
+    rows = [(1, text[0])] * 5 + [(2, near[0])] + [(None, text[1])] * 3 + [(None, near[1])] + [(7, text[2]), (None, near[2])]
+    rows += [(8, text[3]), (9, near[3]), (9, text[4])] + [(4, "")] * 2 + [(None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    lost = [(None, t) for t in (text[1], near[1])]
+    assert sum(got[x] for x in lost) == 1
+    assert {k: n for k, n in got.items() if k not in lost} == {(1, text[0]): 1, (7, text[2]): 1, (8, text[3]): 1, (9, text[4]): 1, (4, ""): 2, (None, None): 2}

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,28 +59,67 @@ def random_forest(data: Dataset, params: Mapping[str, Any]) -> Fitted:
     return Fitted(found, {"n_estimators": trees, "val_score": score}, pipeline_model(assembler, model), data.features)
 
 
+def best_prefix(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Rounds up to the least error before `patience` rounds without any gain, and whether that wait was over."""
+    best = 0
+    for at, error in enumerate(errors):
+        if error < errors[best]:
+            best = at
+        elif at - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def boosted(estimator: GBTClassifier | GBTRegressor, train: DataFrame, val: DataFrame, most: int, patience: int) -> GBTClassificationModel | GBTRegressionModel:
+    """The best prefix on `val` of a fit of `most` rounds.
+
+    The first rounds of a fit don't depend on how many follow, so it is fitted with doubled numbers of rounds
+    until the wait is over. Without validation rows all rounds stay.
+    """
+    if val.isEmpty():
+        return estimator.copy({estimator.maxIter: most}).fit(train)
+    rounds = min(most, 2 * patience)
+    while True:
+        model = estimator.copy({estimator.maxIter: rounds}).fit(train)
+        loss = () if isinstance(model, GBTClassificationModel) else ("squared",)
+        best, over = best_prefix(model.evaluateEachIteration(val, *loss), patience)
+        if over or rounds >= most:
+            break
+        rounds = min(most, 2 * rounds)
+    jvm, trees = train.sparkSession.sparkContext._jvm, model._java_obj.trees()
+    kept = train.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, best)
+    weights = train.sparkSession.sparkContext._gateway.new_array(jvm.double, best)
+    for at in range(best):
+        kept[at], weights[at] = trees[at], model.treeWeights[at]
+    kind = getattr(jvm.org.apache.spark.ml, "classification" if loss == () else "regression")
+    short = getattr(kind, type(model).__name__)(model.uid, kept, weights, model.numFeatures, *(() if loss else (2,)))
+    return type(model)(model._java_obj.copyValues(short, model._java_obj.extractParamMap()))
+
+
 def gradient_boosting(data: Dataset, params: Mapping[str, Any]) -> Fitted:
-    """Boosted trees that stop once the validation rows gain nothing more; three classes are one fit against the rest each."""
+    """Boosted trees up to the best round on the validation rows; three classes are one fit against the rest each."""
     assembler, rows = assembled(data)
-    rows, extra = weighted(assembler.transform(rows).withColumn("is_val", F.col("split") == "val"), data.task, params.get("balanced", False))
-    settings = dict(maxIter=params.get("n_estimators", 1000), stepSize=params.get("learning_rate", 0.05),
+    rows, extra = weighted(assembler.transform(rows), data.task, params.get("balanced", False))
+    most, patience = params.get("n_estimators", 1000), params.get("early_stopping_rounds", 50)
+    settings = dict(stepSize=params.get("learning_rate", 0.05),
                     maxDepth=params.get("max_depth", 5), subsamplingRate=params.get("subsample", 0.8),
                     featureSubsetStrategy=str(params.get("colsample", 0.8)), minInstancesPerNode=params.get("min_child_samples", 20),
-                    validationIndicatorCol="is_val", validationTol=params.get("tolerance", 0.01), seed=SEED, **extra)
-    seen, unseen = rows.filter(F.col("split") != "test"), rows.filter(F.col("split") != "train")
+                    seed=SEED, **extra)
+    train, val, unseen = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "val"), rows.filter(F.col("split") != "train")
     if data.task == "sign_3class":
         models = []
         for k in range(3):
-            own = seen.withColumn("_own", (F.col("y_target") == k).cast("double"))
+            own = (F.col("y_target") == k).cast("double")
             estimator = GBTClassifier(labelCol="_own", predictionCol=f"_label{k}", **settings)
-            models.append(estimator.setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_p{k}").fit(own))
+            estimator = estimator.setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_p{k}")
+            models.append(boosted(estimator, train.withColumn("_own", own), val.withColumn("_own", own), most, patience))
         scored = unseen
         for model in models:
             scored = model.transform(scored)
         votes = F.array(*(F.struct(positive_probability(f"_p{k}").alias("p"), F.lit(-k).alias("first")) for k in range(3)))
         found = predictions(scored.withColumn("_vote", F.array_max(votes)), (-F.col("_vote.first")).cast("double"), data.order)
         return Fitted(found, {**params, "trees": sum(m.getNumTrees for m in models)}, pipeline_model(assembler, *models), data.features)
-    model = (GBTClassifier if is_sign(data.task) else GBTRegressor)(labelCol="y_target", **settings).fit(seen)
+    model = boosted((GBTClassifier if is_sign(data.task) else GBTRegressor)(labelCol="y_target", **settings), train, val, most, patience)
     y_pred = class_column(data.task) if is_sign(data.task) else F.col("prediction")
     found = predictions(model.transform(unseen), y_pred, data.order)
     return Fitted(found, {**params, "trees": model.getNumTrees}, pipeline_model(assembler, model), data.features)

@@ -148,3 +148,13 @@ def test_registered_model_queries_run_the_library_defaults(monkeypatch, planted)
     assert given["model_registry_run"] == ((planted,), {}) == given["seq_len_sweep"]
     assert given["hyperparameter_search"][0][:1] == (planted,) and given["hyperparameter_search"][1] == {}
     assert given["feature_importance_topn"] == ((planted, {}), {}) == given["model_store"]
+
+
+@pytest.mark.parametrize("task", ["sign", "price"])
+def test_boosting_goes_on_while_validation_rows_gain(planted, task):
+    assert trees.best_prefix([3, 2, 2, 1, 4, 4, 0], 2) == (4, True) and trees.best_prefix([3, 2, 2], 2) == (2, False)
+    params = {"n_estimators": 40, "max_depth": 2, "early_stopping_rounds": 10, "colsample": "all"}
+    fitted = trees.gradient_boosting(dataset(planted, task), params)
+    model = fitted.model.stages[-1]
+    assert fitted.params["trees"] == model.getNumTrees > 5 and model.numFeatures == 2
+    assert fitted.predictions.filter("y_pred IS NULL").count() == 0

@@ -22,9 +22,8 @@ from gridtide.llm.words import Words, byte_values, chunks, mix, powers, words
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 MOST_SAMPLED = 800
 MOST_LANGUAGES = 500
-PIECE_BYTES = 8
+SHORT = 8
 ROUNDS = 4
-LONGEST_FITTED = 40
 FILTER_BITS = 22
 
 
@@ -35,14 +34,12 @@ def word_bytes() -> np.ndarray:
     return keep
 
 
-def read_pieces(path: str = VOCABULARY, most: int = PIECE_BYTES) -> list[bytes]:
-    """Lower-case letter pieces of up to `most` bytes from a file of base64 pieces and ranks, and all single word bytes."""
+def read_pieces(path: str = VOCABULARY) -> list[bytes]:
+    """Lower-case letter pieces from a file of base64 pieces and ranks, and all single word bytes."""
     pieces = {bytes([b]) for b in np.flatnonzero(word_bytes())}
     with open(path, "rb") as lines:
         for line in lines:
             piece = base64.b64decode(line.split()[0]).lstrip(b" ")
-            if len(piece) > most:
-                continue
             try:
                 text = piece.decode()
             except UnicodeDecodeError:
@@ -57,14 +54,29 @@ class Pieces:
 
     def __init__(self, pieces: list[bytes]):
         self.count, self.longest = len(pieces), max(map(len, pieces))
-        values, (up, _) = byte_values(), powers(16)
-        sums = np.array([np.sum(values[np.frombuffer(p, np.uint8)] * up[: len(p)], dtype=np.uint64) for p in pieces], np.uint64)
-        hashed = np.concatenate([self._mixed(sums[i: i + 1], len(p)) for i, p in enumerate(pieces)])
+        self.lengths = sorted({len(p) for p in pieces})
+        hashed = self._hashed(pieces)
+        self.starts = np.unique(self._hashed(sorted({p[:SHORT] for p in pieces if len(p) > SHORT})))
         self.number = np.argsort(hashed, kind="stable")
         self.sorted = hashed[self.number]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(hashed >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
+    def _hashed(self, pieces: list[bytes]) -> np.ndarray:
+        values, (up, _) = byte_values(), powers(16)
+        sums = np.array([np.sum(values[np.frombuffer(p, np.uint8)] * up[: len(p)], dtype=np.uint64) for p in pieces], np.uint64)
+        return np.concatenate([self._mixed(sums[i: i + 1], len(p)) for i, p in enumerate(pieces)]) if pieces else sums
+
+    def long_from(self, sums: np.ndarray) -> np.ndarray:
+        """Whether the SHORT bytes from each byte on are the start of a longer piece."""
+        out = np.zeros(len(sums), bool)
+        if len(sums) > SHORT and len(self.starts):
+            _, down = powers(len(sums))
+            hashed = self._mixed((sums[SHORT:] - sums[:-SHORT]) * down[: len(sums) - SHORT], SHORT)
+            at = np.minimum(np.searchsorted(self.starts, hashed), len(self.starts) - 1)
+            out[: len(hashed)] = self.starts[at] == hashed
+        return out
+
     @staticmethod
     def _mixed(sums: np.ndarray, length: int) -> np.ndarray:
         return mix(sums + np.uint64(length * 0x9E3779B97F4A7C15 % (1 << 64)))
@@ -95,13 +107,31 @@ class WordTable:
         up, _ = powers(len(values) + 1)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        self.long = pieces.long_from(self.sums)
+        self.known: list | None = None
 
-    def steps(self) -> Iterator[tuple[int, int, list[tuple[int, np.ndarray]]]]:
-        """For each position i: how many words are that long, and (length, pieces that end there, -1 for none)."""
+    def steps(self) -> Iterator[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray]]]]:
+        """For each position i: how many words are that long, and (length, words with a piece of that length that ends there, the pieces)."""
         for i in range(1, int(self.size[0]) + 1 if len(self.size) else 1):
             active = int(np.searchsorted(-self.size, -i, side="right"))
             begin = self.begin[:active]
-            yield i, active, [(n, self.pieces.find(self.sums, begin + (i - n), n)) for n in range(1, min(i, self.pieces.longest) + 1)]
+            ending = []
+            for n in self.pieces.lengths:
+                if n > i:
+                    break
+                at = np.arange(active) if n <= SHORT else np.flatnonzero(self.long[begin + (i - n)])
+                if len(at):
+                    piece = self.pieces.find(self.sums, begin[at] + (i - n), n)
+                    some = np.flatnonzero(piece >= 0)
+                    if len(some):
+                        ending.append((n, at[some], piece[some]))
+            yield i, active, ending
+
+    def walked(self) -> list:
+        """All `steps`, kept for passes that repeat them."""
+        if self.known is None:
+            self.known = list(self.steps())
+        return self.known
 
 
 def log_likelihoods(table: WordTable, probability: np.ndarray) -> np.ndarray:
@@ -115,9 +145,8 @@ def log_likelihoods(table: WordTable, probability: np.ndarray) -> np.ndarray:
     scale = np.zeros(len(table.size))
     for i, active, ending in table.steps():
         total = np.zeros((active, languages))
-        for n, piece in ending:
-            some = np.flatnonzero(piece >= 0)
-            total[some] += ring[i - n][some] * probability[piece[some]]
+        for n, some, piece in ending:
+            total[some] += ring[i - n][some] * probability[piece]
         ring[i] = total
         ring.pop(i - longest, None)
         done = np.flatnonzero(table.size[:active] == i)
@@ -130,48 +159,56 @@ def log_likelihoods(table: WordTable, probability: np.ndarray) -> np.ndarray:
 
 
 def expected_counts(table: WordTable, counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
-    """How often each piece is used per language, over all segmentations of words that occur `counts` times.
+    """How often one language uses each piece, over all segmentations of words that occur `counts` times.
 
-    Words of more than LONGEST_FITTED bytes take no part in the fit.
+    `probability` has one number per piece. Both passes are rescaled per word every 16 bytes, so words may have any length.
     """
-    languages = probability.shape[1]
-    use = np.zeros((probability.shape[0], languages))
-    keep = table.size <= LONGEST_FITTED
-    forward, pieces = [np.ones((len(table.size), languages))], []
-    for i, active, ending in table.steps():
-        if i > LONGEST_FITTED:
-            break
-        total = np.zeros((active, languages))
-        for n, piece in ending:
-            total += forward[i - n][:active] * probability[piece]
+    longest = table.pieces.longest
+    scale = np.zeros(len(table.size))
+    forward, scales, steps, ring = [np.ones(len(table.size))], [scale], [], {0: np.ones(len(table.size))}
+    for i, active, ending in table.walked():
+        total = np.zeros(active)
+        for n, some, piece in ending:
+            total[some] += ring[i - n][some] * probability[piece]
+        ring[i] = total
+        ring.pop(i - longest, None)
         forward.append(total)
-        pieces.append(ending)
-    backward = [np.zeros_like(f) for f in forward]
-    for i in range(len(forward) - 1, 0, -1):
-        at_end = (table.size[: len(forward[i])] == i) & keep[: len(forward[i])]
-        backward[i][at_end] = counts[: len(at_end)][at_end] / forward[i][at_end]
-        for n, piece in pieces[i - 1]:
-            flow = probability[piece] * backward[i]
-            backward[i - n][: len(flow)] += flow
-            flow = flow * forward[i - n][: len(flow)]
-            for k in range(languages):
-                use[:, k] += np.bincount(piece % len(use), weights=flow[:, k], minlength=len(use))
-    use[-1] = 0
+        scales.append(scale)
+        steps.append(ending)
+        if i % 16 == 0:
+            most = np.maximum(total, 1e-300)
+            scale = scale[:active] + np.log(most)
+            ring = {k: v[:active] / most for k, v in ring.items()}
+    use = np.zeros(len(probability))
+    backward = {}
+    for i in range(len(steps), 0, -1):
+        back = backward.pop(i, None)
+        back = np.zeros(len(forward[i])) if back is None else back
+        done = np.flatnonzero(table.size[: len(back)] == i)
+        back[done] += counts[done] / forward[i][done]
+        for n, some, piece in steps[i - 1]:
+            flow = probability[piece] * back[some]
+            if scales[i] is not scales[i - n]:
+                flow *= np.exp(scales[i - n][some] - scales[i][some])
+            into = backward.setdefault(i - n, np.zeros(len(forward[i - n])))
+            into[some] += flow
+            np.add.at(use, piece, flow * forward[i - n][some])
     return use
 
 
 def fit(texts: list[str], languages: list[str], pieces: Pieces, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Names of the languages and their piece probabilities, by expectation maximisation over the given texts."""
+    """Names of the languages and their piece probabilities, by expectation maximisation over the given texts of each."""
     names = sorted(set(languages))
-    w = words(pc.utf8_lower(pa.array(texts, pa.string())), word_bytes(), byte_values())
-    table = WordTable(w, pieces)
-    own = np.array([names.index(x) for x in languages])[w.row]
-    counts = np.zeros((len(table.size), len(names)))
-    np.add.at(counts, (table.of, own), 1.0)
-    probability = np.vstack([np.full((pieces.count, len(names)), 1.0 / pieces.count), np.zeros((1, len(names)))])
-    for _ in range(rounds):
-        use = expected_counts(table, counts, probability)[:-1] + 0.05
-        probability[:-1] = use / use.sum(axis=0)
+    probability = np.zeros((pieces.count + 1, len(names)))
+    for k, name in enumerate(names):
+        w = words(pc.utf8_lower(pa.array([t for t, x in zip(texts, languages) if x == name], pa.string())), word_bytes(), byte_values())
+        table = WordTable(w, pieces)
+        counts = np.bincount(table.of, minlength=len(table.size)).astype(float)
+        own = np.full(pieces.count, 1.0 / pieces.count)
+        for _ in range(rounds):
+            use = expected_counts(table, counts, own) + 0.05
+            own = use / use.sum()
+        probability[:-1, k] = own
     return names, probability
 
 

@@ -302,6 +302,34 @@ def test_language_odd_rows(odd, empty):
     assert language.identify(empty).collect() == []
 
 
+def test_unsegmented_languages_are_told_apart(spark):
+    import random
+
+    rng = random.Random(5)
+    letters = {"zh": ["今天", "天气", "很好", "我们", "学习", "中文", "北京", "大学", "他的", "朋友", "这个", "时间"],
+               "ja": ["今日", "は", "天気", "です", "私たち", "日本", "東京", "大学", "彼の", "友達", "この", "時間"]}
+    rows = [(i, "".join(rng.choice(letters[lang]) for _ in range(60)), lang) for i in range(160) for lang in [("zh", "ja")[i % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {i: lang for i, _, lang in rows}
+    tested = [r for r in language.identify(docs).collect() if r["held_out"]]
+    assert len(tested) > 20 and all(r["lang_pred"] == known[r["doc_id"]] for r in tested)
+
+
+def test_expected_counts_of_long_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from gridtide.llm.words import byte_values, words
+
+    listed = [b"a", b"ab", b"abababababab", b"b"]
+    finder = language.Pieces(listed)
+    table = language.WordTable(words(pa.array(["ab" * 40, "a" * 3000]), language.word_bytes(), byte_values()), finder)
+    use = language.expected_counts(table, np.ones(2), np.array([.1, .2, .3, .4]))
+    covered = sum(use[i] * len(piece) for i, piece in enumerate(listed))
+    assert np.isfinite(use).all() and abs(covered - 3080) < 1e-6 and use[2] > 1
+    assert {b"information", "которые".encode()} <= set(language.read_pieces())
+
+
 def test_forward_sums_all_segmentations():
     import numpy as np
     import pyarrow as pa

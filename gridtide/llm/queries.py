@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import decontamination, jaccard, language, licenses, lines, mixing, quality, secrets, sharding, substrings
+from gridtide.llm import decontamination, jaccard, language, licenses, lines, mixing, quality, secrets, sharding, spelling, substrings, tokens, whitening
 from gridtide.llm.store import written
 
 
@@ -67,6 +67,22 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Near words, form and root of each word of the documents."""
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Leading whitened components of each embedding."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of each document, and whether it exceeds the context length."""
+    return tokens.count_tokens(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_shard, op3_decontaminate, op4_license_scan, op5_substring_dedup, op6_language_id,
-                                   op7_line_dedup, op8_secret_scan, op9_jaccard_join, op10_quality_rules)}
+                                   op7_line_dedup, op8_secret_scan, op9_jaccard_join, op10_quality_rules, op11_spelling_variants,
+                                   op12_whitening, op13_token_counts)}
 ORACLES: dict[str, str] = {"op4_license_scan": licenses.SCAN_SQL, "op7_line_dedup": lines.DEDUP_SQL}

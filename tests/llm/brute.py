@@ -123,3 +123,46 @@ def secrets(text):
 
 def held_out(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def spelled(doc_id, text):
+    """Lower-cased letter runs of 5 code points at least; some lose a letter."""
+    for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+        run = run.translate(LOWER)
+        code = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+        if code % 97 == 0:
+            run = run[: code % len(run)] + run[code % len(run) + 1:]
+        if len(run) >= 5:
+            yield run
+
+
+def edited_once(a, b):
+    """Whether one insertion, deletion or replacement turns a into b."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1 or a == b:
+        return False
+    at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[at + (len(a) == len(b)):] == b[at + 1:]
+
+
+def variants(docs):
+    """{word: (n, n_near, form, form_n, root)}"""
+    count = Counter(w for i, t in docs for w in spelled(i, t))
+    n = {w: k for w, k in count.items() if k >= 3}
+    stems = defaultdict(set)
+    for w in n:
+        for stem in {w} | {w[:i] + w[i + 1:] for i in range(len(w))}:
+            stems[stem].add(w)
+    near = {w: {x for stem in {w} | {w[:i] + w[i + 1:] for i in range(len(w))} for x in stems[stem] if edited_once(w, x)} for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return {w: (n[w], len(near[w]), form[w], n.get(form[w]), root(w)) for w in n}

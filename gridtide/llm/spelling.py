@@ -6,7 +6,8 @@ over one place only; the largest number of them is the word's bound of affected
 shares all its other grams, in order. So two near words meet in the list of a gram that is among the
 bound + 1 rarest of both, and only these lists are merged. An edit leaves alone what is left or what is right of an
 untouched gram, so each list is split by either context, and what is still too long by the letter that an
-edit drops. Candidates are verified by their edit distance.
+edit drops. A list is merged and its candidates verified in time linear in its length: near words are equal without
+the letter at one place.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MIN_GRAM, MAX_GRAM = 2, 4
 LEAST_FREQUENT = 64
 MOST_GRAMS = 100_000
 RARITY_BITS = 16
-LONG_LIST = 128
+LONG_LIST = 4_096
 CHUNK_BYTES = 8 << 20
 SHORT_RUN = 64
 PAD = "$"
@@ -188,7 +189,7 @@ def _counter(gram: str) -> int:
 
 
 def lists(words: DataFrame) -> DataFrame:
-    """(key, word, length): the lists of the index; each word is in those of its bound + 1 rarest grams.
+    """(key, word, n): the lists of the index; each word is in those of its bound + 1 rarest grams.
 
     A list is one gram with all that is left of it, or with all that is right of it, told by 64 bits; what two of them
     share by chance is verified like everything else.
@@ -196,50 +197,80 @@ def lists(words: DataFrame) -> DataFrame:
     frequent = frequent_grams(words)
     known = words.sparkSession.sparkContext.broadcast((frequent, rarity(words, frequent)))
 
-    def rows(own: list[str]) -> list[pa.Array]:
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rare = known.value
-        starts, ends = [], []
-        for w in own:
-            grams = decomposed(w, frequent)
-            order = sorted(range(len(grams)), key=lambda at: (rare[_counter(grams[at])], grams[at], at))[: affected(grams) + 1]
-            starts.append(order)
-            ends.append([at + len(grams[at]) for at in order])
-        return [pa.array(own, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
-
-    chosen = _mapped(words, "word string, starts array<int>, ends array<int>", rows)
-    placed = chosen.select("word", F.explode(F.arrays_zip("starts", "ends")).alias("gram"))
+        for batch in found:
+            starts, ends = [], []
+            for w in batch.column(0).to_pylist():
+                grams = decomposed(w, frequent)
+                order = sorted(range(len(grams)), key=lambda at: (rare[_counter(grams[at])], grams[at], at))[: affected(grams) + 1]
+                starts.append(order)
+                ends.append([at + len(grams[at]) for at in order])
+            placed = [pa.array(places, pa.list_(pa.int32())) for places in (starts, ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *placed], names=["word", "n", "starts", "ends"])
+
+    chosen = words.select("word", "n").mapInArrow(batches, "word string, n long, starts array<int>, ends array<int>")
+    placed = chosen.select("word", "n", F.explode(F.arrays_zip("starts", "ends")).alias("gram"))
     padded = f"concat(word, '{PAD * (MAX_GRAM - 1)}')"
     left = F.expr(f"xxhash64('left', gram.starts, substring({padded}, 1, gram.ends))")
     right = F.expr(f"xxhash64('right', gram.ends - gram.starts, substring({padded}, gram.starts + 1, length({padded})))")
-    return placed.select(F.explode(F.array(left, right)).alias("key"), "word", F.length("word").alias("length"))
+    return placed.select(F.explode(F.array(left, right)).alias("key"), "word", "n")
 
 
-def _paired(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs (a, b) of words in one list whose lengths are equal or differ by one."""
-    near = F.explode(F.array(F.struct(F.lit(0).alias("more"), F.col("length").alias("shorter")), F.struct(F.lit(1).alias("more"), (F.col("length") - 1).alias("shorter"))))
-    a = entries.select(*keys, F.col("word").alias("a"), F.col("length").alias("shorter"))
-    b = entries.select(*keys, F.col("word").alias("b"), near.alias("s")).select(*keys, "b", "s.more", "s.shorter")
-    return a.join(b, [*keys, "shorter"]).filter((F.col("more") == 1) | (F.col("a") < F.col("b"))).select("a", "b")
+def merged(words: list[str]) -> set[tuple[str, str]]:
+    """Pairs of the given words that differ by one edit, each once.
 
+    The letter that differs lies behind the words' common start and before their common end, so only those are left out in turn.
+    """
+    known = set(words)
+    least, most = min(known), max(known)
+    start = next((i for i, (x, y) in enumerate(zip(least, most)) if x != y), len(least))
+    turned = [w[::-1] for w in known]
+    least, most = min(turned), max(turned)
+    end = next((i for i, (x, y) in enumerate(zip(least, most)) if x != y), len(least))
+    found: set[tuple[str, str]] = set()
+    places: dict[tuple[int, str], list[str]] = {}
+    for w in known:
+        for at in range(start, len(w)) if start >= end else range(len(w) - end):
+            rest = w[:at] + w[at + 1:]
+            if rest in known:
+                found.add((rest, w))
+            places.setdefault((at, rest), []).append(w)
+    for own in places.values():
+        if len(own) > 1:
+            own.sort()
+            found.update((a, b) for i, a in enumerate(own) for b in own[i + 1:])
+    return found
+
+
+def _met(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b, n_a, n_b): near words of each list, whose length is bounded."""
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            out: list[tuple[str, str, int, int]] = []
+            for own in batch.column(0).to_pylist():
+                n = {x["word"]: x["n"] for x in own}
+                out.extend((a, b, n[a], n[b]) for a, b in merged(list(n)))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["a", "b", "n_a", "n_b"])
 
-def _edited(entries: DataFrame) -> DataFrame:
-    """The entries of long lists, dealt by the word itself and by each word that one deletion leaves: near words share one of these."""
-    split = F.expr("transform(sequence(1, length), i -> xxhash64(concat(substring(word, 1, i - 1), substring(word, i + 1, length))))")
-    return entries.withColumn("rest", F.explode(F.array_distinct(F.array_append(split, F.xxhash64("word")))))
+    grouped = entries.groupBy(*keys).agg(F.collect_list(F.struct("word", "n")).alias("words")).filter(F.size("words") > 1).select("words")
+    return grouped.mapInArrow(batches, "a string, b string, n_a long, n_b long")
 
 
 def near_pairs(words: DataFrame, long_list: int = LONG_LIST) -> DataFrame:
-    """(a, b), once each, of all words that differ by exactly one inserted, deleted or replaced code point.
+    """(a, b, n_a, n_b), once each, of all words that differ by exactly one inserted, deleted or replaced code point.
 
-    A list of more than `long_list` words is not paired as a whole: its words are dealt by what they are without one letter,
-    which as many words share as the alphabet and a word's length allow, however long the list is.
+    A list of more than `long_list` words is not gathered: its words are dealt by themselves and by what they are without one
+    letter, which as many words share as the alphabet and a word's length allow, however long the list is.
     """
     entries = written(lists(words), "spelling-lists")
     long = written(entries.groupBy("key").count().filter(F.col("count") > long_list).select("key"), "spelling-long")
-    met = _paired(entries.join(long, "key", "left_anti"), ["key"])
-    if not long.isEmpty():
-        met = met.union(_paired(_edited(entries.join(long, "key", "left_semi")), ["key", "rest"]))
-    return met.filter(F.levenshtein("a", "b", 1) == 1).distinct()
+    if long.isEmpty():
+        return _met(entries, ["key"]).distinct()
+    stems = F.expr("transform(sequence(1, length(word)), i -> xxhash64(concat(substring(word, 1, i - 1), substring(word, i + 1, length(word)))))")
+    dealt = entries.join(long, "key", "left_semi").withColumn("rest", F.explode(F.array_distinct(F.array_append(stems, F.xxhash64("word")))))
+    return _met(entries.join(long, "key", "left_anti"), ["key"]).union(_met(dealt, ["key", "rest"])).distinct()
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -268,7 +299,8 @@ def variants(docs: DataFrame, min_count: int = MIN_COUNT, dominance: int = DOMIN
     """
     words = written(vocabulary(docs, min_count), "spelling-words")
     near = near_pairs(words, long_list)
-    both = near.union(near.select("b", "a")).toDF("word", "form").join(words.select(F.col("word").alias("form"), F.col("n").alias("form_n")), "form")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("form"), F.col("n_b").alias("form_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("form"), F.col("n_a").alias("form_n"))))
+    both = near.select(ends.alias("end")).select("end.*")
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("form_n")).alias("order"), "form")).alias("best"))
     told = words.join(best, "word", "left")
     taken = -F.col("best.order") >= dominance * F.col("n")

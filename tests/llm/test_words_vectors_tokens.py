@@ -47,7 +47,7 @@ def test_variants_of_the_table(spark):
     assert spelled(QUERIES["op11_spelling_variants"](spark, SF)) == want
 
 
-@pytest.mark.parametrize("long_list", [1, 128])
+@pytest.mark.parametrize("long_list", [1, 4096])
 def test_variants_of_odd_rows(odd, long_list):
     want = brute.variants(ODD)
     assert len(want) > 5

@@ -424,14 +424,17 @@ def join_components(docs: DataFrame) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lowered; a document's set has its distinct 5-word shingles, or
     the whole sequence if it is shorter. Two documents link when 100 * common >= 75 * all. component_id is
-    the least doc_id that links reach. Null or empty texts link with nothing and are their own component;
-    rows without an id join components but never name them unless all lack one. Repeated rows are
-    repeated in the result. Other columns are not read; an empty table gives an empty result.
+    the least doc_id that links reach. Null or empty texts link with nothing and are their own component.
+    Rows are told by a hash of id and text, so rows without an id link like others, and hand on links; they name a
+    component only if all its rows lack an id, which is null then. Repeated rows are repeated in the result. Other
+    columns are not read; an empty table gives an empty result.
     """
-    rows = written(digests(docs), "jaccard-digests")
-    members = written(candidate_members(docs.filter(F.col("doc_id").isNotNull())), "jaccard-members")
-    found = linked(docs, rows, members)
-    named = rows.join(found, "cid", "left").select("doc_id", "n", F.coalesce("comp", "cid").alias("comp"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = digests(keyed.select(F.struct("doc_id", "key").alias("doc_id"), "text")).select(F.col("doc_id.doc_id").alias("own_id"), F.col("doc_id.key").alias("doc_id"), "cid", "n", "bits", "wide")
+    rows = written(rows, "jaccard-digests")
+    members = written(candidate_members(docs), "jaccard-members")
+    found = linked(keyed.select(F.col("key").alias("doc_id"), "text"), rows, members)
+    named = rows.join(found, "cid", "left").select(F.col("own_id").alias("doc_id"), "n", F.coalesce("comp", "cid").alias("comp"))
     named = written(named, "jaccard-named")
     least = named.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "comp", "left")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ MOST_LANGUAGES = 500
 SHORT = 8
 ROUNDS = 4
 FILTER_BITS = 22
+LONG_WORD = 512
+STRETCH = 1 << 16
+RESCALED = 16
+LEAST, MOST = 1e-300, 1e280
 
 
 def word_bytes() -> np.ndarray:
@@ -137,27 +142,61 @@ class WordTable:
 def log_likelihoods(table: WordTable, probability: np.ndarray) -> np.ndarray:
     """Logarithm of each distinct word's probability per language: the sum over all segmentations.
 
-    `probability` has a row per piece and a last one of zeros, for no piece.
+    `probability` has a row per piece and a last one of zeros, for no piece. Sums are rescaled for each word and language, so a
+    language that is far less likely than another keeps its digits. Long words are walked one by one.
     """
     languages, longest = probability.shape[1], table.pieces.longest
     out = np.zeros((len(table.size), languages))
-    ring = {0: np.ones((len(table.size), languages))}
-    scale = np.zeros(len(table.size))
-    for i, active, ending in table.steps():
+    alone = int(np.searchsorted(-table.size, -LONG_WORD))
+    for at in range(alone):
+        out[at] = _walked_alone(table, at, probability)
+    rest = copy(table)
+    rest.size, rest.begin, rest.known = table.size[alone:], table.begin[alone:], None
+    ring = {0: np.ones((len(rest.size), languages))}
+    scale = np.zeros((len(rest.size), languages))
+    for i, active, ending in rest.steps():
         total = np.zeros((active, languages))
         for n, some, piece in ending:
             total[some] += ring[i - n][some] * probability[piece]
         ring[i] = total
         ring.pop(i - longest, None)
-        done = np.flatnonzero(table.size[:active] == i)
-        out[done] = np.log(total[done]) + scale[done, None]
-        if i % 16 == 0:
-            most = np.maximum(total.max(axis=1), 1e-300)
+        done = np.flatnonzero(rest.size[:active] == i)
+        out[alone + done] = np.log(np.maximum(total[done], LEAST)) + scale[done]
+        if i % RESCALED == 0:
+            most = np.maximum(total, LEAST)
             scale[:active] += np.log(most)
-            ring = {k: v[:active] / most[:, None] for k, v in ring.items()}
+            ring = {k: np.minimum(v[:active] / most, MOST) for k, v in ring.items()}
     return out
 
 
+def _walked_alone(table: WordTable, at: int, probability: np.ndarray) -> np.ndarray:
+    """`log_likelihoods` of one word: its pieces are looked up for all places at once, by stretches, and then summed place by place."""
+    begin, size, longest = int(table.begin[at]), int(table.size[at]), table.pieces.longest
+    ring, scale = np.zeros((longest + 1, probability.shape[1])), np.zeros(probability.shape[1])
+    ring[0] = 1.0
+    for first in range(1, size + 1, STRETCH):
+        ends = np.arange(first, min(first + STRETCH, size + 1))
+        found = []
+        for n in table.pieces.lengths:
+            own = ends[ends >= n]
+            own = own if n <= SHORT else own[table.long[begin + own - n]]
+            piece = table.pieces.find(table.sums, begin + own - n, n) if len(own) else own
+            some = piece >= 0
+            found.append((own[some], np.full(int(some.sum()), n), piece[some]))
+        end, length, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(end, kind="stable")
+        source, weight = ((end - length) % (longest + 1))[order], probability[piece[order]]
+        cuts = np.searchsorted(end[order], np.append(ends, ends[-1] + 1)).tolist()
+        for i, a, b in zip(ends.tolist(), cuts[:-1], cuts[1:]):
+            total = (ring[source[a:b]] * weight[a:b]).sum(axis=0)
+            ring[i % (longest + 1)] = total
+            if i % RESCALED == 0:
+                most = np.maximum(total, LEAST)
+                scale += np.log(most)
+                ring = np.minimum(ring / most, MOST)
+    return np.log(np.maximum(ring[size % (longest + 1)], LEAST)) + scale
+
+
 def expected_counts(table: WordTable, counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
     """How often one language uses each piece, over all segmentations of words that occur `counts` times.
 

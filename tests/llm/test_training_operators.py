@@ -315,6 +315,36 @@ def test_unsegmented_languages_are_told_apart(spark):
     assert len(tested) > 20 and all(r["lang_pred"] == known[r["doc_id"]] for r in tested)
 
 
+def test_two_unspaced_scripts_in_one_text(spark):
+    """A word that one language makes far less likely than another must not erase either; ends with a defined score."""
+    import random
+
+    rng = random.Random(8)
+    letters = {"zh": list("今天气很好我们学习中文北京大他的朋友这个时间"), "ja": list("はですたちひらがなカタカナのをにへと私も"), "en": [" the", " of", " and", " cat"]}
+    rows = [(i, "".join(rng.choice(letters[lang]) for _ in range(80)), lang) for i in range(120) for lang in [("zh", "ja", "en")[i % 3]]]
+    mixed = "".join(rng.choice(letters["zh"]) for _ in range(200)) + " " + "".join(rng.choice(letters["ja"]) for _ in range(200))
+    long = "".join(rng.choice(letters["ja"]) for _ in range(60_000))
+    docs = spark.createDataFrame([*rows, (1000, mixed, None), (1001, long, None)], "doc_id long, text string, lang string")
+    found = by_id(language.identify(docs))
+    assert found[1000]["lang_pred"] in ("zh", "ja") and found[1001]["lang_pred"] == "ja"
+    assert all(0 <= r["score"] <= 1 for r in found.values())
+
+
+def test_long_words_equal_the_batch(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from gridtide.llm.words import byte_values, words
+
+    listed = [b"a", b"ab", b"abababababab", b"b"]
+    probability = np.array([[.1, .7], [.2, 1e-6], [.3, .2], [.4, 1e-5], [0, 0]])
+    table = language.WordTable(words(pa.array(["ab" * 40, "a" * 300, "abb", "ba" * 9]), language.word_bytes(), byte_values()), language.Pieces(listed))
+    whole = language.log_likelihoods(table, probability)
+    monkeypatch.setattr(language, "LONG_WORD", 5)
+    monkeypatch.setattr(language, "STRETCH", 7)
+    assert np.isfinite(whole).all() and np.allclose(whole, language.log_likelihoods(table, probability), rtol=1e-12)
+
+
 def test_expected_counts_of_long_words():
     import numpy as np
     import pyarrow as pa
@@ -429,6 +459,19 @@ def test_jaccard_odd_rows(odd, empty):
     assert jaccard.join_components(odd).count() == odd.count() and jaccard.join_components(empty).collect() == []
 
 
+def test_jaccard_links_rows_without_id(spark):
+    """A near copy without an id, a chain through one, and a component of such rows alone."""
+    base = [f"w{i}" for i in range(60)]
+    docs = [(1, base), (None, base[:-2] + ["x", "y"]), (7, base[:-5] + ["x", "y", "z", "u", "v"]), (3, ["other"] * 4), (None, [f"q{i}" for i in range(40)]), (None, [f"q{i}" for i in range(41)])]
+    docs = [(i, " ".join(t)) for i, t in docs]
+    numbered = {n: t for n, (_, t) in enumerate(docs)}
+    expected = brute.components(list(numbered.items()))
+    assert expected[2][1] == 0 and expected[5][1] == 4
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    least = {0: 1, 3: 3, 4: None}
+    assert found == {(docs[n][0], expected[n][0], least[expected[n][1]]) for n in numbered}
+
+
 def test_sketch_bound_loses_no_link():
     import random
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from gridtide.catalog.feature_queries import CALENDAR_V2, CLEAN_SQL, V2_DOUBLES,
 from gridtide.catalog.inputs import (MARKET_SQL, NAIVE_SQL, PRICED_SQL, SCORES_SQL, event_order, market, naive_forecast, priced, rounded,
                                      scores)
 from gridtide.functions import scalars as U
-from gridtide.models.arx import Arx, arx_forecast, arx_order_select, refit_range_join, rolling_arx_forecast, stationarity_test
+from gridtide.models.arx import (Arx, arima_order_select, arx_forecast, arx_order_select, refit_range_join, rolling_arx_forecast, seasonal_critical,
+                                 stationarity_test)
 from gridtide.models.contract import prepared
 from gridtide.models.kernel import rbf_regression
 from gridtide.models.registry import best_by_metric, default_registry, horizon_sweep, run_models, seq_len_sweep, union_results
@@ -150,6 +153,17 @@ def _rolling(spark, sf):
     return rounded(out.filter("y_pred IS NOT NULL").select("series_id", "idx", "price_move", "y_pred"), 5)
 
 
+def _moving(spark, sf):
+    out = arx_forecast(_moves(spark, sf), Arx(2, 1, 7, 0, EXOG, q=1, Q=1))
+    return rounded(out.select("series_id", "idx", "split", "price_move", "y_pred"), 5)
+
+
+def _rolling_difference(spark, sf):
+    """One lag of the steps between steps, from the last 730 rows before a refit."""
+    out = rolling_arx_forecast(_moves(spark, sf), Arx(1, 0, 7, 2), max_history=730)
+    return rounded(out.filter("y_pred IS NOT NULL").select("series_id", "idx", "y_pred"), 5)
+
+
 def _single_lag(spark, sf):
     """With one lag and nothing else the rolling fit has a closed form."""
     out = rolling_arx_forecast(_moves(spark, sf), Arx(1, 0, 7, 0))
@@ -174,11 +188,11 @@ def _events_arx(spark, sf):
     return rounded(out.filter("y_pred IS NOT NULL").select("event_type", "idx", "y_pred"), 4)
 
 
-def _refits(spark, sf):
+def _refits(spark, sf, history=1000):
     rows = priced(spark, sf)
     return rounded(refit_range_join(
         rows, {"n": F.count(F.lit(1)), "first": F.min("trade_date"), "last": F.max("trade_date"), "total": F.sum("price")},
-        {"n": F.sum("n"), "first": F.min("first"), "last": F.max("last"), "total": F.sum("total")}), 4)
+        {"n": F.sum("n"), "first": F.min("first"), "last": F.max("last"), "total": F.sum("total")}, max_history=history), 4)
 
 
 def _registry(spark, sf):
@@ -224,6 +238,10 @@ QUERIES = {
     "experiment_id": lambda s, d: market(s, d).select(
         *KEY, U.experiment_id(F.col("trade_date").cast("timestamp") + F.expr("INTERVAL '3:04:05' HOUR TO SECOND")).alias("experiment_id")),
     "refit_range_join": _refits,
+    "refit_range_join_730": lambda s, d: _refits(s, d, 730),
+    "arx_forecast_moving": _moving,
+    "rolling_arx_twice_differenced": _rolling_difference,
+    "arima_order_select": lambda s, d: rounded(arima_order_select(_moves(s, d)).drop("coef"), 4),
     "rolling_arx_single_lag": _single_lag,
     "events_rolling_arx": _events_arx,
     "arx_forecast_single_lag": _recursive_lag,
@@ -389,7 +407,76 @@ SELECT series_id, p, seasonal_p, 0 AS d, n, round(sse, 4) AS sse, round(aic, 4)
 QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, size) = 1"""
 
 
+def shocks_sql(source: str, keys: str, y: str, long: int, exog: tuple = ()) -> str:
+    """`second`: the rows of `source` with `e`, what an autoregression with `long` lags misses, and its lags e1 .. e14."""
+    xs = ["1.0", *(f"a{k}" for k in range(1, long + 1)), *exog]
+    window = f"(PARTITION BY {keys} ORDER BY idx)"
+    return f"""wide AS (SELECT *, {", ".join(f"lag({y}, {k}) OVER z AS a{k}" for k in range(1, long + 1))} FROM {source} WINDOW z AS {window}),
+first_sums AS (SELECT {keys}, {matrix_sql(xs, y)} AS m FROM wide WHERE a{long} IS NOT NULL GROUP BY {keys}),
+{solved_sql('first_fit', 'first_sums', keys)},
+missed AS (SELECT w.*, CASE WHEN a{long} IS NOT NULL THEN {y} - ({" + ".join(f"c[{i + 1}] * {x}" for i, x in enumerate(xs))}) END AS e FROM wide w JOIN first_fit USING ({keys})),
+second AS (SELECT *, {", ".join(f"lag(e, {k}) OVER z AS e{k}" for k in (1, 2, 3, 4, 5, 7, 14))} FROM missed WINDOW z AS {window})"""
+
+
+MOVING_XS = ["1.0", "l1", "l2", "l7", *EXOG, "e1", "e7"]
+
+MOVING_AVERAGE_SQL = f"""WITH RECURSIVE {MOVING_SQL},
+past AS (SELECT 'val' AS target, * FROM split WHERE split = 'train' UNION ALL SELECT 'test', * FROM split WHERE split <> 'test'),
+{shocks_sql('past', 'series_id, target', 'm0', 14, EXOG)},
+sums AS (SELECT series_id, target, max(idx) AS last, {matrix_sql(MOVING_XS, 'm0')} AS m FROM second WHERE e7 IS NOT NULL GROUP BY series_id, target),
+{solved_sql('fit', 'sums', 'series_id, target, last')},
+begun AS (SELECT f.series_id, f.target, f.last, f.c, list(s.m0 ORDER BY s.idx DESC) AS past, list(s.e ORDER BY s.idx DESC) AS shocks
+       FROM fit f JOIN second s ON s.series_id = f.series_id AND s.target = f.target AND s.idx BETWEEN f.last - 6 AND f.last GROUP BY ALL),
+walk AS (SELECT series_id, target, last AS idx, c, past, shocks FROM begun
+       UNION ALL SELECT w.series_id, w.target, w.idx + 1, w.c, list_prepend(w.c[1] + w.c[2] * w.past[1] + w.c[3] * w.past[2] + w.c[4] * w.past[7]
+              + w.c[5] * s.gas_price + w.c[6] * s.temperature + w.c[7] * s.pjm_load + w.c[8] * w.shocks[1] + w.c[9] * w.shocks[7], w.past[1:6]), list_prepend(0.0::DOUBLE, w.shocks[1:6])
+       FROM walk w JOIN split s ON s.series_id = w.series_id AND s.idx = w.idx + 1 AND s.split = w.target)
+SELECT s.series_id, s.idx, s.split, round(s.price_move, 5) AS price_move, round(w.past[1], 5) AS y_pred
+FROM walk w JOIN split s ON s.series_id = w.series_id AND s.idx = w.idx AND s.split = w.target"""
+
+
+def arima_sql() -> str:
+    """Every order solved by itself from the sums of the largest, for series whose tests leave no unit root."""
+    lags = {f"l{k}": f"a{k}" for k in (1, 2, 3, 4, 5, 7, 14)} | {f"e{k}": f"e{k}" for k in (1, 2, 3, 4, 5, 7, 14)}
+    xs, places, choices = ["1.0", *lags.values()], {n: i + 2 for i, n in enumerate(lags)}, {}
+    for big, large, p, q in product(range(3), range(3), range(6), range(6)):
+        own = {1, *(places[f"l{k}"] for k in {*range(1, p + 1), *(7 * i for i in range(1, big + 1))}),
+               *(places[f"e{k}"] for k in {*range(1, q + 1), *(7 * i for i in range(1, large + 1))})}
+        choices.setdefault(tuple(sorted(own)), (p, big, q, large))
+    listed = ", ".join(f"({p}, {big}, {q}, {large}, {list(at)})" for at, (p, big, q, large) in choices.items())
+    return f"""WITH RECURSIVE {MOVES_SQL}, {shocks_sql('moves', 'series_id', 'm', 21)},
+whole AS (SELECT series_id, CAST(count(*) AS DOUBLE) AS n, sum(m * m) AS yy, {matrix_sql(xs, 'm')} AS w FROM second WHERE e14 IS NOT NULL GROUP BY series_id),
+choices(p, seasonal_p, q, seasonal_q, held) AS (VALUES {listed}),
+sums AS (SELECT series_id, p, seasonal_p, q, seasonal_q, n, yy, len(held) AS size, list_transform(held, lambda i: list_append(list_transform(held, lambda j: w[i][j]), w[i][len(w[i])])) AS m
+       FROM whole, choices),
+{solved_sql('fit', 'sums', 'series_id, p, seasonal_p, q, seasonal_q')},
+scored AS (SELECT s.*, yy - list_sum(list_transform(range(1, size + 1), lambda i: c[i] * m[i][len(m[i])])) AS sse FROM sums s JOIN fit f USING (series_id, p, seasonal_p, q, seasonal_q)),
+ranked AS (SELECT *, n * ln(sse / n) + 2 * size AS aic, n * ln(sse / n) + size * ln(n) AS bic FROM scored
+       QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY aic, size) = 1),
+season AS (SELECT series_id, m - lag(m, 7) OVER z AS step, lag(m, 7) OVER z AS before FROM moves WINDOW z AS (PARTITION BY series_id ORDER BY idx)),
+line AS (SELECT series_id, regr_count(step, before) AS n, regr_slope(step, before) AS b, regr_sxx(step, before) AS sxx, regr_syy(step, before) AS syy,
+       regr_sxy(step, before) AS sxy FROM season GROUP BY series_id),
+level AS (SELECT series_id FROM line WHERE b / sqrt((syy - b * sxy) / (n - 2) / sxx) < {seasonal_critical(7)}),
+still AS (SELECT series_id FROM ({unit_root_sql()}) WHERE is_stationary)
+SELECT series_id, p, seasonal_p, q, seasonal_q, 0 AS d, 0 AS seasonal_d, n, round(sse, 4) AS sse, round(aic, 4) AS aic, round(bic, 4) AS bic
+FROM ranked SEMI JOIN level USING (series_id) SEMI JOIN still USING (series_id)"""
+
+
 ORACLES = {
+    "arx_forecast_moving": MOVING_AVERAGE_SQL,
+    "arima_order_select": arima_sql(),
+    "refit_range_join_730": f"""WITH {PRICED_SQL}, p AS (SELECT *, row_number() OVER o - 1 AS idx FROM priced {O}),
+cuts AS (SELECT DISTINCT series_id, idx // 50 * 50 AS cut FROM p)
+SELECT c.series_id, c.cut, count(*) AS n, min(trade_date) AS first, max(trade_date) AS last, round(sum(price), 4) AS total
+FROM cuts c JOIN p ON p.series_id = c.series_id AND p.idx < c.cut AND p.idx >= c.cut - 730 GROUP BY c.series_id, c.cut""",
+    "rolling_arx_twice_differenced": f"""WITH {MOVES_SQL},
+steps AS (SELECT *, m - 2 * lag(m, 1) OVER z + lag(m, 2) OVER z AS y FROM moves WINDOW z AS (PARTITION BY series_id ORDER BY idx)),
+p AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY idx) AS l FROM steps),
+cuts AS (SELECT DISTINCT series_id, idx // 50 * 50 AS cut FROM p),
+fits AS (SELECT c.series_id, c.cut, regr_slope(p.y, p.l) AS b, regr_intercept(p.y, p.l) AS a
+       FROM cuts c JOIN p ON p.series_id = c.series_id AND p.idx < c.cut AND p.idx >= c.cut - 730 AND p.l IS NOT NULL GROUP BY ALL)
+SELECT p.series_id, p.idx, round(f.a + f.b * p.l + p.m - p.y, 5) AS y_pred FROM p JOIN fits f ON f.series_id = p.series_id AND f.cut = p.idx // 50 * 50
+WHERE p.l IS NOT NULL""",
     "scan_market_csv": f"WITH {MARKET_SQL} SELECT * FROM market",
     "parse_dates": f"""WITH {MARKET_SQL} SELECT series_id, trade_date,
        CASE WHEN day(trade_date) <> 31 THEN trade_date END AS delivery_start, trade_date + 1 AS delivery_end FROM market""",

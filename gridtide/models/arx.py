@@ -1,9 +1,16 @@
-"""Autoregressive forecasts with outside regressors, fitted for every series at once."""
+"""Autoregressive moving-average forecasts with outside regressors, fitted for every series at once.
+
+Moving-average terms are fitted in two stages (Hannan and Rissanen): the residuals of a long autoregression
+stand for the shocks, and their lags are regressors of the second. Both stages are solved from summed cross
+products.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import cache, reduce
+from itertools import product
 from math import erf, sqrt
 
 import numpy as np
@@ -11,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from gridtide.models.leastsquares import complete, cross_sums, fit_summed, normal_equations, predict
+from gridtide.models.leastsquares import NESTED_TYPE, complete, cross_sums, fit_summed, nested_fit, normal_equations, predict, shifted_products
 from gridtide.plans.attach import attach, join_on
 from gridtide.plans.timeline import BLOCK_ROWS, DAILY, SeriesFrame, SeriesOrder, windowed
 from gridtide.session import cut
@@ -28,7 +35,7 @@ P_HIGH = (1.7339, 0.93202, -0.12745, -0.010368)
 
 @dataclass(frozen=True)
 class Arx:
-    """p lags, P seasonal lags of period s, d differences, outside regressors of the same row."""
+    """p lags, P seasonal lags of period s, d differences, outside regressors of the same row; q and Q lagged shocks alike, D seasonal differences."""
 
     p: int = 2
     P: int = 1
@@ -36,33 +43,57 @@ class Arx:
     d: int = 0
     exog: tuple[str, ...] = ()
     y: str = "price_move"
+    q: int = 0
+    Q: int = 0
+    D: int = 0
 
     def lags(self) -> list[int]:
         seasonal = [self.s * i for i in range(1, self.P + 1)]
         return sorted({*range(1, self.p + 1), *seasonal})
 
+    def shock_lags(self) -> list[int]:
+        return sorted({*range(1, self.q + 1), *(self.s * i for i in range(1, self.Q + 1))})
+
     def reach(self) -> int:
-        return max(self.lags(), default=0) + self.d
+        return max(self.lags(), default=0) + self.d + self.s * self.D
+
+    def first_stage(self) -> Arx:
+        """The autoregression whose residuals stand for the shocks: one season longer than any lag."""
+        longest = max([*self.lags(), *self.shock_lags()], default=0) + self.s
+        return replace(self, p=longest, P=0, q=0, Q=0)
 
     def regressors(self) -> list[str]:
-        return ["1D", *(f"_lag{k}" for k in self.lags()), *(f"CAST(`{c}` AS DOUBLE)" for c in self.exog)]
+        return ["1D", *(f"_lag{k}" for k in self.lags()), *(f"CAST(`{c}` AS DOUBLE)" for c in self.exog), *(f"_shock{k}" for k in self.shock_lags())]
 
     def names(self) -> list[str]:
-        return ["const", *(f"lag{k}" for k in self.lags()), *self.exog]
+        return ["const", *(f"lag{k}" for k in self.lags()), *self.exog, *(f"shock{k}" for k in self.shock_lags())]
 
 
 def with_lags(df: DataFrame, model: Arx, order: SeriesOrder = DAILY) -> DataFrame:
-    """Add the position `idx`, the differenced value `_y` and its lags."""
+    """Add the position `idx`, the differenced value `_y` and its lags, with shocks also those of the first stage."""
+    widest = model.first_stage() if model.shock_lags() else model
     steps = [lambda w: {"_y": F.col(model.y)}]
     steps += [lambda w: {"_y": F.col("_y") - F.lag("_y").over(w)}] * model.d
-    steps.append(lambda w: {f"_lag{k}": F.lag("_y", k).over(w) for k in model.lags()})
-    frame = SeriesFrame.open(df, order, lookback=model.reach())
+    steps += [lambda w: {"_y": F.col("_y") - F.lag("_y", model.s).over(w)}] * model.D
+    steps.append(lambda w: {f"_lag{k}": F.lag("_y", k).over(w) for k in widest.lags()})
+    frame = SeriesFrame.open(df, order, lookback=widest.reach())
     frame = frame if "idx" in df.columns else frame.index("idx")
     for step in steps:
         frame = frame.with_columns(step)
     return frame.close()
 
 
+def with_shocks(lagged: DataFrame, model: Arx, order: SeriesOrder = DAILY) -> DataFrame:
+    """Add `_shock`, the residual of the first stage fitted to these rows, and its lags; rows that the lags don't reach have none."""
+    if not model.shock_lags():
+        return lagged
+    long, keys = model.first_stage(), list(order.keys)
+    known = attach(lagged, arx_fit(lagged, long, keys).select(*keys, F.col("coef").alias("_long")), keys)
+    told = order.cut(known.withColumn("_shock", F.col("_y") - predict("_long", long.regressors())).drop("_long"))
+    lags = model.shock_lags()
+    return windowed(told, lambda w: {f"_shock{k}": F.lag("_shock", k).over(w) for k in lags}, order=order, lookback=lags[-1])
+
+
 def arx_fit(lagged: DataFrame, model: Arx, by: Sequence[str] = ("series_id",)) -> DataFrame:
     """One row per series: coefficients in the order of `model.names()`, SSE, AIC, BIC."""
     xs = model.regressors()
@@ -94,18 +125,118 @@ def arx_order_select(df: DataFrame, *, max_p: int = 5, max_P: int = 2, s: int =
                        "n", "sse", "aic", "bic", "coef")
 
 
+def _choices(widest: Arx) -> dict[tuple[int, ...], tuple[int, int, int, int]]:
+    """The regressors of `widest` that each order (p, P, q, Q) has; of orders with the same ones, that with the fewest seasonal terms."""
+    names = widest.names()
+    out: dict[tuple[int, ...], tuple[int, int, int, int]] = {}
+    for P, Q, p, q in product(range(widest.P + 1), range(widest.Q + 1), range(widest.p + 1), range(widest.q + 1)):
+        own = replace(widest, p=p, P=P, q=q, Q=Q)
+        out.setdefault(tuple(sorted(names.index(n) for n in own.names())), (p, P, q, Q))
+    return out
+
+
+@cache
+def seasonal_critical(s: int, level: float = 0.05, years: int = 100, draws: int = 4000) -> float:
+    """The value that the statistic of `seasonal_unit_root` falls below with probability `level` if there is a seasonal unit root.
+
+    Taken from simulated seasonal random walks, always the same ones.
+    """
+    rng, found = np.random.default_rng(7), []
+    for _ in range(0, draws, 500):
+        walk = np.cumsum(rng.standard_normal((500, years, s)), axis=1)
+        before, step = walk[:, :-1].reshape(500, -1), np.diff(walk, axis=1).reshape(500, -1)
+        b, d = before - before.mean(axis=1, keepdims=True), step - step.mean(axis=1, keepdims=True)
+        sxx, sxy, syy = (b * b).sum(axis=1), (b * d).sum(axis=1), (d * d).sum(axis=1)
+        slope = sxy / sxx
+        found.append(slope / np.sqrt((syy - slope * sxy) / (b.shape[1] - 2) / sxx))
+    return round(float(np.quantile(np.concatenate(found), level)), 2)
+
+
+def seasonal_unit_root(df: DataFrame, y: str, s: int, order: SeriesOrder = DAILY) -> DataFrame:
+    """Per series whether `y` keeps its seasonal level forever: the t value of the regression of the seasonal step on the value a season before."""
+    keys = list(order.keys)
+    rows = windowed(df, lambda w: {"_before": F.lag(y, s).over(w)}, order=order, lookback=s).withColumn("_step", F.col(y) - F.col("_before"))
+    fits = fit_summed(normal_equations(rows, ["1D", "_before"], "_step", keys), 2, keys, first=1)
+    return fits.select(*keys, F.col("t_first").alias("statistic"), F.coalesce(F.col("t_first") >= seasonal_critical(s), F.lit(False)).alias("seasonal"))
+
+
+def detect_differences(df: DataFrame, y: str = "price_move", *, s: int = 7, max_d: int = 2, order: SeriesOrder = DAILY) -> DataFrame:
+    """d and seasonal_d of every series: differences until the unit-root test rejects, and a seasonal one if a seasonal unit root is left.
+
+    A seasonal walk also has a plain unit root, so the seasonal test looks at the steps of a series that has one; the plain
+    differences of a series with a seasonal one are counted after that.
+    """
+    keys = list(order.keys)
+    df = order.cut(df.select(*order.columns(), y))
+
+    def differenced(series: DataFrame, d: int, D: int) -> DataFrame:
+        rows = join_on(df, series.select(*keys).withColumn("_wanted", F.lit(True)), keys).drop("_wanted")
+        return order.cut(with_lags(rows, Arx(0, 0, s, d, (), y, D=D), order).select(*order.columns(), "_y").filter("_y IS NOT NULL"))
+
+    def walks(series: DataFrame, d: int, D: int) -> DataFrame:
+        tested = stationarity_test(differenced(series, d, D), "_y", order=order)
+        return cut(tested.select(*keys, (~F.coalesce("is_stationary", F.lit(True))).alias("walks")))
+
+    every = df.select(*keys).distinct()
+    plain = walks(every, 0, 0)
+    left, out = [], []
+    for flag in (False, True):
+        some = plain.filter(F.col("walks") == flag).select(*keys)
+        if not some.isEmpty():
+            left.append(seasonal_unit_root(differenced(some, int(flag), 0), "_y", s, order).withColumn("walks", F.lit(flag)))
+    if not left:
+        return every.select(*keys, F.lit(0).alias("d"), F.lit(0).alias("seasonal_d"))
+    seasons = cut(reduce(DataFrame.unionByName, left))
+    for D in (0, 1):
+        open_ = seasons.filter(F.col("seasonal") == bool(D)).select(*keys, "walks")
+        for d in range(max_d + 1):
+            if open_.isEmpty():
+                break
+            if d or D:
+                open_ = walks(open_, d, D) if d < max_d else open_.withColumn("walks", F.lit(False))
+            out.append(open_.filter(~F.col("walks")).select(*keys, F.lit(d).alias("d"), F.lit(D).alias("seasonal_d")))
+            open_ = open_.filter("walks").select(*keys, "walks")
+    return cut(reduce(DataFrame.unionByName, out))
+
+
+def arima_order_select(df: DataFrame, *, max_p: int = 5, max_q: int = 5, max_P: int = 2, max_Q: int = 2, s: int = 7, max_d: int = 2,
+                       differences: DataFrame | None = None, exog: Sequence[str] = (), y: str = "price_move", order: SeriesOrder = DAILY) -> DataFrame:
+    """The orders (p, d, q) and (P, D, Q) of every series: differences by tests, or as `differences` (keys, d, seasonal_d) says, the others by the lowest AIC.
+
+    All orders with the same differences are solved from the sums of the largest one, so they share one pass and one sample;
+    no order is left out. Equal fits go to the one with fewer terms.
+    """
+    keys = list(order.keys)
+    told = detect_differences(df, y, s=s, max_d=max_d, order=order) if differences is None else differences
+    pairs = sorted(tuple(r) for r in told.select("d", "seasonal_d").distinct().collect())  # no more than (max_d + 1) * 2
+    out = []
+    for d, D in pairs:
+        widest = Arx(max_p, max_P, s, d, tuple(exog), y, max_q, max_Q, D)
+        own = told.filter((F.col("d") == d) & (F.col("seasonal_d") == D)).select(*keys, F.lit(True).alias("_wanted"))
+        rows = order.cut(with_lags(join_on(df, own, keys).drop("_wanted"), widest, order))
+        xs, choices = widest.regressors(), _choices(widest)
+        fits = fit_summed(normal_equations(with_shocks(rows, widest, order), xs, "_y", keys), len(xs), keys, sorted(choices, key=len))
+        named = F.create_map(*(F.lit(v) for at, orders in choices.items() for v in (",".join(map(str, at)), ",".join(map(str, orders)))))
+        chosen = F.split(named[F.array_join("used", ",")], ",")
+        out.append(fits.select(*keys, *(chosen[i].cast("int").alias(n) for i, n in enumerate(("p", "seasonal_p", "q", "seasonal_q"))),
+                               F.lit(d).alias("d"), F.lit(D).alias("seasonal_d"), "n", "sse", "aic", "bic", "coef"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def _effective(model: Arx) -> int:
     return max(model.reach(), 1)
 
 
 def _lag_polynomial(model: Arx, coef: np.ndarray) -> np.ndarray:
     """Weights of the last values, latest first, once the differences are undone."""
-    ar = np.zeros(_effective(model) + 1 - model.d)
+    ar = np.zeros(_effective(model) + 1 - model.d - model.s * model.D)
     ar[0] = 1.0
     for i, k in enumerate(model.lags()):
         ar[k] -= coef[1 + i]
     for _ in range(model.d):
         ar = np.convolve(ar, [1.0, -1.0])
+    for _ in range(model.D):
+        ar = np.convolve(ar, [1.0, *[0.0] * (model.s - 1), -1.0])
     weights = np.zeros(_effective(model))
     weights[: len(ar) - 1] = -ar[1:]
     return weights
@@ -134,18 +265,24 @@ def multi_step(rows: DataFrame, history: DataFrame, fits: DataFrame, model: Arx,
 
     A long horizon is cut into stretches. The recursion is linear, so each stretch first runs from an
     empty state; its end state and the power of its step matrix say how it moves any start state.
-    Start states follow from one short row per stretch, and the stretches then run on their own.
+    Start states follow from one short row per stretch, and the stretches then run on their own. Shocks to come are 0, so the
+    last known ones move only as many rows as they reach.
     """
-    keys, m = list(order.keys), _effective(model)
+    keys, m, lags = list(order.keys), _effective(model), model.shock_lags()
     ends = history.groupBy(*keys).agg(F.max("idx").alias("_end"))
-    recent = attach(history.select(*keys, "idx", model.y), ends, keys).filter(F.col("idx") > F.col("_end") - m)
-    pairs = F.sort_array(F.collect_list(F.struct((-F.col("idx")).alias("at"), F.col(model.y).alias("v"))))
+    shock = F.col("_shock") if lags else F.lit(None).cast("double")
+    recent = attach(history.select(*keys, "idx", model.y, shock.alias("_shock")), ends, keys).filter(F.col("idx") > F.col("_end") - max([m, *lags]))
+    pairs = F.sort_array(F.collect_list(F.struct((-F.col("idx")).alias("at"), F.col(model.y).alias("v"), F.col("_shock").alias("e"))))
     # At most one value per lag is collected.
-    start = recent.groupBy(*keys).agg(F.transform(pairs, lambda e: e["v"]).alias("_state"), F.max("_end").alias("_end"))
+    start = recent.groupBy(*keys).agg(F.slice(F.transform(pairs, lambda e: e["v"]), 1, m).alias("_state"), F.max("_end").alias("_end"),
+                                      F.transform(pairs, lambda e: e["e"]).alias("_shocks"))
     known = join_on(fits.select(*keys, "coef"), start, keys)
     drive = F.col("coef")[0]
     for i, c in enumerate(model.exog):
         drive = drive + F.col("coef")[1 + len(model.lags()) + i] * F.col(c).cast("double")
+    for i, k in enumerate(lags):
+        past = F.coalesce(F.expr(f"get(_shocks, CAST({k} - (idx - _end) AS INT))"), F.lit(0.0))
+        drive = drive + F.col("coef")[1 + len(model.lags()) + len(model.exog) + i] * F.when(F.col("idx") - F.col("_end") <= k, past).otherwise(0.0)
     steps = attach(rows.select(*keys, "idx", *model.exog), known, keys, how="inner")
     steps = steps.select(*keys, "idx", drive.alias("drive"), "coef", "_state",
                          F.floor((F.col("idx") - F.col("_end") - 1) / F.lit(stretch)).alias("stretch"))
@@ -201,20 +338,27 @@ def arx_forecast(df: DataFrame, model: Arx = Arx(), *, split: str = "split", str
     rows = order.cut(with_lags(df, model, order))
     keys, tables = list(order.keys), []
     for target, seen in (("val", ("train",)), ("test", ("train", "val"))):
-        past = rows.filter(F.col(split).isin(*seen))
+        past = with_shocks(rows.filter(F.col(split).isin(*seen)), model, order)
         fits = arx_fit(past, model, keys)
         tables.append(multi_step(rows.filter(F.col(split) == target), past, fits, model, order, stretch))
     forecasts = tables[0].unionByName(tables[1])
-    known = rows.filter(F.col(split).isin("val", "test")).drop("_y", *(f"_lag{k}" for k in model.lags()))
+    known = rows.filter(F.col(split).isin("val", "test"))
+    known = known.drop("_y", *(c for c in known.columns if c.startswith("_lag")))
     return join_on(known, forecasts, [*keys, "idx"])
 
 
 # ---- rolling refits ------------------------------------------------------------------------------
 
-def _chunked(df: DataFrame, refit_every: int, max_history: int) -> Column:
-    if max_history % refit_every:
-        raise ValueError(f"max_history ({max_history}) has to be a multiple of refit_every ({refit_every})")
-    return F.floor(F.col("idx") / F.lit(refit_every))
+def _stretch_of(refit_every: int, max_history: int) -> tuple[Column, int, int]:
+    """The stretch of a row, how many stretches a window spans, and how many lie between refit points.
+
+    Where a window begins inside the rows between two refit points, those are two stretches, cut where it begins.
+    """
+    whole, rest = divmod(max_history, refit_every)
+    at = F.floor(F.col("idx") / F.lit(refit_every))
+    if not rest:
+        return at, whole, 1
+    return at * 2 + (F.pmod(F.col("idx"), F.lit(refit_every)) >= refit_every - rest).cast("long"), 2 * whole + 1, 2
 
 
 def refit_range_join(df: DataFrame, stats: dict[str, Column], combine: dict[str, Column], *, refit_every: int = 50,
@@ -225,17 +369,16 @@ def refit_range_join(df: DataFrame, stats: dict[str, Column], combine: dict[str,
     combines those in range of a refit point (`combine`, aggregates over the summed columns).
     """
     rows = df if "idx" in df.columns else SeriesFrame.open(df, order).index("idx").close()
-    chunk = _chunked(rows, refit_every, max_history)
+    chunk, span, between = _stretch_of(refit_every, max_history)
     sums = rows.groupBy(*order.keys, chunk.alias("_chunk")).agg(*(c.alias(n) for n, c in stats.items()))
-    span = max_history // refit_every
     sums, stretches = _stretches(sums, rows, order)
 
     def before(w: WindowSpec) -> dict[str, Column]:
         reach = w.rowsBetween(-span, -1)
         return {"_any": F.count(F.lit(1)).over(reach), **{n: c.over(reach) for n, c in combine.items()}}
 
-    found = windowed(stretches.cut(sums), before, order=stretches, lookback=span).filter(F.col("_any") > 0)
-    return found.select(*order.keys, (F.col("_chunk") * refit_every).alias("cut"), *combine)
+    found = windowed(stretches.cut(sums), before, order=stretches, lookback=span).filter((F.col("_any") > 0) & (F.col("_chunk") % between == 0))
+    return found.select(*order.keys, (F.floor(F.col("_chunk") / between) * refit_every).alias("cut"), *combine)
 
 
 def _stretches(sums: DataFrame, rows: DataFrame, order: SeriesOrder) -> tuple[DataFrame, SeriesOrder]:
@@ -250,30 +393,34 @@ def rolling_arx_forecast(df: DataFrame, model: Arx = Arx(), *, refit_every: int
                          order: SeriesOrder = DAILY) -> DataFrame:
     """One-step forecasts with actual lags, refitted every `refit_every` rows on the rows before.
 
-    Adds `y_pred`; rows before the first possible fit have none.
+    Adds `y_pred`; rows before the first possible fit have none. With shocks the first stage is a rolling forecast of its own:
+    a row's shock is what that one missed, so no row sees a fit of later rows.
     """
+    if model.shock_lags():
+        first = rolling_arx_forecast(df, model.first_stage(), refit_every=refit_every, max_history=max_history, order=order)
+        missed = order.cut(first.withColumn("_shock", F.col(model.y) - F.col("y_pred")).drop("y_pred"))
+        names = [f"_shock{k}" for k in model.shock_lags()]
+        told = windowed(missed, lambda w: {n: F.lag("_shock", k).over(w) for n, k in zip(names, model.shock_lags())}, order=order, lookback=model.shock_lags()[-1])
+        second = replace(model, q=0, Q=0, exog=(*model.exog, *names))
+        return rolling_arx_forecast(told, second, refit_every=refit_every, max_history=max_history, order=order).drop("_shock", *names)
     rows = order.cut(with_lags(df, model, order))
     xs, y = model.regressors(), "_y"
     products = cross_sums(xs, y)
-    chunk = _chunked(rows, refit_every, max_history)
+    chunk, span, between = _stretch_of(refit_every, max_history)
     marked = rows.withColumn("_chunk", chunk)
     # Every stretch keeps a row, also one without complete values.
     sums = marked.groupBy(*order.keys, "_chunk").agg(
         *(F.expr(f"coalesce(sum(CASE WHEN {complete(xs, y)} THEN {c} END), 0D)").alias(n) for n, c in products.items()))
-    span = max_history // refit_every
     sums, stretches = _stretches(sums, df, order)
     before = windowed(stretches.cut(sums), lambda w: {n: F.expr(f"sum({n})").over(w.rowsBetween(-span, -1)) for n in products},
                       order=stretches, lookback=span)
-    fits = fit_summed(before.filter(F.col("n") > len(xs)), len(xs), [*order.keys, "_chunk"])
-    joined = join_on(marked, fits.select(*order.keys, "_chunk", "coef"), [*order.keys, "_chunk"], "left")
-    step = predict("coef", xs)
-    undone = {0: F.lit(0.0), 1: F.col("_last")}
-    if model.d:
-        if model.d > 1:
-            raise ValueError("rolling forecasts take at most one difference")
-        joined = joined.withColumn("_last", F.col(model.y) - F.col("_y"))
-    out = joined.withColumn("y_pred", step + undone[model.d])
-    return out.drop("_chunk", "coef", "_y", "_last", *(f"_lag{k}" for k in model.lags()))
+    fits = fit_summed(before.filter((F.col("n") > len(xs)) & (F.col("_chunk") % between == 0)), len(xs), [*order.keys, "_chunk"])
+    refit = F.floor(F.col("_chunk") / between) * between
+    joined = join_on(marked.withColumn("_chunk", refit), fits.select(*order.keys, "_chunk", "coef"), [*order.keys, "_chunk"], "left")
+    # What differencing takes from a value are earlier values, which are known.
+    undone = F.col(model.y) - F.col("_y") if model.d or model.D else F.lit(0.0)
+    out = joined.withColumn("y_pred", predict("coef", xs) + undone)
+    return out.drop("_chunk", "coef", "_y", *(f"_lag{k}" for k in model.lags()))
 
 
 # ---- stationarity --------------------------------------------------------------------------------
@@ -307,6 +454,63 @@ def dickey_fuller_p(statistic: Column) -> Column:
     return each(statistic)
 
 
+def _unit_root_fits(frame: DataFrame, lags: DataFrame, widest: int, only: bool, order: SeriesOrder) -> DataFrame:
+    """keys, lags, n, t_before: the fit with the lowest AIC of up to `_lags` lagged steps for each series, or of all of them.
+
+    The sums are linear in the lags: products of two lagged steps depend on the difference of their lags, but for the rows at
+    either end of a run of complete rows, and those ends are a few rows per run.
+    """
+    keys = list(order.keys)
+    steps = [f"_step{k}" for k in range(1, widest + 1)]
+    # A lag beyond a series' own is 0 everywhere, so it takes no row away.
+    own = {c: F.when(F.col("_lags") >= k, F.col(c)).otherwise(F.lit(0.0)) for k, c in enumerate(steps, 1)}
+    rows = attach(frame, lags, keys, how="inner").withColumns(own)
+    rows = rows.withColumn("_whole", F.expr(complete([*steps, "_before"], "_step")))
+    whole = rows.filter("_whole")
+    lagged = ["_step", *steps]
+    sums = whole.groupBy(*keys).agg(
+        F.first("_lags").alias("_lags"), F.count(F.lit(1)).cast("double").alias("n"), F.sum("_before").alias("level"), F.expr("sum(_before * _before)").alias("levels"),
+        F.array(*(F.expr(f"sum({c})") for c in lagged)).alias("totals"), F.array(*(F.expr(f"sum(_before * {c})") for c in lagged)).alias("across"),
+        F.array(*(F.expr(f"sum(_step * {c})") for c in lagged)).alias("first"))
+    beside = windowed(rows.select(*order.columns(), "idx", "_lags", "_whole", *lagged),
+                      lambda w: {"_begins": F.col("_whole") & ~F.coalesce(F.lag("_whole").over(w), F.lit(False)),
+                                 "_ends": F.col("_whole") & ~F.coalesce(F.lead("_whole").over(w), F.lit(False))}, order=order, lookback=1, lookahead=1)
+    sides = F.array(F.struct(F.col("_begins").alias("at"), F.lit(1.0).alias("sign"), F.array(*steps).alias("values")),
+                    F.struct(F.col("_ends").alias("at"), F.lit(-1.0).alias("sign"), F.array(*lagged[:-1]).alias("values")))
+    # A run of whole rows and the gap before it are longer than the lags, so a bucket has 2,048 ends or a few more.
+    ends = beside.filter("_begins OR _ends").select(*keys, F.floor(F.col("idx") / (1024 * (widest + 1))).alias("_bucket"), F.explode(sides).alias("side")).filter("side.at")
+    key_type = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frame.schema if f.name in keys)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.array([np.asarray(x["values"], float) for x in pdf["side"]]).reshape(len(pdf), widest)
+        sign = np.array([x["sign"] for x in pdf["side"]])
+        return pdf[keys].head(1).assign(edges=[(values.T @ (values * sign[:, None])).ravel().tolist()])
+
+    if widest:
+        edges = ends.groupBy(*keys, "_bucket").applyInPandas(products, f"{key_type}, edges array<double>")
+        edges = edges.select(*keys, F.posexplode("edges").alias("at", "v")).groupBy(*keys, "at").agg(F.sum("v").alias("v"))
+        edges = edges.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "v"))), lambda e: e["v"]).alias("edges"))
+        sums = join_on(sums, edges, keys)
+    else:
+        sums = sums.withColumn("edges", F.array().cast("array<double>"))
+
+    @F.pandas_udf(NESTED_TYPE)
+    def solved(lags: pd.Series, n: pd.Series, level: pd.Series, levels: pd.Series, totals: pd.Series, across: pd.Series, first: pd.Series, edges: pd.Series) -> pd.DataFrame:
+        found = []
+        for k, n_, level_, levels_, *arrays in zip(lags, n, level, levels, totals, across, first, edges):
+            totals_, across_, first_, edges_ = (np.asarray(x, float) for x in arrays)
+            between = shifted_products(first_[: k + 1], edges_.reshape(widest, widest)[:k, :k])
+            a = np.zeros((k + 2, k + 2))
+            a[0, 0], a[0, 1], a[1, 1], a[0, 2:], a[1, 2:] = n_, level_, levels_, totals_[1: k + 1], across_[1: k + 1]
+            a = np.triu(a) + np.triu(a, 1).T
+            a[2:, 2:] = between[1:, 1:]
+            fit = nested_fit(a, np.array([totals_[0], across_[0], *first_[1: k + 1]]), first_[0], n_, 2, only)
+            found.append((*fit, n_) if fit else (None, None, n_))
+        return pd.DataFrame([(k, n_, t) for k, t, n_ in found], columns=["lags", "n", "t_before"]).astype({"lags": "Int32"})
+
+    return sums.withColumn("_fit", solved("_lags", "n", "level", "levels", "totals", "across", "first", "edges")).select(*keys, "_fit.*")
+
+
 def stationarity_test(df: DataFrame, y: str = "price_move", *, max_lag: int | None = None, level: float = 0.05,
                       order: SeriesOrder = DAILY) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant for every series, its lags chosen by AIC.
@@ -320,23 +524,14 @@ def stationarity_test(df: DataFrame, y: str = "price_move", *, max_lag: int | No
     counted = df.filter(F.col(y).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     limits = counted.select(*keys, (longest_lag(F.col("_rows")) if max_lag is None else F.lit(max_lag)).alias("_lags"))
     widest = (limits.agg(F.max("_lags")).first()[0] or 0) if max_lag is None else max_lag
-    frame = windowed(df, lambda w: {"_before": F.lag(y).over(w)}, lambda w: {"_step": F.col(y) - F.col("_before")},
-                     lambda w: {f"_step{k}": F.lag("_step", k).over(w) for k in range(1, widest + 1)},
-                     order=order, lookback=widest + 2)
-    frame = cut(frame.select(*keys, "_before", "_step", *(f"_step{k}" for k in range(1, widest + 1))))
-    # A lag beyond a series' own is 0 everywhere, so it adds nothing to a fit and takes no row away.
-    xs = ["1D", "_before", *(f"_step{k}" for k in range(1, widest + 1))]
-    subsets = [list(range(2 + k)) for k in range(widest + 1)]
-
-    def fits(lags: DataFrame, size: Column | None = None) -> DataFrame:
-        own = {f"_step{k}": F.when(F.col("_lags") >= k, F.col(f"_step{k}")).otherwise(F.lit(0.0)) for k in range(1, widest + 1)}
-        sums = normal_equations(attach(frame, lags, keys, how="inner").withColumns(own), xs, "_step", keys)
-        if size is not None:
-            sums = attach(sums, lags, keys)
-        return fit_summed(sums, len(xs), keys, subsets, first=1, size=size)
-
-    chosen = fits(limits).filter(F.col("used").isNotNull()).select(*keys, (F.size("used") - 2).alias("_lags"))
-    found = fits(cut(chosen), F.col("_lags") + 2)
+    frame = SeriesFrame.open(df, order, lookback=widest + 2)
+    frame = frame if "idx" in df.columns else frame.index("idx")
+    for step in (lambda w: {"_before": F.lag(y).over(w)}, lambda w: {"_step": F.col(y) - F.col("_before")},
+                 lambda w: {f"_step{k}": F.lag("_step", k).over(w) for k in range(1, widest + 1)}):
+        frame = frame.with_columns(step)
+    steps = cut(frame.close().select(*order.columns(), "idx", "_before", "_step", *(f"_step{k}" for k in range(1, widest + 1))))
+    chosen = _unit_root_fits(steps, limits, widest, False, order).filter("lags IS NOT NULL").select(*keys, F.col("lags").alias("_lags"))
+    found = _unit_root_fits(steps, cut(chosen), widest, True, order).filter("lags IS NOT NULL")
     limit = critical_value(F.col("n"), level)
-    return found.select(*keys, F.col("t_first").alias("statistic"), (F.size("used") - 2).alias("lags"), "n",
-                        dickey_fuller_p(F.col("t_first")).alias("p_value"), limit.alias("critical"), (F.col("t_first") < limit).alias("is_stationary"))
+    return found.select(*keys, F.col("t_before").alias("statistic"), "lags", "n",
+                        dickey_fuller_p(F.col("t_before")).alias("p_value"), limit.alias("critical"), (F.col("t_before") < limit).alias("is_stationary"))

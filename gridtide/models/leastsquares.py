@@ -103,3 +103,51 @@ def fit_summed(sums: DataFrame, k: int, keep: Sequence[str], subsets: Sequence[S
 
 def predict(coef: str, xs: Sequence[str]) -> Column:
     return F.expr(" + ".join(f"{coef}[{i}] * ({x})" for i, x in enumerate(xs)))
+
+
+NESTED_TYPE = "lags int, n double, t_before double"
+
+
+def shifted_products(first: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """All sums of products of two lags of a series, from those with lag 0 and what its ends add and take per shift.
+
+    The sum for lags (i, j) is that for (i - 1, j - 1) and `edges[i - 1, j - 1]`.
+    """
+    k = len(first)
+    out = np.zeros((k, k))
+    out[0], out[:, 0] = first, first
+    for i in range(1, k):
+        out[i, i:] = out[i - 1, i - 1: k - 1] + edges[i - 1, i - 1:]
+        out[i:, i] = out[i, i:]
+    return out
+
+
+def nested_fit(a: np.ndarray, b: np.ndarray, yy: float, n: float, fixed: int, only: bool) -> tuple[int, float | None] | None:
+    """The number of lags with the lowest AIC, the regressors being a constant, a level and lags, and the t value of the level.
+
+    One factorisation gives the errors of all numbers of lags: each regressor takes the square of its place in the turned right
+    side from the error. `only`: all lags are taken. Singular sums are solved number by number.
+    """
+    scale = np.sqrt(np.diag(a))
+    scale[scale == 0] = 1.0
+    unit, right = a / np.outer(scale, scale), b / scale
+    try:
+        factor = np.linalg.cholesky(unit)
+        if np.diag(factor).min() < 1e-6:
+            raise np.linalg.LinAlgError
+        errors = yy - np.cumsum(np.linalg.solve(factor, right) ** 2)
+    except np.linalg.LinAlgError:
+        errors = np.array([yy - solve(a[:m, :m], b[:m])[0] @ b[:m] for m in range(1, len(b) + 1)])
+    best = None
+    for m in range(len(b) if only else fixed, len(b) + 1):
+        if n <= m:
+            continue
+        aic = criteria(max(float(errors[m - 1]), 0.0), n, m)[0]
+        if best is None or aic < best[0] - 1e-9:
+            best = (aic, m)
+    if best is None:
+        return None
+    m = best[1]
+    beta, inverse = solve(a[:m, :m], b[:m])
+    spread = np.sqrt(max(float(yy - beta @ b[:m]), 0.0) / (n - m) * inverse[1, 1])
+    return m - fixed, float(beta[1] / spread) if spread > 0 else None

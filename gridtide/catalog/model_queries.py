@@ -17,13 +17,14 @@ from gridtide.models.contract import prepared
 from gridtide.models.kernel import rbf_regression
 from gridtide.models.registry import best_by_metric, default_registry, horizon_sweep, run_models, seq_len_sweep, union_results
 from gridtide.models.search import hyperparameter_search
-from gridtide.models.trees import (feature_importance_topn, feature_importances, gradient_boosting, random_forest, sequence_model)
+from gridtide.models.recurrent import reservoir_model
+from gridtide.models.trees import feature_importance_topn, feature_importances, gradient_boosting, random_forest
 from gridtide.operators.features import exog_returns
 from gridtide.operators.statistics import price_summary
 from gridtide.operators.targets import split_chronological
 from gridtide.operators.trading import trading_metrics
 from gridtide.plans.dataset import make_dataset
-from gridtide.session import scratch_dir
+from gridtide.session import cut, scratch_dir
 from gridtide.sources import market as K
 from gridtide.sources.results import ExperimentStore, load_model, read_results, save_model, write_results
 
@@ -49,12 +50,13 @@ def _csv(spark, sf):
 
 def _wide(spark, sf):
     """A file without a series, its columns in another order among many others, its dates in another spelling, a number spoiled."""
-    rows, day = market(spark, sf).filter("series_id = 'A'"), F.col("trade_date")
+    rows, day = market(spark, sf), F.col("trade_date")
     spoiled = F.when(F.dayofmonth(day) == 5, "n/a").otherwise(F.col("volume").cast("string"))
-    out = rows.select(F.lit("note").alias("Comment, free text"), *(F.col(c).alias(RAW[c]) for c in reversed(K.CORE) if c != "volume"),
+    out = rows.select(F.col("series_id").alias("Comment, free text"), *(F.col(c).alias(RAW[c]) for c in reversed(K.CORE) if c != "volume"),
                       *(F.lit(i).alias(f"Other: series {i}") for i in range(40)), F.date_format(day, "M/d/yyyy").alias(TRADE), spoiled.alias(RAW["volume"]))
     path = write_results(out, scratch_dir(spark, "market-csv"))
-    return K.core_projection(K.parse_dates(K.scan_market_csv(spark, path, keep=["Other: series 7"])), keep=("series_id", "Other: series 7"))
+    return K.core_projection(K.parse_dates(K.scan_market_csv(spark, path, keep=["Other: series 7", "Comment, free text"])),
+                             keep=("series_id", "Other: series 7", "Comment, free text"))
 
 
 def _scan(spark, sf):
@@ -83,8 +85,7 @@ def _experiments(spark, sf):
         F.concat(F.lit("run_"), "series_id").alias("experiment_id"),
         F.create_map(F.lit("days"), F.col("days").cast("string")).alias("data_split"),
         F.create_map(F.lit("summary"), metrics).alias("models"), F.lit("summary").alias("best_model"), F.lit(None).cast("string").alias("notes")))
-    loaded = store.load_experiment("run_A")
-    return store.list_experiments().join(loaded, "experiment_id", "left").select(
+    return store.list_experiments().join(store.load_experiments(), "experiment_id", "left").select(
         "experiment_id", F.col("data_split")["days"].alias("days"), F.col("models")["summary"]["avg"].alias("avg_price"), "best_model")
 
 
@@ -94,16 +95,32 @@ def _data(spark, sf, task="sign", **options):
     return prepared(make_dataset(market(spark, sf), task, **options))
 
 
-def _held_out(fitted, low=None, high=None):
-    """The held-out rows with their targets, and whether each prediction is a number that the task allows."""
+def _held_out(data, fitted, low=None, high=None):
+    """The held-out rows with their targets, whether each prediction is a number that the task allows, the error of the best constant
+    of the training rows on the held-out ones, and whether the model's is less. The error is the mean square, or the share of wrong classes."""
     fine = F.col("y_pred").isNotNull() & ~F.isnan("y_pred")
     if low is not None:
         fine = fine & F.col("y_pred").between(low, high)
-    return rounded(fitted.predictions.select(*KEY, "idx", "split", F.col("y_target").cast("double").alias("y_target"), "ret_fwd", fine.alias("fine")))
+    train = data.rows.filter("split = 'train'").select(F.col("y_target").cast("double").alias("y"))
+    y = F.col("y_target").cast("double")
+    if data.task == "sign_3class":
+        constant = train.groupBy("y").count().orderBy(F.desc("count"), "y").first()["y"]
+        errors = [(y != p).cast("double") for p in (F.col("y_pred"), F.lit(constant))]
+    else:
+        constant = train.agg(F.avg("y")).first()[0]
+        errors = [(y - p) * (y - p) for p in (F.col("y_pred"), F.lit(constant))]
+    predicted = cut(fitted.predictions)
+    own, plain = predicted.agg(*map(F.avg, errors)).first()
+    return rounded(predicted.select(*KEY, "idx", "split", y.alias("y_target"), "ret_fwd", fine.alias("fine"), F.lit(plain).alias("constant_error"), F.lit(own < plain).alias("beats")))
 
 
-def _sequence(spark, sf):
-    return _held_out(sequence_model(_data(spark, sf, seq_len=14), {"seq_len": 14}), 0.0, 1.0)
+def _model(run, task="sign", low=None, high=None, **options):
+    """A query: a model with the library's defaults on the dataset of a task."""
+    def query(spark, sf):
+        data = _data(spark, sf, task, **options)
+        return _held_out(data, run(data, {"seq_len": options["seq_len"]} if options else {}), low, high)
+
+    return query
 
 
 def _importance(spark, sf):
@@ -248,20 +265,22 @@ QUERIES = {
     "stationarity_test_plain": _dickey_fuller,
     "best_by_metric": _best,
     "model_store": _store,
-    "random_forest": lambda s, d: _held_out(random_forest(_data(s, d), {}), 0.0, 1.0),
-    "gradient_boosting": lambda s, d: _held_out(gradient_boosting(_data(s, d, "price"), {})),
+    "random_forest": _model(random_forest, "sign", 0.0, 1.0),
+    "gradient_boosting": _model(gradient_boosting, "price"),
     "feature_importance_topn": _importance,
     "hyperparameter_search": _search,
-    "rbf_regression": lambda s, d: _held_out(rbf_regression(_data(s, d, "price"), {})),
+    "rbf_regression": _model(rbf_regression, "price"),
     "arx_forecast": _arx,
     "arx_order_select": lambda s, d: rounded(arx_order_select(_moves(s, d)).drop("coef"), 4),
     "rolling_arx_forecast": _rolling,
     "stationarity_test": lambda s, d: rounded(stationarity_test(_moves(s, d)).drop("p_value"), 4),
-    "sequence_model": _sequence,
+    "sequence_model": _model(reservoir_model, "sign", 0.0, 1.0, seq_len=14),
     "seq_len_sweep": lambda s, d: _swept(seq_len_sweep(market(s, d)), "seq_len"),
     "horizon_sweep": lambda s, d: _swept(horizon_sweep(market(s, d)), "horizon"),
     "model_registry_run": _registry,
-    "model_contract": lambda s, d: _held_out(gradient_boosting(_data(s, d, "sign_3class"), {}), 0.0, 2.0),
+    "model_contract": _model(gradient_boosting, "sign_3class", 0.0, 2.0),
+    "sequence_model_3class": _model(reservoir_model, "sign_3class", 0.0, 2.0, seq_len=14),
+    "sequence_model_price": _model(reservoir_model, "price", seq_len=14),
 }
 
 O = "WINDOW o AS (PARTITION BY series_id ORDER BY trade_date)"  # noqa: E741
@@ -295,9 +314,15 @@ SIGN = "CAST(CASE WHEN ret_fwd > 0 THEN 1 ELSE 0 END AS DOUBLE)"
 THREE = "CAST(CASE WHEN ret_fwd > 0.001 THEN 2 WHEN ret_fwd < -0.001 THEN 0 ELSE 1 END AS DOUBLE)"
 
 
-def held_out_sql(target: str, seq_len: int = 1) -> str:
-    return f"""WITH {labelled_sql(target)} SELECT series_id, trade_date, idx, split, round(y_target, 6) AS y_target, round(ret_fwd, 6) AS ret_fwd,
-       TRUE AS fine FROM steps WHERE split <> 'train' AND step >= {seq_len}"""
+def held_out_sql(target: str, seq_len: int = 1, classes: bool = False) -> str:
+    """The held-out rows, and what the mean or the most frequent class of the training rows misses on them."""
+    constant = "SELECT y_target AS c FROM told WHERE split = 'train' GROUP BY y_target ORDER BY count(*) DESC, y_target LIMIT 1" if classes \
+        else "SELECT avg(y_target) AS c FROM told WHERE split = 'train'"
+    error = "CASE WHEN y_target <> c THEN 1.0 ELSE 0.0 END" if classes else "(y_target - c) * (y_target - c)"
+    return f"""WITH {labelled_sql(target)}, told AS (SELECT * FROM steps WHERE step >= {seq_len}), constant AS ({constant}),
+plain AS (SELECT round(avg({error}), 6) AS e FROM told, constant WHERE split <> 'train')
+SELECT series_id, trade_date, idx, split, round(y_target, 6) AS y_target, round(ret_fwd, 6) AS ret_fwd, TRUE AS fine, e AS constant_error, TRUE AS beats
+FROM told, plain WHERE split <> 'train'"""
 
 
 def trades_sql(where: str = "step >= 1", horizon: int = 1) -> str:
@@ -485,11 +510,10 @@ WHERE p.l IS NOT NULL""",
        round(avg(price), 6) AS avg_price, round(min(price), 6) AS min_price, round(max(price), 6) AS max_price,
        round(stddev_samp(price), 6) AS std_price, round(stddev_samp(price) / avg(price) * 100, 6) AS volatility_pct FROM market GROUP BY series_id""",
     "experiment_store": f"""WITH {MARKET_SQL} SELECT 'run_' || series_id AS experiment_id,
-       CASE WHEN series_id = 'A' THEN date_diff('day', min(trade_date), max(trade_date))::VARCHAR END AS days,
-       CASE WHEN series_id = 'A' THEN round(avg(price), 6) END AS avg_price, CASE WHEN series_id = 'A' THEN 'summary' END AS best_model
+       date_diff('day', min(trade_date), max(trade_date))::VARCHAR AS days, round(avg(price), 6) AS avg_price, 'summary' AS best_model
 FROM market GROUP BY series_id""",
-    "scan_market_csv_wide": f"""WITH {MARKET_SQL} SELECT 'all' AS series_id, '7' AS "Other: series 7", trade_date, price,
-       CASE WHEN day(trade_date) <> 5 THEN volume END AS volume, gas_price, pjm_load, temperature FROM market WHERE series_id = 'A'""",
+    "scan_market_csv_wide": f"""WITH {MARKET_SQL} SELECT 'all' AS series_id, '7' AS "Other: series 7", series_id AS "Comment, free text", trade_date, price,
+       CASE WHEN day(trade_date) <> 5 THEN volume END AS volume, gas_price, pjm_load, temperature FROM market""",
     "union_results": f"""WITH {MARKET_SQL}, s AS (SELECT series_id, round(avg(price), 6) AS a, round(max(price), 6) AS b FROM market GROUP BY series_id)
 SELECT series_id, a AS avg_price, NULL AS max_price FROM s UNION ALL SELECT series_id, NULL, b FROM s""",
     "sigmoid": f"WITH {SCORES_SQL} SELECT doc_id, round(1 / (1 + exp(-(p * 4 - 2))), 6) AS v FROM scores",
@@ -536,8 +560,10 @@ UNION ALL SELECT 'base_mae', arg_min(event_type, e), round(min(e), 6) FROM m""",
     "random_forest": held_out_sql(SIGN),
     "gradient_boosting": held_out_sql("ret_fwd"),
     "rbf_regression": held_out_sql("ret_fwd"),
-    "model_contract": held_out_sql(THREE),
+    "model_contract": held_out_sql(THREE, classes=True),
     "sequence_model": held_out_sql(SIGN, 14),
+    "sequence_model_3class": held_out_sql(THREE, 14, True),
+    "sequence_model_price": held_out_sql("ret_fwd", 14),
     "model_store": f"""WITH {labelled_sql('ret_fwd')} SELECT series_id, trade_date, split, TRUE AS same, TRUE AS described FROM data WHERE split <> 'train'""",
     "feature_importance_topn": f"""SELECT unnest([{", ".join(f"'{c}'" for c in [*V2_DOUBLES, *CALENDAR_V2])}]) AS feature, TRUE AS fine, 1.0::DOUBLE AS total""",
     "hyperparameter_search": "SELECT unnest(range(50)) AS draw, 'accuracy' AS metric, TRUE AS fine, TRUE AS marked",

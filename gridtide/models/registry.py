@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gridtide.models.arx import Arx, arx_forecast
 from gridtide.models.contract import Fitted, Model, check_contract, is_sign, predictions, prepared
 from gridtide.models.kernel import rbf_regression
-from gridtide.models.trees import gradient_boosting, random_forest, sequence_model
+from gridtide.models.recurrent import reservoir_model
+from gridtide.models.trees import gradient_boosting, random_forest
 from gridtide.functions.scalars import return_to_probability
 from gridtide.operators.scoring import evaluate_model_outputs, side_of
 from gridtide.operators.targets import target_of
@@ -60,8 +61,8 @@ def default_registry() -> dict[str, Entry]:
         "RBF_price": Entry(rbf_regression, "price", "kernel regression on the return"),
         "ARX_sign": Entry(arx_model, "sign", "autoregression as a direction", dataset=unscaled),
         "ARX_price": Entry(arx_model, "price", "autoregression on the return", dataset=unscaled),
-        "SEQ_sign": Entry(sequence_model, "sign", "perceptron on sequences", {"seq_len": 14}, {"seq_len": 14}),
-        "SEQ_price": Entry(sequence_model, "price", "boosted trees on sequences", {"seq_len": 14}, {"seq_len": 14}),
+        "SEQ_sign": Entry(reservoir_model, "sign", "recurrent reservoir on sequences", {"seq_len": 14}, {"seq_len": 14}),
+        "SEQ_price": Entry(reservoir_model, "price", "recurrent reservoir on sequences", {"seq_len": 14}, {"seq_len": 14}),
     }
 
 
@@ -133,7 +134,7 @@ def seq_len_sweep(raw: DataFrame, lengths: Sequence[int] = (14, 30, 60), task: s
     """The sequence model at several sequence lengths, one result row each."""
     tables = []
     for n in lengths:
-        entry = Entry(sequence_model, task, f"seq_len={n}", {**(params or {}), "seq_len": n})
+        entry = Entry(reservoir_model, task, f"seq_len={n}", {**(params or {}), "seq_len": n})
         data = prepared(make_dataset(raw, task, seq_len=n, **options))
         tables.append(cut(result_row(f"seq_{n}", entry, entry.run(data, entry.params)).withColumn("seq_len", F.lit(n))))
     return union_results(tables)

@@ -97,7 +97,7 @@ def boosted(estimator: GBTClassifier | GBTRegressor, train: DataFrame, val: Data
 
 
 def gradient_boosting(data: Dataset, params: Mapping[str, Any]) -> Fitted:
-    """Boosted trees up to the best round on the validation rows; three classes are one fit against the rest each."""
+    """Boosted trees up to the best round on the validation rows; three classes are one fit against the rest each, side by side."""
     assembler, rows = assembled(data)
     rows, extra = weighted(assembler.transform(rows), data.task, params.get("balanced", False))
     most, patience = params.get("n_estimators", 1000), params.get("early_stopping_rounds", 50)
@@ -107,12 +107,14 @@ def gradient_boosting(data: Dataset, params: Mapping[str, Any]) -> Fitted:
                     seed=SEED, **extra)
     train, val, unseen = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "val"), rows.filter(F.col("split") != "train")
     if data.task == "sign_3class":
-        models = []
-        for k in range(3):
+        def against_rest(k: int) -> GBTClassificationModel:
             own = (F.col("y_target") == k).cast("double")
             estimator = GBTClassifier(labelCol="_own", predictionCol=f"_label{k}", **settings)
             estimator = estimator.setRawPredictionCol(f"_raw{k}").setProbabilityCol(f"_p{k}")
-            models.append(boosted(estimator, train.withColumn("_own", own), val.withColumn("_own", own), most, patience))
+            return boosted(estimator, train.withColumn("_own", own), val.withColumn("_own", own), most, patience)
+
+        with ThreadPoolExecutor(3) as pool:
+            models = list(pool.map(against_rest, range(3)))
         scored = unseen
         for model in models:
             scored = model.transform(scored)

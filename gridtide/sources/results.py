@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping
 from typing import Any
 
@@ -35,16 +36,31 @@ def read_results(spark: SparkSession, path: str, schema: str, fmt: str = "csv")
 
 
 class ExperimentStore:
-    """Experiments and best parameters as appended JSON rows; the latest row of a name counts."""
+    """Experiments and best parameters; the latest row of a name counts.
+
+    Each write is a snapshot of its own with rows laid out by name, and a line in the manifest once all of it is there: readers
+    see whole writes only, writers never touch each other's files, and loading one name reads that name's folders.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.experiments = f"{path.rstrip('/')}/experiments"
         self.params = f"{path.rstrip('/')}/params"
 
+    def _append(self, df: DataFrame, path: str, name: str) -> None:
+        snapshot = uuid.uuid4().hex
+        df.withColumn("_saved_at", F.current_timestamp()).write.partitionBy(name).json(f"{path}/data/snapshot={snapshot}")
+        # A folder of its own: appends to one folder share their temporary files, and the first to end takes those of the others along.
+        self.spark.createDataFrame([(True,)], "whole boolean").write.json(f"{path}/manifest/snapshot={snapshot}")
+
+    def _rows(self, path: str, schema: str, name: str, wanted: str | None = None) -> DataFrame:
+        rows = self.spark.read.schema(f"{schema}, _saved_at timestamp, snapshot string").json(f"{path}/data")
+        rows = rows if wanted is None else rows.filter(F.col(name) == wanted)
+        return rows.join(self.spark.read.schema("whole boolean, snapshot string").json(f"{path}/manifest").filter("whole"), "snapshot", "left_semi")
+
     def save_experiments(self, df: DataFrame) -> None:
         """Append rows with `experiment_id`, `data_split`, `models`, `best_model` and `notes`."""
-        df.withColumn("timestamp", F.current_timestamp()).write.mode("append").json(self.experiments)
+        self._append(df, self.experiments, "experiment_id")
 
     def save_experiment(self, experiment_id: str, data_split: Mapping[str, str], models: Mapping[str, Mapping[str, float]],
                         best_model: str | None = None, notes: str | None = None) -> None:
@@ -52,24 +68,27 @@ class ExperimentStore:
         row = (experiment_id, dict(data_split), native, best_model, notes)
         self.save_experiments(self.spark.createDataFrame([row], EXPERIMENT))
 
+    def load_experiments(self, experiment_id: str | None = None) -> DataFrame:
+        """The latest row of every experiment, or of one."""
+        rows = self._rows(self.experiments, EXPERIMENT, "experiment_id", experiment_id)
+        latest = F.max_by(F.struct("data_split", "models", "best_model", "notes"), F.struct("_saved_at", "snapshot"))
+        return rows.groupBy("experiment_id").agg(latest.alias("latest")).select("experiment_id", "latest.*")
+
     def load_experiment(self, experiment_id: str) -> DataFrame:
-        rows = self.spark.read.schema(EXPERIMENT + ", timestamp timestamp").json(self.experiments)
-        found = rows.filter(F.col("experiment_id") == experiment_id)
-        latest = found.orderBy(F.desc("timestamp")).limit(1)
-        if latest.isEmpty():
+        found = self.load_experiments(experiment_id)
+        if found.isEmpty():
             raise NotStored(f"no experiment {experiment_id!r}")
-        return latest.drop("timestamp")
+        return found
 
     def list_experiments(self) -> DataFrame:
-        return self.spark.read.schema(EXPERIMENT).json(self.experiments).select("experiment_id").distinct().orderBy("experiment_id")
+        return self._rows(self.experiments, EXPERIMENT, "experiment_id").select("experiment_id").distinct().orderBy("experiment_id")
 
     def save_params(self, model_name: str, params: Mapping[str, Any]) -> None:
         row = (model_name, {k: json.dumps(v, default=float) for k, v in params.items()})
-        self.spark.createDataFrame([row], PARAMS).withColumn("_saved_at", F.current_timestamp()).write.mode("append").json(self.params)
+        self._append(self.spark.createDataFrame([row], PARAMS), self.params, "model_name")
 
     def load_params(self, model_name: str) -> dict[str, Any]:
-        rows = self.spark.read.schema(PARAMS + ", _saved_at timestamp").json(self.params)
-        found = rows.filter(F.col("model_name") == model_name).orderBy(F.desc("_saved_at")).first()
+        found = self._rows(self.params, PARAMS, "model_name", model_name).orderBy(F.desc("_saved_at"), F.desc("snapshot")).first()
         if found is None:
             raise NotStored(f"no parameters for {model_name!r}")
         return {k: json.loads(v) for k, v in found["params"].items()}

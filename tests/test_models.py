@@ -158,3 +158,63 @@ def test_boosting_goes_on_while_validation_rows_gain(planted, task):
     model = fitted.model.stages[-1]
     assert fitted.params["trees"] == model.getNumTrees > 5 and model.numFeatures == 2
     assert fitted.predictions.filter("y_pred IS NULL").count() == 0
+
+
+def order_dependent(spark, task):
+    """A state that forgets, and turns its sign where a second input is high: what counts is the order of the steps."""
+    rng = np.random.default_rng(21)
+    data = []
+    for key in "ab":
+        x = rng.standard_normal((900, 4))
+        state = 0.0
+        for i in range(900):
+            state = 0.8 * (-state if x[i, 1] > 0.8 else state) + x[i, 0]
+            split = "train" if i < 600 else "val" if i < 750 else "test"
+            data.append((key, i, split, *map(float, x[i]), float(state)))
+    df = spark.createDataFrame(data, "series_id string, idx long, split string, a double, b double, c double, d double, ret_fwd double")
+    df = df.withColumn("trade_date", F.date_from_unix_date(F.col("idx").cast("int")))
+    target = {"price": F.col("ret_fwd"), "sign": (F.col("ret_fwd") > 0).cast("int"),
+              "sign_3class": F.when(F.col("ret_fwd") > 0.7, 2).when(F.col("ret_fwd") < -0.7, 0).otherwise(1)}[task]
+    from gridtide.operators.sequences import sequences_same
+
+    names = ("a", "b", "c", "d")
+    return Dataset(sequences_same(df.withColumn("y_target", target), names, 20), names, task)
+
+
+@pytest.mark.parametrize("task", ["sign", "price", "sign_3class"])
+def test_reservoir_learns_what_depends_on_the_order(spark, task):
+    from gridtide.models.recurrent import reservoir_model
+
+    data = order_dependent(spark, task)
+    fitted = reservoir_model(data, {"units": 100})
+    assert set(CONTRACT) <= set(fitted.predictions.columns)
+    score = held_out_score(fitted.predictions, task, "test")
+    flat = held_out_score(trees.sequence_model(data, {"seq_len": 20}).predictions, task, "test")
+    if task == "price":
+        assert score < flat and score < 0.75 * held_out_score(fitted.predictions.withColumn("y_pred", F.lit(0.0)), task, "test")
+    else:
+        assert score > flat + 0.05
+    again = {(r["series_id"], r["idx"]): r["y_pred"] for r in reservoir_model(data, {"units": 100}).predictions.collect()}
+    assert all(abs(again[r["series_id"], r["idx"]] - r["y_pred"]) < 1e-9 for r in fitted.predictions.collect())
+    if task == "sign":
+        assert fitted.predictions.filter("y_pred < 0 OR y_pred > 1").count() == 0
+
+
+def test_reservoir_sums_equal_numpy_and_bear_missing_inputs(spark):
+    from gridtide.models.recurrent import Reservoir, input_scale, readout_sums, reservoir_model
+
+    data = order_dependent(spark, "price")
+    rows = data.rows.withColumn("seq", F.when(F.col("idx") == 500, F.transform("seq", lambda s: F.transform(s, lambda v: F.lit(None).cast("double")))).otherwise(F.col("seq")))
+    some = rows.filter("idx < 100 AND split = 'train'")
+    x = np.array([r["seq"] for r in some.orderBy("series_id", "idx").collect()])
+    y = np.array([r["y_target"] for r in some.orderBy("series_id", "idx").collect()])
+    mean, spread = input_scale(some, 4)
+    assert np.allclose(mean, x.reshape(-1, 4).mean(axis=0)) and np.allclose(spread, x.reshape(-1, 4).std(axis=0))
+    reservoir = Reservoir.drawn(4, 10)
+    a, b, yy, n = readout_sums(some.repartition(3), reservoir, mean, spread, 1)["train"]
+    z = reservoir.design((x - mean) / spread)
+    assert np.allclose(a, z.T @ z) and np.allclose(b[:, 0], z.T @ y) and np.isclose(yy, y @ y) and n == len(y)
+    found = reservoir_model(Dataset(rows, data.features, "price"), {}).predictions
+    assert found.filter("y_pred IS NULL OR isnan(y_pred)").count() == 0
+    with pytest.raises(ValueError, match="no training"):
+        reservoir_model(Dataset(rows.filter("split = 'test'"), data.features, "price"), {})

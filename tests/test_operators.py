@@ -362,3 +362,22 @@ def test_a_missing_core_column_is_named(spark, tmp_path):
     spark.createDataFrame([("1",)], "`Trade Date` string").write.option("header", True).csv(path)
     with pytest.raises(K.MissingColumns, match="Henry Hub"):
         K.core_projection(K.parse_dates(K.scan_market_csv(spark, path)))
+
+
+def test_experiments_of_many_writers(spark, tmp_path):
+    """Writers side by side lose nothing, a write without its line in the manifest is not read, and one name reads its own folders."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = ExperimentStore(spark, str(tmp_path))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: store.save_experiment(f"run {i % 3}", {"at": str(i)}, {"m": {"score": float(i)}}), range(9)))
+    assert [r["experiment_id"] for r in store.list_experiments().collect()] == ["run 0", "run 1", "run 2"]
+    assert store._rows(store.experiments, "experiment_id string, data_split map<string,string>", "experiment_id").count() == 9
+    store.save_experiment("run 1", {"at": "last"}, {})
+    latest = {r["experiment_id"]: r["data_split"]["at"] for r in store.load_experiments().collect()}
+    assert latest["run 1"] == "last" and store.load_experiment("run 1").first()["data_split"] == {"at": "last"}
+    half = spark.createDataFrame([("run 2", {"at": "half"}, {}, None, None)], "experiment_id string, data_split map<string,string>, models map<string,map<string,double>>, best_model string, notes string")
+    half.withColumn("_saved_at", F.current_timestamp()).write.partitionBy("experiment_id").json(f"{store.experiments}/data/snapshot=unfinished")
+    assert store.load_experiment("run 2").first()["data_split"]["at"] != "half"
+    plan = store.load_experiment("run 1")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(experiment_id" in plan

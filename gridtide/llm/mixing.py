@@ -49,6 +49,12 @@ def source_targets(totals: DataFrame, weights: DataFrame | None = None, most: in
     return ranked.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _position():
+    """The hash of source, id and text. Equal rows share it until they are told `apart`."""
+    nulls = [F.col(c).isNull() for c in ("source", "doc_id", "text")]
+    return F.xxhash64("source", "doc_id", "text", *nulls).alias("h")
+
+
 def _bucket(level: int):
     """The hash bits of a level, from the top."""
     return F.shiftrightunsigned(F.col("h"), 64 - LEVEL_BITS * (level + 1)).bitwiseAND((1 << LEVEL_BITS) - 1)
@@ -87,6 +93,29 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "repeats", past.alias("limit"))
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """`rows` with a position h of its own for every one of those that share it.
+
+    The copies of a position are numbered: within the partition in which they were read, and from
+    partition to partition by counts. So no task numbers more of them than it read. The positions of n copies
+    are the same in every run; copies are interchangeable.
+    """
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    twice = written(counts.filter("n > 1").select("h"), "mixing-twice")
+    if twice.isEmpty():
+        return rows
+    again = rows.withColumn("_at", F.monotonically_increasing_id()).join(twice, "h", "left_semi")
+    again = written(again.withColumn("_part", F.shiftrightunsigned("_at", 33)), "mixing-again")
+    earlier = Window.partitionBy("h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = again.groupBy("h", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = offsets.select("h", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("h", "_part").orderBy("_at")) - 1
+    numbered = again.withColumn("_own", own).join(offsets, ["h", "_part"])
+    number = F.col("_own") + F.col("_before")
+    numbered = numbered.withColumn("h", F.when(number == 0, F.col("h")).otherwise(F.xxhash64("h", number)))
+    return rows.join(twice, "h", "left_anti").select(*rows.columns).union(numbered.select(*rows.columns))
+
+
 def mix_limits(sized: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The thresholds of every source of `sized` (source, size, h)."""
     totals = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mixing-totals")
@@ -104,19 +133,21 @@ def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken = size * copies of every row of `docs`.
 
-    Null or empty texts have size 0. Rows with the same id and text share a position, so they are taken
-    together. Null is a source of its own, last in order. The decision depends on ids, texts and totals
-    only. Other columns of `docs` are not read; an empty table gives an empty result.
+    Null or empty texts have size 0. Repeated rows have positions of their own, so of n copies some may be taken
+    once more than others. Null is a source of its own, last in order. The decision depends on ids, texts and
+    totals only. Other columns of `docs` are not read; an empty table gives an empty result.
     """
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"))
-    sized = written(keyed, "mixing-sizes")
+    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _position())
+    sized = written(apart(written(keyed, "mixing-sizes")), "mixing-apart")
     return _joined(sized, written(mix_limits(sized, weights), "mixing-limits"))
 
 
 def repeated(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """The mix itself: the rows of `docs` with all their columns, every document as often as it is taken."""
-    keyed = docs.select(F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"),
-                        F.xxhash64("doc_id", "text").alias("h"))
+    """The mix itself: the rows of `docs` with all their columns, every document as often as it is taken.
+
+    Of rows with the same id and text, but other columns that differ, those read first count as the first copies.
+    """
+    keyed = apart(docs.select(F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"), _position()))
     sized = written(keyed.select("source", "size", "h"), "mixing-sizes")
     mixed = _joined(keyed, written(mix_limits(sized, weights), "mixing-limits")).filter(F.col("copies") > 0)
     return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

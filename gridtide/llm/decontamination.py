@@ -1,7 +1,7 @@
 """Benchmark decontamination with a generalised suffix automaton of the test items.
 
-The items' words build one automaton, which every task makes for itself from the items (checked against
-MOST_ITEM_WORDS). Training words stream through it; the length of the longest match that ends at each
+The items' words build one automaton, which every task makes for itself. Items with more words than one
+automaton is to hold are dealt out to several, and the texts pass one after the other. Training words stream through it; the length of the longest match that ends at each
 word says which windows of items end there. Stretches of a text without a short run of item words can't
 advance the automaton far enough to matter; they are skipped with array operations.
 """
@@ -9,7 +9,7 @@ advance the automaton far enough to matter; they are skipped with array operatio
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridtide.llm.store import written
 from gridtide.llm.words import Words, alphanumeric, byte_values, chunks, run_hash, run_starts, run_sums, words
 
 WINDOW = 10
 MOST_ITEM_WORDS = 2_000_000
+PIECES = 20
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SEED_RUN = 4
 
 
@@ -161,21 +164,66 @@ class Matcher:
         return w, np.cumsum(hit)[:-1] > 0, found
 
 
-def bounded_items(items: DataFrame, most: int = MOST_ITEM_WORDS) -> list:
-    """The items on the driver, after a check that all their words are within `most`."""
-    total = items.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)))).first()[0] or 0
-    if total > most:
-        raise ValueError(f"the test items have {total} words, more than {most}: split them into several runs")
-    return items.select("item_id", "text").collect()
+def dealt_items(items: DataFrame, window: int = WINDOW, most: int = MOST_ITEM_WORDS) -> tuple[DataFrame, int]:
+    """(item_id, text, deal) of the items, and the number of deals, each of about `most` words or fewer.
 
-
-def _digest(ids: list, found: set[int]) -> tuple[int, str]:
-    names = sorted({str(ids[i]) for i in found})
+    Items of more than `most` / PIECES words are cut into pieces that overlap by `window` - 1 words, so every
+    window lies in one piece. Pieces go to a deal by hash.
+    """
+    found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    listed = items.select("item_id", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+    total = listed.agg(F.sum("n")).first()[0] or 0
+    deals = -(-total // most)
+    if deals <= 1:
+        return listed.select("item_id", "text", F.lit(0).alias("deal")), 1
+    piece = max(most // PIECES, window)
+    cut = F.transform(F.array(found), lambda own: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(own) - window) / piece).cast("int")),
+        lambda at: F.array_join(F.slice(own, at * piece + 1, piece + window - 1), " ")))[0]
+    parts = listed.select("item_id", F.explode(F.when(F.col("n") > piece, cut).otherwise(F.array("text"))).alias("text"))
+    return written(parts.withColumn("deal", F.pmod(F.xxhash64("text"), F.lit(deals))), "decontamination-items"), deals
+
+
+def _digest(names: list[str]) -> tuple[int, str]:
     return len(names), hashlib.sha256(",".join(names).encode()).hexdigest()
 
 
+SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+NAMES = pa.list_(pa.string())
+
+
+def _ranges(hit: np.ndarray) -> list[tuple[int, int]]:
+    return np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+
+
+def _verdicts(part: pa.Array, w: Words, hit: np.ndarray, names: list[list[str]], max_span: int, max_coverage: float) -> list[pa.Array]:
+    """The columns that `scan` adds."""
+    counts, all_spans, cleaned = np.bincount(w.row[hit], minlength=len(part)), [], []
+    for row in range(len(part)):
+        a, b = int(w.first[row]), int(w.first[row + 1])
+        spans, whole = [], None
+        if counts[row]:
+            spans = [(x, y) for x, y in _ranges(hit[a:b]) if y - x > max_span]
+        if counts[row] <= max_coverage * max(b - a, 1):
+            whole = part[row].as_py()
+            if spans:
+                whole = _without(w, a, spans, row)
+        all_spans.append([{"begin": x, "end": y} for x, y in spans])
+        cleaned.append(whole)
+    digests = [_digest(x) for x in names]
+    return [pa.array(np.diff(w.first).astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array([n for n, _ in digests], pa.int64()),
+            pa.array([d for _, d in digests], pa.string()), pa.array(all_spans, SPANS), pa.array(cleaned, pa.string())]
+
+
+def _notes(part: pa.Array, w: Words, hit: np.ndarray, names: list[list[str]]) -> list[pa.Array]:
+    """What one deal hands to the next: ranges of hit words, names of items, the text."""
+    some = np.bincount(w.row[hit], minlength=len(part)) > 0
+    spans = [[{"begin": x, "end": y} for x, y in _ranges(hit[int(w.first[r]): int(w.first[r + 1])])] if some[r] else [] for r in range(len(part))]
+    return [pa.array(spans, SPANS), pa.array(names, NAMES), part]
+
+
 def scan(docs: DataFrame, items: DataFrame, carried: tuple[str, ...] = ("doc_id",), window: int = WINDOW,
-         max_span: int = 0, max_coverage: float = 1.0) -> DataFrame:
+         max_span: int = 0, max_coverage: float = 1.0, most: int = MOST_ITEM_WORDS) -> DataFrame:
     """One row per row of `docs`: `carried`, n_words, n_hit, n_items, items_sha256, spans, cleaned.
 
     Words are runs of ASCII letters (case ignored), digits and non-ASCII characters. `spans` are the
@@ -183,10 +231,32 @@ def scan(docs: DataFrame, items: DataFrame, carried: tuple[str, ...] = ("doc_id"
     text without them, or null if more than `max_coverage` of its words are hit. A null text has no words
     and is cleaned to null; an empty one stays empty. Items without words match nothing; repeated items
     count by their ids. Without items nothing is hit. Columns of other names are not read.
-    """
-    listed = bounded_items(items)
-    known = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in listed], [r["text"] for r in listed]))
 
+    Items of more than `most` words are dealt out; each deal is one more pass over the texts, which are
+    written with what was found so far. Only one deal is on the driver at a time.
+    """
+    added = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<begin:int,end:int>>, cleaned string"
+    between = "hits_ array<struct<begin:int,end:int>>, names_ array<string>, text_ string"
+    kept = T.StructType([docs.schema[c] for c in carried])
+    parts, deals = dealt_items(items, window, most)
+    rows = docs.select(*carried, F.col("text").alias("text_"))
+    for deal in range(deals):
+        listed = parts.filter(F.col("deal") == deal).select("item_id", "text").collect()
+        known = docs.sparkSession.sparkContext.broadcast(([str(r["item_id"]) for r in listed], [r["text"] for r in listed]))
+        last = deal == deals - 1
+        own = T.StructType.fromDDL(added if last else between)
+
+        def columns(part: pa.Array, w: Words, hit: np.ndarray, found: list[list[str]], last: bool = last) -> list[pa.Array]:
+            return _verdicts(part, w, hit, found, max_span, max_coverage) if last else _notes(part, w, hit, found)
+
+        rows = rows.mapInArrow(_pass(known, window, len(carried), deal > 0, columns, [*carried, *own.names]), T.StructType(kept.fields + own.fields))
+        if not last:
+            rows = written(rows, "decontamination-deal")
+    return rows
+
+
+def _pass(known, window: int, n_carried: int, noted: bool, columns: Callable, names: list[str]) -> Callable:
+    """The texts against one deal of items. With `noted`, batches hold what earlier deals found."""
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(*known.value, window=window)
         for batch in found:
@@ -194,30 +264,17 @@ def scan(docs: DataFrame, items: DataFrame, carried: tuple[str, ...] = ("doc_id"
             for begin, end in chunks(text):
                 part = text.slice(begin, end - begin)
                 w, hit, items_of = matcher.matches(part)
-                counts, out = np.bincount(w.row[hit], minlength=len(part)), {"spans": [], "cleaned": []}
-                digests = [_digest(matcher.ids, x) for x in items_of]
-                for row in range(len(part)):
-                    a, b = int(w.first[row]), int(w.first[row + 1])
-                    spans, whole = [], None
-                    if counts[row]:
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].astype(np.int8), [0]])))
-                        spans = [(x, y) for x, y in edges.reshape(-1, 2).tolist() if y - x > max_span]
-                    if counts[row] <= max_coverage * max(b - a, 1):
-                        whole = part[row].as_py()
-                        if spans:
-                            whole = _without(w, a, spans, row)
-                    out["spans"].append([{"begin": x, "end": y} for x, y in spans])
-                    out["cleaned"].append(whole)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(i).slice(begin, end - begin) for i in range(len(carried))]
-                    + [pa.array(np.diff(w.first).astype(np.int64)), pa.array(counts.astype(np.int64)),
-                       pa.array([n for n, _ in digests], pa.int64()), pa.array([d for _, d in digests], pa.string()),
-                       pa.array(out["spans"], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(out["cleaned"], pa.string())],
-                    names=[*carried, "n_words", "n_hit", "n_items", "items_sha256", "spans", "cleaned"])
-
-    added = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<begin:int,end:int>>, cleaned string"
-    schema = T.StructType([docs.schema[c] for c in carried] + T.StructType.fromDDL(added).fields)
-    return docs.select(*carried, F.col("text").alias("text_")).mapInArrow(batches, schema)
+                own = [{matcher.ids[i] for i in x} for x in items_of]
+                if noted:
+                    hits, before = (batch.column(n_carried + i).slice(begin, end - begin).to_pylist() for i in (0, 1))
+                    for row, (spans, ids) in enumerate(zip(hits, before)):
+                        own[row].update(ids)
+                        for span in spans:
+                            hit[int(w.first[row]) + span["begin"]: int(w.first[row]) + span["end"]] = True
+                yield pa.RecordBatch.from_arrays([batch.column(i).slice(begin, end - begin) for i in range(n_carried)]
+                                                 + columns(part, w, hit, [sorted(x) for x in own]), names=names)
+
+    return batches
 
 
 def _without(w: Words, first: int, spans: list[tuple[int, int]], row: int) -> str:

@@ -49,6 +49,20 @@ def sliding_least(x: np.ndarray, length: int) -> np.ndarray:
     return x
 
 
+def least_at(x: np.ndarray, length: int) -> np.ndarray:
+    """Positions of the least of every `length` consecutive values, told by their high bits, the first of equals.
+
+    Position and high bits share a word, so long arrays are taken in overlapping stretches.
+    """
+    mask = np.uint64((1 << POSITION_BITS) - 1)
+    step, out = (1 << POSITION_BITS) - length + 1, []
+    for begin in range(0, len(x) - length + 1, step):
+        part = x[begin: begin + step + length - 1]
+        ranked = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
+        out.append((sliding_least(ranked, length) & mask).astype(np.int64) + begin)
+    return np.concatenate(out)
+
+
 def paths(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, anchor hash, path hash) of the maximal runs of windows with one least anchor."""
     starts = run_starts(w, window)
@@ -56,9 +70,7 @@ def paths(w: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, n
         return starts, starts, starts.astype(np.uint64), starts.astype(np.uint64)
     sums = run_sums(w.hash)
     hashed = run_hash(sums, np.arange(len(w.hash) - anchor + 1), anchor)
-    mask = np.uint64((1 << POSITION_BITS) - 1)
-    ranked = (hashed & ~mask) | (np.arange(len(hashed), dtype=np.uint64) & mask)
-    at = (sliding_least(ranked, window - anchor + 1)[starts] & mask).astype(np.int64)
+    at = least_at(hashed, window - anchor + 1)[starts]
     fresh = np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(at) != 0) | (w.row[starts[1:]] != w.row[starts[:-1]])])
     begin = np.flatnonzero(fresh)
     count = np.diff(np.append(begin, len(starts)))

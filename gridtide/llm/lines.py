@@ -47,14 +47,18 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     results and count as one site. Other columns are not read; an empty table gives an empty result.
     """
     keys, shared = boilerplate(_lines(docs), min_sites)
-    gone = shared.join(keys, ["key", "key2"], "left_semi").groupBy("rid").agg(F.collect_set("at").alias("gone"))
+    gone = shared.join(keys, ["key", "key2"], "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    # A mark per line up to the last one that goes, so that a text is cut in one pass over its lines.
+    before = F.slice(F.concat(F.array(F.lit(-1)), F.col("gone")), 1, F.size("gone"))
+    marks = F.flatten(F.zip_with("gone", before, lambda at, last: F.concat(F.array_repeat(F.lit(False), at - last - 1), F.array(F.lit(True)))))
+    gone = gone.select("rid", F.size("gone").alias("n_gone"), marks.alias("gone"))
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid")).join(gone, "rid", "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(F.col("gone"), at)), "\n"))
+        F.array_join(F.zip_with(lines, F.col("gone"), lambda line, cut: F.when(~F.coalesce(cut, F.lit(False)), line)), "\n"))
     n_lines = F.coalesce(F.size(F.filter(lines, lambda line: F.length(F.btrim(line, F.lit(" \t\r"))) > 0)), F.lit(0))
     return texts.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-                        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"), kept.alias("kept_text"))
+                        F.coalesce("n_gone", F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept_text"))
 
 
 DEDUP_SQL = f"""WITH cut AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),

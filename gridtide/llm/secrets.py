@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from gridtide.llm.store import written
 
 SCOPE = 200
+BLOCK = 256
+SPANS = "array<struct<start:int,end:int,found:string>>"
 
 # The base kinds, in the order in which they are listed. `least` is of the part that counts.
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -34,18 +36,31 @@ ORDER = {"assign": 0, "access": 1, "hex": 2, "endpoint": 3, "ident": 4, "opaque"
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """(start, end, found) of the leftmost non-overlapping matches, in code points: the lengths of what lies between matches and of the matches."""
+    """(start, end, found) of the leftmost non-overlapping matches, in code points: the lengths of what lies between matches and of the matches.
+
+    Positions are summed up block by block. An array that grows is copied at each step, so none grows beyond
+    BLOCK matches but that of the blocks.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    length = F.aggregate(
-        F.zip_with(between, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out")),
-        lambda state, x: F.when(x["match"].isNull(), state).otherwise(F.struct(
-            (state["at"] + x["gap"] + F.length(x["match"])).alias("at"),
-            F.concat(state["out"], F.array(F.struct((state["at"] + x["gap"]).alias("start"), (state["at"] + x["gap"] + F.length(x["match"])).alias("end"),
-                                                    x["match"].alias("found")))).alias("out"))),
-        lambda state: state["out"])
-    return F.when(F.size(found) > 0, length).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
+    cells = F.zip_with(between, found, lambda gap, match: F.struct(F.length(gap).alias("gap"), match.alias("match")))
+    # One element, so that the matches are looked for once and not for each block.
+    blocks = F.transform(F.array(cells), lambda all_cells: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(all_cells) - 1) / BLOCK).cast("int")), lambda at: F.slice(all_cells, at * BLOCK + 1, BLOCK)))[0]
+
+    def placed(state: Column, x: Column) -> Column:
+        start = state["at"] + x["gap"]
+        end = start + F.length(x["match"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("found")))
+        return F.when(x["match"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], one).alias("out")))
+
+    def block_placed(state: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(state["at"].alias("at"), F.array().cast(SPANS).alias("out")), placed,
+                           lambda own: F.struct(own["at"].alias("at"), F.concat(state["out"], F.array(own["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    everything = F.aggregate(blocks, start, block_placed, lambda state: F.flatten(state["out"]))
+    return F.when(F.size(found) > 0, everything).otherwise(F.array().cast(SPANS))
 
 
 def _told(text: Column, kind: str, pattern: str) -> Column:

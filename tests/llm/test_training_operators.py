@@ -101,6 +101,28 @@ def test_mix_reshares_what_small_sources_cannot_take(spark):
     assert got == pytest.approx(brute.targets(sizes))
 
 
+def test_mix_with_one_row_that_repeats(spark):
+    """Copies of a row are taken apart, so that a source of few different rows comes near its target."""
+    for heavy in (6, 9):
+        rows = [(i, f"t{i} " + "w " * (99 if i == heavy else 65 + i % 7), "a", i) for i in range(500)]
+        rows += [(heavy, rows[heavy][1], "a", 1000 + i) for i in range(499)] + [(5000 + i, "v " * 40, "b", i) for i in range(30)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+        weights = spark.createDataFrame([("a", 1.0), ("b", 0.05)], "source string, weight double")
+        first = mixing.mix(frame, weights).collect()
+        size, taken, target = Counter(), Counter(), {}
+        for r in first:
+            size[r["source"]] += r["size"]
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= 100 for s in target)
+        assert any(r["copies"] != first[0]["copies"] for r in first)
+        assert multiset(first) == multiset(mixing.mix(frame.repartition(11), weights).collect())
+        copies = Counter()
+        for r in first:
+            copies[r["doc_id"]] += r["copies"]
+        assert Counter(r["doc_id"] for r in mixing.repeated(frame, weights).collect()) == +copies
+
+
 def test_mix_odd_rows(odd, empty):
     check_mix(odd.collect(), mixing.mix(odd).collect())
     assert mixing.mix(empty).collect() == [] and mixing.repeated(empty).collect() == []
@@ -188,8 +210,27 @@ def test_cleaned_text_and_limits(spark):
     got = by_id(decontamination.scan(docs, items, max_coverage=0.9))
     assert got[1]["cleaned"] == "before. ; after it" and got[1]["spans"][0]["begin"] == 1 and got[1]["spans"][0]["end"] == 13
     assert got[2]["cleaned"] is None and got[3]["cleaned"] == "clean text" and got[4]["cleaned"] is None
-    with pytest.raises(ValueError):
-        decontamination.bounded_items(items, 5)
+
+
+def test_contamination_by_items_of_many_deals(spark, documents, odd):
+    """More item words than one automaton holds: long items in pieces, pieces in several passes, the same rows."""
+    import random
+
+    draw = random.Random(8)
+    long_texts = [t for _, t in pairs(documents.limit(400)) if t and len(t.split()) > 40][:30]
+    items = [(i, t) for i, t in enumerate(long_texts)] + [(50, "one two"), (51, None), (52, ""), (50, "x x x"), (None, "lost words")]
+    docs = pairs(documents.limit(60)) + [(9000 + i, "new " + " ".join(t.split()[draw.randrange(9):][:25]) + " end") for i, t in enumerate(long_texts)]
+    docs += [(i, t) for i, t in pairs(odd) if i is not None and i != 5]
+    frame = spark.createDataFrame([(i + 100000 if n >= 90 else i, t) for n, (i, t) in enumerate(docs)], "doc_id long, text string").repartition(3)
+    listed = spark.createDataFrame(items, "item_id long, text string")
+    total = sum(len(brute.ITEM_WORD.findall(t or "")) for _, t in items)
+    most = total // 3
+    parts, deals = decontamination.dealt_items(listed, most=most)
+    assert deals >= 3 and parts.count() > len(items) and parts.select("deal").distinct().count() == deals
+    found = decontamination.scan(frame, listed, most=most).collect()
+    check_contamination(pairs(frame), items, found)
+    whole = decontamination.scan(frame, listed).collect()
+    assert multiset(found) == multiset(whole)
 
 
 def test_contamination_odd_rows(spark, odd, empty):
@@ -238,6 +279,26 @@ def test_lines_near_the_threshold(spark, odd, empty):
     assert lines.deduplicated(odd).count() == odd.count() and lines.deduplicated(empty).collect() == []
 
 
+def test_lines_of_one_long_text(spark):
+    """Time in proportion to the lines of a text; all kinds of gaps between lines that go."""
+    import time
+
+    def took(n):
+        shared = [f"common {i}" for i in range(n)]
+        rows = [(s, "\n".join(shared), f"s{s}") for s in range(10)]
+        rows += [(100, "\n".join(x if i % 3 else f"own {i}\n{x}" for i, x in enumerate(shared)) + "\nlast\n", "t")]
+        start = time.perf_counter()
+        got = by_id(lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+        spent = time.perf_counter() - start
+        own = "\n".join(f"own {i}" for i in range(0, n, 3))
+        assert got[100]["kept_text"] == own + "\nlast\n" and got[100]["n_removed"] == n and got[100]["n_lines"] == n + len(own.split("\n")) + 1
+        assert all(got[s]["kept_text"] == "" and got[s]["n_removed"] == got[s]["n_lines"] == n for s in range(10))
+        return spent
+
+    took(50)
+    assert took(32_000) < 5 * took(8_000) + 2
+
+
 # 5
 
 
@@ -272,6 +333,23 @@ def test_substrings_of_small_alphabet(spark):
     check_repeats(docs, substrings.deduplicated(frame).collect())
 
 
+def test_substrings_beyond_the_bits_of_a_position(spark, documents, monkeypatch):
+    """Few bits for positions stand for texts of very many words: the same anchors, the same rows."""
+    import numpy as np
+
+    x = np.random.default_rng(4).integers(0, 1 << 63, 5000, dtype=np.uint64)
+    whole = substrings.least_at(x, 20)
+    monkeypatch.setattr(substrings, "POSITION_BITS", 8)
+    assert (substrings.least_at(x, 20) == whole).all()
+    with_few = documents.limit(40).collect()
+    passage = " ".join(f"p{i}" for i in range(120))
+    docs = [(r["doc_id"], r["text"]) for r in with_few] + [(800_001, passage), (800_002, " ".join(f"u{i}" for i in range(900)) + " " + passage + " z")]
+    w = [substrings.words(substrings.pa.array([t], substrings.pa.string()), substrings.not_space(), substrings.byte_values()) for _, t in docs[-2:]]
+    short, longer = (set(substrings.paths(v, 35, 16)[3].tolist()) for v in w)
+    assert len(short & longer) >= len(short) - 2  # those at the passage's own ends differ
+    check_repeats(docs, substrings.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
 def test_substrings_in_many_batches(spark, documents, monkeypatch):
     some = documents.limit(60).cache()
     monkeypatch.setattr(substrings, "FLUSH_ENTRIES", 50)
@@ -406,6 +484,27 @@ def test_secret_parts_need_each_other(spark):
         assert got[i]["base_sha256"] == brute.secrets(text)[3]
 
 
+def test_secrets_of_one_text_with_very_many(spark):
+    """Time in proportion to the matches of a text, and positions right across the blocks that they are summed in."""
+    import time
+
+    def text(n):
+        return " ".join(f"é{i} {i:016x}" for i in range(n))
+
+    def took(n):
+        frame = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        start = time.perf_counter()
+        got = frame.select(F.size(secrets.spans(F.col("text"), secrets.HEX)).alias("n"), F.xxhash64(secrets.spans(F.col("text"), secrets.HEX))).collect()[0]
+        assert got["n"] == n
+        return time.perf_counter() - start
+
+    for n in (255, 256, 257, 600):
+        r = secrets.scan(spark.createDataFrame([(1, text(n))], "doc_id long, text string")).collect()[0]
+        assert (r["n_hex"], r["base_sha256"]) == (n, brute.secrets(text(n))[3])
+    took(100)
+    assert took(64_000) < 5 * took(16_000) + 2
+
+
 def test_secrets_odd_rows(odd, empty):
     for r in secrets.scan(odd).collect():
         assert r["spans"] == "" and r["base_sha256"] == brute.sha("")

@@ -154,6 +154,10 @@ QUERIES = {
     "lines_bos_balance": _lines_balance,
     "rolling_percentile": lambda s, d: rounded(
         S.rolling_percentile(priced(s, d).select("series_id", "trade_date", "price"))),
+    "rolling_percentile_250": lambda s, d: rounded(
+        S.rolling_percentile(priced(s, d).select("series_id", "trade_date", "price"), 250)),
+    "lines_percentile_2000": lambda s, d: rounded(
+        S.rolling_percentile(lines(s, d).select(*LINE_KEY, "l_shipdate", "price"), 2000, order=LINES).drop("l_shipdate", "price")),
     "percentile_strategy": lambda s, d: rounded(_channel(s, d)),
     "detect_trend": lambda s, d: S.detect_trend(priced(s, d)).select("series_id", "trade_date", "trend"),
     "recent_high_low": lambda s, d: rounded(
@@ -203,6 +207,10 @@ SELECT l_returnflag, {metrics_sql('strategy_return')} FROM returns GROUP BY l_re
 SELECT {', '.join(LINE_KEY)}, position, signal, printf('%.6e', balance) AS balance FROM account""",
     "rolling_percentile": f"""{CHANNEL} SELECT series_id, trade_date, price,
        round(pct_low, 6) AS pct_low, round(pct_high, 6) AS pct_high FROM channel""",
+    "rolling_percentile_250": f"""WITH {PRICED_SQL}, {channel_sql(n=250)} SELECT series_id, trade_date, price,
+       round(pct_low, 6) AS pct_low, round(pct_high, 6) AS pct_high FROM channel""",
+    "lines_percentile_2000": f"""WITH {LINES_SQL}, {channel_sql('lines', 'l_returnflag', LINES_BY, 2000)}
+SELECT {', '.join(LINE_KEY)}, round(pct_low, 6) AS pct_low, round(pct_high, 6) AS pct_high FROM channel""",
     "percentile_strategy": f"""{CHANNEL} SELECT series_id, trade_date, price, round(pct_low, 6) AS pct_low,
        round(pct_high, 6) AS pct_high, signal, position FROM strategy""",
     "detect_trend": f"""WITH {PRICED_SQL} SELECT series_id, trade_date,

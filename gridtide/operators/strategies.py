@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from gridtide.functions.ranks import sliding_percentiles
 from gridtide.functions.windows import last_rows, rolling_percentiles
-from gridtide.plans.timeline import DAILY, SeriesFrame, SeriesOrder, windowed
+from gridtide.plans.timeline import DAILY, SeriesFrame, SeriesOrder
 
 UP, DOWN, SIDEWAYS = "uptrend", "downtrend", "sideways"
 SHORT_MODELS = ("marked", "credited")
+#: Windows up to this length are sorted row by row in the JVM; longer ones are ranked once per block.
+SORTED_WINDOW = 64
 
 
 def _check_channel(window: int, low: float, high: float) -> None:
@@ -23,9 +29,31 @@ def rolling_percentile(df: DataFrame, window: int = 14, low: float = 20, high: f
                        price: str = "price", order: SeriesOrder = DAILY) -> DataFrame:
     """Add `pct_low` and `pct_high` of the last `window` rows."""
     _check_channel(window, low, high)
-    both = windowed(df, lambda w: {"_pct": rolling_percentiles(price, w, window, low, high)},
-                    order=order, lookback=window - 1)
-    return _unpack_channel(both)
+    return _unpack_channel(_with_channel(SeriesFrame.open(df, order, window - 1), price, window, low, high).close())
+
+
+def _with_channel(frame: SeriesFrame, price: str, window: int, low: float, high: float) -> SeriesFrame:
+    """Add `_pct`, two percentiles of the last `window` rows. The answer doesn't depend on which way a window's length takes."""
+    if window <= SORTED_WINDOW:
+        return frame.with_columns(lambda w: {"_pct": rolling_percentiles(price, w, window, low, high)})
+    rows = frame.with_columns(lambda w: {"_at": F.row_number().over(w)}).df
+    names = [c for c in rows.columns if c != "_at"]
+    schema = T.StructType([rows.schema[c] for c in names] + T.StructType.fromDDL("_pct array<double>").fields)
+
+    def ranked(block: pa.Table) -> pa.Table:
+        block = block.sort_by("_at")
+        given = block.column(price).combine_chunks()
+        missing = given.is_null().to_numpy(zero_copy_only=False)
+        values = given.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+        both = sliding_percentiles(values, window, (low, high)).T
+        gaps = np.concatenate([[0], np.cumsum(missing)])
+        full = np.arange(1, len(values) + 1) >= window
+        full[window - 1:] &= gaps[window:] == gaps[: max(len(gaps) - window, 0)]
+        pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * 2, pa.int32()), pa.array(both.ravel()),
+                                         mask=pa.array(~full))
+        return block.select(names).append_column("_pct", pairs)
+
+    return frame.map(lambda _: rows.groupBy(*frame.parts).applyInArrow(ranked, schema))
 
 
 def _unpack_channel(df: DataFrame) -> DataFrame:
@@ -41,8 +69,7 @@ def percentile_strategy(df: DataFrame, window: int = 14, low: float = 20, high:
     """
     _check_channel(window, low, high)
     frame = SeriesFrame.open(df, order, lookback=window, lookahead=1 if next_price else 0)
-    frame = frame.with_columns(lambda w: {
-        "_pct": rolling_percentiles(price, w, window, low, high),
+    frame = _with_channel(frame, price, window, low, high).with_columns(lambda w: {
         "_seen": F.count(F.lit(1)).over(w.rowsBetween(-window, 0)),
         **_next(price, next_price, w),
     }).map(_unpack_channel)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.catalog import inputs
 from gridtide.functions import scalars as U
+from gridtide.functions.ranks import sliding_percentiles
 from gridtide.operators import cleaning as C
 from gridtide.operators import curves as R
 from gridtide.operators import features as X
@@ -38,6 +39,16 @@ def frame(spark, schema, data):
     return spark.createDataFrame(list(data), schema)
 
 
+def test_sliding_percentiles_equal_numpy():
+    rng = np.random.default_rng(7)
+    for count, window in ((1, 1), (5, 5), (60, 7), (300, 64), (50, 51)):
+        for values in (rng.normal(size=count), rng.integers(0, 3, count).astype(float), np.zeros(count)):
+            got = sliding_percentiles(values, window, (0, 20, 80, 100))
+            assert np.isnan(got[:, : window - 1]).all()
+            for i in range(window - 1, count):
+                assert got[:, i] == pytest.approx(np.percentile(values[i - window + 1: i + 1], (0, 20, 80, 100)))
+
+
 def test_regression_golden(spark):
     df = frame(spark, "y_true double, y_pred double", zip(Y_REG, P_REG))
     got = M.regression_metrics(df).first()

@@ -55,6 +55,21 @@ CASES = {
 }
 
 
+@pytest.mark.parametrize("order", [DAILY, SMALL], ids=["whole", "blocks40"])
+@pytest.mark.parametrize("window", [2, 14, 90, 1000])
+def test_long_windows_are_ranked_as_short_ones_are_sorted(uneven, order, window, monkeypatch):
+    given = uneven.withColumn("price", F.when(F.col("trade_date") < "2015-01-01", F.coalesce("price", F.lit(7.0))).otherwise(F.col("price")))
+    given = given.withColumns({"n": F.lit(None).cast("string")})
+    told = []
+    for longest in (0, 10_000):
+        monkeypatch.setattr(S, "SORTED_WINDOW", longest)
+        told.append((rows(S.rolling_percentile(given, window, 12.5, 90, order=order)),
+                     rows(S.percentile_strategy(given.drop("n"), window, order=order))))
+    assert told[0] == told[1]
+    assert window == 1000 or any(r[2] is not None for r in told[0][0])
+    assert S.rolling_percentile(given.limit(0), 90).collect() == []
+
+
 @pytest.mark.parametrize("order", [SMALL, TINY], ids=["blocks40", "blocks7"])
 @pytest.mark.parametrize("name", CASES)
 def test_blocks_equal_whole_series(uneven, name, order):

@@ -18,6 +18,7 @@ from gridtide.operators.sequences import flatten_sequence
 from gridtide.plans.dataset import Dataset
 
 SEED = 42
+FIT_ROWS = 65_536
 
 
 def weighted(rows: DataFrame, task: str, balanced: bool) -> tuple[DataFrame, dict[str, str]]:
@@ -70,30 +71,29 @@ def best_prefix(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
+def laid_out(rows: DataFrame) -> DataFrame:
+    """`rows` in partitions of about FIT_ROWS: a boosted fit runs several jobs a round, each with a task per partition."""
+    return rows.coalesce(max(1, -(-rows.count() // FIT_ROWS)))
+
+
 def boosted(estimator: GBTClassifier | GBTRegressor, train: DataFrame, val: DataFrame, most: int, patience: int) -> GBTClassificationModel | GBTRegressionModel:
-    """The best prefix on `val` of a fit of `most` rounds.
+    """A fit of the number of rounds that is best on `val`.
 
-    The first rounds of a fit don't depend on how many follow, so it is fitted with doubled numbers of rounds
-    until the wait is over. Without validation rows all rounds stay.
+    The first rounds of a fit don't depend on how many follow, so fits grow until the wait for a better round
+    is over, the first one being little longer than that wait. The best prefix is then the fit of so many
+    rounds. Without validation rows all rounds stay.
     """
     if val.isEmpty():
         return estimator.copy({estimator.maxIter: most}).fit(train)
-    rounds = min(most, 2 * patience)
+    rounds = min(most, patience + max(patience // 4, 1))
     while True:
         model = estimator.copy({estimator.maxIter: rounds}).fit(train)
         loss = () if isinstance(model, GBTClassificationModel) else ("squared",)
         best, over = best_prefix(model.evaluateEachIteration(val, *loss), patience)
         if over or rounds >= most:
             break
-        rounds = min(most, 2 * rounds)
-    jvm, trees = train.sparkSession.sparkContext._jvm, model._java_obj.trees()
-    kept = train.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, best)
-    weights = train.sparkSession.sparkContext._gateway.new_array(jvm.double, best)
-    for at in range(best):
-        kept[at], weights[at] = trees[at], model.treeWeights[at]
-    kind = getattr(jvm.org.apache.spark.ml, "classification" if loss == () else "regression")
-    short = getattr(kind, type(model).__name__)(model.uid, kept, weights, model.numFeatures, *(() if loss else (2,)))
-    return type(model)(model._java_obj.copyValues(short, model._java_obj.extractParamMap()))
+        rounds = min(most, max(2 * rounds, best + patience))
+    return model if best == rounds else estimator.copy({estimator.maxIter: best}).fit(train)
 
 
 def gradient_boosting(data: Dataset, params: Mapping[str, Any]) -> Fitted:
@@ -105,7 +105,8 @@ def gradient_boosting(data: Dataset, params: Mapping[str, Any]) -> Fitted:
                     maxDepth=params.get("max_depth", 5), subsamplingRate=params.get("subsample", 0.8),
                     featureSubsetStrategy=str(params.get("colsample", 0.8)), minInstancesPerNode=params.get("min_child_samples", 20),
                     seed=SEED, **extra)
-    train, val, unseen = rows.filter(F.col("split") == "train"), rows.filter(F.col("split") == "val"), rows.filter(F.col("split") != "train")
+    train, val = (laid_out(rows.filter(F.col("split") == split)) for split in ("train", "val"))
+    unseen = rows.filter(F.col("split") != "train")
     if data.task == "sign_3class":
         def against_rest(k: int) -> GBTClassificationModel:
             own = (F.col("y_target") == k).cast("double")

@@ -12,9 +12,9 @@ from gridtide.plans.timeline import SeriesOrder, windowed
 from gridtide.sources.market import hundredths, market_daily
 
 EVENTS = SeriesOrder(keys=("event_type",), ts="ts", tie=("event_id",))
-# Line items as three long series, in blocks that are small enough to be many at every scale.
+# Line items as three long series, in blocks of the default size.
 LINE_KEY = ("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-LINES = SeriesOrder(keys=("l_returnflag",), ts="l_shipdate", tie=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), block_rows=8_192)
+LINES = SeriesOrder(keys=("l_returnflag",), ts="l_shipdate", tie=("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:

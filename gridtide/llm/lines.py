@@ -2,7 +2,8 @@
 
 A line that many sites share is boilerplate. Lines seen on one site only are left out by a plain
 aggregate. For the others HyperLogLog sketches of the sites are merged by aggregation; only lines whose
-estimate is near the threshold are counted exactly.
+estimate is near the threshold are counted exactly. Lines that make up a thousandth of these or more, which are
+a thousand at most, are salted in joins.
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from gridtide.llm.store import written
 MIN_SITES = 10
 SKETCH_BITS = 12
 NEAR = 0.25
+HOT_SHARE = 1000
+SALTS = 64
+LINE = ["key", "key2"]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -25,18 +29,36 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("rid", "at", "site", F.xxhash64("line").alias("key"), F.xxhash64(F.lit("salt"), "line").alias("key2"))
 
 
+def _hot(spread: DataFrame) -> DataFrame:
+    """Keys of the most frequent lines, HOT_SHARE of them at most; `spread` has the rows of each line as n."""
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    return spread.filter(F.col("n") * HOT_SHARE >= total).select(*LINE, F.lit(True).alias("hot"))
+
+
+def _salted(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """Keys with every salt if they are hot, else with salt 0."""
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return keys.join(F.broadcast(hot), LINE, "left").select(*keys.columns, F.explode(salts).alias("salt"))
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
-    """Keys of lines that occur on `min_sites` sites at least, and the rows of all lines on more than one site.
+    """Salted keys of lines that occur on `min_sites` sites at least, and the rows of all lines on more than one site, with a salt each.
 
-    A null site is a site. The estimate's error is far below NEAR, so what it settles is exact in effect.
+    A null site is a site. The estimate's error is far below NEAR, so what it settles is exact in effect. The rows of a hot
+    line have any salt, so its joins go to many tasks.
     """
-    spread = lines.groupBy("key", "key2").agg(F.min("site").alias("x"), F.max("site").alias("y")).filter("x != y").select("key", "key2")
-    shared = written(lines.join(spread, ["key", "key2"], "left_semi"), "lines-shared")
+    spread = lines.groupBy(*LINE).agg(F.min("site").alias("x"), F.max("site").alias("y"), F.count(F.lit(1)).alias("n"))
+    spread = written(spread.filter("x != y").select(*LINE, "n"), "lines-spread")
+    hot = written(_hot(spread), "lines-hot")
+    salt = F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = lines.join(F.broadcast(hot), LINE, "left").select(*lines.columns, salt.alias("salt"))
+    shared = written(rows.join(_salted(spread.select(*LINE), hot), [*LINE, "salt"], "left_semi"), "lines-shared")
     sketched = shared.groupBy("key", "key2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH_BITS))).alias("sites"))
     sketched = written(sketched.filter(F.col("sites") >= min_sites * (1 - NEAR)), "lines-sketched")
     clear = F.col("sites") >= min_sites * (1 + NEAR)
-    exact = shared.join(sketched.filter(~clear), ["key", "key2"]).groupBy("key", "key2").agg(F.countDistinct("site").alias("sites"))
-    return sketched.filter(clear).union(exact.filter(F.col("sites") >= min_sites)).select("key", "key2"), shared
+    near = shared.join(_salted(sketched.filter(~clear).select(*LINE), hot), [*LINE, "salt"], "left_semi")
+    exact = near.groupBy(*LINE).agg(F.countDistinct("site").alias("sites"))
+    return _salted(sketched.filter(clear).union(exact.filter(F.col("sites") >= min_sites)).select(*LINE), hot), shared
 
 
 def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -47,7 +69,7 @@ def deduplicated(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     results and count as one site. Other columns are not read; an empty table gives an empty result.
     """
     keys, shared = boilerplate(_lines(docs), min_sites)
-    gone = shared.join(keys, ["key", "key2"], "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    gone = shared.join(keys, [*LINE, "salt"], "left_semi").groupBy("rid").agg(F.array_sort(F.collect_set("at")).alias("gone"))
     # A mark per line up to the last one that goes, so that a text is cut in one pass over its lines.
     before = F.slice(F.concat(F.array(F.lit(-1)), F.col("gone")), 1, F.size("gone"))
     marks = F.flatten(F.zip_with("gone", before, lambda at, last: F.concat(F.array_repeat(F.lit(False), at - last - 1), F.array(F.lit(True)))))

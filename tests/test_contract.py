@@ -41,3 +41,9 @@ def test_entry(spark):
 def test_query_equals_its_sql(spark, name):
     text, ok = compare(spark, database(SF), SF, name, contract.queries()[name], contract.oracle_sql()[name])
     assert ok, text
+
+
+@pytest.mark.parametrize("name", ("detect_trend",))
+def test_trend_equals_its_sql(spark, name):
+    text, ok = compare(spark, database(SF), SF, name, contract.queries()[name], contract.oracle_sql()[name])
+    assert ok, text

@@ -68,9 +68,13 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int = 6, exact: tuple[str, ...] = ("price",)) -> DataFrame:
-    """Doubles rounded, so that the order of a sum does not show; raw prices stay as they are."""
-    doubles = [f.name for f in df.schema if f.dataType.typeName() in ("double", "float") and f.name not in exact]
-    return df.withColumns({c: F.round(c, places) for c in doubles})
+    """Doubles rounded, so that the order of a sum does not show; raw prices stay as they are.
+
+    The scaled value is rounded, as in the SQL, not the shortest decimal: half a last place may be told otherwise there.
+    """
+    scale = float(10 ** places)
+    kinds = {f.name: f.dataType for f in df.schema if f.dataType.typeName() in ("double", "float") and f.name not in exact}
+    return df.withColumns({c: (F.round(F.col(c) * scale) / scale).cast(kind) for c, kind in kinds.items()})
 
 
 def scientific(df: DataFrame, columns: list[str]) -> DataFrame:

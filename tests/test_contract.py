@@ -12,6 +12,7 @@ import __spark_entry__ as contract  # noqa: E402
 from check_oracles import compare, database  # noqa: E402
 
 from gridtide.catalog import registered  # noqa: E402
+from gridtide.catalog.inputs import rounded  # noqa: E402
 
 SAMPLE = ("backtest_report", "bos_balance", "feature_frame_v2", "backtest_lines", "lines_features", "roc_curve", "threshold_sweep",
           "events_rolling_arx", "balance_downsample", "scan_market_csv", "scan_market_csv_wide", "roc_curve_groups", "arx_forecast", "arx_order_select",
@@ -47,3 +48,16 @@ def test_query_equals_its_sql(spark, name):
 def test_trend_equals_its_sql(spark, name):
     text, ok = compare(spark, database(SF), SF, name, contract.queries()[name], contract.oracle_sql()[name])
     assert ok, text
+
+
+@pytest.mark.parametrize("name", ("recent_high_low",))
+def test_high_and_low_equal_their_sql(spark, name):
+    text, ok = compare(spark, database(SF), SF, name, contract.queries()[name], contract.oracle_sql()[name])
+    assert ok, text
+
+
+def test_halves_are_rounded_as_in_the_sql(spark):
+    given = [1669.66575, 2341.47665, -1669.66575, 0.00005, 2.5, 1e15 + 0.3, float("inf"), None]
+    told = [r[0] for r in rounded(spark.createDataFrame([(x,) for x in given], "x double").coalesce(1), 4).collect()]
+    con = database(SF)
+    assert told == [con.execute("SELECT round(?::DOUBLE, 4)", [x]).fetchone()[0] for x in given]

@@ -56,15 +56,20 @@ def rolling_slope(c, w: WindowSpec, n: int, place: str = "idx") -> Column:
     return full_only(F.regr_slope(col(c), F.col(place).cast("double")).over(frame), c, frame, n)
 
 
-def rolling_percentiles(c, w: WindowSpec, n: int, low: float, high: float) -> Column:
-    """Array of two interpolated percentiles of the last n rows, full windows only."""
-    frame = last_rows(w, n)
-    values = F.array_sort(F.collect_list(col(c)).over(frame))  # at most n values
+def sorted_values(c, w: WindowSpec, n: int) -> Column:
+    """The values of the last n rows in rising order, fewer where some are missing."""
+    return F.sort_array(F.collect_list(col(c)).over(last_rows(w, n)))  # at most n values
+
+
+def percentiles_of(values: str, n: int, low: float, high: float) -> Column:
+    """Array of two interpolated percentiles of a column of n sorted values, NULL where it has fewer.
 
+    The values are a column of their own: an expression of a window would be collected again for each use.
+    """
     def at(percent: float) -> Column:
         place = percent / 100.0 * (n - 1)
         below = int(place)
         under, over = F.get(values, F.lit(below)), F.get(values, F.lit(min(below + 1, n - 1)))
         return under + (over - under) * F.lit(place - below)
 
-    return full_only(F.array(at(low), at(high)), c, frame, n)
+    return F.when(F.size(values) == n, F.array(at(low), at(high)))

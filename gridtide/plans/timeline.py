@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtide.plans.keys import key_of
-from gridtide.session import cut
+from gridtide.session import cut, stored
 
 BLOCK_ROWS = 65_536
 BUCKET_ROWS = 4_096
@@ -78,10 +78,13 @@ def _at(bucket: Column) -> Column:
     return F.coalesce(bucket.cast("long"), F.lit(2**63 - 1).cast("long")).alias("at")
 
 
-def _candidates(df: DataFrame, order: SeriesOrder) -> list[Column]:
-    """Ways to cut the order into buckets, coarsest first."""
+def _candidates(df: DataFrame, order: SeriesOrder, ts: Column | None = None, tie: Column | None = None) -> list[Column]:
+    """Ways to cut the order into buckets, coarsest first, each a refinement of the one before.
+
+    `ts` and `tie` stand for values of the time and of the first tie column that are found elsewhere.
+    """
     kind = df.schema[order.ts].dataType
-    ts = F.col(order.ts)
+    ts = F.col(order.ts) if ts is None else ts
     if isinstance(kind, T.DateType):
         found = [F.year(ts) * 12 + F.month(ts), F.unix_date(ts)]
     elif isinstance(kind, T.IntegralType):
@@ -95,29 +98,40 @@ def _candidates(df: DataFrame, order: SeriesOrder) -> list[Column]:
     finest = found[-1]
     found = [F.struct(_at(c), F.lit(0).cast("long").alias("tie")) for c in found]
     if order.tie and isinstance(df.schema[order.tie[0]].dataType, T.IntegralType):
-        found += [F.struct(_at(finest), F.floor(F.col(order.tie[0]) / F.lit(w)).alias("tie"))
-                  for w in TIE_WIDTHS]
+        tie = F.col(order.tie[0]) if tie is None else tie
+        found += [F.struct(_at(finest), F.floor(tie / F.lit(w)).alias("tie")) for w in TIE_WIDTHS]
     return found
 
 
 def _fitting_bucket(df: DataFrame, order: SeriesOrder) -> int:
     """Number of the coarsest candidate whose buckets are small.
 
-    A date or number alone is unique, which bounds its buckets; else the fullest bucket is looked up.
+    A date or number alone is unique, which bounds its buckets; else the buckets are counted. The least and greatest
+    place in a bucket that is too full tell which finer candidate is the first to divide it: those between aren't counted.
     """
     if not order.tie and isinstance(df.schema[order.ts].dataType, (T.DateType, T.IntegralType)):
         return 0
     found = _candidates(df, order)
-    for at, bucket in enumerate(found):
-        fullest = df.groupBy(*order.keys, bucket.alias("_bucket")).count().agg(F.max("count")).first()[0]
-        if (fullest or 0) <= BUCKET_ROWS:
-            return at
-    return len(found) - 1
+    places = [order.ts, *order.tie[:1]]
+    ends = [[F.col(f"_{end}{i}") for i in range(len(places))] for end in ("least", "most")]
+    finer = list(zip(*(_candidates(df, order, *end) for end in ends)))
+    at = 0
+    while at < len(found) - 1:
+        counts = df.groupBy(*order.keys, found[at].alias("_bucket")).agg(
+            F.count(F.lit(1)).alias("_n"),
+            *(f(c).alias(f"_{end}{i}") for i, c in enumerate(places) for end, f in (("least", F.min), ("most", F.max))))
+        divided = [F.bool_or(~least.eqNullSafe(most)) for least, most in finer[at + 1:]]
+        full, *divided = counts.filter(F.col("_n") > BUCKET_ROWS).agg(F.count(F.lit(1)), *divided).first()
+        if not full:
+            break
+        at = divided.index(True) + at + 1 if True in divided else len(found) - 1
+    return at
 
 
 def _bucket_starts(df: DataFrame, order: SeriesOrder, bucket: Column) -> DataFrame:
     """Rows `_n` per bucket of a series, and the position `_start` of its first row."""
     counts = df.groupBy(key_of(order.keys).alias("_key"), bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(counts)  # many readers below, one reading of the rows
     counts = counts.withColumn("_group", F.floor(F.col("_bucket.at") / BUCKETS_TOGETHER))
     groups = counts.groupBy("_key", "_group").agg(F.sum("_n").alias("_rows"))
     by_group = Window.partitionBy("_key").orderBy("_group")
@@ -213,26 +227,25 @@ class SeriesFrame:
         out = self.own_rows().df
         return out.drop("_key", "_block", "_own", "_start") if self.is_blocked else out
 
-    def _carried(self, local: Mapping[str, Column], summary: Mapping[str, Column],
-                 carry: Callable[[str, WindowSpec], Column], merge: Callable[[str], Column],
-                 backward: bool) -> SeriesFrame:
-        frame = self.own_rows()
-        rows = frame.df.withColumns(dict(local))
-        per_block = frame.df.groupBy("_key", "_block").agg(*(c.alias(f"_sum_{n}") for n, c in summary.items()))
+    def _carried(self, local: Mapping[str, Column], total: Mapping[str, Column], carry: Callable[[str, WindowSpec], Column],
+                 merge: Callable[[str], Column], w: WindowSpec, backward: bool) -> SeriesFrame:
+        """Running values in blocks: `local` ones, put together with what the blocks before hold at their ends.
+
+        `total` names those whose value at a block's end isn't the local one there. The rows are computed once and
+        written; the one at the end of each block is read again for what the block hands on.
+        """
+        ends = {f"_end_{n}": c for n, c in total.items()}
+        rows = stored(self.own_rows().df.withColumns({**local, **ends, "_ends": F.lead(F.lit(1)).over(w).isNull()}), "carried")
+        held = {n: f"_end_{n}" if n in total else n for n in local}
+        per_block = rows.filter("_ends").select("_key", "_block", *(F.col(c).alias(f"_sum_{n}") for n, c in held.items()))
         step = F.col("_block").desc() if backward else F.col("_block").asc()
-        w = Window.partitionBy("_key").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-        carried = per_block.select("_key", "_block",
-                                   *(carry(f"_sum_{n}", w).alias(f"_carry_{n}") for n in summary))
-        rows = rows.join(carried, ["_key", "_block"], "left")
-        rows = rows.withColumns({n: merge(n) for n in local}).drop(*(f"_carry_{n}" for n in summary))
+        before = Window.partitionBy("_key").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+        # Stored, so that Spark knows the size of this short table before it joins it.
+        carried = stored(per_block.select("_key", "_block", *(carry(f"_sum_{n}", before).alias(f"_carry_{n}") for n in local)), "carry")
+        rows = rows.drop(*ends, "_ends").join(carried, ["_key", "_block"], "left")
+        rows = rows.withColumns({n: merge(n) for n in local}).drop(*(f"_carry_{n}" for n in local))
         return SeriesFrame(rows, self.order, True, False)
 
-    def cut(self) -> SeriesFrame:
-        """Between two carried states: blocked frames are read twice for each, so write them out first."""
-        if not self.is_blocked:
-            return self
-        return SeriesFrame(cut(self.own_rows().df), self.order, True, False)
-
     def running_last(self, columns: Mapping[str, Column], earlier: Mapping[str, Column] | None = None) -> SeriesFrame:
         """Per name: the latest non-null value of the expression up to the row; in `earlier` before the row."""
         earlier = earlier or {}
@@ -242,25 +255,22 @@ class SeriesFrame:
         local.update({n: F.last(c, ignorenulls=True).over(before) for n, c in earlier.items()})
         if not self.is_blocked:
             return self.with_columns(local)
-        place = self.order.place()
         return self._carried(
-            local, {n: F.max_by(c, F.when(c.isNotNull(), place)) for n, c in {**columns, **earlier}.items()},
+            local, {n: F.last(c, ignorenulls=True).over(upto) for n, c in earlier.items()},
             lambda s, w_: F.last(s, ignorenulls=True).over(w_),
-            lambda n: F.coalesce(F.col(n), F.col(f"_carry_{n}")), backward=False)
+            lambda n: F.coalesce(F.col(n), F.col(f"_carry_{n}")), self.window, backward=False)
 
     def running_next(self, columns: Mapping[str, Column]) -> SeriesFrame:
         """Per name: the first non-null value of the expression from the row on."""
         # From the end backwards: a frame that runs to the end would be read anew for every row.
         w = Window.partitionBy(*self.parts).orderBy(*self.order.backwards())
-        w = w.rowsBetween(Window.unboundedPreceding, 0)
-        local = {n: F.last(c, ignorenulls=True).over(w) for n, c in columns.items()}
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        local = {n: F.last(c, ignorenulls=True).over(upto) for n, c in columns.items()}
         if not self.is_blocked:
             return self.with_columns(local)
-        place = self.order.place()
         return self._carried(
-            local, {n: F.min_by(c, F.when(c.isNotNull(), place)) for n, c in columns.items()},
-            lambda s, w_: F.last(s, ignorenulls=True).over(w_),
-            lambda n: F.coalesce(F.col(n), F.col(f"_carry_{n}")), backward=True)
+            local, {}, lambda s, w_: F.last(s, ignorenulls=True).over(w_),
+            lambda n: F.coalesce(F.col(n), F.col(f"_carry_{n}")), w, backward=True)
 
     def running_product(self, columns: Mapping[str, Column]) -> SeriesFrame:
         """Per name: the product of the expression over all rows up to the row."""
@@ -269,9 +279,8 @@ class SeriesFrame:
         if not self.is_blocked:
             return self.with_columns(local)
         return self._carried(
-            local, {n: F.product(c) for n, c in columns.items()},
-            lambda s, w_: F.product(F.col(s)).over(w_),
-            lambda n: F.col(n) * F.coalesce(F.col(f"_carry_{n}"), F.lit(1.0)), backward=False)
+            local, {}, lambda s, w_: F.product(F.col(s)).over(w_),
+            lambda n: F.col(n) * F.coalesce(F.col(f"_carry_{n}"), F.lit(1.0)), self.window, backward=False)
 
 
 def windowed(df: DataFrame, *steps: Callable[[WindowSpec], Mapping[str, Column]], order: SeriesOrder = DAILY,

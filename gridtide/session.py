@@ -64,3 +64,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
         files.deleteOnExit(folder)
         _bases.add(base)
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet into the shared folder and go on from the file, of which later steps read what they need."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

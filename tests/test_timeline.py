@@ -18,6 +18,7 @@ from gridtide.operators import targets as Y
 from gridtide.operators import trading as T
 from gridtide.plans.attach import attach
 from gridtide.plans.running import running_sums
+from gridtide.plans import timeline
 from gridtide.plans.timeline import DAILY, SeriesFrame, SeriesOrder, with_index
 
 SMALL = SeriesOrder(block_rows=40)
@@ -209,3 +210,35 @@ def test_groups_without_a_name_are_scored(spark):
             assert got[g] == pytest.approx(list(alone)) if all(isinstance(v, float) for v in alone) else got[g] == list(alone)
     curve = R.roc_curve(df, by=["g"]).filter("g IS NULL")
     assert curve.agg(F.max("fpr")).first()[0] == 1.0
+
+
+def test_a_window_s_values_are_collected_once(uneven):
+    plan = S.rolling_percentile(uneven, 14, order=DAILY)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+
+
+def test_buckets_are_counted_only_where_finer_ones_divide_them(spark, monkeypatch):
+    """Days at midnight, which no hour or second divides, in several shapes; the choice is that of counting every candidate."""
+    monkeypatch.setattr(timeline, "BUCKET_ROWS", 8)
+    data = [("s", dt.datetime(2001, 1, 1 + i % 5), i * 700_000) for i in range(100)] + [("s", None, i) for i in range(3)]
+    order = SeriesOrder(("k",), "ts", ("id",))
+    for given in (data, data[:20], [("s", dt.datetime(2001, 1, 1, i % 24), i) for i in range(100)], [("s", None, 7)] * 20, [],
+                  [("s", dt.datetime(2001, 1, 1), 1_500 * i) for i in range(50)], [(None, dt.datetime(2001, 1, 1, 0, 0, 0, i), i) for i in range(50)]):
+        df = spark.createDataFrame(given, "k string, ts timestamp, id long").coalesce(1)
+        found = timeline._candidates(df, order)
+        fullest = [df.groupBy("k", c.alias("b")).count().agg(F.max("count")).first()[0] or 0 for c in found]
+        counted, group = [], type(df).groupBy
+        monkeypatch.setattr(type(df), "groupBy", lambda self, *by: (by and counted.append(by)) or group(self, *by))
+        assert order.resolved(df).bucket_at == next((i for i, n in enumerate(fullest) if n <= 8), len(found) - 1)
+        monkeypatch.setattr(type(df), "groupBy", group)
+        assert len(counted) <= 3
+        assert given is not data or (fullest[:6] == [20] * 6 and len(counted) == 2)
+
+
+def test_carried_states_read_written_rows(priced):
+    """What a running state is put together from is computed once, not again by whoever reads the result."""
+    prices = priced.filter("trade_date < DATE '1995-09-01'").select("series_id", "trade_date", "price")
+    for strategy in (S.percentile_strategy, S.bos_strategy):
+        held = strategy(prices, order=SeriesOrder(block_rows=60))
+        assert "Window" not in held._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(held.select("trade_date", "signal", "position")) == rows(strategy(prices).select("trade_date", "signal", "position"))
